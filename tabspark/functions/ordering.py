@@ -45,24 +45,16 @@ def hash_cuts(
 ) -> DataFrame:
     """The order hash of the row at each wanted rank.
 
-    ``ranks`` has ``part, cut, rank`` (1-based; rank 0 gives '', which no hash is below or equal to).
-    Returns ``part, cuts`` with the cut hashes of a part in order of ``cut``.
+    ``ranks`` has ``part, n, cut, rank``: the part's size and a 1-based rank in it (rank 0 gives '',
+    which no hash is below or equal to). Returns ``part, cuts`` with a part's hashes in order of ``cut``.
+    Parts of more than ``BUCKET_ROWS`` rows are first narrowed down by counting hash prefixes.
     """
     require_columns(df, keys)
     key = F.lit(0) if part is None else col(part)
     base = df.select(key.alias("part"), order_hash(keys, seed).alias("h")).where(F.col("part").isNotNull())
-    ranks = small_side(ranks.select("part", "cut", F.col("rank").cast("long").alias("rank")))
-    open_ranks = ranks.where(F.col("rank") > 0)
-
-    length = PREFIX_STEP
-    counted = base.groupBy("part", F.substring("h", 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
-    running = counted.withColumn("upto", upto)
-    located = small_side(
-        open_ranks.join(running, "part")
-        .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-        .select("part", "cut", "prefix", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n")
-    )
+    ranks = small_side(ranks.select("part", "n", "cut", F.col("rank").cast("long").alias("rank")))
+    located = ranks.where(F.col("rank") > 0).withColumn("prefix", F.lit(""))
+    length = 0
     while True:
         widest = located.agg(F.max("n")).first()[0]
         if widest is None or widest <= BUCKET_ROWS or length + PREFIX_STEP >= 32:
@@ -106,10 +98,15 @@ def chunk_number(
     return joined.select(*[col(c) for c in df.columns], F.when(F.col("cuts").isNotNull(), number).alias(name))
 
 
-def first_rows(df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
-    """A uniform sample of exactly ``n`` rows: the first ones in hash order of their key."""
+def first_rows(
+    df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = SEED, total: int | None = None
+) -> DataFrame:
+    """A uniform sample of exactly ``n`` rows (all if there are fewer): the first ones in hash order of their key."""
     keys = list(keys or df.columns)
-    ranks = local_table(df.sparkSession, [(0, 0, n)], "part int, cut int, rank long")
+    total = df.count() if total is None else total
+    if total <= n:
+        return df
+    ranks = local_table(df.sparkSession, [(0, total, 0, n)], "part int, n long, cut int, rank long")
     kept = chunk_number(df, None, keys, hash_cuts(df, None, keys, ranks, seed), "_chunk", seed)
     return kept.where(F.col("_chunk") == 0).drop("_chunk")
 

@@ -220,7 +220,8 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
             return [forest.fit(rows)]
         boost = {"maxIter": p["n_estimators"], "maxDepth": p["max_depth"], "stepSize": p["learning_rate"], "seed": SEED}
         if n_classes == 2:
-            return [GBTClassifier(**votes, **weight, **boost).fit(rows)]
+            boosted = GBTClassifier(**io, **weight, **boost).setRawPredictionCol(RAW).setProbabilityCol(PROB)
+            return [boosted.fit(rows)]
         binary = GBTClassifier(**boost)
         return [OneVsRest(classifier=binary, **io, **weight).fit(rows)]
     if kind == "linear_regression":
@@ -244,10 +245,10 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
             seed=SEED,
         )
         return [forest.fit(rows)]
-    boosted = GBTRegressor(
+    boost_regressor = GBTRegressor(
         **io, maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], seed=SEED
     )
-    return [boosted.fit(rows)]
+    return [boost_regressor.fit(rows)]
 
 
 def _ridge(rows: DataFrame, label: str, out: str, alpha: float, weight: dict[str, str]) -> Transformer:
@@ -347,7 +348,8 @@ def train(
 
 def retrain_full(model: TrainedModel, df: DataFrame) -> TrainedModel:
     """The same settings fitted again on train and test rows, its scaling included."""
-    return fit_model(df, replace(model.spec, weighted=model.spec.weighted and WEIGHT in df.columns))
+    everything = df.drop(SPLIT)
+    return fit_model(everything, replace(model.spec, weighted=model.spec.weighted and WEIGHT in df.columns))
 
 
 def preview_predictions(model: TrainedModel, df: DataFrame, n: int = 10, keys: Sequence[str] | None = None) -> DataFrame:
@@ -526,7 +528,7 @@ def learning_curve(
     n = train_rows.count()
     shares = [0.1 + 0.9 * i / (n_points - 1) for i in range(n_points)] if n_points > 1 else [0.1]
     sizes = [max(int(n * round(s, 12)), 2) for s in shares]
-    ranks = local_table(df.sparkSession, [(0, i, s) for i, s in enumerate(sizes)], "part int, cut int, rank long")
+    ranks = local_table(df.sparkSession, [(0, n, i, s) for i, s in enumerate(sizes)], "part int, n long, cut int, rank long")
     placed = chunk_number(train_rows, None, keys, hash_cuts(train_rows, None, keys, ranks, seed), "_chunk", seed)
     test = _test_rows(df).withColumn("_chunk", F.lit(-1))
     everything = placed.unionByName(test)

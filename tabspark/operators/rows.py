@@ -111,9 +111,9 @@ def subsample(
         return df
     keys = list(keys or df.columns)
     if not stratify or stratify not in df.columns:
-        return first_rows(df, n_rows, keys, seed)
+        return first_rows(df, n_rows, keys, seed, total)
     share = F.bround(F.lit(float(n_rows)) * F.col("n") / F.lit(float(total)), 0).cast("long")
-    ranks = part_sizes(df, stratify).select("part", F.lit(0).alias("cut"), share.alias("rank"))
+    ranks = part_sizes(df, stratify).select("part", "n", F.lit(0).alias("cut"), share.alias("rank"))
     cuts = hash_cuts(df, stratify, keys, ranks, seed)
     return chunk_number(df, stratify, keys, cuts, "_chunk", seed).where(F.col("_chunk") == 0).drop("_chunk")
 

@@ -82,7 +82,7 @@ def split_data(
         raise ValueError("The least populated class has fewer than 2 rows")
     if part is not None and min(total, n - total) < classes:
         raise ValueError(f"{total} test and {n - total} train rows cannot hold {classes} classes")
-    ranks = allocate(sizes, total).select("part", F.lit(0).alias("cut"), F.col("share").alias("rank"))
+    ranks = allocate(sizes, total).select("part", "n", F.lit(0).alias("cut"), F.col("share").alias("rank"))
     cuts = hash_cuts(df, part, keys, ranks, seed)
     chunk = chunk_number(df, part, keys, cuts, "_chunk", seed)
     return chunk.withColumn(SPLIT, F.when(F.col("_chunk") == 0, "test").when(F.col("_chunk") > 0, "train")).drop("_chunk")
@@ -107,7 +107,7 @@ def fold_ranks(sizes: DataFrame, n_folds: int) -> DataFrame:
         return whole * (F.col("cut") + 1) + F.least(at - whole * n_folds, F.col("cut") + 1)
 
     rank = below(F.col("start") + F.col("n")) - below(F.col("start"))
-    return cut.select("part", "cut", rank.cast("long").alias("rank"))
+    return cut.select("part", "n", "cut", rank.cast("long").alias("rank"))
 
 
 def create_folds(
@@ -169,11 +169,11 @@ def class_balance(
         return out.withColumn(WEIGHT, F.coalesce(WEIGHT, F.lit(1.0)))
     keys = list(keys or df.columns)
     if strategy == "undersample":
-        ranks = sizes.select("part", F.lit(0).alias("cut"), F.lit(least).alias("rank"))
+        ranks = sizes.select("part", "n", F.lit(0).alias("cut"), F.lit(least).alias("rank"))
         cuts = hash_cuts(train, target, keys, ranks, seed)
         out = chunk_number(train, target, keys, cuts, "_chunk", seed).where(F.col("_chunk") == 0).drop("_chunk")
     else:
-        ranks = sizes.select("part", F.lit(0).alias("cut"), (F.lit(most) % F.col("n")).alias("rank"))
+        ranks = sizes.select("part", "n", F.lit(0).alias("cut"), (F.lit(most) % F.col("n")).alias("rank"))
         cuts = hash_cuts(train, target, keys, ranks, seed)
         marked = chunk_number(train, target, keys, cuts, "_chunk", seed)
         whole = sizes.select(F.col("part").alias("_part"), F.floor(F.lit(most) / F.col("n")).alias("_whole"))

@@ -56,6 +56,12 @@ SELECT y_bin, y_rare, y_reg, c_acctbal, c_nationkey,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE c_acctbal * 2 + y_bin * 500 END AS lifted,
   CAST(extract(month FROM o_orderdate) AS double) AS order_month,
   CAST(1 AS double) AS const_col
+FROM {order_features}""",
+    # signal separates y_bin and hint follows y_reg, both with noise.
+    "model_orders": """
+SELECT o_orderkey, label, y_bin, y_rare, y_reg, c_acctbal, c_nationkey,
+  CAST(extract(month FROM o_orderdate) AS double) AS order_month,
+  c_acctbal * 0.1 + y_bin * 400 AS signal, y_reg * 0.01 + c_acctbal * 0.3 AS hint
 FROM {order_features}""",
 }
 
