@@ -107,11 +107,10 @@ query("k6_mutual_info_regression", f"{FILLED} {_scores([_mi(c, 'y_reg') for c in
     "k7_select_k_best",
     f"""{FILLED}, s AS ({union(_f_classif(c) for c in CLASSIF)}),
 k AS (SELECT feature, row_number() OVER (ORDER BY score DESC NULLS LAST) AS k FROM s)
-SELECT feature, {r('score', 3)} AS score, k <= 3 AS selected FROM s JOIN k USING (feature)""",
+SELECT feature, {r('score')} AS score, k <= 3 AS selected FROM s JOIN k USING (feature)""",
 )
 def select_k_best(spark, sf_dir):
     df = numbers(spark, sf_dir).select("y_bin", *CLASSIF)
     fitted = op.fit_k_best(df, "y_bin", 3)
     assert op.apply_k_best(df, "y_bin", fitted).columns == ["y_bin", *fitted.selected]
-    report = op.k_best_report(df, fitted)
-    return report.select("feature", F.round("score", 3).alias("score"), "selected")
+    return op.k_best_report(df, fitted)
