@@ -19,7 +19,7 @@ from .session import SMALL_SIDE_ROWS, cut_lineage, local_table, small_side
 
 SEED = 42
 PREFIX_STEP = 3
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 50_000
 MAX_BUCKETS = 10_000
 ROWS_PER_BUCKET = 1_000_000
 

@@ -1,62 +1,63 @@
 """Exact quantiles that never hold more than a bounded number of distinct values in one place.
 
-Small inputs use Spark's ``percentile``. It keeps a value -> count map per column, which grows with
-the distinct values, so above ``SMALL_ROWS`` the wanted ranks are first bracketed by a quantile
-sketch, the ranks of the brackets are counted exactly, and only the few values inside a bracket are
-looked at one by one. Every step is an aggregate over all columns at once, without a shuffle of rows.
+Spark's ``percentile`` keeps a value -> count map per column, so it serves columns with few distinct
+values, in one scan of any number of rows. With more than ``SMALL_VALUES`` of them the wanted ranks
+are first bracketed by a quantile sketch, the ranks of the brackets are counted exactly, and only the
+few values inside a bracket are looked at one by one. Every step is an aggregate over all columns at
+once, without a shuffle of rows.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import as_double, chunks, col
 
-SMALL_ROWS = 1_000_000
-CELLS_PER_JOB = 8_000_000
+SMALL_VALUES = 100_000
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 4 / SKETCH_ACCURACY
-COLUMNS_PER_JOB = 50
+COLUMNS_PER_JOB = 30
+TALLIES_PER_JOB = 200
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], small_rows: int | None = None
+    df: DataFrame, columns: list[str], probs: list[float], small: int | None = None
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column over its non-null values, ``None`` if it has none."""
     if not columns:
         return {}
-    limit = SMALL_ROWS if small_rows is None else small_rows
+    limit = SMALL_VALUES if small is None else small
     narrow = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    n_rows = df.count()
-    found: list[list[float | None]] = []
-    if n_rows <= limit:
-        per_job = max(1, min(COLUMNS_PER_JOB, CELLS_PER_JOB // max(n_rows, 1)))
-        for part in chunks(narrow.columns, per_job):
-            wanted = F.array(*[F.lit(float(p)) for p in probs])
-            row = narrow.agg(*[F.percentile(col(v), wanted).alias(v) for v in part]).first()
-            found += [list(q) if q is not None else [None] * len(probs) for q in row]
-    else:
-        for part in chunks(narrow.columns, COLUMNS_PER_JOB):
-            found += _bracketed(narrow.select(*part), probs, limit)
-    return dict(zip(columns, found))
+    sizes: list[int] = []
+    for part in chunks(narrow.columns, COLUMNS_PER_JOB):
+        sizes += narrow.agg(*[F.approx_count_distinct(col(v)).alias(v) for v in part]).first()
+    # The sketch errs by 5 % (one standard error); the map may hold a little more than the limit.
+    few = [v for v, n in zip(narrow.columns, sizes) if n <= limit]
+    many = [v for v, n in zip(narrow.columns, sizes) if n > limit]
+    found: dict[str, list[float | None]] = {}
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    for part in chunks(few, COLUMNS_PER_JOB):
+        row = narrow.agg(*[F.percentile(col(v), wanted).alias(v) for v in part]).first()
+        found.update((v, list(q) if q is not None else [None] * len(probs)) for v, q in zip(part, row))
+    for part in chunks(many, COLUMNS_PER_JOB):
+        found.update(zip(part, _bracketed(narrow.select(*part), probs, limit)))
+    return {c: found[f"v{i}"] for i, c in enumerate(columns)}
 
 
 @dataclass
-class _Rank:
-    """One wanted order statistic (0-based ``rank``) and the open interval it is known to lie in."""
+class _Range:
+    """An open interval of one column, the rows below and inside it, and the 0-based ranks wanted from it."""
 
     column: str
-    rank: int
+    ranks: list[int]
+    inside: int
+    below: int = 0
     lo: float | None = None
     hi: float | None = None
-    below: int = 0
-    inside: int = 0
-    value: float | None = None
-    edges: list[float | None] = field(default_factory=list)
 
     def members(self) -> Column:
         """The column's values inside the interval, NULL elsewhere."""
@@ -67,21 +68,31 @@ class _Rank:
             keep = keep & (col(self.column) < F.lit(self.hi))
         return F.when(keep, col(self.column))
 
+    def runs(self) -> list[tuple[int, int]]:
+        """First and last of the wanted ranks that are neighbours: one bracket serves both."""
+        out: list[tuple[int, int]] = []
+        for k in sorted(self.ranks):
+            if out and k <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], k)
+            else:
+                out.append((k, k))
+        return out
+
 
 def _bracketed(df: DataFrame, probs: list[float], limit: int) -> list[list[float | None]]:
     counts = df.agg(*[F.count(col(c)).alias(c) for c in df.columns]).first().asDict()
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for c, n in counts.items():
-        for p in probs:
-            if n:
-                for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
-                    ranks.setdefault((c, k), _Rank(c, k, inside=n))
-    while open_ranks := [r for r in ranks.values() if r.value is None]:
-        small = [r for r in open_ranks if r.inside <= limit]
+    found: dict[tuple[str, int], float] = {}
+    ranges = [
+        _Range(c, sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}), n)
+        for c, n in counts.items()
+        if n
+    ]
+    while ranges:
+        small = [r for r in ranges if r.inside <= limit]
+        large = [r for r in ranges if r.inside > limit]
         if small:
-            _pick(df, small)
-        if large := [r for r in open_ranks if r.inside > limit]:
-            _narrow(df, large)
+            _pick(df, small, found)
+        ranges = _narrow(df, large, found) if large else []
     out = []
     for c, n in counts.items():
         row: list[float | None] = []
@@ -90,59 +101,70 @@ def _bracketed(df: DataFrame, probs: list[float], limit: int) -> list[list[float
                 row.append(None)
                 continue
             at = p * (n - 1)
-            low, high = ranks[c, math.floor(at)].value, ranks[c, math.ceil(at)].value
+            low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
             row.append(low + (high - low) * (at - math.floor(at)))
         out.append(row)
     return out
 
 
-def _pick(df: DataFrame, ranks: list[_Rank]) -> None:
-    """Read order statistics whose interval holds few rows."""
-    inside = df.select(*[r.members().alias(f"m{i}") for i, r in enumerate(ranks)])
-    picked = []
-    for i, r in enumerate(ranks):
-        at = (r.rank - r.below + 0.5) / r.inside
-        picked.append(F.expr(f"percentile_disc({at!r}D) WITHIN GROUP (ORDER BY m{i})").alias(f"p{i}"))
-    for r, value in zip(ranks, inside.agg(*picked).first()):
-        r.value = value
+def _pick(df: DataFrame, ranges: list[_Range], found: dict[tuple[str, int], float]) -> None:
+    """Read order statistics of intervals that hold few rows."""
+    inside = df.select(*[r.members().alias(f"m{i}") for i, r in enumerate(ranges)])
+    picked, keys = [], []
+    for i, r in enumerate(ranges):
+        for k in r.ranks:
+            at = (k - r.below + 0.5) / r.inside
+            picked.append(F.expr(f"percentile_disc({at!r}D) WITHIN GROUP (ORDER BY m{i})").alias(f"p{len(picked)}"))
+            keys.append((r.column, k))
+    found.update(zip(keys, inside.agg(*picked).first()))
 
 
-def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
-    """Sketch a bracket around each rank, then count what lies below, on and inside its ends."""
+def _narrow(df: DataFrame, ranges: list[_Range], found: dict[tuple[str, int], float]) -> list[_Range]:
+    """Sketch brackets around the wanted ranks, then count what lies below, on and inside their ends."""
+    inside = df.select(*[r.members().alias(f"m{i}") for i, r in enumerate(ranges)])
     sketches = []
-    for i, r in enumerate(ranks):
-        at = (r.rank - r.below) / max(r.inside - 1, 1)
-        around = F.array(
-            F.lit(max(0.0, at - SKETCH_MARGIN)), F.lit(min(1.0, at + SKETCH_MARGIN))
-        )
-        sketches.append(F.percentile_approx(r.members(), around, SKETCH_ACCURACY).alias(f"s{i}"))
-    for r, ends in zip(ranks, df.agg(*sketches).first()):
-        r.edges = list(ends)
+    for i, r in enumerate(ranges):
+        ends = []
+        for first, last in r.runs():
+            scale = max(r.inside - 1, 1)
+            ends += [
+                F.lit(max(0.0, (first - r.below) / scale - SKETCH_MARGIN)),
+                F.lit(min(1.0, (last - r.below) / scale + SKETCH_MARGIN)),
+            ]
+        sketches.append(F.percentile_approx(f"m{i}", F.array(*ends), SKETCH_ACCURACY).alias(f"s{i}"))
+    edges = inside.agg(*sketches).first()
+    brackets = [
+        (i, first, last, edges[i][2 * j], edges[i][2 * j + 1])
+        for i, r in enumerate(ranges)
+        for j, (first, last) in enumerate(r.runs())
+    ]
     tallies = []
-    for r in ranks:
-        lo, hi = (F.lit(e) for e in r.edges)
-        inside = r.members()
-        tallies += [
-            F.count_if(inside < lo),
-            F.count_if(inside <= lo),
-            F.count_if(inside < hi),
-            F.count_if(inside <= hi),
-        ]
-    seen = list(df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first())
-    for i, r in enumerate(ranks):
-        under_lo, upto_lo, under_hi, upto_hi = seen[4 * i : 4 * i + 4]
-        lo, hi = r.edges
-        k = r.rank - r.below
-        if under_lo <= k < upto_lo:
-            r.value = lo
-        elif under_hi <= k < upto_hi:
-            r.value = hi
-        elif k < under_lo:
-            r.hi, r.inside = lo, under_lo
-        elif k >= upto_hi:
-            r.lo, r.below, r.inside = hi, r.below + upto_hi, r.inside - upto_hi
-        else:
-            r.lo, r.hi, r.below, r.inside = lo, hi, r.below + upto_lo, under_hi - upto_lo
+    for i, _, _, lo, hi in brackets:
+        m = F.col(f"m{i}")
+        tallies += [F.count_if(m < lo), F.count_if(m <= lo), F.count_if(m < hi), F.count_if(m <= hi)]
+    seen: list[int] = []
+    for part in chunks(tallies, TALLIES_PER_JOB):
+        seen += inside.agg(*[t.alias(f"t{i}") for i, t in enumerate(part)]).first()
+    left: dict[tuple, _Range] = {}
+    for b, (i, first, last, lo, hi) in enumerate(brackets):
+        r = ranges[i]
+        under_lo, upto_lo, under_hi, upto_hi = seen[4 * b : 4 * b + 4]
+        for k in (k for k in r.ranks if first <= k <= last):
+            at = k - r.below
+            if under_lo <= at < upto_lo:
+                found[r.column, k] = lo
+                continue
+            if under_hi <= at < upto_hi:
+                found[r.column, k] = hi
+                continue
+            if at < under_lo:
+                rest = _Range(r.column, [], under_lo, r.below, r.lo, lo)
+            elif at >= upto_hi:
+                rest = _Range(r.column, [], r.inside - upto_hi, r.below + upto_hi, hi, r.hi)
+            else:
+                rest = _Range(r.column, [], under_hi - upto_lo, r.below + upto_lo, lo, hi)
+            left.setdefault((r.column, rest.lo, rest.hi), rest).ranks.append(k)
+    return list(left.values())
 
 
 def grouped_median(df: DataFrame, group: str, value: str, out: str, few_groups: bool = False) -> DataFrame:

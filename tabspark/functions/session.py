@@ -49,6 +49,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and read it back.
+
+    For a prepared table that several fits scan: each of them then reads only the columns it needs
+    instead of repeating the joins and aggregates before, and nothing is lost with an executor.
+    """
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A small table held by the plan itself, so that Catalyst knows its size."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

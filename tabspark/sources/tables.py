@@ -75,9 +75,10 @@ def _infer(texts: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(texts.columns):
         value = F.trim(col(c))
-        # Integers beyond the 15th digit survive only as bigint; texts such as 1.0 are doubles.
-        whole = value.rlike(r"^[+-]?\d+$") & value.try_cast("bigint").isNotNull()
-        number = value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Infinity|infinity)$")
+        whole = value.try_cast("bigint").isNotNull()
+        # The cast also reads Java's own spellings (1d, 2f, 0x1p3), which are texts in a CSV.
+        spelled = F.right(value, F.lit(1)).isin("d", "D", "f", "F") & ~F.lower(value).endswith("inf")
+        number = value.try_cast("double").isNotNull() & ~spelled & ~value.contains("x")
         truth = value.isin("True", "False", "TRUE", "FALSE", "true", "false")
         aggs += [
             F.count(value).alias(f"n{i}"),

@@ -20,11 +20,11 @@ def skewed(spark, n=20_000):
     )
 
 
-@pytest.mark.parametrize("limit", [10, 500, 1_000_000])
+@pytest.mark.parametrize("limit", [5, 500, 1_000_000])
 def test_exact_quantiles_equal_pandas(spark, limit):
     df = skewed(spark)
     probs = [0.0, 0.05, 0.25, 0.5, 0.613, 0.75, 0.999, 1.0]
-    found = quantiles.exact_quantiles(df, ["x", "y", "id"], probs, small_rows=limit)
+    found = quantiles.exact_quantiles(df, ["x", "y", "id"], probs, small=limit)
     pdf = df.toPandas()
     for c in ("x", "y", "id"):
         assert found[c] == pytest.approx(pdf[c].quantile(probs).tolist(), rel=1e-12)
@@ -33,7 +33,7 @@ def test_exact_quantiles_equal_pandas(spark, limit):
 def test_exact_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     assert quantiles.exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [1.5]}
-    assert quantiles.exact_quantiles(df, ["a", "b"], [0.5], small_rows=1) == {"a": [None], "b": [1.5]}
+    assert quantiles.exact_quantiles(df, ["a", "b"], [0.5], small=1) == {"a": [None], "b": [1.5]}
 
 
 @pytest.mark.parametrize("accuracy", [10_000, 200])
