@@ -16,10 +16,9 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -93,9 +92,8 @@ class TrainedModel:
 
     @property
     def has_probability(self) -> bool:
-        return self.spec.problem_type == "classification" and any(
-            s.hasParam("probabilityCol") for s in self.pipeline.stages
-        )
+        """Whether one model gives class probabilities; one-against-rest models do not."""
+        return any(s.hasParam("probabilityCol") and s.getOrDefault("probabilityCol") == PROB for s in self.pipeline.stages)
 
 
 def registry(problem_type: str) -> dict[str, dict[str, Any]]:
@@ -222,8 +220,14 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
         if n_classes == 2:
             boosted = GBTClassifier(**io, **weight, **boost).setRawPredictionCol(RAW).setProbabilityCol(PROB)
             return [boosted.fit(rows)]
-        binary = GBTClassifier(**boost)
-        return [OneVsRest(classifier=binary, **io, **weight).fit(rows)]
+        # One booster per class against the rest; score() takes the class with the largest margin.
+        rest = []
+        for k in range(n_classes):
+            side = rows.withColumn("_side", (F.col(INDEX) == k).cast("double"))
+            one = GBTClassifier(featuresCol=VECTOR, labelCol="_side", predictionCol=f"_call{k}", **weight, **boost)
+            one = one.setRawPredictionCol(f"{RAW}{k}").setProbabilityCol(f"{PROB}{k}")
+            rest.append(one.fit(side))
+        return rest
     if kind == "linear_regression":
         return [LinearRegression(**io, regParam=0.0).fit(rows)]
     if kind == "ridge":
@@ -289,11 +293,16 @@ def _ridge_votes(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Trans
 
 
 def _finish(prepared: Prepared, spec: ModelSpec, fitted: list[Transformer]) -> TrainedModel:
-    if spec.problem_type == "classification":
-        last: Transformer = IndexToString(inputCol=CALL, outputCol=PREDICTION, labels=prepared.classes)
-    else:
-        last = SQLTransformer(statement=f"SELECT *, {CALL} AS {PREDICTION} FROM __THIS__")
-    return TrainedModel(spec, prepared.classes, PipelineModel([*prepared.stages, *fitted, last]))
+    return TrainedModel(spec, prepared.classes, PipelineModel([*prepared.stages, *fitted]))
+
+
+def _called(df: DataFrame) -> DataFrame:
+    """Settle the predicted class index where several one-against-rest models voted."""
+    if CALL in df.columns:
+        return df
+    margins = [c for c in df.columns if c.startswith(RAW)]
+    votes = F.array(*[vector_to_array(F.col(f"{RAW}{k}"))[1] for k in range(len(margins))])
+    return df.withColumn(CALL, (F.array_position(votes, F.array_max(votes)) - 1).cast("double"))
 
 
 def _training_rows(df: DataFrame) -> DataFrame:
@@ -321,11 +330,15 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
 
     Also adds ``label`` where the target is at hand. Lazy; works on a streaming table.
     """
-    out = model.pipeline.transform(df)
+    out = _called(model.pipeline.transform(df))
     columns = [col(c) for c in df.columns if c not in (LABEL, PREDICTION, PROBABILITY) or c == model.spec.target]
     if model.spec.target in df.columns and model.spec.target != LABEL:
         columns.append(col(model.spec.target).alias(LABEL))
-    columns.append(F.col(PREDICTION))
+    if model.classes:
+        named = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col(CALL).cast("int"))
+        columns.append(named.alias(PREDICTION))
+    else:
+        columns.append(F.col(CALL).alias(PREDICTION))
     if model.has_probability and len(model.classes) == 2:
         columns.append(vector_to_array(F.col(PROB))[1].alias(PROBABILITY))
     return out.select(*columns)
@@ -377,7 +390,7 @@ def _judge(predicted: DataFrame, problem_type: str, by: Sequence[str] = ()) -> D
 def _predict(stages: list[Transformer], rows: DataFrame) -> DataFrame:
     for s in stages:
         rows = s.transform(rows)
-    return rows
+    return _called(rows)
 
 
 def compare_models(
@@ -555,9 +568,6 @@ def learning_curve(
 def _importances(stage: Transformer) -> list[float] | None:
     if hasattr(stage, "featureImportances"):
         return [float(x) for x in stage.featureImportances.toArray()]
-    if hasattr(stage, "models"):
-        parts = [_importances(m) for m in stage.models]
-        return [sum(v) / len(parts) for v in zip(*parts)]
     if hasattr(stage, "coefficientMatrix"):
         rows = abs(stage.coefficientMatrix.toArray())
         return [float(x) for x in rows.mean(axis=0)]
