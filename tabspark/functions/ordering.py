@@ -34,9 +34,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+WHOLE = ""
+
+
 def part_sizes(df: DataFrame, part: str | None) -> DataFrame:
-    """Rows per value of ``part`` (one part if None): columns ``part, n``; null parts are left out."""
-    key = F.lit(0) if part is None else col(part)
+    """Rows per value of ``part`` (one part '' if None): columns ``part, n``; null parts are left out."""
+    key = F.lit(WHOLE) if part is None else col(part)
     return df.select(key.alias("part")).where(F.col("part").isNotNull()).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -50,8 +53,10 @@ def hash_cuts(
     Parts of more than ``BUCKET_ROWS`` rows are first narrowed down by counting hash prefixes.
     """
     require_columns(df, keys)
-    key = F.lit(0) if part is None else col(part)
-    base = df.select(key.alias("part"), order_hash(keys, seed).alias("h")).where(F.col("part").isNotNull())
+    hashed = order_hash(keys, seed)
+    # The one part of a whole table is taken from the hash, so that it stays a join key to the planner.
+    key = F.substring(hashed, 1, 0) if part is None else col(part)
+    base = df.select(key.alias("part"), hashed.alias("h")).where(F.col("part").isNotNull())
     ranks = small_side(ranks.select("part", "n", "cut", F.col("rank").cast("long").alias("rank")))
     located = ranks.where(F.col("rank") > 0).withColumn("prefix", F.lit(""))
     length = 0
@@ -71,9 +76,9 @@ def hash_cuts(
 
 def _refine(base: DataFrame, located: DataFrame, length: int, deeper: int) -> DataFrame:
     """Count the buckets that hold a wanted rank again, by a longer hash prefix."""
-    near = base.withColumn("prefix", F.substring("h", 1, length)).join(
-        located.select("part", "prefix").distinct(), ["part", "prefix"]
-    )
+    near = base.withColumn("prefix", F.substring("h", 1, length))
+    if length:
+        near = near.join(located.select("part", "prefix").distinct(), ["part", "prefix"])
     counted = near.groupBy("part", "prefix", F.substring("h", 1, deeper).alias("longer")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -91,9 +96,12 @@ def chunk_number(
     df: DataFrame, part: str | None, keys: Sequence[str], cuts: DataFrame, name: str, seed: int = SEED
 ) -> DataFrame:
     """Add how many cuts of its part lie before each row (0 = up to the first cut); null without a part."""
-    key = F.lit(0) if part is None else col(part)
-    marked = df.withColumns({"_part": key, "_h": order_hash(keys, seed)})
-    joined = marked.join(cuts.select(F.col("part").alias("_part"), "cuts"), "_part", "left")
+    hashed = order_hash(keys, seed)
+    if part is None:
+        passed = [(F.lit(c) < hashed).cast("int") for c in cuts.first()["cuts"]]
+        return df.withColumn(name, sum(passed[1:], passed[0]))
+    marked = df.withColumn("_h", hashed)
+    joined = marked.join(cuts.select(F.col("part").alias("_part"), "cuts"), col(part) == F.col("_part"), "left")
     number = F.size(F.filter(F.col("cuts"), lambda c: c < F.col("_h")))
     return joined.select(*[col(c) for c in df.columns], F.when(F.col("cuts").isNotNull(), number).alias(name))
 
@@ -106,7 +114,7 @@ def first_rows(
     total = df.count() if total is None else total
     if total <= n:
         return df
-    ranks = local_table(df.sparkSession, [(0, total, 0, n)], "part int, n long, cut int, rank long")
+    ranks = local_table(df.sparkSession, [(WHOLE, total, 0, n)], "part string, n long, cut int, rank long")
     kept = chunk_number(df, None, keys, hash_cuts(df, None, keys, ranks, seed), "_chunk", seed)
     return kept.where(F.col("_chunk") == 0).drop("_chunk")
 
@@ -140,18 +148,20 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: b
     )
 
 
-def dense_codes(values: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+def dense_codes(values: DataFrame, max_rows: int = SMALL_SIDE_ROWS, estimate: int | None = None) -> DataFrame:
     """Codes 0.. for the distinct values of a one-column string table, ascending: ``value, code``.
 
     A short dictionary is numbered on the driver. A long one is sorted into ranges, written once so
-    that its partitions stay put, and numbered by partition offset plus position.
+    that its partitions stay put, and numbered by partition offset plus position. An ``estimate`` of
+    the distinct values saves asking whether a long one is short.
     """
     spark = values.sparkSession
     distinct = values.select(col(values.columns[0]).alias("value")).where(F.col("value").isNotNull()).distinct()
-    rows = distinct.take(max_rows + 1)
-    if len(rows) <= max_rows:
-        codes = [(value, i) for i, value in enumerate(sorted(r["value"] for r in rows))]
-        return local_table(spark, codes, "value string, code long")
+    if estimate is None or estimate <= 1.5 * max_rows:
+        found = distinct.limit(max_rows + 1).collect()
+        if len(found) <= max_rows:
+            codes = [(value, i) for i, value in enumerate(sorted(r["value"] for r in found))]
+            return local_table(spark, codes, "value string, code long")
     # monotonically_increasing_id puts the partition in the upper bits and the position in the lower 33.
     position = 2**33
     ordered = cut_lineage(distinct.sort("value")).withColumn("id", F.monotonically_increasing_id())

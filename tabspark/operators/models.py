@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, categorical_columns, col, quote, require_columns
-from ..functions.ordering import SEED, chunk_number, hash_cuts
+from ..functions.ordering import SEED, WHOLE, chunk_number, hash_cuts
 from ..functions.session import local_table
 from ..functions.stats import ratio, rounded
 from .evaluation import LABEL, PREDICTION, PROBABILITY, prediction_sample, regression_scores
@@ -67,6 +67,7 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 # Boosting takes no class weights.
 UNWEIGHTED = {"gradient_boosting"}
+MAX_CLASSES = 10_000
 
 VECTOR, INDEX, RAW, PROB, CALL = "_features", "_label", "_raw", "_probability", "_prediction"
 
@@ -152,9 +153,12 @@ def _feature_stages(features: list[str], scaler: Scaler | None) -> list[Transfor
 
 
 def _classes(df: DataFrame, target: str) -> list[str]:
-    """Labels in ascending order (numbers by size), as text."""
+    """Labels in ascending order (numbers by size), as text. A model holds them all, so they must be few."""
     found = df.where(col(target).isNotNull()).groupBy(col(target).alias("v")).agg(F.first(col(target).cast("string")).alias("s"))
-    return [r["s"] for r in sorted(found.collect(), key=lambda r: r["v"])]
+    rows = found.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"'{target}' has more than {MAX_CLASSES} values: model it as regression")
+    return [r["s"] for r in sorted(rows, key=lambda r: r["v"])]
 
 
 def prepare(df: DataFrame, spec: ModelSpec, carry: Sequence[str] = ()) -> Prepared:
@@ -541,7 +545,7 @@ def learning_curve(
     n = train_rows.count()
     shares = [0.1 + 0.9 * i / (n_points - 1) for i in range(n_points)] if n_points > 1 else [0.1]
     sizes = [max(int(n * round(s, 12)), 2) for s in shares]
-    ranks = local_table(df.sparkSession, [(0, n, i, s) for i, s in enumerate(sizes)], "part int, n long, cut int, rank long")
+    ranks = local_table(df.sparkSession, [(WHOLE, n, i, s) for i, s in enumerate(sizes)], "part string, n long, cut int, rank long")
     placed = chunk_number(train_rows, None, keys, hash_cuts(train_rows, None, keys, ranks, seed), "_chunk", seed)
     test = _test_rows(df).withColumn("_chunk", F.lit(-1))
     everything = placed.unionByName(test)

@@ -181,10 +181,9 @@ AUTO = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "dup_price", "const
     "WITH c AS ("
     + union(f"SELECT '{c}' AS f, {i} AS pos, {sql_corr(c, 'l_extendedprice')} AS r FROM {{dirty_lines}}" for i, c in enumerate(AUTO))
     + "), t AS (SELECT f, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, pos) AS k FROM c), "
-    + "v AS ("
-    + union(f"SELECT '{c}' AS f, l_orderkey, l_partkey, l_suppkey, l_linenumber AS ln, CAST({c} AS double) AS x FROM {{dirty_lines}}" for c in AUTO)
-    + ") SELECT concat(a.f, '_x_', b.f) AS pair, round(sum(va.x * vb.x), 1) AS total FROM t a JOIN t b ON a.k < b.k AND b.k <= 5 "
-    "JOIN v va ON va.f = a.f JOIN v vb ON vb.f = b.f AND vb.l_orderkey = va.l_orderkey AND vb.l_partkey = va.l_partkey AND vb.l_suppkey = va.l_suppkey AND vb.ln = va.ln GROUP BY 1",
+    + "s AS ("
+    + union(f"SELECT '{a}' AS fa, '{b}' AS fb, sum(CAST({a} AS double) * {b}) AS total FROM {{dirty_lines}}" for a in AUTO for b in AUTO if a != b)
+    + ") SELECT concat(a.f, '_x_', b.f) AS pair, round(total, 1) AS total FROM t a JOIN t b ON a.k < b.k AND b.k <= 5 JOIN s ON fa = a.f AND fb = b.f",
 )
 def interactions_auto(spark, sf_dir):
     df = lines(spark, sf_dir).select(*AUTO, "l_extendedprice")

@@ -38,6 +38,8 @@ def test_splits_move_no_rows(spark):
     done = [
         rows.subsample(df, 100, ["o_orderkey"], stratify="o_orderstatus"),
         splits.split_data(df, "o_orderstatus", keys=["o_orderkey"]),
+        splits.split_data(df, "o_totalprice", keys=["o_orderkey"]),
+        rows.subsample(df, 100, ["o_orderkey"]),
         splits.create_folds(df, "o_orderstatus", keys=["o_orderkey"]),
         splits.class_balance(df, "o_orderstatus", "undersample", ["o_orderkey"]),
         splits.class_balance(df, "o_orderstatus", "oversample", ["o_orderkey"]),
