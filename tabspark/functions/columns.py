@@ -63,6 +63,26 @@ def as_double(name: str) -> Column:
     return col(name).cast("double")
 
 
+# A failing try_cast of a text costs an exception, so only texts that look right are tried.
+NUMBER_FIRST = list("0123456789+-.iInN")
+NUMBER_LAST = list("0123456789.fFyYnN")
+
+
+def text_to_whole(text: Column, to: str = "bigint") -> Column:
+    """The whole number a text spells, else NULL."""
+    value = F.trim(text)
+    return F.when(value.rlike(r"^[+-]?[0-9]+$"), value.try_cast(to))
+
+
+def text_to_double(text: Column) -> Column:
+    """The number a text spells, else NULL; Java's own spellings (1f, 0x1p3) are no numbers."""
+    value = F.trim(text)
+    last = F.right(value, F.lit(1))
+    likely = F.substring(value, 1, 1).isin(NUMBER_FIRST) & last.isin(NUMBER_LAST)
+    spelled = value.contains("x") | (F.lower(last) == "f") & ~F.lower(value).endswith("inf")
+    return F.when(likely & ~spelled, value.try_cast("double"))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every float column, so that NULL is the only missing value."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}

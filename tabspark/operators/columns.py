@@ -21,6 +21,8 @@ from ..functions.columns import (
     require_columns,
     require_numeric,
     string_columns,
+    text_to_double,
+    text_to_whole,
 )
 from ..functions.quantiles import exact_quantiles
 from ..functions.session import local_table
@@ -92,6 +94,11 @@ def _cast(df: DataFrame, name: str, to: str) -> Column:
         # Truth of a value as such: not zero, or a text that is not empty; missing counts as true.
         truth = col(name) != 0 if isinstance(kind, NUMERIC_TYPES) else F.length(col(name).cast("string")) > 0
         return F.coalesce(truth, F.lit(True))
+    if isinstance(kind, T.StringType):
+        if to in WHOLE_TYPES:
+            return text_to_whole(col(name), to)
+        if to in ("float", "double"):
+            return text_to_double(col(name)).cast(to)
     return col(name).try_cast(to)
 
 

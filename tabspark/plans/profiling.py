@@ -45,7 +45,7 @@ def sql_corr(a, b):
 def _profile_row(c, t):
     head = f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct"
     if c in LINE_NUMBERS:
-        q = ", ".join(f"{r(f'quantile_cont({c}, {p})', 3)} AS p{n}" for n, p in ((25, 0.25), (50, 0.5), (75, 0.75)))
+        q = ", ".join(f"{r(f'quantile_cont({c}, {p})')} AS p{n}" for n, p in ((25, 0.25), (50, 0.5), (75, 0.75)))
         rest = f"CAST(count({c}) AS double) AS count, {r(f'avg({c})', 3)} AS mean, {r(f'stddev_samp({c})', 3)} AS std, CAST(min({c}) AS double) AS min, {q}, CAST(max({c}) AS double) AS max"
     else:
         rest = ", ".join(f"CAST(NULL AS double) AS {n}" for n in ("count", "mean", "std", "min", "p25", "p50", "p75", "max"))
@@ -58,7 +58,8 @@ PROFILE_SQL = union(_profile_row(c, t) for c, t in LINE_TYPES.items())
 @query("p1_profile", PROFILE_SQL)
 def profile(spark, sf_dir):
     found = op.profile(view(spark, sf_dir, "dirty_lines"))
-    rounded = [F.round(c, 3).alias(c) for c in ("mean", "std", "p25", "p50", "p75")]
+    rounded = [F.round(c, 3).alias(c) for c in ("mean", "std")]
+    rounded += [F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")]
     return found.select(
         "column", "dtype", "missing", "missing_pct", F.col("count").cast("double").alias("count"), "min", "max", *rounded
     )

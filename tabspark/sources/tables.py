@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import NUMERIC_TYPES, col, nan_to_null
+from ..functions.columns import NUMERIC_TYPES, col, nan_to_null, text_to_double, text_to_whole
 from ..functions.stats import long_report
 
 # The texts a CSV cell may hold for "missing" (the reader's documented defaults).
@@ -70,48 +70,36 @@ def _present(name: str) -> Column:
     return F.when(_present_test(name), col(name))
 
 
+def _kind(text: Column) -> Column:
+    """One bit for the narrowest kind a cell fits: 1 whole number, 2 number, 4 truth value, 8 text."""
+    return (
+        F.when(text.isNull(), None)
+        .when(text_to_whole(text).isNotNull(), 1)
+        .when(text_to_double(text).isNotNull(), 2)
+        .when(F.trim(text).isin("True", "False", "TRUE", "FALSE", "true", "false"), 4)
+        .otherwise(8)
+    )
+
+
 def _infer(texts: DataFrame) -> dict[str, str]:
     """The narrowest type all cells of a column fit, from one scan."""
-    aggs = []
-    for i, c in enumerate(texts.columns):
-        value = F.trim(col(c))
-        whole = value.try_cast("bigint").isNotNull()
-        # The cast also reads Java's own spellings (1d, 2f, 0x1p3), which are texts in a CSV.
-        spelled = F.right(value, F.lit(1)).isin("d", "D", "f", "F") & ~F.lower(value).endswith("inf")
-        number = value.try_cast("double").isNotNull() & ~spelled & ~value.contains("x")
-        truth = value.isin("True", "False", "TRUE", "FALSE", "true", "false")
-        aggs += [
-            F.count(value).alias(f"n{i}"),
-            F.count_if(whole).alias(f"w{i}"),
-            F.count_if(number).alias(f"d{i}"),
-            F.count_if(truth).alias(f"b{i}"),
-        ]
-    seen = texts.agg(*aggs).first()
-    types = {}
-    for i, c in enumerate(texts.columns):
-        n = seen[f"n{i}"]
-        if n == 0:
-            types[c] = "double"
-        elif seen[f"w{i}"] == n:
-            types[c] = "bigint"
-        elif seen[f"d{i}"] == n:
-            types[c] = "double"
-        elif seen[f"b{i}"] == n:
-            types[c] = "boolean"
-        else:
-            types[c] = "string"
-    return types
+    seen = texts.agg(*[F.bit_or(_kind(col(c))).alias(f"k{i}") for i, c in enumerate(texts.columns)]).first()
+    # No value at all: a numeric column of nothing but missing values.
+    names = {None: "double", 1: "bigint", 2: "double", 3: "double", 4: "boolean"}
+    return {c: names.get(kinds, "string") for c, kinds in zip(texts.columns, seen)}
 
 
 def _typed(texts: DataFrame, types: dict[str, str]) -> DataFrame:
-    return nan_to_null(
-        texts.select(
-            *[
-                (col(c) if t == "string" else F.trim(col(c)).try_cast(t)).alias(c)
-                for c, t in types.items()
-            ]
-        )
-    )
+    def value(c: str, to: str) -> Column:
+        if to == "string":
+            return col(c)
+        if to in ("tinyint", "smallint", "int", "bigint"):
+            return text_to_whole(col(c), to)
+        if to in ("float", "double"):
+            return text_to_double(col(c)).cast(to)
+        return F.trim(col(c)).try_cast(to)
+
+    return nan_to_null(texts.select(*[value(c, t).alias(c) for c, t in types.items()]))
 
 
 def _common_type(types: list[T.DataType]) -> T.DataType:
