@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .catalog import QUERIES, SQL, query, table
+from .chat import CONTROLS, conversation_digests, format_conversations
+from .decontaminate import contaminated
+from .language import fit_languages, predict_language
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .repeats import remove_repeats
+from .scoring import score_texts
+from .sharding import extendible_shards
+from .text import id_crc32
+from .token_files import read_token_files, write_token_files
+from .vector_search import top_inner_products
+
+SHARD_BYTES = 1 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
@@ -33,6 +48,115 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def public_vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, as the installed package of them tells it."""
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+@query("op2_lm_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, id_crc32("doc_id") % 7 == 2, public_vocabulary("byte_bpe_50k.json"))
+
+
+@query("op3_mix_sources")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query("op4_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_shards",
+    f"""
+WITH h AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS varchar), '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents
+),
+b AS (SELECT d, h >> (60 - d) AS p, sum(n_bytes) AS s FROM h, range(0, 61) t(d) GROUP BY 1, 2),
+leaf AS (SELECT h, min(d) AS d FROM (SELECT DISTINCT h.h, b.d FROM h JOIN b ON h.h >> (60 - b.d) = b.p WHERE s <= {SHARD_BYTES} OR b.d = 60) GROUP BY h)
+SELECT doc_id, substr(lpad(bin(h.h), 60, '0'), 1, leaf.d) AS shard, CAST(leaf.d AS integer) AS shard_depth, n_bytes,
+  CAST(s AS bigint) AS shard_bytes, s > {SHARD_BYTES} AS oversize
+FROM h JOIN leaf ON h.h = leaf.h JOIN b ON b.d = leaf.d AND b.p = h.h >> (60 - leaf.d)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return docs.drop("text")
+
+
+_TURNS = """
+SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'"""
+
+
+def _escaped_length(column: str) -> str:
+    extra = [f"len({column}) - len(replace({column}, chr(92), ''))"]
+    extra += [f"(len({column}) - len(replace({column}, '{c}', ''))) // {len(c)}" for c in CONTROLS]
+    return f"len({column}) + " + " + ".join(extra)
+
+
+@query(
+    "op6_chat",
+    f"""
+WITH t AS ({_TURNS}),
+o AS (
+  SELECT *, {_escaped_length("role")} + {_escaped_length("text")} + {sum(map(len, CONTROLS[:3])) + 1} AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS bigint) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(chars) AS bigint) AS formatted_chars
+FROM o GROUP BY conv_id""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user', '{hard}'), (1L, 'assistant', '{hard}') AS t(turn, role, text)")
+    return conversation_digests(format_conversations(given.union(more)))
+
+
+@query("op7_contaminated")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op8_top_vectors",
+    """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS bigint) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return read_token_files(spark, write_token_files(docs, public_vocabulary("word_bpe_49k.json")))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_crc32("doc_id") % 4 == 2, F.lit(False))
+    model = fit_languages(docs.where(id_crc32("doc_id") % 4 != 2))
+    found = predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
