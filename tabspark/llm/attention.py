@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 WIDTH = 16
-KINDS = 32
+KINDS = 64
 WINDOW = 32
 CONTEXT = 8
 STRIDE = WINDOW - CONTEXT
@@ -115,7 +115,7 @@ def learn(model: Attention, ids: np.ndarray, ends: np.ndarray, start: int, soft:
         targets = ids[np.maximum(mine, 0)]
         joint = weights * model.parts[targets]
         posterior = joint / np.maximum(joint.sum(-1, keepdims=True), np.float32(1e-30))
-        np.add.at(soft, targets[real], posterior[real])
+        _add_rows(soft, targets[real], posterior[real])
         g = (posterior - weights) * real[..., None] / np.float32(real.sum())
         dh = g @ model.gate[:-1].T
         da = dh @ c["v"].transpose(0, 2, 1)
@@ -135,10 +135,17 @@ def learn(model: Attention, ids: np.ndarray, ends: np.ndarray, start: int, soft:
         }
         for name, gradient in steps.items():
             _adagrad(model, name, slice(None), gradient, rate)
-        known, place = np.unique(inputs, return_inverse=True)
-        rows = np.zeros((len(known), WIDTH), np.float32)
-        np.add.at(rows, place.ravel(), dx.reshape(-1, WIDTH))
-        _adagrad(model, "embed", known, rows, rate)
+        order = np.argsort(inputs, axis=None, kind="stable")
+        known, first = np.unique(inputs.ravel()[order], return_index=True)
+        _adagrad(model, "embed", known, np.add.reduceat(dx.reshape(-1, WIDTH)[order], first), rate)
+
+
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add values to rows of a table, a row as often as it is named."""
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        known, first = np.unique(rows[order], return_index=True)
+        table[known] += np.add.reduceat(values[order], first)
 
 
 def _adagrad(model: Attention, name: str, rows, gradient: np.ndarray, rate: float) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.session import written
 
-from .attention import KINDS, WIDTH, Attention, learn, log_probabilities
+from .attention import KINDS, Attention, learn, log_probabilities
 from .text import Piece, mix, pieces, word_hashes, words
 from .token_files import WordEncoder
 
@@ -125,7 +125,7 @@ def _shares(tokenizer: str, held) -> Callable[[Batches], Batches]:
         for b in batches:
             for piece in pieces(b.column(0), _GRAM):
                 counts, attended, _ = _both(model, piece, tokenizer)
-                known = np.where(counts > 0, model.unigram(counts), 0.0)
+                known = np.where(counts > 1, model.unigram(counts - 1), 0.0)  # without the token itself
                 for j, share in enumerate(SHARES):
                     total[j] += np.log(share * known + (1 - share) * attended + 1e-300).sum()
         yield pa.record_batch([pa.array(np.arange(len(SHARES), dtype=np.int32)), pa.array(total)], names=["j", "ll"])
@@ -143,7 +143,7 @@ def _both(model: TextModel, piece: Piece, tokenizer: str) -> tuple[np.ndarray, n
     return model.counts(hashes), np.exp(summed), token_ends
 
 
-def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds: int = 6, sample: int = 40, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
+def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds: int = 10, sample: int = 50, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
     """Fit the model on all rows of ``train``; also the table (word, n) of all word counts.
 
     Counts are over all texts. The attention is trained in rounds of local steps, whose changes are
@@ -193,7 +193,7 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
             held = getattr(new, name)
             change = values[mine] / weight[mine][:, None]
             if name == "recency":
-                held += change[0].astype(np.float32)
+                held += change[0, : held.shape[0]].astype(np.float32)
             else:
                 held[at[mine]] += change[:, : held.shape[1]].astype(np.float32)
     mine = kinds == "parts"
@@ -209,29 +209,35 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
 
 
 def _score(tokenizer: str, held) -> Callable[[Batches], Batches]:
-    """(id, held_out, text) to scores; rare words are left as (word, times) for a join with all counts."""
+    """(id, held_out, text) to scores; rare words are left for a join with all counts, each with its share of the mixture."""
 
     def run(batches: Batches) -> Batches:
         model: TextModel = held.value
         log_all = np.log10(model.total + model.different + 1)
         for b in batches:
-            n_tokens, known, base, score, rare = [], [], [], [], []
+            n_tokens, known, base, score = [], [], [], []
+            words_left, parts_left, n_left = [], [], []
             for piece in pieces(b.column(2), _GRAM * 4):
                 hashes, token_ends = _tokens(piece)
                 counts, attended, _ = _both(model, piece, tokenizer)
                 starts = np.concatenate([[0], token_ends[:-1]])
                 common = counts > 0
-                p = model.share * np.where(common, model.unigram(counts), 0.0) + (1 - model.share) * attended
-                score += np.add.reduceat(np.log10(np.maximum(p, 1e-300)), starts).tolist()
+                attended = (1 - model.share) * attended
+                p = np.log10(np.maximum(model.share * model.unigram(counts) + attended, 1e-300))
+                score += np.add.reduceat(np.where(common, p, 0.0), starts).tolist()
                 base += np.add.reduceat(np.where(common, np.log10(counts + 1) - log_all, 0.0), starts).tolist()
                 known += np.add.reduceat(common.astype(np.int64), starts).tolist()
                 n_tokens += (token_ends - starts).tolist()
-                for a, z in zip(starts, token_ends):
-                    w, times = np.unique(hashes[a:z][~common[a:z]], return_counts=True)
-                    rare.append([{"word": x, "times": t} for x, t in zip(w.view(np.int64).tolist(), times.tolist())])
-            kind = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())]))
+                words_left.append(hashes[~common].view(np.int64))
+                parts_left.append(attended[~common])
+                n_left.append(np.add.reduceat((~common).astype(np.int64), starts))
+            if not n_tokens:
+                continue
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(n_left))]).astype(np.int32)
+            left = [pa.array(np.concatenate(x)) for x in (words_left, parts_left)]
+            rare = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(left, ["word", "attended"]))
             yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, kind)],
+                [b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare],
                 names=["id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
 
@@ -256,17 +262,19 @@ def score_texts(docs: DataFrame, held_out: Column, tokenizer: str, id: str = "do
     held = docs.sparkSession.sparkContext.broadcast(model)
     scored = given.mapInArrow(
         _score(tokenizer, held),
-        "id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: long, times: long>>",
+        "id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: long, attended: double>>",
     )
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times")
-    log_all = float(np.log10(model.total + model.different + 1))
-    met = rare.join(counts, "word", "left").select(
-        "row",
-        (F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - log_all)).alias("base"),
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"),
+    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.attended")
+    everything = float(model.total + model.different + 1)
+    met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    unigram = F.when(F.col("n") > 0, model.share * (F.col("n") + 1) / everything).otherwise(0.0)
+    met = met.groupBy("row").agg(
+        F.sum(F.log10(F.col("n") + 1) - float(np.log10(everything))).alias("rare_base"),
+        F.sum(F.log10(F.greatest(unigram + F.col("attended"), F.lit(1e-300)))).alias("rare_score"),
+        F.sum((F.col("n") > 0).cast("long")).alias("rare_known"),
     )
-    met = written(met.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known")))
+    met = written(met)
     out = scored.drop("rare").join(met, "row", "left")
     return out.select(
         F.col("id").alias(id),
@@ -275,5 +283,5 @@ def score_texts(docs: DataFrame, held_out: Column, tokenizer: str, id: str = "do
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
