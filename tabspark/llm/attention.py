@@ -1,8 +1,13 @@
 """A small causal self-attention model of subword ids, in numpy.
 
-A token's distribution is a mixture of ``kinds`` distributions over all ids; the weights come from one
-attention layer over the ids before it. So a probability costs a few products and no softmax over
-the vocabulary, and the mixture's parts are estimated by expectation maximisation.
+A token is a word or the end of a text, given by its subword ids; its embedding is the sum of theirs.
+One attention layer over the tokens before gives the weights of ``KINDS`` distributions over ids, and
+each id of a token has the probability
+
+    follow * P(id | id before) + (1 - follow) * sum of weight * part(id)
+
+with counted pairs of ids in the first term. So a probability costs a few products and no softmax
+over the vocabulary, and the parts are estimated by expectation maximisation.
 """
 
 from __future__ import annotations
@@ -12,16 +17,35 @@ from dataclasses import dataclass, field
 import numpy as np
 
 WIDTH = 16
-KINDS = 64
+KINDS = 32
 WINDOW = 32
 CONTEXT = 8
 STRIDE = WINDOW - CONTEXT
-DENSE = ("query", "key", "value", "gate")
+NAMES = ("embed", "query", "key", "value", "gate", "recency")
+
+
+@dataclass
+class Pairs:
+    """Counts of neighbouring ids: sorted keys (id before << 32 | id) of common pairs, their counts, and
+    how often each id stands before another."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    firsts: np.ndarray
+
+    def probability(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(ids), np.float32)
+        wanted = before << 32 | ids
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        p = self.counts[at] / np.maximum(self.firsts[before], 1)
+        return np.where(self.keys[at] == wanted, p, 0.0).astype(np.float32)
 
 
 @dataclass
 class Attention:
-    """Parameters. ``parts`` has a column for each kind that sums to 1."""
+    """Parameters. ``parts`` has a column for each kind that sums to 1; ``follow`` is the weight of the
+    pair for the first id of a token and for later ones."""
 
     embed: np.ndarray
     parts: np.ndarray
@@ -30,6 +54,7 @@ class Attention:
     value: np.ndarray
     gate: np.ndarray  # the last row is the bias
     recency: np.ndarray
+    follow: np.ndarray
     seen: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
@@ -39,26 +64,51 @@ class Attention:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (random.standard_normal(shape) * scale).astype(np.float32)
 
-        parts = np.full((n_ids, KINDS), 1.0 / n_ids, np.float32)
         square = (WIDTH, WIDTH)
         return cls(
-            normal(n_ids, WIDTH, scale=0.3), parts, normal(*square, scale=0.25), normal(*square, scale=0.25),
-            normal(*square, scale=0.25), normal(WIDTH + 1, KINDS, scale=0.3), np.zeros(WINDOW, np.float32),
+            embed=normal(n_ids, WIDTH, scale=0.3),
+            parts=np.full((n_ids, KINDS), 1.0 / n_ids, np.float32),
+            query=normal(*square, scale=0.25),
+            key=normal(*square, scale=0.25),
+            value=normal(*square, scale=0.25),
+            gate=normal(WIDTH + 1, KINDS, scale=0.3),
+            recency=np.zeros(WINDOW, np.float32),
+            follow=np.full(2, 0.5, np.float32),
         )
 
 
-def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tokens of every window (-1: none), and the same for those it scores.
-
-    Texts stand end to end and ``ends`` are where they end. A window scores 24 tokens and sees the
-    8 before them and, of its own, those before each; so every token is scored in one window.
+@dataclass
+class Tokens:
+    """Subword ids of some texts end to end: where tokens end among them, and where texts end among the
+    tokens. ``start`` is the id that stands before a text."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    texts: np.ndarray
+    start: int
+
+    def __post_init__(self) -> None:
+        self.begins = np.concatenate([[0], self.ends[:-1]])
+        self.first = np.concatenate([[0], self.texts[:-1]])  # the first token of every text
+        self.owner = np.repeat(np.arange(len(self.ends)), self.ends - self.begins)
+        self.before = np.concatenate([[self.start], self.ids[:-1]])
+        self.before[self.begins[self.first]] = self.start
+        self.later = np.ones(len(self.ids), np.int64)
+        self.later[self.begins] = 0
+
+
+def windows(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of every window (-1: none), and of those the ones that it scores.
+
+    A window scores 24 tokens and sees the 8 before them and, of its own, those before each; so every
+    token is scored in one window.
     """
-    starts = np.concatenate([[0], ends[:-1]])
-    count = -(-(ends - starts) // STRIDE)
-    text = np.repeat(np.arange(len(ends)), count)
+    starts = np.concatenate([[0], texts[:-1]])
+    count = -(-(texts - starts) // STRIDE)
+    text = np.repeat(np.arange(len(texts)), count)
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     at = (starts[text] + number * STRIDE - CONTEXT)[:, None] + np.arange(WINDOW)
-    inside = (at >= starts[text][:, None]) & (at < ends[text][:, None])
+    inside = (at >= starts[text][:, None]) & (at < texts[text][:, None])
     at = np.where(inside, at, -1)
     return at, at[:, CONTEXT:]
 
@@ -67,10 +117,18 @@ _BEHIND = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
 _CAUSAL = _BEHIND >= 0
 
 
-def forward(model: Attention, inputs: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Mixture weights for every scored place: batched attention over windows, masked to what is there
-    and not ahead. ``inputs[t]`` is the id before token t."""
-    x = model.embed[inputs]
+def _inputs(model: Attention, tokens: Tokens) -> np.ndarray:
+    """What stands at the place of each token: the embedding of the token before it."""
+    sums = np.add.reduceat(model.embed[tokens.ids], tokens.begins, axis=0)
+    x = np.empty_like(sums)
+    x[1:] = sums[:-1]
+    x[tokens.first] = model.embed[tokens.start]
+    return x
+
+
+def forward(model: Attention, x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Weights of the kinds for every scored token: attention over a batch of windows, masked to what is
+    there and not ahead."""
     late = x[:, CONTEXT:]
     q, k, v = late @ model.query, x @ model.key, x @ model.value
     s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + model.recency[np.maximum(_BEHIND, 0)]
@@ -86,37 +144,57 @@ def forward(model: Attention, inputs: np.ndarray, there: np.ndarray) -> tuple[np
     return z, {"x": x, "late": late, "q": q, "k": k, "v": v, "a": s, "h": h}
 
 
-def log_probabilities(model: Attention, ids: np.ndarray, ends: np.ndarray, start: int, step: int = 512) -> np.ndarray:
-    """The natural log probability of every id, each scored once."""
-    before = np.concatenate([[start], ids[:-1]])
-    before[np.concatenate([[0], ends[:-1]])] = start
-    at, scored = windows(ends)
-    out = np.zeros(len(ids), np.float32)
+def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 512) -> np.ndarray:
+    """The natural log probability of every token; each is scored once."""
+    x = _inputs(model, tokens)
+    at, scored = windows(tokens.texts)
+    weights = np.zeros((len(tokens.ends), KINDS), np.float32)
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
-        weights, _ = forward(model, before[np.maximum(places, 0)], places >= 0)
-        p = np.einsum("wtk,wtk->wt", weights, model.parts[ids[np.maximum(mine, 0)]])
-        real = mine >= 0
-        out[mine[real]] = np.log(np.maximum(p[real], np.float32(1e-30)))
-    return out
-
-
-def learn(model: Attention, ids: np.ndarray, ends: np.ndarray, start: int, soft: np.ndarray, rate: float, step: int = 128) -> None:
-    """One pass over the windows of some texts: Adagrad steps on the attention, in place, and the
-    expected counts of (id, kind) added to ``soft``."""
-    before = np.concatenate([[start], ids[:-1]])
-    before[np.concatenate([[0], ends[:-1]])] = start
-    at, scored = windows(ends)
+        w, _ = forward(model, x[np.maximum(places, 0)], places >= 0)
+        weights[mine[mine >= 0]] = w[mine >= 0]
+    mixed = np.einsum("ik,ik->i", weights[tokens.owner], model.parts[tokens.ids])
+    follow = model.follow[tokens.later]
+    p = follow * pairs.probability(tokens.before, tokens.ids) + (1 - follow) * mixed
+    return np.add.reduceat(np.log(np.maximum(p, np.float32(1e-30)).astype(np.float64)), tokens.begins)
+
+
+def learn(
+    model: Attention, pairs: Pairs, tokens: Tokens, soft: np.ndarray, follow: np.ndarray, rate: float, step: int = 128
+) -> None:
+    """One pass over the windows of some texts: Adagrad steps on the attention, in place; expected counts
+    of (id, kind) are added to ``soft``, and those of pairs and of all ids to ``follow``."""
+    at, scored = windows(tokens.texts)
+    paired = pairs.probability(tokens.before, tokens.ids)
+    size = tokens.ends - tokens.begins
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
+        lo, hi = places[places >= 0].min(), places.max() + 1  # windows follow each other
+        part = Tokens(tokens.ids[tokens.begins[lo] : tokens.ends[hi - 1]], tokens.ends[lo:hi] - tokens.begins[lo], np.array([hi - lo]), tokens.start)
+        x_all = _inputs(model, part)
+        heads = tokens.first[(tokens.first >= lo) & (tokens.first < hi)] - lo
+        x_all[heads] = model.embed[tokens.start]
         real = mine >= 0
-        inputs = before[np.maximum(places, 0)]
-        weights, c = forward(model, inputs, places >= 0)
-        targets = ids[np.maximum(mine, 0)]
-        joint = weights * model.parts[targets]
-        posterior = joint / np.maximum(joint.sum(-1, keepdims=True), np.float32(1e-30))
-        _add_rows(soft, targets[real], posterior[real])
-        g = (posterior - weights) * real[..., None] / np.float32(real.sum())
+        weights, c = forward(model, x_all[np.maximum(places - lo, 0)], places >= 0)
+
+        token = mine[real]
+        n = size[token]
+        which = np.repeat(np.arange(len(token)), n)
+        i = np.arange(int(n.sum())) + np.repeat(tokens.begins[token] - (np.cumsum(n) - n), n)
+        ids, w = tokens.ids[i], weights[real][which]
+        joint = w * model.parts[ids]
+        f = model.follow[tokens.later[i]]
+        by_pair = f * paired[i]
+        total = by_pair + (1 - f) * joint.sum(1) + np.float32(1e-30)
+        posterior = joint * ((1 - f) / total)[:, None]
+        _add_rows(soft, ids, posterior)
+        for late in (0, 1):
+            own = tokens.later[i] == late
+            follow[late] += [(by_pair[own] / total[own]).sum(), own.sum()]
+        pull = posterior - posterior.sum(1, keepdims=True) * w
+        g = np.zeros_like(weights)
+        g[real] = np.add.reduceat(pull, np.cumsum(n) - n, axis=0) / np.float32(max(len(token), 1))
+
         dh = g @ model.gate[:-1].T
         da = dh @ c["v"].transpose(0, 2, 1)
         ds = c["a"] * (da - (da * c["a"]).sum(-1, keepdims=True))
@@ -127,17 +205,27 @@ def learn(model: Attention, ids: np.ndarray, ends: np.ndarray, start: int, soft:
         dx[:, CONTEXT:] += dh + dq @ model.query.T
         flat = g.reshape(-1, KINDS)
         steps = {
-            "query": np.einsum("wti,wtj->ij", c["late"], dq),
-            "key": np.einsum("wti,wtj->ij", c["x"], dk),
-            "value": np.einsum("wti,wtj->ij", c["x"], dv),
+            "query": c["late"].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH),
+            "key": c["x"].reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH),
+            "value": c["x"].reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH),
             "gate": np.vstack([c["h"].reshape(-1, WIDTH).T @ flat, flat.sum(0)]),
             "recency": np.bincount(np.maximum(_BEHIND, 0).ravel(), (ds.sum(0) * _CAUSAL).ravel(), WINDOW).astype(np.float32),
         }
         for name, gradient in steps.items():
             _adagrad(model, name, slice(None), gradient, rate)
-        order = np.argsort(inputs, axis=None, kind="stable")
-        known, first = np.unique(inputs.ravel()[order], return_index=True)
-        _adagrad(model, "embed", known, np.add.reduceat(dx.reshape(-1, WIDTH)[order], first), rate)
+        # The gradient at a token's place goes to the ids of the token before, or to the start id.
+        at_place = np.zeros((hi - lo, WIDTH), np.float32)
+        _add_rows(at_place, places[places >= 0] - lo, dx[places >= 0])
+        start = np.zeros(hi - lo, bool)
+        start[heads] = True
+        start[0] = True
+        to_token = np.zeros_like(at_place)
+        to_token[:-1] = np.where(start[1:, None], 0, at_place[1:])
+        order = np.argsort(part.ids, kind="stable")
+        known, first = np.unique(part.ids[order], return_index=True)
+        rows = np.add.reduceat(to_token[part.owner[order]], first, axis=0)
+        _adagrad(model, "embed", known, rows, rate)
+        _adagrad(model, "embed", np.array([tokens.start]), at_place[start].sum(0)[None], rate)
 
 
 def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -145,7 +233,7 @@ def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     if len(rows):
         order = np.argsort(rows, kind="stable")
         known, first = np.unique(rows[order], return_index=True)
-        table[known] += np.add.reduceat(values[order], first)
+        table[known] += np.add.reduceat(values[order], first, axis=0)
 
 
 def _adagrad(model: Attention, name: str, rows, gradient: np.ndarray, rate: float) -> None:

@@ -56,7 +56,7 @@ def public_vocabulary(name: str) -> str:
 @query("op2_lm_scores")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_texts(docs, id_crc32("doc_id") % 7 == 2, public_vocabulary("byte_bpe_50k.json"))
+    return score_texts(docs, id_crc32("doc_id") % 7 == 2, public_vocabulary("byte_bpe_50k.tiktoken"))
 
 
 @query("op3_mix_sources")

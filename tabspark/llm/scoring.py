@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import base64
 import copy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.functions.session import written
+from tabspark.functions.session import fresh_dir, written
 
-from .attention import KINDS, Attention, learn, log_probabilities
+from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities
 from .text import Piece, mix, pieces, word_hashes, words
 from .token_files import WordEncoder
 
@@ -35,11 +37,22 @@ def _tokens(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _counts(batches: Batches) -> Batches:
-    for b in batches:
-        for piece in pieces(b.column(0)):
-            h, n = np.unique(_tokens(piece)[0], return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+WORD, PAIR, FIRST = 0, 1, 2
+
+
+def _counts(tokenizer: str) -> Callable[[Batches], Batches]:
+    """Counts of words, of pairs of subword ids and of the ids before others, added up per piece."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            for piece in pieces(b.column(0)):
+                tokens = _subwords(piece, tokenizer)
+                pairs = tokens.before << 32 | tokens.ids
+                for kind, keys in ((WORD, _tokens(piece)[0].view(np.int64)), (PAIR, pairs), (FIRST, tokens.before)):
+                    k, n = np.unique(keys, return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
+
+    return run
 
 
 @dataclass
@@ -47,13 +60,15 @@ class TextModel:
     """Word counts of the training texts, the attention model and the weight between them.
 
     ``common`` are the words of at least one in 2^20 training tokens (so at most 2^20 of them), as
-    sorted hashes, with their counts. ``share`` is the weight of the word unigram.
+    sorted hashes, with their counts; ``pairs`` holds those pairs of subword ids that are one in 2^20
+    of all. ``share`` is the weight of the word unigram.
     """
 
     total: int
     different: int
     common: np.ndarray
     common_counts: np.ndarray
+    pairs: Pairs
     attention: Attention
     share: float
 
@@ -68,31 +83,53 @@ class TextModel:
         return (counts + 1) / (self.total + self.different + 1)
 
 
+# Fixed value: the public pattern by which this vocabulary splits text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def rank_words(path: str) -> tuple[Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], int]:
+    """From a file of ranks: what gives the ids of words, each after a space. The id after the last rank
+    ends a text."""
+    import tiktoken
+
+    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    with store.open_input_stream(name) as file:
+        lines = [line.split() for line in file.read().splitlines()]
+    ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+    one = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [one(" " + w.decode("utf-8", "replace")) for w in words]
+        counts = np.array([len(x) for x in ids])
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
+
+    return encode, max(ranks.values()) + 2
+
+
 def _encoder(path: str) -> tuple[WordEncoder, int]:
-    encoder = WordEncoder.of(path, lead=" ")
-    return encoder, encoder.size - 1  # the end-of-text id is the last of the vocabulary
+    encoder = WordEncoder.of(path, rank_words)
+    return encoder, encoder.size - 1
 
 
-def _piece_ids(piece: Piece, encoder: WordEncoder, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subword ids of the lower-cased rows, where rows end, and where tokens (words, ends) end."""
-    ids, ends, tokens = encoder.encode([piece.row(i).lower() for i in range(piece.rows)], end, with_words=True)
-    return ids.astype(np.int64), ends, tokens
+def _subwords(piece: Piece, tokenizer: str) -> Tokens:
+    """The lower-cased rows as subword ids of their words and ends."""
+    encoder, end = _encoder(tokenizer)
+    ids, _, ends = encoder.encode([piece.row(i).lower() for i in range(piece.rows)], end, with_words=True)
+    return Tokens(ids.astype(np.int64), ends, words(piece).bounds[1:] + np.arange(1, piece.rows + 1), end)
 
 
-def _train(tokenizer: str, held, rate: float) -> Callable[[Batches], Batches]:
+def _train(tokenizer: str, held, held_pairs, rate: float) -> Callable[[Batches], Batches]:
     """Texts to changes of the parameters, as rows (kind, row, weight, values) to be added up."""
 
     def run(batches: Batches) -> Batches:
         old: Attention = held.value
         model = copy.deepcopy(old)
-        encoder, end = _encoder(tokenizer)
-        soft = np.zeros_like(model.parts)
-        n = 0
+        soft, follow, n = np.zeros_like(model.parts), np.zeros((2, 2)), 0
         for b in batches:
             for piece in pieces(b.column(0), _GRAM):
-                ids, ends, _ = _piece_ids(piece, encoder, end)
-                learn(model, ids, ends, end, soft, rate)
-                n += len(ids)
+                tokens = _subwords(piece, tokenizer)
+                learn(model, held_pairs.value, tokens, soft, follow, rate)
+                n += len(tokens.ids)
         if not n:
             return
         rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -104,6 +141,7 @@ def _train(tokenizer: str, held, rate: float) -> Callable[[Batches], Batches]:
         for name in ("query", "key", "value", "gate"):
             change = getattr(model, name) - getattr(old, name)
             rows.append((name, np.arange(len(change)), np.full(len(change), n), change * n))
+        rows.append(("follow", np.arange(2), np.ones(2), follow))
         rows.append(("recency", np.array([0]), np.array([n]), (model.recency - old.recency)[None] * n))
         for name, at, weight, values in rows:
             if len(at):
@@ -135,42 +173,45 @@ def _shares(tokenizer: str, held) -> Callable[[Batches], Batches]:
 
 def _both(model: TextModel, piece: Piece, tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every token: its count among common words, its probability by attention; rows' ends."""
-    encoder, end = _encoder(tokenizer)
     hashes, token_ends = _tokens(piece)
-    ids, ends, tokens = _piece_ids(piece, encoder, end)
-    logs = log_probabilities(model.attention, ids, ends, end).astype(np.float64)
-    summed = np.add.reduceat(logs, np.concatenate([[0], tokens[:-1]])) if len(tokens) else np.zeros(0)
-    return model.counts(hashes), np.exp(summed), token_ends
+    logs = log_probabilities(model.attention, model.pairs, _subwords(piece, tokenizer))
+    return model.counts(hashes), np.exp(logs), token_ends
 
 
-def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds: int = 10, sample: int = 50, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
+def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds: int = 8, sample: int = 50, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
     """Fit the model on all rows of ``train``; also the table (word, n) of all word counts.
 
-    Counts are over all texts. The attention is trained in rounds of local steps, whose changes are
+    Counts of words and of pairs of ids are over all texts. The attention is trained in rounds of local steps, whose changes are
     added up by parameter row; a round takes every ``sample``-th text (another part each), so
     training grows with the input. The weight of the unigram is that of highest likelihood.
     """
     spark = train.sparkSession
     given = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = written(given.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    every = given.mapInArrow(_counts(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    every = written(every)
+    counts = every.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = counts.where(F.col("n") * COMMON >= total).toArrow()
     hashes = common.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    size = WordEncoder.of(tokenizer, lead=" ").size
-    attention = Attention.fresh(size, seed)
+    size = _encoder(tokenizer)[0].size
+    attention, pairs = Attention.fresh(size, seed), _pairs(every, size)
+    held_pairs = spark.sparkContext.broadcast(pairs)
     soft = np.zeros_like(attention.parts, dtype=np.float64)
     lot = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample))
+    path = fresh_dir(spark, "sample")
+    given.select(lot.alias("lot"), "text").where(F.col("lot") <= rounds).write.partitionBy("lot").parquet(path)
+    drawn = spark.read.schema("text string, lot int").parquet(path)
     columns = ["kind string", "row int", "weight double", *[f"v{j} double" for j in range(KINDS)]]
     for i in range(rounds):
         held = spark.sparkContext.broadcast(attention)
-        changes = given.where(lot == i % sample).mapInArrow(_train(tokenizer, held, rate), ", ".join(columns))
+        changes = drawn.where(F.col("lot") == i).select("text").mapInArrow(_train(tokenizer, held, held_pairs, rate), ", ".join(columns))
         sums = changes.groupBy("kind", "row").agg(F.sum("weight").alias("w"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(KINDS)])
         attention, soft = _advance(attention, soft, sums.toArrow(), seed + i)
         held.unpersist()
-    model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], attention, 0.5)
+    model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], pairs, attention, 0.5)
     held = spark.sparkContext.broadcast(model)
-    tried = given.where(lot == rounds % sample).mapInArrow(_shares(tokenizer, held), "j int, ll double")
+    tried = drawn.where(F.col("lot") == rounds).select("text").mapInArrow(_shares(tokenizer, held), "j int, ll double")
     best = tried.groupBy("j").agg(F.sum("ll").alias("ll")).orderBy(F.col("ll").desc(), "j").first()
     held.unpersist()
     if best is not None and best["ll"] < 0:
@@ -178,6 +219,16 @@ def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds:
     return model, counts
 
 
+def _pairs(every: DataFrame, size: int) -> Pairs:
+    firsts = np.zeros(size, np.int64)
+    rows = every.where(F.col("kind") == FIRST).toArrow()  # at most one for each id
+    firsts[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    rows = every.where((F.col("kind") == PAIR) & (F.col("n") * COMMON >= int(firsts.sum()))).toArrow()
+    keys = rows.column("key").to_numpy()
+    order = np.argsort(keys)
+    return Pairs(keys[order], rows.column("n").to_numpy()[order], firsts)
+
+
 def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tuple[Attention, np.ndarray]:
     """The next parameters: changes averaged over tasks, parts from expected counts of all rounds, of
     which a later round weighs twice the one before."""
@@ -187,7 +238,7 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
     at, weight = sums.column("row").to_numpy(), sums.column("w").to_numpy()
     values = np.column_stack([sums.column(f"v{j}").to_numpy() for j in range(KINDS)])
     soft = soft / 2
-    for name in ("embed", "query", "key", "value", "gate", "recency"):
+    for name in NAMES:
         mine = kinds == name
         if mine.any():
             held = getattr(new, name)
@@ -196,6 +247,9 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
                 held += change[0, : held.shape[0]].astype(np.float32)
             else:
                 held[at[mine]] += change[:, : held.shape[1]].astype(np.float32)
+    mine = kinds == "follow"
+    if mine.any():
+        new.follow = np.clip(values[mine][np.argsort(at[mine])][:, 0] / np.maximum(values[mine][np.argsort(at[mine])][:, 1], 1), 0.01, 0.99).astype(np.float32)
     mine = kinds == "parts"
     soft[at[mine]] += values[mine]
     all_ids = soft.sum(1)

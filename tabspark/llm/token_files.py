@@ -18,8 +18,33 @@ from tabspark.functions.session import fresh_dir, local_table, written
 from .text import pieces
 
 Batches = Iterator[pa.RecordBatch]
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 _encoders: dict[str, "WordEncoder"] = {}
+Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
+def json_words(path: str) -> tuple[Encode, int]:
+    """From a file of the tokenizers library: what gives the ids of words end to end and the number of
+    each one's ids, and the size of the vocabulary.
+
+    Words are encoded many at a time as one text, and the ids told apart by the places they stand for.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = [], []
+        for a in range(0, len(words), 1000):
+            part = [w.decode("utf-8", "replace") for w in words[a : a + 1000]]
+            found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            flat.append(np.array(found.ids, np.uint32))
+            begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            places = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            counts.append(np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(part)))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    return encode, tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 class WordEncoder:
@@ -30,37 +55,29 @@ class WordEncoder:
     encoded again; the memory for them is bounded.
     """
 
-    def __init__(self, path: str, lead: str = ""):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.lead = lead
-        self.tokenizer.encode_special_tokens = bool(lead)  # as parts of words, their strings are plain text
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+    def __init__(self, encode: Encode, size: int):
+        self.encode_words, self.size = encode, size
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.chunks: list[np.ndarray] = []
         self.flat = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
 
     @classmethod
-    def of(cls, path: str, lead: str = "") -> "WordEncoder":
-        """One encoder per worker process and file; ``lead`` is put before every word."""
-        key = f"{path}\n{lead}"
-        if key not in _encoders:
-            _encoders[key] = cls(path, lead)
-        return _encoders[key]
+    def of(cls, path: str, kind: Callable[[str], tuple[Encode, int]] = json_words) -> "WordEncoder":
+        """One encoder per worker process and file."""
+        if path not in _encoders:
+            _encoders[path] = cls(*kind(path))
+        return _encoders[path]
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > CACHED_WORDS and self.known:
             self._reset()
-        encoded = self.tokenizer.encode_batch([self.lead + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
+        flat, counts = self.encode_words(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, flat])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts, dtype=np.int64)])
 
     def encode(self, texts: list[bytes], end: int, with_words: bool = False) -> tuple[np.ndarray, ...]:
         """All ids of the texts, each closed by ``end``, and where each text's ids end; if asked for,
