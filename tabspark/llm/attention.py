@@ -130,21 +130,26 @@ def forward(model: Attention, x: np.ndarray, there: np.ndarray) -> tuple[np.ndar
     """Weights of the kinds for every scored token: attention over a batch of windows, masked to what is
     there and not ahead."""
     late = x[:, CONTEXT:]
-    q, k, v = late @ model.query, x @ model.key, x @ model.value
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + model.recency[np.maximum(_BEHIND, 0)]
-    np.clip(s, -30, 30, out=s)
+    q, k, v = late @ (model.query * np.float32(WIDTH**-0.5)), x @ model.key, x @ model.value
+    s = q @ k.transpose(0, 2, 1)
+    s += np.where(_CAUSAL, model.recency[np.maximum(_BEHIND, 0)], np.float32(-100))
+    np.minimum(s, np.float32(30), out=s)
     np.exp(s, out=s)
-    s *= _CAUSAL & there[:, None, :]
-    s /= np.maximum(s.sum(-1, keepdims=True), np.float32(1e-30))
-    h = late + s @ v
-    z = h @ model.gate[:-1] + model.gate[-1]
-    np.clip(z, -30, 30, out=z)
+    if not there.all():
+        s *= there[:, None, :]
+    total = np.maximum(s.sum(-1, keepdims=True), np.float32(1e-30))
+    h = s @ v
+    h /= total
+    h += late
+    z = h @ model.gate[:-1]
+    z += model.gate[-1]
+    np.minimum(z, np.float32(30), out=z)
     np.exp(z, out=z)
     z /= z.sum(-1, keepdims=True)
-    return z, {"x": x, "late": late, "q": q, "k": k, "v": v, "a": s, "h": h}
+    return z, {"x": x, "late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
 
 
-def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 512) -> np.ndarray:
+def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 64) -> np.ndarray:
     """The natural log probability of every token; each is scored once."""
     x = _inputs(model, tokens)
     at, scored = windows(tokens.texts)
@@ -153,7 +158,10 @@ def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int
         places, mine = at[a : a + step], scored[a : a + step]
         w, _ = forward(model, x[np.maximum(places, 0)], places >= 0)
         weights[mine[mine >= 0]] = w[mine >= 0]
-    mixed = np.einsum("ik,ik->i", weights[tokens.owner], model.parts[tokens.ids])
+    mixed = np.empty(len(tokens.ids), np.float32)
+    for a in range(0, len(mixed), 8192):  # small enough to stay in the cache
+        part = slice(a, a + 8192)
+        mixed[part] = np.einsum("ik,ik->i", weights[tokens.owner[part]], model.parts[tokens.ids[part]])
     follow = model.follow[tokens.later]
     p = follow * pairs.probability(tokens.before, tokens.ids) + (1 - follow) * mixed
     return np.add.reduceat(np.log(np.maximum(p, np.float32(1e-30)).astype(np.float64)), tokens.begins)
@@ -195,11 +203,12 @@ def learn(
         g = np.zeros_like(weights)
         g[real] = np.add.reduceat(pull, np.cumsum(n) - n, axis=0) / np.float32(max(len(token), 1))
 
+        c["a"] = c["s"] / c["total"]
         dh = g @ model.gate[:-1].T
         da = dh @ c["v"].transpose(0, 2, 1)
         ds = c["a"] * (da - (da * c["a"]).sum(-1, keepdims=True))
         dq = ds @ c["k"] * np.float32(WIDTH**-0.5)
-        dk = ds.transpose(0, 2, 1) @ c["q"] * np.float32(WIDTH**-0.5)
+        dk = ds.transpose(0, 2, 1) @ c["q"]  # q is scaled already
         dv = c["a"].transpose(0, 2, 1) @ dh
         dx = dk @ model.key.T + dv @ model.value.T
         dx[:, CONTEXT:] += dh + dq @ model.query.T
