@@ -50,13 +50,13 @@ def string_columns(df: DataFrame) -> list[str]:
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found: {missing}. Available: {df.columns}")
+        raise ValueError(f"The table lacks {missing}; it has {df.columns}")
 
 
 def require_numeric(df: DataFrame, name: str) -> None:
     require_columns(df, [name])
     if not is_numeric(df, name):
-        raise ValueError(f"Column '{name}' is not numeric. dtype: {df.schema[name].dataType.simpleString()}")
+        raise ValueError(f"{name!r} must hold numbers, not {df.schema[name].dataType.simpleString()}")
 
 
 def as_double(name: str) -> Column:

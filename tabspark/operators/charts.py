@@ -88,7 +88,7 @@ def correlation_heatmap(df: DataFrame, columns: list[str] | None = None) -> Data
     """The square correlation matrix in long form, with its diagonal: ``col_1, col_2, correlation``."""
     names = columns or numeric_columns(df)
     if not names:
-        raise ValueError("No numeric columns found.")
+        raise ValueError("A heatmap needs numeric columns, and the table has none")
     found = corr_pairs(df, [(a, b) for i, a in enumerate(names) for b in names[i:]])
     rows = [(p, q, rounded(r)) for (a, b), r in found.items() for p, q in ([(a, b), (b, a)] if a != b else [(a, b)])]
     return local_table(df.sparkSession, rows, "col_1 string, col_2 string, correlation double")
@@ -103,7 +103,7 @@ def boxplot_stats(
         require_columns(df, columns)
         names = [c for c in columns if c in names]
     if not names:
-        raise ValueError("No numeric columns to plot.")
+        raise ValueError("Boxes are drawn of numeric columns, and the table has none")
     names = names[:max_columns]
     quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
     aggs, rows = [F.count(F.lit(1)).alias("_n")], []

@@ -79,7 +79,7 @@ def rename_columns(df: DataFrame, rename_map: dict[str, str] | None = None, clea
         return _rename(df, [rename_map.get(c, c) for c in df.columns])
     if clean_all:
         return _rename(df, [clean_name(c) for c in df.columns])
-    raise ValueError("Provide 'rename_map' (dict) or set clean_all=True.")
+    raise ValueError("Nothing to rename: pass rename_map, or clean_all=True")
 
 
 @dataclass(frozen=True)
@@ -367,5 +367,5 @@ def features_numeric(df: DataFrame, target: str) -> list[str]:
     require_columns(df, [target])
     rest = categorical_columns(df, [target])
     if rest:
-        raise ValueError(f"Non-numeric columns found: {rest}. Run encode_categorical first.")
+        raise ValueError(f"Features must be numbers, but {rest} are not: encode or drop them")
     return numeric_columns(df, [target])

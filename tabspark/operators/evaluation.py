@@ -128,7 +128,7 @@ def confusion_matrix(scored: DataFrame) -> DataFrame:
 def _binary(scored: DataFrame) -> tuple[DataFrame, int, int]:
     """Rows as ``score, pos, neg`` with the class totals; refuses anything but two labels."""
     if PROBABILITY not in scored.columns:
-        raise ValueError("Model does not support probability predictions.")
+        raise ValueError("The scored table has no probability column: score it with a model that gives one")
     require_columns(scored, [LABEL])
     low, high = scored.agg(F.min(col(LABEL)), F.max(col(LABEL))).first()
     pos = (col(LABEL) == F.lit(high)).cast("long")
@@ -242,8 +242,8 @@ def residual_range(scored: DataFrame) -> DataFrame:
     return scored.agg(F.least(F.min(y), F.min(p)).alias("min_value"), F.greatest(F.max(y), F.max(p)).alias("max_value"))
 
 
-def residual_points(scored: DataFrame, n: int = 10_000, keys: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
-    """A repeatable random sample of points to draw."""
+def residual_points(scored: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
+    """A repeatable random sample of ``n`` points to draw; ``residuals`` has them all."""
     return first_rows(residuals(scored), n, _order(scored, keys), seed)
 
 

@@ -102,7 +102,7 @@ def registry(problem_type: str) -> dict[str, dict[str, Any]]:
         return CLASSIFIERS
     if problem_type == "regression":
         return REGRESSORS
-    raise ValueError(f"Unknown problem_type '{problem_type}'. Use 'classification' or 'regression'.")
+    raise ValueError(f"problem_type={problem_type!r} is neither classification nor regression")
 
 
 def make_spec(
@@ -117,12 +117,12 @@ def make_spec(
     """Check the request against the schema; features default to all but target and ``_`` columns."""
     known = registry(problem_type)
     if model_type not in known:
-        raise ValueError(f"Unknown model_type '{model_type}'. Available: {list(known)}")
+        raise ValueError(f"model_type={model_type!r} is none of {list(known)}")
     require_columns(df, [target, *(features or [])])
     names = list(features) if features else [c for c in df.columns if c != target and not c.startswith("_")]
     text = categorical_columns(df.select(*[col(c) for c in names]))
     if text:
-        raise ValueError(f"Non-numeric columns found: {text}. Run encode_categorical first.")
+        raise ValueError(f"Features must be numbers, but {text} are not: encode or drop them")
     weighted = problem_type == "classification" and WEIGHT in df.columns and model_type not in UNWEIGHTED
     return ModelSpec(model_type, problem_type, target, names, {**known[model_type], **(params or {})}, scale, weighted)
 
@@ -169,7 +169,7 @@ def prepare(df: DataFrame, spec: ModelSpec, carry: Sequence[str] = ()) -> Prepar
     if spec.problem_type == "classification":
         classes = _classes(df, spec.target)
         if len(classes) < 2:
-            raise ValueError("Training failed: the target has fewer than two classes")
+            raise ValueError(f"Column {spec.target!r} holds fewer than two classes to tell apart")
         labelled = df.withColumn("_text", col(spec.target).cast("string"))
         indexer = StringIndexerModel.from_labels(classes, inputCol="_text", outputCol=INDEX, handleInvalid="error")
         labelled = indexer.transform(labelled)
@@ -428,7 +428,7 @@ def compare_models(
                 fitted = _estimators(train_rows, spec, len(prepared.classes))
                 found = _judge(_predict(fitted, test), problem_type).first()
             except Exception as e:  # noqa: BLE001 - a failing model must not stop the others
-                results.append((m, *[None] * len(fields), f"failed: {e}"[:500]))
+                results.append((m, *[None] * len(fields), f"failed: {e}"))
                 continue
             results.append((m, *[None if found[f] is None else rounded(found[f]) for f in fields], "success"))
             if found[metric] is not None and found[metric] > best_score:
@@ -502,7 +502,7 @@ def tune(
     spec = make_spec(df, target, model_type, problem_type, features)
     grid = GRIDS.get(model_type, {}) if grid is None else grid
     if not grid:
-        raise ValueError(f"No hyperparameter grid defined for '{model_type}'. Use train instead.")
+        raise ValueError(f"{model_type!r} has no settings to search: train it directly")
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
     prepared = _with_folds(_training_rows(df), spec, n_folds, keys)
     rows = prepared.rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -584,7 +584,7 @@ def rank_features(model: TrainedModel) -> DataFrame:
     """``rank, feature, importance``: tree importances, or absolute coefficients averaged over classes."""
     found = [v for v in map(_importances, model.pipeline.stages) if v is not None]
     if not found:
-        raise ValueError(f"Model type '{model.spec.model_type}' has neither importances nor coefficients.")
+        raise ValueError(f"A {model.spec.model_type} weighs no feature by itself")
     values = [sum(v) / len(found) for v in zip(*found)]
     order = sorted(zip(model.spec.features, values), key=lambda x: x[1], reverse=True)
     spark = SparkSession.getActiveSession()
@@ -620,7 +620,7 @@ def save_predictions(model: TrainedModel, df: DataFrame, path: str, fmt: str = "
         *[col(c) for c in model.spec.features], col(label).alias("actual"), F.col(PREDICTION).alias("predicted")
     )
     writer = out.write.mode(mode)
-    (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
+    (writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
 def save_model(model: TrainedModel, path: str) -> None:
@@ -636,7 +636,7 @@ def load_model(path: str) -> TrainedModel:
     try:
         info = json.loads(spark.read.schema("info string").json(f"{path}/info").first()[0])
     except Exception as e:
-        raise FileNotFoundError(f"Model file not found: {path}") from e
+        raise FileNotFoundError(f"No saved model can be read at {path}") from e
     return TrainedModel(ModelSpec(**info["spec"]), info["classes"], PipelineModel.load(f"{path}/pipeline"))
 
 

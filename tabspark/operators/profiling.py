@@ -121,7 +121,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns: ``col_1, col_2, correlation``."""
     names = columns or numeric_columns(df)
     if not names:
-        raise ValueError("No numeric columns found.")
+        raise ValueError("Correlations need a numeric column, and the table has none")
     found = corr_pairs(df, upper_pairs(names))
     rows = [(a, b, rounded(r)) for (a, b), r in found.items()]
     return local_table(df.sparkSession, rows, "col_1 string, col_2 string, correlation double")
@@ -183,7 +183,7 @@ def check_leakage(df: DataFrame, target: str, threshold: float = 0.95) -> DataFr
     require_numeric(df, target)
     names = numeric_columns(df, [target])
     if not names:
-        raise ValueError("No numeric feature columns to check.")
+        raise ValueError("Beside the target no column is numeric, so nothing can leak")
     found = corr_pairs(df, [(c, target) for c in names])
     rows = [(c, None if r is None else rounded(abs(r)), r is not None and abs(r) >= threshold) for (c, _), r in found.items()]
     return local_table(df.sparkSession, rows, "feature string, abs_corr double, flagged boolean")

@@ -32,13 +32,13 @@ def _member(name: str, value: Any) -> Column:
 def condition(name: str, kind: str, value: Any = None) -> Column:
     """The filter expression. A missing cell passes the negative conditions and no other."""
     if kind not in CONDITIONS:
-        raise ValueError(f"Unknown condition '{kind}'. Available: {CONDITIONS}")
+        raise ValueError(f"condition={kind!r} is none of {CONDITIONS}")
     if kind == "isnull":
         return col(name).isNull()
     if kind == "notnull":
         return col(name).isNotNull()
     if value is None:
-        raise ValueError("Provide a value for the condition.")
+        raise ValueError(f"condition={kind!r} compares with a value: pass one")
     if kind in ("isin", "notin"):
         if isinstance(value, (str, bytes)) or not isinstance(value, Sequence):
             raise ValueError(f"'{kind}' needs a list of values")

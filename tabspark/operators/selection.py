@@ -112,7 +112,7 @@ def _f_regression(df: DataFrame, target: str, names: list[str]) -> DataFrame:
 def _chi2(df: DataFrame, target: str, names: list[str]) -> DataFrame:
     low = df.agg(*[F.min(as_double(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
     if any(v is not None and v < 0 for v in low):
-        raise ValueError("Feature selection failed: chi2 needs non-negative features")
+        raise ValueError("chi2 counts shares of each feature, so no feature may be below 0")
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(as_double(c)).alias(f"o{i}") for i, c in enumerate(names)]
     per = _per_feature(df.groupBy(col(target)).agg(*aggs), names, ["o"])
     whole = Window.partitionBy("feature")
@@ -148,10 +148,10 @@ def score_features(df: DataFrame, target: str, method: str = "f_classif", n_bins
     numbers than a nearest-neighbour estimate.
     """
     if method not in METHODS:
-        raise ValueError(f"Unknown method '{method}'. Available: {METHODS}")
+        raise ValueError(f"method={method!r} is none of {METHODS}")
     names = features_numeric(df, target)
     if not names:
-        raise ValueError("No feature columns found.")
+        raise ValueError("Nothing to choose from: the table has no numeric column beside the target")
     if method.endswith("regression"):
         require_numeric(df, target)
     filled, centre = _filled(df.where(col(target).isNotNull()), target, names)

@@ -58,6 +58,12 @@ def allocate(sizes: DataFrame, total: int) -> DataFrame:
     return whole.select("part", "n", (F.col("base") + extra).alias("share"))
 
 
+def _no_gaps(df: DataFrame, part: str | None) -> None:
+    """Rows without a class would be in no part: ask for them to be dropped or filled first."""
+    if part is not None and (gaps := df.where(col(part).isNull()).count()):
+        raise ValueError(f"{gaps} rows have no {part!r} to stratify by: drop or fill them first")
+
+
 def split_data(
     df: DataFrame,
     target: str,
@@ -73,6 +79,7 @@ def split_data(
     """
     keys = list(keys or df.columns)
     part = target if (is_stratified(df, target) if stratify is None else stratify) else None
+    _no_gaps(df, part)
     sizes = small_side(part_sizes(df, part))
     n, classes, least = sizes.agg(F.sum("n"), F.count(F.lit(1)), F.min("n")).first()
     total = math.ceil((n or 0) * test_size)
@@ -123,6 +130,7 @@ def create_folds(
         raise ValueError("At least 2 folds are needed")
     keys = list(keys or df.columns)
     part = target if (is_stratified(df, target) if stratify is None else stratify) else None
+    _no_gaps(df, part)
     sizes = small_side(part_sizes(df, part))
     if (sizes.agg(F.max("n")).first()[0] or 0) < n_folds:
         raise ValueError(f"{n_folds} folds need at least as many rows in a class")
@@ -154,7 +162,7 @@ def class_balance(
     of each class as the rarest has; ``oversample`` repeats rows evenly up to the most frequent class.
     """
     if strategy not in STRATEGIES:
-        raise ValueError(f"Invalid strategy '{strategy}'. Use one of: {STRATEGIES}")
+        raise ValueError(f"strategy={strategy!r} is none of {STRATEGIES}")
     require_columns(df, [target])
     split = SPLIT in df.columns
     train = df.where(col(SPLIT) == "train") if split else df
@@ -167,6 +175,7 @@ def class_balance(
         weights = sizes.select(F.col("part").alias("_part"), (F.lit(float(n)) / (classes * F.col("n"))).alias(WEIGHT))
         out = df.join(weights, col(target) == F.col("_part"), "left").drop("_part")
         return out.withColumn(WEIGHT, F.coalesce(WEIGHT, F.lit(1.0)))
+    _no_gaps(train, target)
     keys = list(keys or df.columns)
     if strategy == "undersample":
         ranks = sizes.select("part", "n", F.lit(0).alias("cut"), F.lit(least).alias("rank"))

@@ -42,14 +42,14 @@ def load_table(
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     missing = [f.name for f in wanted if f.name not in texts.columns]
     if missing:
-        raise ValueError(f"{path} has no columns {missing}. Available: {texts.columns}")
+        raise ValueError(f"The schema asks for {missing}, which the header of {path} lacks: {texts.columns}")
     return _typed(texts, {f.name: f.dataType.simpleString() for f in wanted})
 
 
 def _not_readable(path: str, error: Exception) -> Exception:
     if "PATH_NOT_FOUND" in str(error):
-        return FileNotFoundError(f"File not found: {path}")
-    return ValueError(f"Failed to load {path}: {error}")
+        return FileNotFoundError(f"There is no table at {path}")
+    return ValueError(f"Spark cannot read {path}: {error}")
 
 
 def _read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _read_texts(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         raise _not_readable(path, e) from e
     if not texts.columns:
-        raise ValueError(f"File is empty: {path}")
+        raise ValueError(f"{path} has not even a header row")
     return texts.select(*[_present(c).alias(c) for c in texts.columns])
 
 
@@ -117,7 +117,7 @@ def _common_type(types: list[T.DataType]) -> T.DataType:
 def stack_tables(tables: list[DataFrame]) -> DataFrame:
     """Rows of all tables, columns united by name, absent ones NULL, differing types widened."""
     if not tables:
-        raise ValueError("No files loaded.")
+        raise ValueError("There is no table to stack")
     types: dict[str, list[T.DataType]] = {}
     for df in tables:
         for f in df.schema.fields:
@@ -160,9 +160,9 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorife
 def validate_source(spark: SparkSession, path: str) -> DataFrame:
     """Check that a CSV exists and parses: ``status, row_count, corrupt_rows, missing_cells, column_count, columns``."""
     if not path:
-        raise ValueError("No filepath provided")
+        raise ValueError("Name the CSV file or folder to check")
     if not path.rstrip("/").endswith(".csv"):
-        raise ValueError("Only CSV files supported")
+        raise ValueError(f"Only a path that ends in .csv can be checked, not {path}")
     header = _read_texts(spark, path)
     declared = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
     checked = (

@@ -17,14 +17,15 @@ REGISTRY_SCHEMA = (
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """One row ``row_count, column_count, columns, fingerprint``; the order of rows does not matter.
 
-    One aggregate over one hash per row: the sum tells copies apart, the xor adds a second check.
-    Column names are part of the print.
+    One aggregate over two hashes per row, of all cells and of which of them are NULL; their sums tell
+    copies apart. Column names are part of the print.
     """
-    row = F.xxhash64(*[col(c) for c in df.columns])
-    summed = df.select(row.alias("h")).agg(
+    cells = [x for c in df.columns for x in (col(c).isNull(), col(c))]
+    hashes = [F.xxhash64(F.lit(salt), *cells).alias(name) for salt, name in ((1, "h"), (2, "g"))]
+    summed = df.select(*hashes).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("total"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).cast("string").alias("mix"),
+        F.coalesce(F.sum(F.col("g").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("mix"),
     )
     names = ",".join(df.columns)
     return summed.select(

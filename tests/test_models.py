@@ -135,9 +135,9 @@ def test_requests_are_checked(table):
     for args in [("z", "svm", "classification"), ("z", "ridge", "classification"), ("z", "ridge", "ranking"), ("zz", "ridge", "regression")]:
         with pytest.raises(ValueError):
             m.train(table, *args, FEATURES)
-    with pytest.raises(ValueError, match="Non-numeric"):
+    with pytest.raises(ValueError, match="must be numbers"):
         m.train(table, "z", features=["k"])
-    with pytest.raises(ValueError, match="No hyperparameter grid"):
+    with pytest.raises(ValueError, match="no settings to search"):
         m.tune(table, "y", "linear_regression", "regression", features=FEATURES)
     with pytest.raises(ValueError, match="fewer than two classes"):
         m.train(table.withColumn("z", F.lit(1)), "z", features=FEATURES)

@@ -182,3 +182,20 @@ def test_separate(spark):
     out = d.separate_features_target(df, "t")
     assert out.columns == ["features", "label"] and out.select("features.*").columns == ["x", "z"]
     assert tuple(d.shapes(df, "t").first()) == (1, 2, 1)
+
+
+def test_rows_without_a_class_are_refused(spark):
+    import pytest
+
+    from tabspark.operators.splits import class_balance, create_folds, split_data
+
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(60)], "id long, y string")
+    for run in (
+        lambda: split_data(df, "y", keys=["id"]),
+        lambda: create_folds(df, "y", keys=["id"]),
+        lambda: class_balance(df, "y", "undersample", keys=["id"]),
+        lambda: class_balance(df, "y", "oversample", keys=["id"]),
+    ):
+        with pytest.raises(ValueError, match="20 rows have no 'y'"):
+            run()
+    assert split_data(df, "y", keys=["id"], stratify=False).where("_split IS NULL").count() == 0

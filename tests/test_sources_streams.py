@@ -157,3 +157,13 @@ def test_csv_stream(spark, tmp_path):
     (tmp_path / "in" / "a.csv").write_text("k,v\n1,NaN\n2,3.5\n")
     got = run_available(read_stream(spark, f"{tmp_path}/in", "k int, v double", "csv"))
     assert sorted(map(tuple, got.collect())) == [(1, None), (2, 3.5)]
+
+
+def test_fingerprint_tells_null_positions_apart(spark):
+    from tabspark.sources.versions import content_fingerprint
+
+    prints = [
+        content_fingerprint(spark.createDataFrame(rows, "a long, b long")).first()["fingerprint"]
+        for rows in ([(1, None), (None, 2)], [(None, 1), (2, None)], [(None, 2), (1, None)])
+    ]
+    assert prints[0] != prints[1] and prints[0] == prints[2]
