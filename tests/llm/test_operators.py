@@ -311,7 +311,7 @@ def test_contamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = Counter((r.doc_id, r.item_id, round(r.similarity, 9), -r.start) for r in contaminated(docs, bench).collect())
     want = Counter((i, *x) for i, t in rows for x in set(best_windows(t, items)))
-    assert got == want and len(want) >= 7
+    assert got == want and len(want) >= 6
     kept = [r.doc_id for r in decontaminate(docs, bench).collect()]
     assert sorted(kept) == sorted(i for i, t in rows if not list(best_windows(t, items)))
     assert contaminated(docs, bench.where("1 = 0")).count() == contaminated(docs.where("1 = 0"), bench).count() == 0
