@@ -22,6 +22,7 @@ PREFIX_STEP = 3
 BUCKET_ROWS = 50_000
 MAX_BUCKETS = 10_000
 ROWS_PER_BUCKET = 1_000_000
+COPIES_PER_BLOCK = 10_000
 
 
 def order_hash(keys: Sequence[str], seed: int = SEED) -> Column:
@@ -49,7 +50,9 @@ def hash_cuts(
     """The order hash of the row at each wanted rank.
 
     ``ranks`` has ``part, n, cut, rank``: the part's size and a 1-based rank in it (rank 0 gives '',
-    which no hash is below or equal to). Returns ``part, cuts`` with a part's hashes in order of ``cut``.
+    which no hash is below or equal to). Returns ``part, cuts, within`` with a part's hashes in order of
+    ``cut``. Equal rows share a hash when all columns are the key: where a cut falls among them,
+    ``within`` says how many of them lie before it, and is NULL elsewhere.
     Parts of more than ``BUCKET_ROWS`` rows are first narrowed down by counting hash prefixes.
     """
     require_columns(df, keys)
@@ -67,11 +70,18 @@ def hash_cuts(
         located = small_side(_refine(base, located, length, length + PREFIX_STEP))
         length += PREFIX_STEP
     last = _refine(base, located, length, 32)
-    clash = F.raise_error(F.lit(f"Rows share the key {list(keys)}: pass a unique key, or add one with with_row_id"))
-    found = last.select("part", "cut", F.when(F.col("rank") < F.col("n"), clash).otherwise(F.col("prefix")).alias("h"))
-    found = found.unionByName(ranks.where(F.col("rank") <= 0).select("part", "cut", F.lit("").alias("h")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("cut", "h"))), lambda x: x["h"])
-    return small_side(found.groupBy("part").agg(listed.alias("cuts")))
+    among = F.col("rank") < F.col("n")
+    if set(keys) == set(df.columns):
+        within = F.when(among, F.col("rank"))
+    else:
+        clash = F.raise_error(F.lit(f"Rows share the key {list(keys)}: name more columns, or none to use all of them"))
+        within = F.when(among, clash.cast("long"))
+    found = last.select("part", "cut", F.col("prefix").alias("h"), within.alias("within"))
+    nothing = ranks.where(F.col("rank") <= 0)
+    found = found.unionByName(nothing.select("part", "cut", F.lit("").alias("h"), F.lit(None).cast("long").alias("within")))
+    listed = F.array_sort(F.collect_list(F.struct("cut", "h", "within")))
+    in_order = found.groupBy("part").agg(listed.alias("listed"))
+    return small_side(in_order.select("part", F.col("listed.h").alias("cuts"), F.col("listed.within").alias("within")))
 
 
 def _refine(base: DataFrame, located: DataFrame, length: int, deeper: int) -> DataFrame:
@@ -96,14 +106,59 @@ def chunk_number(
     df: DataFrame, part: str | None, keys: Sequence[str], cuts: DataFrame, name: str, seed: int = SEED
 ) -> DataFrame:
     """Add how many cuts of its part lie before each row (0 = up to the first cut); null without a part."""
-    hashed = order_hash(keys, seed)
+    marked = df.withColumn("_h", order_hash(keys, seed))
     if part is None:
-        passed = [(F.lit(c) < hashed).cast("int") for c in cuts.first()["cuts"]]
-        return df.withColumn(name, sum(passed[1:], passed[0]))
-    marked = df.withColumn("_h", hashed)
-    joined = marked.join(cuts.select(F.col("part").alias("_part"), "cuts"), col(part) == F.col("_part"), "left")
-    number = F.size(F.filter(F.col("cuts"), lambda c: c < F.col("_h")))
-    return joined.select(*[col(c) for c in df.columns], F.when(F.col("cuts").isNotNull(), number).alias(name))
+        passed = [(F.lit(c) < F.col("_h")).cast("int") for c in cuts.first()["cuts"]]
+        marked = marked.withColumn("_part", F.substring("_h", 1, 0))
+        numbered = marked.withColumn(name, sum(passed[1:], passed[0]))
+    else:
+        joined = marked.join(cuts.select(F.col("part").alias("_part"), "cuts"), col(part) == F.col("_part"), "left")
+        number = F.size(F.filter(F.col("cuts"), lambda c: c < F.col("_h")))
+        numbered = joined.withColumn(name, F.when(F.col("cuts").isNotNull(), number))
+        marked = marked.withColumn("_part", col(part))
+    columns = [col(c) for c in df.columns]
+    tied = cuts.where(F.exists("within", lambda w: w.isNotNull()))
+    if tied.isEmpty():
+        return numbered.select(*columns, name)
+    places = tied.select("part", F.col("cuts").alias("all"), F.explode(F.arrays_zip("cuts", "within")).alias("x"))
+    earlier = F.size(F.filter("all", lambda c: c < F.col("x.cuts")))
+    ties = places.where("x.within IS NOT NULL").groupBy(F.col("part").alias("_tied"), F.col("x.cuts").alias("_tied_h")).agg(
+        F.array_sort(F.collect_list("x.within")).alias("_ranks"), F.first(earlier).alias("_before")
+    )
+    ties = small_side(ties)
+    here = (F.col("_part") == F.col("_tied")) & (F.col("_h") == F.col("_tied_h"))
+    others = numbered.join(ties, here, "left_anti").select(*columns, name)
+    return others.unionByName(_split_ties(marked.join(ties, here), df.columns, name).select(*columns, name))
+
+
+def _split_ties(equal: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Rows that a cut falls among, counted and laid out again with the chunk of each.
+
+    Equal rows are merged map-side to a count, so a row repeated any number of times is one row here.
+    Different rows of one hash (a NULL beside an empty text) are put in order of their values.
+    """
+    kept = [col(c) for c in columns]
+    counted = equal.groupBy(*kept, "_part", "_h", "_ranks", "_before").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_part", "_h").orderBy(*kept).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_to", F.sum("_n").over(order))
+    ends = F.concat(F.array(F.lit(0).cast("long")), "_ranks", F.array("_to"))
+    edges = F.transform(ends, lambda r: F.least(F.greatest(r, F.col("_to") - F.col("_n")), F.col("_to")))
+    n_pieces = F.size("_ranks") + 1
+    sizes = F.zip_with(F.slice("_edges", 2, n_pieces), F.slice("_edges", 1, n_pieces), lambda end, start: end - start)
+    pieces = placed.withColumn("_edges", edges).select(*kept, "_before", F.posexplode(sizes).alias("_piece", "_times"))
+    return repeat_rows(pieces.withColumn(name, F.col("_before") + F.col("_piece")), "_times")
+
+
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Every row ``times`` times (none for 0); many copies of one row are dealt out in blocks."""
+    copies = col(times)
+    last = F.floor((copies - 1) / COPIES_PER_BLOCK)
+    blocks = df.where(copies > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # A given number of partitions, as adaptive execution would join up blocks by their few bytes.
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(n_tasks, "_block", *[col(c) for c in df.columns])
+    in_block = F.least(F.lit(COPIES_PER_BLOCK).cast("long"), copies - F.col("_block") * COPIES_PER_BLOCK)
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), in_block))).drop("_block", "_copy")
 
 
 def first_rows(

@@ -6,13 +6,16 @@ import math
 from decimal import ROUND_HALF_UP, Decimal
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import as_double, chunks
 
 PAIRS_PER_JOB = 10
-SUMS_PER_JOB = 200
 ROUNDING = 1e-9
 
 
@@ -39,12 +42,20 @@ def corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
+def _products(rows: DataFrame, width: int) -> np.ndarray:
+    """Sums of the products of every two elements of the array column ``v``: one scan, added up in a tree."""
+    vectors = rows.select(array_to_vector("v").alias("v"))
+    old_kind = MLUtils.convertVectorColumnsFromML(vectors, "v")
+    return RowMatrix(old_kind, numCols=width).computeGramianMatrix().toArray()
+
+
 def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
     """Pearson correlation of each pair over the rows where both are present; None if one is constant.
 
-    One job standardises the columns, the next adds up products of the standardised values: one sum
-    per pair, and sums over the other column's presence only where values are missing. Pairs whose
-    spread could drown in rounding are computed once more by central moments.
+    One job finds means and spreads, the next adds up, in one scan for any number of pairs, all products
+    of the standardised values and a one; where values are missing, also of their squares and of flags
+    for their presence. Pairs whose spread could drown in rounding are computed once more by central
+    moments.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     if not pairs:
@@ -55,51 +66,45 @@ def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, s
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"s{i}")]
         aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     seen = df.agg(*aggs).first()
-    at = {c: i for i, c in enumerate(names)}
-    flat = {c for c, i in at.items() if seen[f"lo{i}"] == seen[f"hi{i}"]}
-    gappy = {c for c, i in at.items() if seen[f"n{i}"] < seen["rows"]}
+    number = {c: i for i, c in enumerate(names)}
+    flat = {c for c, i in number.items() if seen[f"lo{i}"] == seen[f"hi{i}"]}
+    out: dict[tuple[str, str], float | None] = {pair: None for pair in pairs}
     live = [(a, b) for a, b in pairs if a not in flat and b not in flat]
+    if not live:
+        return out
+    used = list(dict.fromkeys(c for pair in live for c in pair))
+    gappy = [c for c in used if seen[f"n{number[c]}"] < seen["rows"]]
+
+    def standard(c: str) -> Column:
+        mean, spread = seen[f"a{number[c]}"], seen[f"s{number[c]}"] or 1.0
+        return (as_double(c) - F.lit(mean)) / F.lit(spread)
+
+    # Elements: z of every column, the one, then flags and squares.
+    z = df.select(*[standard(c).alias(f"z{i}") for i, c in enumerate(used)])
+    filled = [F.coalesce(f"z{i}", F.lit(0.0)) for i in range(len(used))]
+    flags = [F.col(f"z{used.index(c)}").isNotNull().cast("double") for c in gappy]
+    squares = [x * x for x in filled] if gappy else []
+    elements = [*filled, F.lit(1.0), *flags, *squares]
+    sums = _products(z.select(F.array(*elements).alias("v")), len(elements))
+    at = {c: i for i, c in enumerate(used)}
+    one = len(used)
+    present = {c: one for c in used} | {c: one + 1 + i for i, c in enumerate(gappy)}
+    squared = one + 1 + len(gappy)
 
-    std = [(as_double(c) - F.lit(seen[f"a{i}"])) / F.lit(seen[f"s{i}"] or 1.0) for c, i in at.items()]
-    z = df.select(*[x.alias(f"z{i}") for i, x in enumerate(std)])
-    values = z.select(
-        *[F.coalesce(f"z{i}", F.lit(0.0)).alias(f"z{i}") for i in at.values()],
-        *[F.col(f"z{at[c]}").isNotNull().cast("double").alias(f"m{at[c]}") for c in names if c in gappy],
-    )
-    wanted: dict[tuple[str, str, str], Column] = {}
-    for a, b in live:
-        za, zb = F.col(f"z{at[a]}"), F.col(f"z{at[b]}")
-        wanted["p", a, b] = F.sum(za * zb)
-        for x, y, zx in ((a, b, za), (b, a, zb)):
-            if y in gappy:
-                wanted["s", x, y] = F.sum(zx * F.col(f"m{at[y]}"))
-                wanted["q", x, y] = F.sum(zx * zx * F.col(f"m{at[y]}"))
-            else:
-                wanted.setdefault(("s", x, ""), F.sum(zx))
-                wanted.setdefault(("q", x, ""), F.sum(zx * zx))
-        if a in gappy and b in gappy:
-            wanted["n", a, b] = F.sum(F.col(f"m{at[a]}") * F.col(f"m{at[b]}"))
-    sums: dict[tuple[str, str, str], float] = {}
-    for part in chunks(list(wanted), SUMS_PER_JOB):
-        row = values.agg(*[wanted[k].alias(f"v{i}") for i, k in enumerate(part)]).first()
-        sums.update(zip(part, row))
-
-    out: dict[tuple[str, str], float | None] = {pair: None for pair in pairs}
     unsure = []
     for a, b in live:
-        if ("n", a, b) in sums:
-            n = sums["n", a, b]
-        else:
-            n = min(seen[f"n{at[a]}"], seen[f"n{at[b]}"])
+        n = sums[present[a], present[b]]
         if not n:
             continue
-        ma, mb = (sums["s", x, y if y in gappy else ""] / n for x, y in ((a, b), (b, a)))
-        qa, qb = (sums["q", x, y if y in gappy else ""] / n for x, y in ((a, b), (b, a)))
+        ma, mb = sums[at[a], present[b]] / n, sums[at[b], present[a]] / n
+        qa, qb = (
+            (sums[squared + at[x], present[y]] if y in gappy else sums[at[x], at[x]]) / n for x, y in ((a, b), (b, a))
+        )
         va, vb = qa - ma * ma, qb - mb * mb
         if va <= ROUNDING * qa or vb <= ROUNDING * qb:
             unsure.append((a, b))
         else:
-            out[a, b] = max(-1.0, min(1.0, (sums["p", a, b] / n - ma * mb) / math.sqrt(va * vb)))
+            out[a, b] = float(max(-1.0, min(1.0, (sums[at[a], at[b]] / n - ma * mb) / math.sqrt(va * vb))))
     for part in chunks(unsure, PAIRS_PER_JOB):
         out.update(zip(part, df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()))
     return out

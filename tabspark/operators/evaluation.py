@@ -242,9 +242,12 @@ def residual_range(scored: DataFrame) -> DataFrame:
     return scored.agg(F.least(F.min(y), F.min(p)).alias("min_value"), F.greatest(F.max(y), F.max(p)).alias("max_value"))
 
 
-def residual_points(scored: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
-    """A repeatable random sample of ``n`` points to draw; ``residuals`` has them all."""
-    return first_rows(residuals(scored), n, _order(scored, keys), seed)
+def residual_points(
+    scored: DataFrame, n: int | None = None, keys: Sequence[str] | None = None, seed: int = SEED
+) -> DataFrame:
+    """The points to draw: all of them, or a repeatable random sample of ``n``."""
+    points = residuals(scored)
+    return points if n is None else first_rows(points, n, _order(scored, keys), seed)
 
 
 def report(

@@ -67,7 +67,6 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 # Boosting takes no class weights.
 UNWEIGHTED = {"gradient_boosting"}
-MAX_CLASSES = 10_000
 
 VECTOR, INDEX, RAW, PROB, CALL = "_features", "_label", "_raw", "_probability", "_prediction"
 
@@ -153,12 +152,9 @@ def _feature_stages(features: list[str], scaler: Scaler | None) -> list[Transfor
 
 
 def _classes(df: DataFrame, target: str) -> list[str]:
-    """Labels in ascending order (numbers by size), as text. A model holds them all, so they must be few."""
+    """Labels in ascending order (numbers by size), as text. The fitted model holds every one of them."""
     found = df.where(col(target).isNotNull()).groupBy(col(target).alias("v")).agg(F.first(col(target).cast("string")).alias("s"))
-    rows = found.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"'{target}' has more than {MAX_CLASSES} values: model it as regression")
-    return [r["s"] for r in sorted(rows, key=lambda r: r["v"])]
+    return [r["s"] for r in sorted(found.collect(), key=lambda r: r["v"])]
 
 
 def prepare(df: DataFrame, spec: ModelSpec, carry: Sequence[str] = ()) -> Prepared:

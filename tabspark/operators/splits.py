@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, is_numeric, numeric_columns, require_columns
-from ..functions.ordering import SEED, chunk_number, hash_cuts, part_sizes
+from ..functions.ordering import COPIES_PER_BLOCK, SEED, chunk_number, hash_cuts, part_sizes, repeat_rows
 from ..functions.session import local_table, small_side
 
 SPLIT = "_split"
@@ -187,7 +187,12 @@ def class_balance(
         marked = chunk_number(train, target, keys, cuts, "_chunk", seed)
         whole = sizes.select(F.col("part").alias("_part"), F.floor(F.lit(most) / F.col("n")).alias("_whole"))
         copies = F.col("_whole") + (F.col("_chunk") == 0).cast("long")
-        repeated = marked.join(whole, col(target) == F.col("_part")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+        counted = marked.join(whole, col(target) == F.col("_part")).withColumn("_times", copies)
+        # A class whose rows are each repeated a few times needs no second exchange.
+        if most // least <= COPIES_PER_BLOCK:
+            repeated = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+        else:
+            repeated = repeat_rows(counted, "_times")
         out = repeated.select(*[col(c) for c in df.columns])
     return out.unionByName(rest) if rest is not None else out
 

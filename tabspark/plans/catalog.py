@@ -26,6 +26,13 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   CASE WHEN (l_orderkey + l_partkey) % 97 = 0 THEN l_extendedprice * 40 ELSE l_extendedprice * 2 END AS dup_price,
   concat('L', CAST(l_orderkey AS string), '-', CAST(l_partkey AS string)) AS row_tag
 FROM {lineitem}""",
+    "wide_lines": "SELECT "
+    + ", ".join(
+        f"CASE WHEN (l_orderkey + {i} * l_linenumber) % {5 + i} <> 0 THEN l_quantity * {i % 7} + l_extendedprice * {i % 4} / 1000 "
+        f"+ l_discount * {i % 11} * 100 + l_tax * {i + 1} * 10 END AS x{i}"
+        for i in range(60)
+    )
+    + " FROM {lineitem}",
     "order_features": """
 SELECT o_orderkey, o_orderstatus AS label,
   CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS y_bin,

@@ -194,7 +194,7 @@ def residual_range(spark, sf_dir):
 
 @query(
     "v9_residual_points",
-    "SELECT event_id, y_true AS label, y_pred AS prediction, y_true - y_pred AS residual FROM {scored} ORDER BY md5(concat_ws('|', 42, event_id)) LIMIT 1000",
+    "SELECT event_id, y_true AS label, y_pred AS prediction, y_true - y_pred AS residual FROM {scored}",
 )
 def residual_points(spark, sf_dir):
-    return op.residual_points(regression(spark, sf_dir), 1000, ["event_id"])
+    return op.residual_points(regression(spark, sf_dir))

@@ -92,6 +92,21 @@ def correlations(spark, sf_dir):
     return op.correlations(view(spark, sf_dir, "dirty_lines"))
 
 
+WIDE_NUMBERS = [f"x{i}" for i in range(60)]
+
+
+@query(
+    "p3_correlations_wide",
+    "SELECT unnest(["
+    + ", ".join(
+        f"{{'col_1': '{a}', 'col_2': '{b}', 'correlation': {r(sql_corr(a, b))}}}" for a, b in combinations(WIDE_NUMBERS, 2)
+    )
+    + "], recursive := true) FROM {wide_lines}",
+)
+def correlations_wide(spark, sf_dir):
+    return op.correlations(view(spark, sf_dir, "wide_lines"))
+
+
 @query(
     "p3_top_correlations",
     f"SELECT * FROM ({_corr_rows(LINE_NUMBERS, '{dirty_lines}')}) ORDER BY abs(correlation) DESC NULLS LAST, col_1, col_2 LIMIT 10",

@@ -75,6 +75,14 @@ def subsample(spark, sf_dir):
     return op.subsample(table(spark, sf_dir, "orders"), 1000, ["o_orderkey"])
 
 
+@query(
+    "r5_subsample_repeated_rows",
+    "SELECT l_returnflag, l_quantity FROM lineitem ORDER BY md5(concat_ws('|', 42, l_returnflag, l_quantity)) LIMIT 1000",
+)
+def subsample_repeated_rows(spark, sf_dir):
+    return op.subsample(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), 1000)
+
+
 @query(
     "r5_subsample_stratified",
     """

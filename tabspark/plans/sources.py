@@ -12,6 +12,7 @@ from ..sources import (
     save_table,
     validate_source,
 )
+from ..sources.tables import NA_TOKENS
 from .catalog import query, table, view
 
 CUSTOMER_AS_PARTY = "SELECT c_custkey AS party_key, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer"
@@ -58,6 +59,46 @@ def load_csv_missing(spark, sf_dir):
     return load_table(spark, _as_csv(texts, "lines"))
 
 
+# Texts as a CSV gives them back: those that mean "missing" are NULL.
+DOCUMENTS_BACK = f"""
+SELECT doc_id, CASE WHEN text NOT IN ({", ".join(f"'{t}'" for t in NA_TOKENS)}) THEN text END AS text, lang, source, n_chars
+FROM documents"""
+
+
+@query(
+    "s1_load_csv_multiline",
+    """
+SELECT doc_id, concat('"', source, '", ', lang, chr(10), text, chr(10), '"') AS quoted, n_chars
+FROM documents""",
+)
+def load_csv_multiline(spark, sf_dir):
+    quoted = F.concat(F.lit('"'), "source", F.lit('", '), "lang", F.lit("\n"), "text", F.lit('\n"'))
+    texts = table(spark, sf_dir, "documents").select("doc_id", quoted.alias("quoted"), "n_chars")
+    return load_table(spark, _as_csv(texts, "quoted"))
+
+
+@query("s3_round_trip_text", DOCUMENTS_BACK)
+def round_trip_text(spark, sf_dir):
+    return load_table(spark, _as_csv(table(spark, sf_dir, "documents"), "documents"))
+
+
+@query(
+    "s7_corrupt_rows",
+    """
+SELECT CASE WHEN count(*) FILTER (s_nationkey < 5) = 0 THEN 'valid' ELSE 'corrupt rows' END AS status, count(*) AS row_count,
+  count(*) FILTER (s_nationkey < 5) AS corrupt_rows, 0 AS missing_cells, 3 AS column_count,
+  's_suppkey,s_name,s_nationkey' AS columns
+FROM supplier""",
+)
+def corrupt_rows(spark, sf_dir):
+    """Names of the first nations' suppliers hold a bare comma, and so one cell too many."""
+    name = F.when(F.col("s_nationkey") < 5, F.concat("s_name", F.lit(",EXTRA"))).otherwise(F.col("s_name"))
+    path = fresh_dir(spark, "corrupt") + ".csv"
+    damaged = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("s_name"), "s_nationkey")
+    damaged.write.options(header=True, quote="").csv(path)
+    return validate_source(spark, path)
+
+
 @query("s1_load_parquet", "SELECT l_orderkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem")
 def load_parquet(spark, sf_dir):
     return load_table(spark, f"{sf_dir}/lineitem.parquet").select(

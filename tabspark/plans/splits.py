@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import splits as op
-from .catalog import query, view
+from .catalog import query, table, view
 
 
 def orders(spark, sf_dir):
@@ -110,6 +110,33 @@ def fold_summary(spark, sf_dir):
     return op.fold_summary(op.create_folds(orders(spark, sf_dir), "label", keys=KEYS))
 
 
+# Few columns of many rows, which repeat hundreds of times; all columns are the key.
+REPEATED = "f AS (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem)"
+REPEATED_ORDER = "md5(concat_ws('|', 42, l_returnflag, l_linestatus, l_quantity))"
+
+
+def _repeated(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+
+
+@query(
+    "d2_split_repeated_rows",
+    f"WITH {REPEATED}, {split_sql('l_returnflag', 'f').replace(ORDER, REPEATED_ORDER)} "
+    'SELECT l_returnflag, l_linestatus, l_quantity, "_split" FROM split',
+)
+def split_repeated_rows(spark, sf_dir):
+    return op.split_data(_repeated(spark, sf_dir), "l_returnflag")
+
+
+@query(
+    "d3_folds_repeated_rows",
+    f"WITH {REPEATED}, {folds_sql('l_linestatus', 5).replace(ORDER, REPEATED_ORDER)} "
+    'SELECT l_returnflag, l_linestatus, l_quantity, "_fold" FROM folded',
+)
+def folds_repeated_rows(spark, sf_dir):
+    return op.create_folds(_repeated(spark, sf_dir), "l_linestatus")
+
+
 @query(
     "d4_class_weight",
     "WITH s AS (SELECT y_rare AS part, count(*) AS n FROM {order_features} GROUP BY 1) "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -22,13 +23,25 @@ CORRUPT = "_corrupt_record"
 
 
 def load_table(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    schema: T.StructType | str | None = None,
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Read one table and make NULL its only missing value.
 
-    CSV needs a header row. With ``schema`` the file is read once; without it the texts are read and
-    one aggregate decides per column between bigint, double, boolean and string, after missing-value
-    texts have become NULL (a numeric column with ``NA`` cells stays numeric).
+    CSV needs a header row. One aggregate over the texts decides per column between bigint, double,
+    boolean and string, after missing-value texts have become NULL (a numeric column with ``NA`` cells
+    stays numeric); with ``schema`` the types are given and the aggregate only counts unreadable rows.
+    A row with fewer cells than the header is filled up with NULL; rows with more cells, or with a
+    quote that is never closed, are an error that tells how many there are.
+
+    Quoted cells may hold line breaks, so a file is one task: write many files, or say
+    ``line_breaks=False`` where no cell holds one. Files are then split, and a line that opens a quote
+    without closing it is an error.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt != "csv":
@@ -36,9 +49,19 @@ def load_table(
             return nan_to_null(spark.read.format(fmt).load(path))
         except AnalysisException as e:
             raise _not_readable(path, e) from e
-    texts = _read_texts(spark, path)
+    if not line_breaks:
+        _require_closed_quotes(spark, path, encoding)
+    raw = _read_texts(spark, path, sep, encoding, line_breaks)
+    *names, record = raw.columns
+    texts = raw.select(*[_present(c).alias(c) for c in names])
     if schema is None:
-        return _typed(texts, _infer(texts))
+        kinds = [F.bit_or(_kind(_present(c))) for c in names]
+        unreadable, *seen = raw.agg(F.count_if(_unreadable(record, sep, len(names))), *kinds).first()
+        _refuse(path, unreadable, len(names))
+        return _typed(texts, _narrowest(names, seen))
+    # Spark wants a cell beside the record.
+    unreadable, _ = raw.agg(F.count_if(_unreadable(record, sep, len(names))), F.count(col(names[0]))).first()
+    _refuse(path, unreadable, len(names))
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     missing = [f.name for f in wanted if f.name not in texts.columns]
     if missing:
@@ -52,14 +75,45 @@ def _not_readable(path: str, error: Exception) -> Exception:
     return ValueError(f"Spark cannot read {path}: {error}")
 
 
-def _read_texts(spark: SparkSession, path: str) -> DataFrame:
+def _read_texts(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", line_breaks: bool = True) -> DataFrame:
+    """All cells as text, and last the whole record where it has another number of cells than the header."""
+    options = {"header": True, "multiLine": line_breaks, "escape": '"', "sep": sep, "encoding": encoding}
     try:
-        texts = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+        header = spark.read.options(**options).csv(path).columns
     except AnalysisException as e:
         raise _not_readable(path, e) from e
-    if not texts.columns:
+    if not header:
         raise ValueError(f"{path} has not even a header row")
-    return texts.select(*[_present(c).alias(c) for c in texts.columns])
+    record = CORRUPT
+    while record in header:
+        record = "_" + record
+    declared = T.StructType([T.StructField(c, T.StringType()) for c in [*header, record]])
+    # Without pruning every cell is parsed, whichever columns are asked for.
+    reader = spark.read.schema(declared).options(**options, columnPruning=False, mode="PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", record).csv(path)
+
+
+def _unreadable(record: str, sep: str, n_cells: int) -> Column:
+    """Whether a record of the wrong length has too many cells or an open quote; a short one is neither."""
+    bare = F.regexp_replace(col(record), '"[^"]*"', "")
+    cells = F.size(F.split(bare, re.escape(sep), -1))
+    return F.coalesce((cells > n_cells) | bare.contains('"'), F.lit(False))
+
+
+def _refuse(path: str, unreadable: int, n_cells: int) -> None:
+    if unreadable:
+        raise ValueError(f"{unreadable} rows of {path} do not fit its {n_cells} columns: mend them, or name the right sep")
+
+
+def _require_closed_quotes(spark: SparkSession, path: str, encoding: str) -> None:
+    try:
+        lines = spark.read.option("encoding", encoding).text(path)
+    except AnalysisException as e:
+        raise _not_readable(path, e) from e
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    open_lines = lines.where(quotes % 2 == 1).count()
+    if open_lines:
+        raise ValueError(f"{open_lines} lines of {path} end inside a quote: load it with line_breaks=True")
 
 
 def _present_test(name: str) -> Column:
@@ -81,12 +135,11 @@ def _kind(text: Column) -> Column:
     )
 
 
-def _infer(texts: DataFrame) -> dict[str, str]:
-    """The narrowest type all cells of a column fit, from one scan."""
-    seen = texts.agg(*[F.bit_or(_kind(col(c))).alias(f"k{i}") for i, c in enumerate(texts.columns)]).first()
+def _narrowest(names: list[str], seen: list[int | None]) -> dict[str, str]:
+    """The narrowest type all cells of a column fit."""
     # No value at all: a numeric column of nothing but missing values.
-    names = {None: "double", 1: "bigint", 2: "double", 3: "double", 4: "boolean"}
-    return {c: names.get(kinds, "string") for c, kinds in zip(texts.columns, seen)}
+    types = {None: "double", 1: "bigint", 2: "double", 3: "double", 4: "boolean"}
+    return {c: types.get(kinds, "string") for c, kinds in zip(names, seen)}
 
 
 def _typed(texts: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -152,7 +205,9 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorife
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        # Blanks at the ends of a text are part of it.
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(header=True, escape='"', **kept).csv(path)
     else:
         writer.format(fmt).save(path)
 
@@ -163,21 +218,10 @@ def validate_source(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("Name the CSV file or folder to check")
     if not path.rstrip("/").endswith(".csv"):
         raise ValueError(f"Only a path that ends in .csv can be checked, not {path}")
-    header = _read_texts(spark, path)
-    declared = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    checked = (
-        spark.read.schema(declared.add(CORRUPT, T.StringType()))
-        .option("header", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    # Every column is asked for: a corrupt row only shows when all its cells are parsed.
-    gaps = sum((F.count_if(~_present_test(c)) for c in header.columns[1:]), F.count_if(~_present_test(header.columns[0])))
-    counted = checked.agg(
-        F.count(F.lit(1)).alias("rows"), F.count(col(CORRUPT)).alias("corrupt"), gaps.alias("gaps")
-    )
+    checked = _read_texts(spark, path)
+    *header, record = checked.columns
+    gaps = sum((F.count_if(~_present_test(c)) for c in header[1:]), F.count_if(~_present_test(header[0])))
+    counted = checked.agg(F.count(F.lit(1)).alias("rows"), F.count(col(record)).alias("corrupt"), gaps.alias("gaps"))
     return long_report(
         counted,
         [
@@ -186,8 +230,8 @@ def validate_source(spark: SparkSession, path: str) -> DataFrame:
                 "row_count": F.col("rows"),
                 "corrupt_rows": F.col("corrupt"),
                 "missing_cells": F.col("gaps"),
-                "column_count": F.lit(len(header.columns)).cast("long"),
-                "columns": F.lit(",".join(header.columns)),
+                "column_count": F.lit(len(header)).cast("long"),
+                "columns": F.lit(",".join(header)),
             }
         ],
     )

@@ -199,3 +199,34 @@ def test_rows_without_a_class_are_refused(spark):
         with pytest.raises(ValueError, match="20 rows have no 'y'"):
             run()
     assert split_data(df, "y", keys=["id"], stratify=False).where("_split IS NULL").count() == 0
+
+
+def test_repeated_rows_are_split_exactly(spark):
+    """Rows that nothing tells apart, one of them in half the table, and NULL beside an empty text."""
+    rows = [("a", "x")] * 500 + [("a", None)] * 30 + [("a", "")] * 20 + [("b", str(i % 7)) for i in range(450)]
+    df = spark.createDataFrame(rows, "k string, v string").repartition(5)
+    for part in (True, False):
+        placed = d.split_data(df, "k", 0.3, stratify=part)
+        sizes = {r["_split"]: r["count"] for r in placed.groupBy("_split").count().collect()}
+        assert sizes == {"test": 300, "train": 700}
+        assert sorted(map(str, placed.drop("_split").collect())) == sorted(map(str, df.collect()))
+    folds = d.create_folds(df, "k", 4)
+    assert [r["n"] for r in folds.groupBy("_fold").agg(F.count("*").alias("n")).orderBy("_fold").collect()] == [250] * 4
+
+
+def test_rows_are_repeated_in_blocks(spark, monkeypatch):
+    from tabspark.functions import ordering
+
+    monkeypatch.setattr(ordering, "COPIES_PER_BLOCK", 10)
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10), ("d", 25)], "k string, n long")
+    counts = {r["k"]: r["count"] for r in ordering.repeat_rows(df, "n").groupBy("k").count().collect()}
+    assert counts == {"b": 1, "c": 10, "d": 25}
+
+
+def test_oversample_of_a_rare_class(spark, monkeypatch):
+    from tabspark.operators import splits
+
+    monkeypatch.setattr(splits, "COPIES_PER_BLOCK", 10)
+    df = spark.range(101).select("id", F.when(F.col("id") == 0, "rare").otherwise("often").alias("k"))
+    balanced = d.class_balance(df, "k", "oversample", ["id"])
+    assert {r["k"]: r["count"] for r in balanced.groupBy("k").count().collect()} == {"rare": 100, "often": 100}

@@ -167,3 +167,38 @@ def test_fingerprint_tells_null_positions_apart(spark):
         for rows in ([(1, None), (None, 2)], [(None, 1), (2, None)], [(None, 2), (1, None)])
     ]
     assert prints[0] != prints[1] and prints[0] == prints[2]
+
+
+def test_line_breaks_quotes_and_blanks_survive_a_round_trip(spark, tmp_path):
+    rows = [(1, "two\nlines"), (2, ' "a",\r\n b '), (3, None), (4, "back\\slash\\"), (5, "\n"), (6, '"'), (7, "x,\ry")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(2)
+    s.save_table(df, f"{tmp_path}/breaks.csv")
+    back = s.load_table(spark, f"{tmp_path}/breaks.csv")
+    assert back.dtypes == [("id", "bigint"), ("t", "string")]
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_rows_of_another_length(spark, tmp_path):
+    short = csv(tmp_path, "short.csv", 'a,b,c\n1,2,3\n4\n5,"x,\ny"\n')
+    assert [tuple(r) for r in s.load_table(spark, short).collect()] == [(1, "2", 3), (4, None, None), (5, "x,\ny", None)]
+    long = csv(tmp_path, "long.csv", "a,b\n1,2\n3,4,EXTRA\n5,,,\n6,7\n")
+    for schema in (None, "a int"):
+        with pytest.raises(ValueError, match="2 rows of .* do not fit its 2 columns"):
+            s.load_table(spark, long, schema=schema)
+    never_closed = csv(tmp_path, "open.csv", 'a,b,c\n1,"2,3\n4,5,6\n')
+    with pytest.raises(ValueError, match="do not fit"):
+        s.load_table(spark, never_closed)
+
+
+def test_split_reader_notices_line_breaks(spark, tmp_path):
+    broken = csv(tmp_path, "broken.csv", 'a,b\n1,"two\nlines"\n')
+    with pytest.raises(ValueError, match="2 lines of .* end inside a quote"):
+        s.load_table(spark, broken, line_breaks=False)
+    plain = csv(tmp_path, "plain.csv", 'a,b\n1,"x ""y"""\n')
+    assert s.load_table(spark, plain, line_breaks=False).first()["b"] == 'x "y"'
+
+
+def test_separator_and_encoding(spark, tmp_path):
+    path = tmp_path / "latin.csv"
+    path.write_bytes("a;b\n1,5;käse\n".encode("latin-1"))
+    assert tuple(s.load_table(spark, str(path), sep=";", encoding="ISO-8859-1").first()) == ("1,5", "käse")
