@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import as_double, chunks, col
+from .session import join_groups, written
 
 SMALL_VALUES = 100_000
 SKETCH_ACCURACY = 10_000
@@ -173,7 +174,7 @@ def grouped_median(df: DataFrame, group: str, value: str, out: str, few_groups:
     A sketch per group brackets the middle; rows are then counted per value inside the bracket, and
     everything below it collapses into one count, so a group holding much of the table is merged
     map-side and only a sliver of its distinct values is ever ordered. ``few_groups`` says that the
-    caller has checked that one row per group can be broadcast.
+    caller has checked that one row per group can be broadcast; otherwise only frequent groups are.
     """
     g, v = col(group), as_double(value)
     base = df.select(g.alias("_g"), v.alias("_v")).where(F.col("_g").isNotNull() & F.col("_v").isNotNull())
@@ -192,7 +193,12 @@ def grouped_median(df: DataFrame, group: str, value: str, out: str, few_groups:
         F.when(~tiny, F.col("_lo")).alias("_lo"),
         F.when(~tiny, F.col("_hi")).alias("_hi"),
     )
-    near = base.join(F.broadcast(brackets) if few_groups else brackets, "_g").where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+    brackets = brackets.withColumnRenamed("_g", "_k")
+    if few_groups:
+        near = base.join(F.broadcast(brackets), F.col("_g") == F.col("_k"))
+    else:
+        near = join_groups(base, "_g", written(brackets), "_k", "_n")
+    near = near.where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     counted = near.groupBy(
         "_g",
         "_n",

@@ -15,6 +15,7 @@ from .columns import col
 
 SMALL_SIDE_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_SHARE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,7 +80,7 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     return df if found.num_rows > max_rows else df.sparkSession.createDataFrame(found, schema=df.schema)
 
 
-def groups_fit_broadcast(df: DataFrame, key: str, n_columns: int) -> bool:
+def groups_fit_broadcast(df: DataFrame, key: str, n_columns: int, max_bytes: int | None = None) -> bool:
     """Whether a table with one row per value of ``key`` and ``n_columns`` numbers can be broadcast.
 
     The bound comes from one narrow pass: distinct keys (sketch, with a margin) times the widest key
@@ -87,4 +88,22 @@ def groups_fit_broadcast(df: DataFrame, key: str, n_columns: int) -> bool:
     """
     text = col(key).cast("string")
     n_keys, width = df.agg(F.approx_count_distinct(col(key)), F.max(F.octet_length(text))).first()
-    return 1.25 * n_keys * ((width or 0) + 16 * n_columns) <= BROADCAST_BYTES
+    return 1.25 * n_keys * ((width or 0) + 16 * n_columns) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
+def join_groups(df: DataFrame, key: str, groups: DataFrame, group: str, size: str) -> DataFrame:
+    """Left join to a written table of one row per non-null ``group`` and its row count ``size``.
+
+    Adaptive execution does not split a partition where the next step needs the same partitioning, so
+    frequent groups go another way: those of more than one in ``HOT_SHARE`` rows are fewer than
+    ``HOT_SHARE``, are held in the plan and meet their rows wherever those lie. Any other group is a
+    sliver of the table and joins by shuffle. Rows without a group meet nothing.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = col(size) * HOT_SHARE > total
+    hot = small_side(groups.where(is_hot), HOT_SHARE)
+    on = col(key) == col(group)
+    grouped = df.where(col(key).isNotNull())
+    others = grouped.join(hot.select(group), on, "left_anti").join(groups.where(~is_hot), on, "left")
+    met = grouped.join(hot, on).unionByName(others)
+    return met.unionByName(df.where(col(key).isNull()), allowMissingColumns=True)

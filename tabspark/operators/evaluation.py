@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, require_columns
 from ..functions.ordering import SEED, first_rows, running_totals
-from ..functions.session import local_table
+from ..functions.session import local_table, written
 from ..functions.stats import long_report, ratio
 from .charts import histogram
 from .profiling import stage_summary
@@ -29,11 +29,16 @@ def confusion_counts(scored: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def classification_metrics(scored: DataFrame) -> DataFrame:
+def classification_metrics(scored: DataFrame, with_auc: bool = False) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy, macro and weighted averages.
 
-    One scan: everything follows from the confusion counts. Undefined ratios are 0.
+    One scan: everything follows from the confusion counts. Undefined ratios are 0. ``with_auc`` adds,
+    for two labels with probabilities, the area under the ROC curve as one more line.
     """
+    if with_auc:
+        values = [F.col("auc").alias(m) for m in ("precision", "recall", "f1")]
+        area = _area(scored).select(F.lit("roc auc").alias("class"), *values, "support")
+        return classification_metrics(scored).unionByName(area)
     n, hit = F.col("row_count"), F.col("actual") == F.col("predicted")
     zero = F.lit(0).cast("long")
     sides = F.array(
@@ -126,18 +131,22 @@ def confusion_matrix(scored: DataFrame) -> DataFrame:
 
 
 def _binary(scored: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows as ``score, pos, neg`` with the class totals; refuses anything but two labels."""
+    """``score, pos, neg`` per distinct score with the class totals; refuses anything but two labels.
+
+    The scored plan runs once: its counts per score and label are written, and all else reads those.
+    """
     if PROBABILITY not in scored.columns:
         raise ValueError("The scored table has no probability column: score it with a model that gives one")
     require_columns(scored, [LABEL])
-    low, high = scored.agg(F.min(col(LABEL)), F.max(col(LABEL))).first()
-    pos = (col(LABEL) == F.lit(high)).cast("long")
-    neg = (col(LABEL) == F.lit(low)).cast("long")
-    n, n_pos, n_neg = scored.agg(F.count(col(LABEL)), F.sum(pos), F.sum(neg)).first()
+    labelled = scored.where(col(LABEL).isNotNull())
+    per = written(labelled.groupBy(as_double(PROBABILITY).alias("score"), col(LABEL).alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    low, high, n = per.agg(F.min("label"), F.max("label"), F.sum("n")).first()
+    pos = F.when(F.col("label") == F.lit(high), F.col("n")).otherwise(F.lit(0).cast("long"))
+    neg = F.when(F.col("label") == F.lit(low), F.col("n")).otherwise(F.lit(0).cast("long"))
+    n_pos, n_neg = per.agg(F.sum(pos), F.sum(neg)).first()
     if low == high or n_pos + n_neg != n:
-        raise ValueError("A binary target is required.")
-    rows = scored.where(col(LABEL).isNotNull())
-    return rows.select(as_double(PROBABILITY).alias("score"), pos.alias("pos"), neg.alias("neg")), n_pos, n_neg
+        raise ValueError(f"Curves need exactly two values of {LABEL!r}")
+    return per.select("score", pos.alias("pos"), neg.alias("neg")), n_pos, n_neg
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
@@ -152,12 +161,17 @@ def roc_curve(scored: DataFrame) -> DataFrame:
     return points.unionByName(start)
 
 
-def auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve by trapezoids."""
+def _area(scored: DataFrame) -> DataFrame:
     rows, n_pos, n_neg = _binary(scored)
     above = F.col("cum_pos") - F.col("pos")
     area = F.sum(F.col("neg") * (above + F.col("pos") / 2.0)) / F.lit(float(n_pos)) / F.lit(float(n_neg))
-    return running_totals(rows, "score", ["pos", "neg"]).agg(F.round(area, 4).alias("auc"))
+    totals = running_totals(rows, "score", ["pos", "neg"])
+    return totals.agg(F.round(area, 4).alias("auc")).withColumn("support", F.lit(n_pos + n_neg).cast("long"))
+
+
+def auc(scored: DataFrame) -> DataFrame:
+    """Area under the ROC curve by trapezoids."""
+    return _area(scored).select("auc")
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:

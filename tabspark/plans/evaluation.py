@@ -83,6 +83,15 @@ c AS (SELECT score, pos, neg, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(
   WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
+@query(
+    "v1_metrics_auc",
+    f"WITH {classes_sql('{scored}')} UNION ALL SELECT 'roc auc', auc, auc, auc, (SELECT count(*) FROM {{scored}}) FROM "
+    f"({CUMULATED} SELECT round(sum(neg * (cp - pos + pos / 2.0)) / any_value(tp) / any_value(tn), 4) AS auc FROM c) AS areas",
+)
+def metrics_auc(spark, sf_dir):
+    return op.classification_metrics(scored(spark, sf_dir), with_auc=True)
+
+
 def _rounded(df, digits=8):
     return df.select(*[F.round(c, digits).alias(c) for c in df.columns])
 

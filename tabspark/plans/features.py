@@ -253,18 +253,20 @@ SQL_AGGS = {
 }
 
 
-def _grouped(group, columns):
+def _grouped(group, columns, source="{dirty_lines}"):
     parts = [f"{e.format(c=c)} AS {group}_{c}_{f}" for c in columns for f, e in SQL_AGGS.items()]
     names = [f"{group}_{c}_{f}" for c in columns for f in SQL_AGGS]
     return (
-        f"WITH g AS (SELECT {group} AS k, {', '.join(parts)} FROM {{dirty_lines}} WHERE {group} IS NOT NULL GROUP BY {group}) "
-        f"SELECT l_orderkey, l_partkey, l_linenumber, {', '.join(names)} FROM {{dirty_lines}} LEFT JOIN g ON {group} = k"
+        f"WITH g AS (SELECT {group} AS k, {', '.join(parts)} FROM {source} WHERE {group} IS NOT NULL GROUP BY {group}) "
+        f"SELECT l_orderkey, l_partkey, l_linenumber, {', '.join(names)} FROM {source} LEFT JOIN g ON {group} = k"
     )
 
 
-def _group_query(group, columns):
+def _group_query(group, columns, source=None, **options):
+    source = source or lines
+
     def run(spark, sf_dir):
-        out = op.aggregate_features(lines(spark, sf_dir), group, columns, op.AGG_FUNCTIONS)
+        out = op.aggregate_features(source(spark, sf_dir), group, columns, op.AGG_FUNCTIONS, **options)
         digits = {"mean": 4, "sum": 2, "std": 4, "median": 4}
         new = []
         for c in columns:
@@ -281,3 +283,18 @@ query("e10_group_features", _grouped("l_returnflag", ["l_quantity", "l_extendedp
     _group_query("l_returnflag", ["l_quantity", "l_extendedprice"])
 )
 query("e10_group_features_many", _grouped("l_partkey", ["l_quantity"]))(_group_query("l_partkey", ["l_quantity"]))
+
+# One group holds a third of the rows, some rows have none, and no table of groups may be broadcast.
+HOT_LINES = """
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity,
+  CASE WHEN l_orderkey % 3 = 0 THEN 0 WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_partkey END AS part
+FROM {lineitem}"""
+
+
+@query("e10_group_features_hot", _grouped("part", ["l_quantity"], f"({HOT_LINES}) AS t"))
+def group_features_hot(spark, sf_dir):
+    return _group_query("part", ["l_quantity"], broadcast_bytes=0, source=hot_lines)(spark, sf_dir)
+
+
+def hot_lines(spark, sf_dir):
+    return spark.sql(HOT_LINES, lineitem=view(spark, sf_dir, "lineitem"))

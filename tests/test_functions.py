@@ -170,3 +170,15 @@ def test_rounded_matches_spark(spark):
     values = [0.12345, -0.00004, 2.5e-5, 1234.56785, 1e17]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [stats.rounded(v) for v in values] == [r[0] for r in df.select(F.round("x", 4)).collect()]
+
+
+def test_frequent_groups_join_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(session, "HOT_SHARE", 10)
+    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 50 != 1, F.col("id") % 100).alias("g"), "id")
+    groups = session.written(df.where("g is not null").groupBy(F.col("g").alias("k")).agg(F.count("*").alias("n"), F.sum("id").alias("s")))
+    joined = session.join_groups(df, "g", groups, "k", "n")
+    got = {r["id"]: (r["g"], r["s"]) for r in joined.collect()}
+    sums = {r["k"]: r["s"] for r in groups.collect()}
+    assert len(got) == joined.count() == 1000 and all(s == sums.get(g) for g, s in got.values())
+    hot = [r for r in joined._jdf.queryExecution().toString().split("\n") if "LocalTableScan" in r or "LocalRelation [k" in r]
+    assert hot and "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
