@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -108,12 +109,17 @@ class WordEncoder:
         self.flat = np.concatenate([self.flat, flat])
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts, dtype=np.int64)])
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Where each word stands among the known ones, -1 for others."""
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+
     def encode(self, texts: list[bytes], end: int, with_words: bool = False) -> tuple[np.ndarray, ...]:
         """All ids of the texts, each closed by ``end``, and where each text's ids end; if asked for,
         also where those of each word and end do."""
         split = [t.split() for t in texts]
         every = [w for ws in split for w in ws]
-        new = list(dict.fromkeys(w for w in every if w not in self.known))
+        at = self._places(every)
+        new = list(dict.fromkeys(every[i] for i in np.flatnonzero(at < 0)))
         if new:
             before = len(self.known)
             self._learn(new)
@@ -121,7 +127,10 @@ class WordEncoder:
                 rest = list(dict.fromkeys(w for w in every if w not in self.known))
                 if rest:
                     self._learn(rest)
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+                at = self._places(every)
+            else:
+                unknown = np.flatnonzero(at < 0)
+                at[unknown] = self._places([every[i] for i in unknown])
         lengths = self.begins[at + 1] - self.begins[at]
         per_text = np.array([len(ws) for ws in split])
         ends_of_words = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
