@@ -36,10 +36,10 @@ class Pairs:
     def probability(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(ids), np.float32)
-        wanted = before << 32 | ids
+        wanted, same = np.unique(before << 32 | ids, return_inverse=True)  # in order, so found fast
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        p = self.counts[at] / np.maximum(self.firsts[before], 1)
-        return np.where(self.keys[at] == wanted, p, 0.0).astype(np.float32)
+        p = self.counts[at] / np.maximum(self.firsts[wanted >> 32], 1)
+        return np.where(self.keys[at] == wanted, p, 0.0).astype(np.float32)[same]
 
 
 @dataclass
@@ -80,12 +80,16 @@ class Attention:
 @dataclass
 class Tokens:
     """Subword ids of some texts end to end: where tokens end among them, and where texts end among the
-    tokens. ``start`` is the id that stands before a text."""
+    tokens. ``start`` is the id that stands before a text. If known, ``which`` tells equal tokens: the
+    place of each among the different ones, whose ids are ``word_ids`` and begin at ``word_begins``."""
 
     ids: np.ndarray
     ends: np.ndarray
     texts: np.ndarray
     start: int
+    which: np.ndarray | None = None
+    word_ids: np.ndarray | None = None
+    word_begins: np.ndarray | None = None
 
     def __post_init__(self) -> None:
         self.begins = np.concatenate([[0], self.ends[:-1]])
@@ -114,49 +118,62 @@ def windows(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BEHIND = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
-_CAUSAL = _BEHIND >= 0
+_CAUSAL = (_BEHIND >= 0).astype(np.float32)
+_ONES = np.ones((WINDOW, 1), np.float32)
 
 
 def _inputs(model: Attention, tokens: Tokens) -> np.ndarray:
     """What stands at the place of each token: the embedding of the token before it."""
-    sums = np.add.reduceat(model.embed[tokens.ids], tokens.begins, axis=0)
+    if tokens.which is None:
+        sums = np.add.reduceat(model.embed[tokens.ids], tokens.begins, axis=0)
+    else:
+        sums = np.add.reduceat(model.embed[tokens.word_ids], tokens.word_begins, axis=0)[tokens.which]
     x = np.empty_like(sums)
     x[1:] = sums[:-1]
     x[tokens.first] = model.embed[tokens.start]
     return x
 
 
-def forward(model: Attention, x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, dict]:
+def project(model: Attention, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values of all places, once for all windows."""
+    return x @ (model.query * np.float32(WIDTH**-0.5)), x @ model.key, x @ model.value
+
+
+def forward(model: Attention, x: np.ndarray, projected: tuple[np.ndarray, ...], places: np.ndarray) -> tuple[np.ndarray, dict]:
     """Weights of the kinds for every scored token: attention over a batch of windows, masked to what is
-    there and not ahead."""
-    late = x[:, CONTEXT:]
-    q, k, v = late @ (model.query * np.float32(WIDTH**-0.5)), x @ model.key, x @ model.value
+    there (-1: nothing) and not ahead."""
+    at = np.maximum(places, 0)
+    late = x[at[:, CONTEXT:]]
+    q, k, v = projected[0][at[:, CONTEXT:]], projected[1][at], projected[2][at]
     s = q @ k.transpose(0, 2, 1)
-    s += np.where(_CAUSAL, model.recency[np.maximum(_BEHIND, 0)], np.float32(-100))
-    np.minimum(s, np.float32(30), out=s)
+    s += model.recency[np.maximum(_BEHIND, 0)]
+    np.clip(s, np.float32(-30), np.float32(30), out=s)
     np.exp(s, out=s)
-    if not there.all():
-        s *= there[:, None, :]
-    total = np.maximum(s.sum(-1, keepdims=True), np.float32(1e-30))
+    s *= _CAUSAL
+    some = np.flatnonzero((places < 0).any(1))
+    if len(some):
+        s[some] *= (places[some] >= 0).astype(np.float32)[:, None, :]
+    total = np.maximum(s @ _ONES, np.float32(1e-30))
     h = s @ v
     h /= total
     h += late
-    z = h @ model.gate[:-1]
+    z = (h.reshape(-1, WIDTH) @ model.gate[:-1]).reshape(*h.shape[:2], KINDS)
     z += model.gate[-1]
-    np.minimum(z, np.float32(30), out=z)
+    np.clip(z, np.float32(-50), np.float32(30), out=z)
     np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
-    return z, {"x": x, "late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
+    z /= z @ np.ones((KINDS, 1), np.float32)
+    return z, {"late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
 
 
 def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 64) -> np.ndarray:
     """The natural log probability of every token; each is scored once."""
     x = _inputs(model, tokens)
     at, scored = windows(tokens.texts)
+    projected = project(model, x)
     weights = np.zeros((len(tokens.ends), KINDS), np.float32)
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
-        w, _ = forward(model, x[np.maximum(places, 0)], places >= 0)
+        w, _ = forward(model, x, projected, places)
         weights[mine[mine >= 0]] = w[mine >= 0]
     mixed = np.empty(len(tokens.ids), np.float32)
     for a in range(0, len(mixed), 8192):  # small enough to stay in the cache
@@ -183,7 +200,9 @@ def learn(
         heads = tokens.first[(tokens.first >= lo) & (tokens.first < hi)] - lo
         x_all[heads] = model.embed[tokens.start]
         real = mine >= 0
-        weights, c = forward(model, x_all[np.maximum(places - lo, 0)], places >= 0)
+        inner = np.where(places >= 0, places - lo, -1)
+        weights, c = forward(model, x_all, project(model, x_all), inner)
+        c["x"] = x_all[np.maximum(inner, 0)]
 
         token = mine[real]
         n = size[token]
@@ -224,24 +243,32 @@ def learn(
             _adagrad(model, name, slice(None), gradient, rate)
         # The gradient at a token's place goes to the ids of the token before, or to the start id.
         at_place = np.zeros((hi - lo, WIDTH), np.float32)
-        _add_rows(at_place, places[places >= 0] - lo, dx[places >= 0])
+        for part_of in (slice(CONTEXT), slice(CONTEXT, None)):  # neither holds a token twice
+            own = inner[:, part_of] >= 0
+            at_place[inner[:, part_of][own]] += dx[:, part_of][own]
         start = np.zeros(hi - lo, bool)
         start[heads] = True
         start[0] = True
         to_token = np.zeros_like(at_place)
         to_token[:-1] = np.where(start[1:, None], 0, at_place[1:])
-        order = np.argsort(part.ids, kind="stable")
-        known, first = np.unique(part.ids[order], return_index=True)
+        order, known, first = _grouped(part.ids)
         rows = np.add.reduceat(to_token[part.owner[order]], first, axis=0)
         _adagrad(model, "embed", known, rows, rate)
         _adagrad(model, "embed", np.array([tokens.start]), at_place[start].sum(0)[None], rate)
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, the different keys, and where each begins in it."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return order, sorted_keys[first], first
+
+
 def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Add values to rows of a table, a row as often as it is named."""
     if len(rows):
-        order = np.argsort(rows, kind="stable")
-        known, first = np.unique(rows[order], return_index=True)
+        order, known, first = _grouped(rows)
         table[known] += np.add.reduceat(values[order], first, axis=0)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import copy
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,40 +19,86 @@ from tabspark.functions.session import fresh_dir, written
 
 from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities
 from .text import Piece, mix, pieces, word_hashes, words
-from .token_files import WordEncoder
 
 Batches = Iterator[pa.RecordBatch]
 END = mix(np.array([0x0E4D0F7E87], np.uint64))[0]  # stands for the end token among hashes of words
 COMMON = 1 << 20
 SHARES = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
 _GRAM = 1 << 16
+HELD = 1 << 20  # keys that a task adds up before it lets them go
+KNOWN_WORDS = 1 << 19
 
 
-def _tokens(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of every row, each row closed by the end token, and where rows end."""
+@dataclass
+class Read:
+    """The tokens of a piece: words and the end of every row. ``hashes`` are those of the different tokens
+    (the end first), ``counts`` how often each occurs, ``tokens`` their subword ids with ``tokens.which``
+    among the different ones, ``ends`` where rows end."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    tokens: Tokens
+    ends: np.ndarray
+
+
+def _read(piece: Piece, tokenizer: str) -> Read:
     found = words(piece)
     ends = found.bounds[1:] + np.arange(1, piece.rows + 1)
-    out = np.full(int(ends[-1]), END, np.uint64)
-    word = np.ones(len(out), bool)
+    which = np.zeros(int(ends[-1]), np.int64)
+    word = np.ones(len(which), bool)
     word[ends - 1] = False
-    out[word] = word_hashes(piece, found)
-    return out, ends
+    different, first, same, counts = np.unique(
+        word_hashes(piece, found), return_index=True, return_inverse=True, return_counts=True
+    )
+    which[word] = same + 1
+    starts, stops = found.starts[first], found.ends[first]
+    vocabulary = Subwords.of(tokenizer)
+    flat, begins = vocabulary.ids(different, lambda i: piece.data[starts[i] : stops[i]].tobytes().lower())
+    sizes = np.diff(begins)[which]
+    stop = np.cumsum(sizes)
+    ids = flat[np.repeat(begins[which] - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
+    tokens = Tokens(ids, stop, ends, vocabulary.end, which, flat, begins[:-1])
+    return Read(np.concatenate([[END], different]), np.concatenate([[piece.rows], counts]), tokens, ends)
 
 
 WORD, PAIR, FIRST = 0, 1, 2
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
 def _counts(tokenizer: str) -> Callable[[Batches], Batches]:
-    """Counts of words, of pairs of subword ids and of the ids before others, added up per piece."""
+    """Counts of words, of pairs of subword ids and of the ids before others, added up over pieces."""
 
     def run(batches: Batches) -> Batches:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], PAIR: [], FIRST: []}
+
+        def out(kind: int) -> pa.RecordBatch:
+            k, n = _added(held[kind])
+            held[kind] = []
+            return pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
+
         for b in batches:
             for piece in pieces(b.column(0)):
-                tokens = _subwords(piece, tokenizer)
-                pairs = tokens.before << 32 | tokens.ids
-                for kind, keys in ((WORD, _tokens(piece)[0].view(np.int64)), (PAIR, pairs), (FIRST, tokens.before)):
-                    k, n = np.unique(keys, return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
+                read = _read(piece, tokenizer)
+                before, ids = read.tokens.before, read.tokens.ids
+                held[WORD].append((read.hashes.view(np.int64), read.counts))
+                held[PAIR].append(np.unique(before << 32 | ids, return_counts=True))
+                held[FIRST].append(np.unique(before, return_counts=True))
+                for kind, parts in held.items():
+                    if sum(len(k) for k, _ in parts) > HELD:
+                        held[kind] = [_added(parts)]
+                        if len(held[kind][0][0]) > HELD // 2:
+                            yield out(kind)
+        for kind, parts in held.items():
+            if parts:
+                yield out(kind)
 
     return run
 
@@ -85,37 +133,77 @@ class TextModel:
 
 # Fixed value: the public pattern by which this vocabulary splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def rank_words(path: str) -> tuple[Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], int]:
-    """From a file of ranks: what gives the ids of words, each after a space. The id after the last rank
-    ends a text."""
-    import tiktoken
-
-    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    with store.open_input_stream(name) as file:
-        lines = [line.split() for line in file.read().splitlines()]
-    ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-    one = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [one(" " + w.decode("utf-8", "replace")) for w in words]
-        counts = np.array([len(x) for x in ids])
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
-
-    return encode, max(ranks.values()) + 2
-
-
-def _encoder(path: str) -> tuple[WordEncoder, int]:
-    encoder = WordEncoder.of(path, rank_words)
-    return encoder, encoder.size - 1
-
-
-def _subwords(piece: Piece, tokenizer: str) -> Tokens:
-    """The lower-cased rows as subword ids of their words and ends."""
-    encoder, end = _encoder(tokenizer)
-    ids, _, ends = encoder.encode([piece.row(i).lower() for i in range(piece.rows)], end, with_words=True)
-    return Tokens(ids.astype(np.int64), ends, words(piece).bounds[1:] + np.arange(1, piece.rows + 1), end)
+PLAIN = re.compile(rb"[!-~]+").fullmatch
+
+
+class Subwords:
+    """Subword ids of lower-cased words, each taken after a space, by a file of ranks. The id after the
+    last rank ends a text. Words met before are not encoded again; the memory for them is bounded."""
+
+    _of: dict[str, "Subwords"] = {}
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        with store.open_input_stream(name) as file:
+            lines = [line.split() for line in file.read().splitlines()]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.end = max(ranks.values()) + 1
+        self.size = self.end + 1
+        self.after_space = np.zeros(self.size, bool)
+        self.after_space[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
+        self.encoding = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self._reset()
+
+    @classmethod
+    def of(cls, path: str) -> "Subwords":
+        """One per worker process and file."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def _reset(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat = np.zeros(0, np.int64)
+        self.begins = np.zeros(1, np.int64)
+
+    def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has. Words of printable ASCII go together: every one
+        of them begins with the one id that begins with a space."""
+        plain = [PLAIN(w) is not None for w in new]
+        together = self.encoding.encode_ordinary("".join(" " + w.decode() for w, p in zip(new, plain) if p))
+        alone = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w, p in zip(new, plain) if not p]
+        easy = np.array(together, np.int64)
+        counts, plain = np.zeros(len(new), np.int64), np.array(plain, bool)
+        counts[plain] = np.diff(np.append(np.flatnonzero(self.after_space[easy]), len(easy)))
+        counts[~plain] = [len(x) for x in alone]
+        flat = np.empty(int(counts.sum()), np.int64)
+        mine = np.repeat(plain, counts)
+        flat[mine] = easy
+        flat[~mine] = [i for x in alone for i in x]
+        return flat, counts
+
+    def ids(self, hashes: np.ndarray, word: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the end and of different words end to end, and where each begins. ``word(i)`` gives the
+        bytes of the i-th hash."""
+        keys = hashes.tolist()
+        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.known) + len(new) > KNOWN_WORDS and self.known:
+                self._reset()
+                new = np.arange(len(keys))
+            flat, counts = self._encode([word(i) for i in new])
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip(hashes[new].tolist(), at[new].tolist()))
+            self.flat = np.concatenate([self.flat, flat])
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts)])
+        sizes = np.append(1, self.begins[at + 1] - self.begins[at])
+        begins = np.append(0, np.cumsum(sizes))
+        flat = np.full(int(begins[-1]), self.end, np.int64)
+        flat[1:] = self.flat[np.repeat(self.begins[at] - begins[1:-1], sizes[1:]) + np.arange(1, len(flat))]
+        return flat, begins
 
 
 def _train(tokenizer: str, held, held_pairs, rate: float) -> Callable[[Batches], Batches]:
@@ -127,7 +215,7 @@ def _train(tokenizer: str, held, held_pairs, rate: float) -> Callable[[Batches],
         soft, follow, n = np.zeros_like(model.parts), np.zeros((2, 2)), 0
         for b in batches:
             for piece in pieces(b.column(0), _GRAM):
-                tokens = _subwords(piece, tokenizer)
+                tokens = _read(piece, tokenizer).tokens
                 learn(model, held_pairs.value, tokens, soft, follow, rate)
                 n += len(tokens.ids)
         if not n:
@@ -171,11 +259,11 @@ def _shares(tokenizer: str, held) -> Callable[[Batches], Batches]:
     return run
 
 
-def _both(model: TextModel, piece: Piece, tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every token: its count among common words, its probability by attention; rows' ends."""
-    hashes, token_ends = _tokens(piece)
-    logs = log_probabilities(model.attention, model.pairs, _subwords(piece, tokenizer))
-    return model.counts(hashes), np.exp(logs), token_ends
+def _both(model: TextModel, piece: Piece, tokenizer: str) -> tuple[np.ndarray, np.ndarray, Read]:
+    """For every token: its count among common words, its probability by attention; and the piece read."""
+    read = _read(piece, tokenizer)
+    logs = log_probabilities(model.attention, model.pairs, read.tokens)
+    return model.counts(read.hashes)[read.tokens.which], np.exp(logs), read
 
 
 def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds: int = 10, sample: int = 50, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
@@ -194,7 +282,7 @@ def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds:
     common = counts.where(F.col("n") * COMMON >= total).toArrow()
     hashes = common.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    size = _encoder(tokenizer)[0].size
+    size = Subwords.of(tokenizer).size
     attention, pairs = Attention.fresh(size, seed), _pairs(every, size)
     held_pairs = spark.sparkContext.broadcast(pairs)
     soft = np.zeros_like(attention.parts, dtype=np.float64)
@@ -272,8 +360,8 @@ def _score(tokenizer: str, held) -> Callable[[Batches], Batches]:
             n_tokens, known, base, score = [], [], [], []
             words_left, parts_left, n_left = [], [], []
             for piece in pieces(b.column(2), _GRAM * 4):
-                hashes, token_ends = _tokens(piece)
-                counts, attended, _ = _both(model, piece, tokenizer)
+                counts, attended, read = _both(model, piece, tokenizer)
+                token_ends = read.ends
                 starts = np.concatenate([[0], token_ends[:-1]])
                 common = counts > 0
                 attended = (1 - model.share) * attended
@@ -282,7 +370,7 @@ def _score(tokenizer: str, held) -> Callable[[Batches], Batches]:
                 base += np.add.reduceat(np.where(common, np.log10(counts + 1) - log_all, 0.0), starts).tolist()
                 known += np.add.reduceat(common.astype(np.int64), starts).tolist()
                 n_tokens += (token_ends - starts).tolist()
-                words_left.append(hashes[~common].view(np.int64))
+                words_left.append(read.hashes[read.tokens.which[~common]].view(np.int64))
                 parts_left.append(attended[~common])
                 n_left.append(np.add.reduceat((~common).astype(np.int64), starts))
             if not n_tokens:
