@@ -122,12 +122,27 @@ _CAUSAL = (_BEHIND >= 0).astype(np.float32)
 _ONES = np.ones((WINDOW, 1), np.float32)
 
 
+def _runs(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, of which most are short: the first rows, then the second, and so on."""
+    out = values[begins]
+    sizes = np.diff(begins, append=len(values))
+    more = np.flatnonzero(sizes > 1)
+    for j in range(1, 16):
+        if not len(more):
+            return out
+        out[more] += values[begins[more] + j]
+        more = more[sizes[more] > j + 1]
+    for i in more:
+        out[i] += values[begins[i] + 16 : begins[i] + sizes[i]].sum(0)
+    return out
+
+
 def _inputs(model: Attention, tokens: Tokens) -> np.ndarray:
     """What stands at the place of each token: the embedding of the token before it."""
     if tokens.which is None:
-        sums = np.add.reduceat(model.embed[tokens.ids], tokens.begins, axis=0)
+        sums = _runs(model.embed[tokens.ids], tokens.begins)
     else:
-        sums = np.add.reduceat(model.embed[tokens.word_ids], tokens.word_begins, axis=0)[tokens.which]
+        sums = _runs(model.embed[tokens.word_ids], tokens.word_begins)[tokens.which]
     x = np.empty_like(sums)
     x[1:] = sums[:-1]
     x[tokens.first] = model.embed[tokens.start]
@@ -174,7 +189,8 @@ def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
         w, _ = forward(model, x, projected, places)
-        weights[mine[mine >= 0]] = w[mine >= 0]
+        own = w[mine >= 0]  # tokens that follow each other
+        weights[mine[0, 0] : mine[0, 0] + len(own)] = own
     mixed = np.empty(len(tokens.ids), np.float32)
     for a in range(0, len(mixed), 8192):  # small enough to stay in the cache
         part = slice(a, a + 8192)
@@ -220,7 +236,7 @@ def learn(
             follow[late] += [(by_pair[own] / total[own]).sum(), own.sum()]
         pull = posterior - posterior.sum(1, keepdims=True) * w
         g = np.zeros_like(weights)
-        g[real] = np.add.reduceat(pull, np.cumsum(n) - n, axis=0) / np.float32(max(len(token), 1))
+        g[real] = _runs(pull, np.cumsum(n) - n) / np.float32(max(len(token), 1))
 
         c["a"] = c["s"] / c["total"]
         dh = g @ model.gate[:-1].T

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import copy
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -51,9 +50,8 @@ def _read(piece: Piece, tokenizer: str) -> Read:
         word_hashes(piece, found), return_index=True, return_inverse=True, return_counts=True
     )
     which[word] = same + 1
-    starts, stops = found.starts[first], found.ends[first]
     vocabulary = Subwords.of(tokenizer)
-    flat, begins = vocabulary.ids(different, lambda i: piece.data[starts[i] : stops[i]].tobytes().lower())
+    flat, begins = vocabulary.ids(different, piece.data.tobytes().lower(), found.starts[first], found.ends[first])
     sizes = np.diff(begins)[which]
     stop = np.cumsum(sizes)
     ids = flat[np.repeat(begins[which] - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
@@ -133,7 +131,6 @@ class TextModel:
 
 # Fixed value: the public pattern by which this vocabulary splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PLAIN = re.compile(rb"[!-~]+").fullmatch
 
 
 class Subwords:
@@ -168,25 +165,18 @@ class Subwords:
         self.flat = np.zeros(0, np.int64)
         self.begins = np.zeros(1, np.int64)
 
-    def _encode(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words end to end, and how many each has. Words of printable ASCII go together: every one
-        of them begins with the one id that begins with a space."""
-        plain = [PLAIN(w) is not None for w in new]
-        together = self.encoding.encode_ordinary("".join(" " + w.decode() for w, p in zip(new, plain) if p))
-        alone = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w, p in zip(new, plain) if not p]
-        easy = np.array(together, np.int64)
-        counts, plain = np.zeros(len(new), np.int64), np.array(plain, bool)
-        counts[plain] = np.diff(np.append(np.flatnonzero(self.after_space[easy]), len(easy)))
-        counts[~plain] = [len(x) for x in alone]
-        flat = np.empty(int(counts.sum()), np.int64)
-        mine = np.repeat(plain, counts)
-        flat[mine] = easy
-        flat[~mine] = [i for x in alone for i in x]
-        return flat, counts
-
-    def ids(self, hashes: np.ndarray, word: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the end and of different words end to end, and where each begins. ``word(i)`` gives the
-        bytes of the i-th hash."""
+    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has. Words without white space of any kind go
+        together: every one of them begins with the one id that begins with a space."""
+        if (text := " ".join(new)).split() == new:
+            flat = np.array(self.encoding.encode_ordinary(" " + text), np.int64)
+            return flat, np.diff(np.append(np.flatnonzero(self.after_space[flat]), len(flat)))
+        alone = [self.encoding.encode_ordinary(" " + w) for w in new]
+        return np.array([i for x in alone for i in x], np.int64), np.array([len(x) for x in alone])
+
+    def ids(self, hashes: np.ndarray, lower: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the end and of different words end to end, and where each begins. The words are given by
+        their hashes and by where they stand in the lower-cased bytes."""
         keys = hashes.tolist()
         at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(at < 0)
@@ -194,7 +184,8 @@ class Subwords:
             if len(self.known) + len(new) > KNOWN_WORDS and self.known:
                 self._reset()
                 new = np.arange(len(keys))
-            flat, counts = self._encode([word(i) for i in new])
+            places = zip(starts[new].tolist(), stops[new].tolist())
+            flat, counts = self._encode([lower[a:b].decode("utf-8", "replace") for a, b in places])
             at[new] = len(self.known) + np.arange(len(new))
             self.known.update(zip(hashes[new].tolist(), at[new].tolist()))
             self.flat = np.concatenate([self.flat, flat])
@@ -359,7 +350,7 @@ def _score(tokenizer: str, held) -> Callable[[Batches], Batches]:
         for b in batches:
             n_tokens, known, base, score = [], [], [], []
             words_left, parts_left, n_left = [], [], []
-            for piece in pieces(b.column(2), _GRAM * 4):
+            for piece in pieces(b.column(2), _GRAM * 8):
                 counts, attended, read = _both(model, piece, tokenizer)
                 token_ends = read.ends
                 starts = np.concatenate([[0], token_ends[:-1]])
