@@ -4,9 +4,10 @@ A token is a word or the end of a text, given by its subword ids; its embedding
 One attention layer over the tokens before gives the weights of ``KINDS`` distributions over ids, and
 each id of a token has the probability
 
-    follow * P(id | id before) + (1 - follow) * sum of weight * part(id)
+    follow * P(id | id before) + (1 - follow + follow * left) * sum of weight * part(id)
 
-with counted pairs of ids in the first term. So a probability costs a few products and no softmax
+with the discounted counts of all pairs of ids in the first term and what the discount leaves in the
+second. So a probability costs a few products and no softmax
 over the vocabulary, and the parts are estimated by expectation maximisation.
 """
 
@@ -21,25 +22,56 @@ KINDS = 32
 WINDOW = 32
 CONTEXT = 8
 STRIDE = WINDOW - CONTEXT
+DISCOUNT = 0.75
 NAMES = ("embed", "query", "key", "value", "gate", "recency")
 
 
+def looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts by sorted keys, 0 for keys that are not there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
+
+
+def of_own_row(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How often each key (numbers from 0) occurs in its own row."""
+    _, same, n = np.unique(rows * (keys.max(initial=0) + 1) + keys, return_inverse=True, return_counts=True)
+    return n[same]
+
+
+def _no_keys() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
 @dataclass
 class Pairs:
     """Counts of neighbouring ids: sorted keys (id before << 32 | id) of common pairs, their counts, and
-    how often each id stands before another."""
+    how often each id stands before another, and before how many ``different`` ones. ``more`` and ``more_counts`` are those of the rarer pairs
+    of the texts at hand; a pair in neither stands nowhere."""
 
     keys: np.ndarray
     counts: np.ndarray
     firsts: np.ndarray
-
-    def probability(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(ids), np.float32)
+    different: np.ndarray = field(default_factory=_no_keys)
+    more: np.ndarray = field(default_factory=_no_keys)
+    more_counts: np.ndarray = field(default_factory=_no_keys)
+
+    def probability(self, before: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """P(id | id before) of discounted counts, and what the discount leaves to other ids: 1 after an id
+        that never stands before another. ``rows`` are the texts of ids that were counted themselves: each
+        is then met by the counts of the other texts only, as a text to be scored is."""
+        if not self.firsts.any():
+            return np.zeros(len(ids), np.float32), np.ones(len(ids), np.float32)
         wanted, same = np.unique(before << 32 | ids, return_inverse=True)  # in order, so found fast
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        p = self.counts[at] / np.maximum(self.firsts[wanted >> 32], 1)
-        return np.where(self.keys[at] == wanted, p, 0.0).astype(np.float32)[same]
+        n = looked_up(self.keys, self.counts, wanted) + looked_up(self.more, self.more_counts, wanted)
+        all_after, different = self.firsts[wanted >> 32], self.different[wanted >> 32]
+        if rows is not None:
+            n, all_after = n[same] - of_own_row(same, rows), all_after[same] - of_own_row(before, rows)
+            different, same = np.minimum(different[same], all_after), slice(None)
+        p = np.maximum(n - DISCOUNT, 0) / np.maximum(all_after, 1)
+        left = np.where(all_after > 0, DISCOUNT * different / np.maximum(all_after, 1), 1.0)
+        return p.astype(np.float32)[same], left.astype(np.float32)[same]
 
 
 @dataclass
@@ -94,6 +126,7 @@ class Tokens:
     def __post_init__(self) -> None:
         self.begins = np.concatenate([[0], self.ends[:-1]])
         self.first = np.concatenate([[0], self.texts[:-1]])  # the first token of every text
+        self.row = np.repeat(np.arange(len(self.texts)), self.texts - self.first)
         self.owner = np.repeat(np.arange(len(self.ends)), self.ends - self.begins)
         self.before = np.concatenate([[self.start], self.ids[:-1]])
         self.before[self.begins[self.first]] = self.start
@@ -180,8 +213,9 @@ def forward(model: Attention, x: np.ndarray, projected: tuple[np.ndarray, ...],
     return z, {"late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
 
 
-def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 64) -> np.ndarray:
-    """The natural log probability of every token; each is scored once."""
+def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, counted: bool = False, step: int = 64) -> np.ndarray:
+    """The natural log probability of every token; each is scored once. ``counted``: whether the texts are
+    among those whose pairs were counted."""
     x = _inputs(model, tokens)
     at, scored = windows(tokens.texts)
     projected = project(model, x)
@@ -189,14 +223,15 @@ def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
         w, _ = forward(model, x, projected, places)
-        own = w[mine >= 0]  # tokens that follow each other
-        weights[mine[0, 0] : mine[0, 0] + len(own)] = own
+        row = w[mine >= 0]  # tokens that follow each other
+        weights[mine[0, 0] : mine[0, 0] + len(row)] = row
     mixed = np.empty(len(tokens.ids), np.float32)
     for a in range(0, len(mixed), 8192):  # small enough to stay in the cache
         part = slice(a, a + 8192)
         mixed[part] = np.einsum("ik,ik->i", weights[tokens.owner[part]], model.parts[tokens.ids[part]])
     follow = model.follow[tokens.later]
-    p = follow * pairs.probability(tokens.before, tokens.ids) + (1 - follow) * mixed
+    paired, left = pairs.probability(tokens.before, tokens.ids, tokens.row[tokens.owner] if counted else None)
+    p = follow * paired + (1 - follow + follow * left) * mixed
     return np.add.reduceat(np.log(np.maximum(p, np.float32(1e-30)).astype(np.float64)), tokens.begins)
 
 
@@ -204,9 +239,10 @@ def learn(
     model: Attention, pairs: Pairs, tokens: Tokens, soft: np.ndarray, follow: np.ndarray, rate: float, step: int = 128
 ) -> None:
     """One pass over the windows of some texts: Adagrad steps on the attention, in place; expected counts
-    of (id, kind) are added to ``soft``, and those of pairs and of all ids to ``follow``."""
+    of (id, kind) are added to ``soft``, and the slope of the log likelihood by ``follow`` and its fall to ``follow``. The texts are among
+    the counted ones, so every pair is counted in the other texts only."""
     at, scored = windows(tokens.texts)
-    paired = pairs.probability(tokens.before, tokens.ids)
+    paired, left = pairs.probability(tokens.before, tokens.ids, tokens.row[tokens.owner])
     size = tokens.ends - tokens.begins
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
@@ -227,13 +263,14 @@ def learn(
         ids, w = tokens.ids[i], weights[real][which]
         joint = w * model.parts[ids]
         f = model.follow[tokens.later[i]]
-        by_pair = f * paired[i]
-        total = by_pair + (1 - f) * joint.sum(1) + np.float32(1e-30)
-        posterior = joint * ((1 - f) / total)[:, None]
+        mixed, rest = joint.sum(1), 1 - f + f * left[i]
+        total = f * paired[i] + rest * mixed + np.float32(1e-30)
+        slope = (paired[i] - (1 - left[i]) * mixed) / total
+        posterior = joint * (rest / total)[:, None]
         _add_rows(soft, ids, posterior)
         for late in (0, 1):
-            own = tokens.later[i] == late
-            follow[late] += [(by_pair[own] / total[own]).sum(), own.sum()]
+            own = slope[tokens.later[i] == late]
+            follow[late] += [own.sum(), (own * own).sum()]
         pull = posterior - posterior.sum(1, keepdims=True) * w
         g = np.zeros_like(weights)
         g[real] = _runs(pull, np.cumsum(n) - n) / np.float32(max(len(token), 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import copy
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from itertools import repeat
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.session import fresh_dir, written
 
-from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities
+from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities, looked_up, of_own_row
 from .text import Piece, mix, pieces, word_hashes, words
 
 Batches = Iterator[pa.RecordBatch]
@@ -107,7 +107,8 @@ class TextModel:
 
     ``common`` are the words of at least one in 2^20 training tokens (so at most 2^20 of them), as
     sorted hashes, with their counts; ``pairs`` holds those pairs of subword ids that are one in 2^20
-    of all. ``share`` is the weight of the word unigram.
+    of all. Both are only what every task knows: the counts of the rarer ones come with the texts that
+    hold them (``MORE``). ``share`` is the weight of the word unigram.
     """
 
     total: int
@@ -117,18 +118,67 @@ class TextModel:
     pairs: Pairs
     attention: Attention
     share: float
+    more: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    more_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of common words, 0 for others."""
-        if not len(self.common):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
-        return np.where(self.common[at] == hashes, self.common_counts[at], 0)
+        """Counts of words, 0 for those that are neither common nor come with the texts."""
+        return looked_up(self.common, self.common_counts, hashes) + looked_up(self.more, self.more_counts, hashes)
+
+    def beside(self, more: pa.Array) -> "TextModel":
+        """The model for some texts, with the counts that come with them."""
+        kind, key, n = (x.to_numpy(zero_copy_only=False) for x in more.flatten().flatten())
+        words, first = np.unique(key[kind == WORD].view(np.uint64), return_index=True)
+        keys, at = np.unique(key[kind == PAIR], return_index=True)
+        pairs = replace(self.pairs, more=keys, more_counts=n[kind == PAIR][at])
+        return replace(self, pairs=pairs, more=words, more_counts=n[kind == WORD][first])
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.different + 1)
 
 
+MORE = "array<struct<kind: int, key: long, n: long>>"
+
+
+def _rare(tokenizer: str, held) -> Callable[[Batches], Batches]:
+    """(place, text) to (place, kind, key): the words and pairs of each text that not every task knows."""
+
+    def run(batches: Batches) -> Batches:
+        model: TextModel = held.value
+        for b in batches:
+            place = b.column(0).to_numpy()
+            for piece in pieces(b.column(1), _GRAM * 8):
+                read = _read(piece, tokenizer)
+                tokens, row = read.tokens, np.repeat(np.arange(piece.rows), np.diff(read.ends, prepend=0))
+                pairs, same = np.unique(tokens.before << 32 | tokens.ids, return_inverse=True)
+                unknown = looked_up(model.pairs.keys, model.pairs.counts, pairs) == 0
+                for kind, keys, rare, at, rows in (
+                    (WORD, read.hashes.view(np.int64), model.counts(read.hashes) == 0, tokens.which, row),
+                    (PAIR, pairs, unknown, same, row[tokens.owner]),
+                ):
+                    mine = rare[at]
+                    once = np.unique(rows[mine] * len(keys) + at[mine])
+                    columns = [place[piece.first + once // len(keys)], np.full(len(once), kind, np.int32), keys[once % len(keys)]]
+                    yield pa.record_batch([pa.array(x) for x in columns], names=["place", "kind", "key"])
+
+    return run
+
+
+def _with_counts(given: DataFrame, every: DataFrame, model: TextModel, tokenizer: str) -> DataFrame:
+    """Add ``more``: the counts of all rarer words and pairs of each row's ``text``, from a join with the full tables.
+
+    Rows meet what belongs to them by a hash of the text, so equal texts share it; where two texts had
+    one hash, each would come with the counts of both, which are right for either.
+    """
+    held = given.sparkSession.sparkContext.broadcast(model)
+    placed = given.withColumn("place", F.xxhash64("text"))
+    wanted = placed.select("place", "text").mapInArrow(_rare(tokenizer, held), "place long, kind int, key long").distinct()
+    least = F.when(F.col("kind") == WORD, model.total).otherwise(int(model.pairs.firsts.sum()))
+    rare = every.where((F.col("kind") != FIRST) & (F.col("n") * COMMON < least))
+    met = wanted.join(rare, ["kind", "key"]).groupBy("place").agg(F.collect_list(F.struct("kind", "key", "n")).alias("more"))
+    return placed.join(written(met), "place", "left").drop("place").withColumn("more", F.coalesce("more", F.array().cast(MORE)))
+
+
 # Fixed value: the public pattern by which this vocabulary splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -197,7 +247,7 @@ class Subwords:
         return flat, begins
 
 
-def _train(tokenizer: str, held, held_pairs, rate: float) -> Callable[[Batches], Batches]:
+def _train(tokenizer: str, held, held_model, rate: float) -> Callable[[Batches], Batches]:
     """Texts to changes of the parameters, as rows (kind, row, weight, values) to be added up."""
 
     def run(batches: Batches) -> Batches:
@@ -205,9 +255,10 @@ def _train(tokenizer: str, held, held_pairs, rate: float) -> Callable[[Batches],
         model = copy.deepcopy(old)
         soft, follow, n = np.zeros_like(model.parts), np.zeros((2, 2)), 0
         for b in batches:
+            pairs = held_model.value.beside(b.column(1)).pairs
             for piece in pieces(b.column(0), _GRAM):
                 tokens = _read(piece, tokenizer).tokens
-                learn(model, held_pairs.value, tokens, soft, follow, rate)
+                learn(model, pairs, tokens, soft, follow, rate)
                 n += len(tokens.ids)
         if not n:
             return
@@ -237,12 +288,13 @@ def _shares(tokenizer: str, held) -> Callable[[Batches], Batches]:
     """Log likelihood of texts for each weight between unigram and attention."""
 
     def run(batches: Batches) -> Batches:
-        model: TextModel = held.value
         total = np.zeros(len(SHARES))
         for b in batches:
+            model: TextModel = held.value.beside(b.column(1))
             for piece in pieces(b.column(0), _GRAM):
-                counts, attended, _ = _both(model, piece, tokenizer)
-                known = np.where(counts > 1, model.unigram(counts - 1), 0.0)  # without the token itself
+                counts, attended, read = _both(model, piece, tokenizer, counted=True)
+                counts = counts - of_own_row(read.tokens.which, read.tokens.row)
+                known = np.where(counts > 0, model.unigram(counts), 0.0)
                 for j, share in enumerate(SHARES):
                     total[j] += np.log(share * known + (1 - share) * attended + 1e-300).sum()
         yield pa.record_batch([pa.array(np.arange(len(SHARES), dtype=np.int32)), pa.array(total)], names=["j", "ll"])
@@ -250,23 +302,24 @@ def _shares(tokenizer: str, held) -> Callable[[Batches], Batches]:
     return run
 
 
-def _both(model: TextModel, piece: Piece, tokenizer: str) -> tuple[np.ndarray, np.ndarray, Read]:
-    """For every token: its count among common words, its probability by attention; and the piece read."""
+def _both(model: TextModel, piece: Piece, tokenizer: str, counted: bool = False) -> tuple[np.ndarray, np.ndarray, Read]:
+    """For every token: the count of its word, its probability by attention; and the piece read."""
     read = _read(piece, tokenizer)
-    logs = log_probabilities(model.attention, model.pairs, read.tokens)
+    logs = log_probabilities(model.attention, model.pairs, read.tokens, counted)
     return model.counts(read.hashes)[read.tokens.which], np.exp(logs), read
 
 
-def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds: int = 10, sample: int = 50, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
-    """Fit the model on all rows of ``train``; also the table (word, n) of all word counts.
+def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: int = 50, rate: float = 0.1, seed: int = 5) -> tuple[TextModel, DataFrame]:
+    """Fit the model on the rows of ``given`` (id, held_out, text) that are not held out; also all its rows
+    with ``more``, the counts of their rarer words and pairs.
 
     Counts of words and of pairs of ids are over all texts. The attention is trained in rounds of local steps, whose changes are
     added up by parameter row; a round takes every ``sample``-th text (another part each), so
     training grows with the input. The weight of the unigram is that of highest likelihood.
     """
-    spark = train.sparkSession
-    given = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    every = given.mapInArrow(_counts(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    spark = given.sparkSession
+    train = given.where(~F.col("held_out")).select("text")
+    every = train.mapInArrow(_counts(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     every = written(every)
     counts = every.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -275,37 +328,44 @@ def fit_text_model(train: DataFrame, tokenizer: str, text: str = "text", rounds:
     order = np.argsort(hashes)
     size = Subwords.of(tokenizer).size
     attention, pairs = Attention.fresh(size, seed), _pairs(every, size)
-    held_pairs = spark.sparkContext.broadcast(pairs)
+    model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], pairs, attention, 0.5)
     soft = np.zeros_like(attention.parts, dtype=np.float64)
-    lot = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample))
-    path = fresh_dir(spark, "sample")
-    given.select(lot.alias("lot"), "text").where(F.col("lot") <= rounds).write.partitionBy("lot").parquet(path)
-    drawn = spark.read.schema("text string, lot int").parquet(path)
+    lot = F.when(~F.col("held_out"), F.least(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample)), F.lit(rounds + 1)))
+    path = fresh_dir(spark, "counted")
+    counted = _with_counts(given, every, model, tokenizer).withColumn("lot", F.coalesce(lot, F.lit(rounds + 1)).cast("int"))
+    counted.write.partitionBy("lot").parquet(path)
+    counted = spark.read.schema(f"id long, held_out boolean, text string, more {MORE}, lot int").parquet(path)
+    held_model = spark.sparkContext.broadcast(model)
     columns = ["kind string", "row int", "weight double", *[f"v{j} double" for j in range(KINDS)]]
     for i in range(rounds):
         held = spark.sparkContext.broadcast(attention)
-        changes = drawn.where(F.col("lot") == i).select("text").mapInArrow(_train(tokenizer, held, held_pairs, rate), ", ".join(columns))
+        drawn = counted.where(F.col("lot") == i).select("text", "more")
+        changes = drawn.mapInArrow(_train(tokenizer, held, held_model, rate), ", ".join(columns))
         sums = changes.groupBy("kind", "row").agg(F.sum("weight").alias("w"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(KINDS)])
         attention, soft = _advance(attention, soft, sums.toArrow(), seed + i)
         held.unpersist()
-    model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], pairs, attention, 0.5)
+    held_model.unpersist()
+    model = replace(model, attention=attention)
     held = spark.sparkContext.broadcast(model)
-    tried = drawn.where(F.col("lot") == rounds).select("text").mapInArrow(_shares(tokenizer, held), "j int, ll double")
+    tried = counted.where(F.col("lot") == rounds).select("text", "more").mapInArrow(_shares(tokenizer, held), "j int, ll double")
     best = tried.groupBy("j").agg(F.sum("ll").alias("ll")).orderBy(F.col("ll").desc(), "j").first()
     held.unpersist()
     if best is not None and best["ll"] < 0:
         model.share = float(SHARES[best["j"]])
-    return model, counts
+    return model, counted
 
 
 def _pairs(every: DataFrame, size: int) -> Pairs:
     firsts = np.zeros(size, np.int64)
     rows = every.where(F.col("kind") == FIRST).toArrow()  # at most one for each id
     firsts[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    different = np.zeros(size, np.int64)
+    rows = every.where(F.col("kind") == PAIR).groupBy(F.shiftright("key", 32).alias("id")).count().toArrow()
+    different[rows.column("id").to_numpy()] = rows.column("count").to_numpy()
     rows = every.where((F.col("kind") == PAIR) & (F.col("n") * COMMON >= int(firsts.sum()))).toArrow()
     keys = rows.column("key").to_numpy()
     order = np.argsort(keys)
-    return Pairs(keys[order], rows.column("n").to_numpy()[order], firsts)
+    return Pairs(keys[order], rows.column("n").to_numpy()[order], firsts, different)
 
 
 def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tuple[Attention, np.ndarray]:
@@ -328,7 +388,8 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
                 held[at[mine]] += change[:, : held.shape[1]].astype(np.float32)
     mine = kinds == "follow"
     if mine.any():
-        new.follow = np.clip(values[mine][np.argsort(at[mine])][:, 0] / np.maximum(values[mine][np.argsort(at[mine])][:, 1], 1), 0.01, 0.99).astype(np.float32)
+        slope, fall = values[mine][np.argsort(at[mine])][:, :2].T
+        new.follow = np.clip(old.follow + slope / np.maximum(fall, 1e-9), 0.01, 0.99).astype(np.float32)  # Newton's step
     mine = kinds == "parts"
     soft[at[mine]] += values[mine]
     all_ids = soft.sum(1)
@@ -342,37 +403,26 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
 
 
 def _score(tokenizer: str, held) -> Callable[[Batches], Batches]:
-    """(id, held_out, text) to scores; rare words are left for a join with all counts, each with its share of the mixture."""
+    """(id, held_out, text, more) to scores."""
 
     def run(batches: Batches) -> Batches:
-        model: TextModel = held.value
-        log_all = np.log10(model.total + model.different + 1)
         for b in batches:
+            model: TextModel = held.value.beside(b.column(3))
+            log_all = np.log10(model.total + model.different + 1)
             n_tokens, known, base, score = [], [], [], []
-            words_left, parts_left, n_left = [], [], []
             for piece in pieces(b.column(2), _GRAM * 8):
                 counts, attended, read = _both(model, piece, tokenizer)
-                token_ends = read.ends
-                starts = np.concatenate([[0], token_ends[:-1]])
-                common = counts > 0
-                attended = (1 - model.share) * attended
-                p = np.log10(np.maximum(model.share * model.unigram(counts) + attended, 1e-300))
-                score += np.add.reduceat(np.where(common, p, 0.0), starts).tolist()
-                base += np.add.reduceat(np.where(common, np.log10(counts + 1) - log_all, 0.0), starts).tolist()
-                known += np.add.reduceat(common.astype(np.int64), starts).tolist()
-                n_tokens += (token_ends - starts).tolist()
-                words_left.append(read.hashes[read.tokens.which[~common]].view(np.int64))
-                parts_left.append(attended[~common])
-                n_left.append(np.add.reduceat((~common).astype(np.int64), starts))
+                starts = np.concatenate([[0], read.ends[:-1]])
+                unigram = np.where(counts > 0, model.unigram(counts), 0.0)
+                p = np.maximum(model.share * unigram + (1 - model.share) * attended, 1e-300)
+                score.append(np.add.reduceat(np.log10(p), starts))
+                base.append(np.add.reduceat(np.log10(counts + 1) - log_all, starts))
+                known.append(np.add.reduceat((counts > 0).astype(np.int64), starts))
+                n_tokens.append(read.ends - starts)
             if not n_tokens:
                 continue
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate(n_left))]).astype(np.int32)
-            left = [pa.array(np.concatenate(x)) for x in (words_left, parts_left)]
-            rare = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(left, ["word", "attended"]))
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare],
-                names=["id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
+            columns = [pa.array(np.concatenate(x)) for x in (n_tokens, known, base, score)]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -383,38 +433,22 @@ def score_texts(docs: DataFrame, held_out: Column, tokenizer: str, id: str = "do
     Rows of which ``held_out`` is not true (NULL counts as not held out) are learned from. Tokens are the lower-cased words and
     one end. ``base_score`` adds up log10((c + 1) / (N + V + 1)) with the exact count c of every
     token; ``score`` is the log10 probability by the model: for each token, the mixture of the word
-    unigram of common words and the product of its subwords' probabilities by causal attention. A NULL
+    unigram and the product of its subwords' probabilities by causal attention and counted pairs. A NULL
     text is empty: its only token is the end. Without training rows all counts are 0. Rows without
     an id and repeated rows are scored like any other. Other columns are ignored.
 
-    Common words (at most 2^20, by their share of the tokens) are known to every task; the others leave
-    the scoring pass once per text and meet the table of all counts in a join.
+    Common words and pairs (at most 2^20 of each, by their share) are known to every task; the counts of
+    all others meet the texts that hold them in a join before the training, so training, mixture
+    weight and scores use the same full counts.
     """
-    given = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    model, counts = fit_text_model(given.where(~F.col("held_out")), tokenizer, **options)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = given.mapInArrow(
-        _score(tokenizer, held),
-        "id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: long, attended: double>>",
+    given = docs.select(
+        F.col(id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.attended")
-    everything = float(model.total + model.different + 1)
-    met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    unigram = F.when(F.col("n") > 0, model.share * (F.col("n") + 1) / everything).otherwise(0.0)
-    met = met.groupBy("row").agg(
-        F.sum(F.log10(F.col("n") + 1) - float(np.log10(everything))).alias("rare_base"),
-        F.sum(F.log10(F.greatest(unigram + F.col("attended"), F.lit(1e-300)))).alias("rare_score"),
-        F.sum((F.col("n") > 0).cast("long")).alias("rare_known"),
+    model, counted = fit_text_model(given, tokenizer, **options)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = counted.select("id", "held_out", "text", "more").mapInArrow(
+        _score(tokenizer, held), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    met = written(met)
-    out = scored.drop("rare").join(met, "row", "left")
-    return out.select(
-        F.col("id").alias(id),
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+    return scored.select(
+        F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
