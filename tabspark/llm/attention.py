@@ -213,9 +213,8 @@ def forward(model: Attention, x: np.ndarray, projected: tuple[np.ndarray, ...],
     return z, {"late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
 
 
-def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, counted: bool = False, step: int = 64) -> np.ndarray:
-    """The natural log probability of every token; each is scored once. ``counted``: whether the texts are
-    among those whose pairs were counted."""
+def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 64) -> np.ndarray:
+    """The natural log probability of every token; each is scored once."""
     x = _inputs(model, tokens)
     at, scored = windows(tokens.texts)
     projected = project(model, x)
@@ -230,20 +229,22 @@ def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, counted: b
         part = slice(a, a + 8192)
         mixed[part] = np.einsum("ik,ik->i", weights[tokens.owner[part]], model.parts[tokens.ids[part]])
     follow = model.follow[tokens.later]
-    paired, left = pairs.probability(tokens.before, tokens.ids, tokens.row[tokens.owner] if counted else None)
+    paired, left = pairs.probability(tokens.before, tokens.ids)
     p = follow * paired + (1 - follow + follow * left) * mixed
     return np.add.reduceat(np.log(np.maximum(p, np.float32(1e-30)).astype(np.float64)), tokens.begins)
 
 
 def learn(
     model: Attention, pairs: Pairs, tokens: Tokens, soft: np.ndarray, follow: np.ndarray, rate: float, step: int = 128
-) -> None:
+) -> np.ndarray:
     """One pass over the windows of some texts: Adagrad steps on the attention, in place; expected counts
     of (id, kind) are added to ``soft``, and the slope of the log likelihood by ``follow`` and its fall to ``follow``. The texts are among
-    the counted ones, so every pair is counted in the other texts only."""
+    the counted ones, so every pair is counted in the other texts only. The log probability of every token,
+    before the step that learns from it, is returned."""
     at, scored = windows(tokens.texts)
     paired, left = pairs.probability(tokens.before, tokens.ids, tokens.row[tokens.owner])
     size = tokens.ends - tokens.begins
+    logs = np.zeros(len(size))
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
         lo, hi = places[places >= 0].min(), places.max() + 1  # windows follow each other
@@ -266,6 +267,7 @@ def learn(
         mixed, rest = joint.sum(1), 1 - f + f * left[i]
         total = f * paired[i] + rest * mixed + np.float32(1e-30)
         slope = (paired[i] - (1 - left[i]) * mixed) / total
+        logs[token] = np.add.reduceat(np.log(total.astype(np.float64)), np.cumsum(n) - n)
         posterior = joint * (rest / total)[:, None]
         _add_rows(soft, ids, posterior)
         for late in (0, 1):
@@ -308,6 +310,7 @@ def learn(
         rows = np.add.reduceat(to_token[part.owner[order]], first, axis=0)
         _adagrad(model, "embed", known, rows, rate)
         _adagrad(model, "embed", np.array([tokens.start]), at_place[start].sum(0)[None], rate)
+    return logs
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

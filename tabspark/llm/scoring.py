@@ -253,13 +253,14 @@ def _train(tokenizer: str, held, held_model, rate: float) -> Callable[[Batches],
     def run(batches: Batches) -> Batches:
         old: Attention = held.value
         model = copy.deepcopy(old)
-        soft, follow, n = np.zeros_like(model.parts), np.zeros((2, 2)), 0
+        soft, follow, shares, n = np.zeros_like(model.parts), np.zeros((2, 2)), np.zeros(len(SHARES)), 0
         for b in batches:
-            pairs = held_model.value.beside(b.column(1)).pairs
+            counted = held_model.value.beside(b.column(1))
             for piece in pieces(b.column(0), _GRAM):
-                tokens = _read(piece, tokenizer).tokens
-                learn(model, pairs, tokens, soft, follow, rate)
-                n += len(tokens.ids)
+                read = _read(piece, tokenizer)
+                attended = np.exp(learn(model, counted.pairs, read.tokens, soft, follow, rate))
+                shares += _likelihoods(counted, read, attended)
+                n += len(read.tokens.ids)
         if not n:
             return
         rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -272,6 +273,7 @@ def _train(tokenizer: str, held, held_model, rate: float) -> Callable[[Batches],
             change = getattr(model, name) - getattr(old, name)
             rows.append((name, np.arange(len(change)), np.full(len(change), n), change * n))
         rows.append(("follow", np.arange(2), np.ones(2), follow))
+        rows.append(("share", np.arange(len(SHARES)), np.ones(len(SHARES)), shares[:, None]))
         rows.append(("recency", np.array([0]), np.array([n]), (model.recency - old.recency)[None] * n))
         for name, at, weight, values in rows:
             if len(at):
@@ -284,28 +286,17 @@ def _train(tokenizer: str, held, held_model, rate: float) -> Callable[[Batches],
     return run
 
 
-def _shares(tokenizer: str, held) -> Callable[[Batches], Batches]:
-    """Log likelihood of texts for each weight between unigram and attention."""
-
-    def run(batches: Batches) -> Batches:
-        total = np.zeros(len(SHARES))
-        for b in batches:
-            model: TextModel = held.value.beside(b.column(1))
-            for piece in pieces(b.column(0), _GRAM):
-                counts, attended, read = _both(model, piece, tokenizer, counted=True)
-                counts = counts - of_own_row(read.tokens.which, read.tokens.row)
-                known = np.where(counts > 0, model.unigram(counts), 0.0)
-                for j, share in enumerate(SHARES):
-                    total[j] += np.log(share * known + (1 - share) * attended + 1e-300).sum()
-        yield pa.record_batch([pa.array(np.arange(len(SHARES), dtype=np.int32)), pa.array(total)], names=["j", "ll"])
-
-    return run
+def _likelihoods(model: TextModel, read: Read, attended: np.ndarray) -> np.ndarray:
+    """Log likelihood of learned texts for each weight between unigram and attention."""
+    counts = model.counts(read.hashes)[read.tokens.which] - of_own_row(read.tokens.which, read.tokens.row)
+    known = np.where(counts > 0, model.unigram(counts), 0.0)
+    return np.array([np.log(share * known + (1 - share) * attended + 1e-300).sum() for share in SHARES])
 
 
-def _both(model: TextModel, piece: Piece, tokenizer: str, counted: bool = False) -> tuple[np.ndarray, np.ndarray, Read]:
+def _both(model: TextModel, piece: Piece, tokenizer: str) -> tuple[np.ndarray, np.ndarray, Read]:
     """For every token: the count of its word, its probability by attention; and the piece read."""
     read = _read(piece, tokenizer)
-    logs = log_probabilities(model.attention, model.pairs, read.tokens, counted)
+    logs = log_probabilities(model.attention, model.pairs, read.tokens)
     return model.counts(read.hashes)[read.tokens.which], np.exp(logs), read
 
 
@@ -314,8 +305,10 @@ def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: i
     with ``more``, the counts of their rarer words and pairs.
 
     Counts of words and of pairs of ids are over all texts. The attention is trained in rounds of local steps, whose changes are
-    added up by parameter row; a round takes every ``sample``-th text (another part each), so
-    training grows with the input. The weight of the unigram is that of highest likelihood.
+    added up by parameter row. Texts are dealt into ``sample`` lots and the lots over the rounds, so every text
+    is learned from. While all parts are equal they give the attention no direction, so the first lot comes
+    once more in the end. The weight of the unigram is that of highest likelihood of all texts, each
+    by the parameters before the steps that learn from it; a later round weighs twice the one before.
     """
     spark = given.sparkSession
     train = given.where(~F.col("held_out")).select("text")
@@ -330,28 +323,25 @@ def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: i
     attention, pairs = Attention.fresh(size, seed), _pairs(every, size)
     model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], pairs, attention, 0.5)
     soft = np.zeros_like(attention.parts, dtype=np.float64)
-    lot = F.when(~F.col("held_out"), F.least(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample)), F.lit(rounds + 1)))
+    shares = np.zeros(len(SHARES))
+    lot = F.pmod(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample)), F.lit(max(rounds, 1)))
     path = fresh_dir(spark, "counted")
-    counted = _with_counts(given, every, model, tokenizer).withColumn("lot", F.coalesce(lot, F.lit(rounds + 1)).cast("int"))
+    counted = _with_counts(given, every, model, tokenizer).withColumn("lot", F.when(F.col("held_out"), -1).otherwise(lot).cast("int"))
     counted.write.partitionBy("lot").parquet(path)
     counted = spark.read.schema(f"id long, held_out boolean, text string, more {MORE}, lot int").parquet(path)
     held_model = spark.sparkContext.broadcast(model)
     columns = ["kind string", "row int", "weight double", *[f"v{j} double" for j in range(KINDS)]]
-    for i in range(rounds):
+    for i, own in enumerate([*range(rounds), *range(min(rounds, 1))]):
         held = spark.sparkContext.broadcast(attention)
-        drawn = counted.where(F.col("lot") == i).select("text", "more")
+        drawn = counted.where(F.col("lot") == own).select("text", "more")
         changes = drawn.mapInArrow(_train(tokenizer, held, held_model, rate), ", ".join(columns))
         sums = changes.groupBy("kind", "row").agg(F.sum("weight").alias("w"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(KINDS)])
-        attention, soft = _advance(attention, soft, sums.toArrow(), seed + i)
+        attention, soft, shares = _advance(attention, soft, shares, sums.toArrow(), seed + i)
         held.unpersist()
     held_model.unpersist()
     model = replace(model, attention=attention)
-    held = spark.sparkContext.broadcast(model)
-    tried = counted.where(F.col("lot") == rounds).select("text", "more").mapInArrow(_shares(tokenizer, held), "j int, ll double")
-    best = tried.groupBy("j").agg(F.sum("ll").alias("ll")).orderBy(F.col("ll").desc(), "j").first()
-    held.unpersist()
-    if best is not None and best["ll"] < 0:
-        model.share = float(SHARES[best["j"]])
+    if shares.any():
+        model.share = float(SHARES[np.argmax(shares)])
     return model, counted
 
 
@@ -368,15 +358,15 @@ def _pairs(every: DataFrame, size: int) -> Pairs:
     return Pairs(keys[order], rows.column("n").to_numpy()[order], firsts, different)
 
 
-def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tuple[Attention, np.ndarray]:
+def _advance(old: Attention, soft: np.ndarray, shares: np.ndarray, sums: pa.Table, seed: int) -> tuple[Attention, np.ndarray, np.ndarray]:
     """The next parameters: changes averaged over tasks, parts from expected counts of all rounds, of
-    which a later round weighs twice the one before."""
+    which a later round weighs twice the one before, and so do the likelihoods by share."""
     new = copy.deepcopy(old)
     new.seen = {}
     kinds = np.array(sums.column("kind").to_pylist(), object)
     at, weight = sums.column("row").to_numpy(), sums.column("w").to_numpy()
     values = np.column_stack([sums.column(f"v{j}").to_numpy() for j in range(KINDS)])
-    soft = soft / 2
+    soft, shares = soft / 2, shares / 2
     for name in NAMES:
         mine = kinds == name
         if mine.any():
@@ -386,6 +376,8 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
                 held += change[0, : held.shape[0]].astype(np.float32)
             else:
                 held[at[mine]] += change[:, : held.shape[1]].astype(np.float32)
+    mine = kinds == "share"
+    shares[at[mine]] += values[mine][:, 0]
     mine = kinds == "follow"
     if mine.any():
         slope, fall = values[mine][np.argsort(at[mine])][:, :2].T
@@ -399,7 +391,7 @@ def _advance(old: Attention, soft: np.ndarray, sums: pa.Table, seed: int) -> tup
         if not old.seen and (old.parts == old.parts[0, 0]).all():  # first counts: the kinds are told apart
             each = every[:, None] * np.exp(0.7 * np.random.default_rng(seed).standard_normal(soft.shape))
         new.parts = (each / each.sum(0)).astype(np.float32)
-    return new, soft
+    return new, soft, shares
 
 
 def _score(tokenizer: str, held) -> Callable[[Batches], Batches]:

@@ -25,3 +25,14 @@ def test_rare_pairs_and_words_score_like_common_ones(spark, monkeypatch):
         return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in rows)
 
     assert scores(1) == scores(100) == scores(1 << 20)
+
+
+def test_every_text_is_learned_from(spark):
+    texts = [f"{a}{b} " * 40 for a in "bcdfghklmnprst" for b in ("olume", "arvest", "idnight")]
+    given = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "id long, held_out boolean, text string")
+    path = public_vocabulary(VOCABULARY)
+    model, _ = scoring.fit_text_model(given, path, rounds=2)
+    encode = scoring.Subwords.of(path).encoding.encode_ordinary
+    used = sorted({i for t in texts for i in encode(" " + t.split()[0])})
+    fresh = scoring.Attention.fresh(scoring.Subwords.of(path).size, 5)
+    assert (model.attention.embed[used] != fresh.embed[used]).any(1).all()
