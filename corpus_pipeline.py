@@ -31,14 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that of least id.
-    Equal rows of that id are copies too, and one of them stays."""
-    gone = written(near_duplicates(docs, n=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    named = left.where("doc_id IS NOT NULL")
-    # An id that stays may stand in several rows.
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("x"))
-    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"x.{c}") for c in docs.columns])
-    return one.union(left.where("doc_id IS NULL").select(*docs.columns))
+    Equal rows are copies too; different texts of one id are different documents. Rows without an id stay."""
+    named = docs.where("doc_id IS NOT NULL").distinct().sort("doc_id", F.xxhash64("text"))
+    named = written(named.withColumn("_row", F.monotonically_increasing_id()))
+    gone = near_duplicates(named, id="_row", n=5, percent=80).where("NOT kept").select("_row")
+    left = named.join(written(gone), "_row", "left_anti").select(*docs.columns)
+    return left.union(docs.where("doc_id IS NULL"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +46,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it (0 to 3 times)."""
-    taken = written(mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies"))
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mix_sources(docs, keep=docs.columns).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabspark.functions.session import written
@@ -23,8 +24,8 @@ CELL_BITS = 12
 def _sizes(batches: Batches) -> Batches:
     for b in batches:
         yield pa.record_batch(
-            [b.column(0), b.column(1), b.column(2), pa.array(word_counts(b.column(3)), pa.int64())],
-            names=["id", "source", "u", "size"],
+            [b.column(0), b.column(1), b.column(2), b.column(4), pa.array(word_counts(b.column(3)), pa.int64())],
+            names=["id", "source", "u", "kept", "size"],
         )
 
 
@@ -132,8 +133,10 @@ def mix_sources(
     share: float = 1.0,
     most: int = 3,
     seed: int = 11,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) of every row: how often the mix takes it.
+    """(id, size, source_size, target, copies, taken) of every row: how often the mix takes it; or the
+    columns ``keep`` of every row and its copies.
 
     The size is the number of words of the whole text (NULL: 0). Sources in code point order, NULL last,
     weigh ``weights`` in turn and share ``share`` of all words; no target is above ``most`` times its
@@ -145,8 +148,10 @@ def mix_sources(
     Other columns are ignored.
     """
     placed = F.expr(f"shiftright(xxhash64(`{id}`, `{text}`, {seed}L) & 9223372036854775807L, 3)")
-    given = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), placed.alias("u"), F.col(text).alias("text"))
-    sized = written(given.mapInArrow(_sizes, "id long, source string, u long, size long").select("id", _source_key("source").alias("key"), "u", "size"))
+    kept = F.struct(*[F.col(c) for c in keep or []]) if keep else F.lit(True)
+    given = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), placed.alias("u"), F.col(text).alias("text"), kept.alias("kept"))
+    schema = T.StructType.fromDDL("id long, source string, u long").add(given.schema["kept"]).add("size", "long")
+    sized = written(given.mapInArrow(_sizes, schema).select("id", _source_key("source").alias("key"), "u", "size", "kept"))
     sources = written(sized.groupBy("key").agg(F.sum("size").alias("source_size")))
     targets = written(_targets(sources, weights, share, float(most)))
     tilts = _rates(sized, targets, float(most))
@@ -157,6 +162,8 @@ def mix_sources(
     cuts = _cuts(sized, extra.where("wanted > 0"))
     plan = written(plan.join(cuts, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")))
     copies = F.least(F.lit(most), F.col("whole") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0)).cast("int")
+    if keep:  # rows carry their decision, whatever their ids
+        return sized.join(plan, "key").select("kept", copies.alias("_copies")).select(*[F.col("kept")[c].alias(c) for c in keep], F.col("_copies").alias("copies"))
     return (
         sized.join(plan, "key")
         .select(F.col("id").alias(id), "size", "source_size", "target", copies.alias("copies"))
