@@ -207,10 +207,11 @@ def calibration(scored: DataFrame, n_bins: int = 10) -> DataFrame:
     index = F.lit(n_bins - 1)
     for i in range(n_bins - 1, 0, -1):
         index = F.when(F.col("score") <= F.lit(i * step), i - 1).otherwise(index)
+    n = F.col("pos") + F.col("neg")  # a row stands for all rows of its score and label
     return rows.groupBy(index.alias("bin")).agg(
-        F.avg("score").alias("mean_predicted"),
-        F.avg("pos").alias("fraction_positive"),
-        F.count(F.lit(1)).alias("row_count"),
+        (F.sum(F.col("score") * n) / F.sum(n)).alias("mean_predicted"),
+        (F.sum("pos") / F.sum(n)).alias("fraction_positive"),
+        F.sum(n).alias("row_count"),
     )
 
 

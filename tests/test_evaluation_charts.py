@@ -48,6 +48,15 @@ def test_calibration_edges_belong_to_the_lower_bin(spark):
         v.calibration(df.withColumn("probability", F.col("probability") * 2))
 
 
+def test_calibration_counts_rows_not_scores(spark):
+    rows = [(1, 0.32)] * 5 + [(0, 0.32)] * 3 + [(1, 0.38)] + [(0, 0.75)] * 4
+    df = spark.createDataFrame(rows, "label int, probability double")
+    got = {r["bin"]: tuple(r)[1:] for r in v.calibration(df).collect()}
+    assert got[3] == pytest.approx(((8 * 0.32 + 0.38) / 9, 6 / 9, 9)) and got[7] == (0.75, 0.0, 4)
+    gap = v.calibration_gap(df).first()[0]
+    assert gap == pytest.approx((abs(6 / 9 - (8 * 0.32 + 0.38) / 9) + 0.75) / 2, abs=5e-5)
+
+
 def test_metrics_cover_labels_never_predicted(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a")], "label string, prediction string")
     got = {r["class"]: tuple(r)[1:] for r in v.classification_metrics(df).collect()}

@@ -75,7 +75,7 @@ def test_hash_cuts_without_small_sides(spark, monkeypatch):
 
 
 def test_shared_keys_are_refused_and_row_ids_help(spark):
-    df = spark.createDataFrame([("a",)] * 30 + [("b",)] * 10, "k string")
+    df = spark.createDataFrame([(k, i) for i, k in enumerate("a" * 30 + "b" * 10)], "k string, i long")
     with pytest.raises(Exception, match="share the key"):
         ordering.first_rows(df, 7, ["k"]).collect()
     kept = ordering.first_rows(ordering.with_row_id(df), 7, ["row_id"])
