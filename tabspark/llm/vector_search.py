@@ -148,9 +148,12 @@ def top_inner_products(
     ends = exact.select("dims", "exact").mapInArrow(_ranges, "dims int, place int, low long, high long")
     ends = ends.groupBy("dims", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     grid: Grid = {}
-    for n, rows in ends.orderBy("dims", "place").toPandas().groupby("dims"):  # as long as the vectors are
-        low = rows["low"].to_numpy(np.int64)
-        grid[int(n)] = (low, np.maximum(1, -(-(rows["high"].to_numpy(np.int64) - low + 1) // (1 << CELL_BITS))))
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for row in ends.orderBy("dims", "place").collect():  # as long as the vectors are
+        spans.setdefault(row["dims"], []).append((row["low"], row["high"]))
+    for n, span in spans.items():
+        low, high = np.array(span, np.int64).T
+        grid[n] = (low, np.maximum(1, -(-(high - low + 1) // (1 << CELL_BITS))))
     grid[0] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     file = written(exact.mapInArrow(_cells(grid), "id long, dims int, exact binary, cells binary"))
 
