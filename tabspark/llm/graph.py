@@ -70,3 +70,22 @@ def components(links: DataFrame) -> DataFrame:
             break
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(links.select("b", "b").distinct())
+
+
+def key_components(links: DataFrame) -> DataFrame:
+    """``components`` for nodes of any ordered type, by DataFrame operations only."""
+    both = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    links = written(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = _state(links)
+    while state[0]:
+        turned = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = turned.join(_lowest(turned), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = written(large.distinct())
+        low = _lowest(large)
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        links = written(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        before, state = state, _state(links)
+        if before == state:
+            break
+    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.union(links.select("b", "b").distinct())

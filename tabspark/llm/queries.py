@@ -18,6 +18,7 @@ from .scoring import score_texts
 from .sharding import extendible_shards
 from .text import id_crc32
 from .token_files import read_token_files, write_token_files
+from .url_filter import HIDDEN, TAGS, VALUE, judge_urls
 from .vector_search import top_inner_products
 
 SHARD_BYTES = 1 << 20
@@ -157,6 +158,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+# The rules that the query is asked to apply, as (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def _url_sql(url: str) -> str:
+    """Columns rest, host, path of a URL."""
+    rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"{rest} AS rest, translate(regexp_extract({rest}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
+
+
+def _attribute_sql(name: str) -> str:
+    pattern = (r"(?is)\s" + name + VALUE).replace("'", "''")
+    value = " || ".join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3))
+    return f"trim(replace({value}, '&amp;', '&'))"
+
+
+def _ruled_sql(column: int) -> str:
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = "".join(
+        f" WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(h + p, kind)[column]}'" for kind, h, p in longest
+    )
+    return f"CASE{cases} END"
+
+
+_TARGET = f"""CASE WHEN tag ILIKE '<link%' AND list_contains(regexp_split_to_array(lower({_attribute_sql("rel")}), '\\s+'), 'canonical') THEN {_attribute_sql("href")}
+  WHEN tag ILIKE '<meta%' AND lower({_attribute_sql("http-equiv")}) = 'refresh'
+  THEN trim(regexp_extract({_attribute_sql("content")}, '(?is)^[^;,]*[;,]\\s*url\\s*=\\s*[''"]?([^''"]*)', 1)) END"""
+_FULL = """CASE WHEN target = '' OR starts_with(target, '#') THEN NULL WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+  WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(target, '/') THEN site || target WHEN starts_with(target, '?') THEN site || path || target
+  ELSE site || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(?s)(.*/)', 1) ELSE '/' END || target END"""
+_KEY = "CASE WHEN host <> '' THEN md5(host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1)) END"
+
+
+@query(
+    "op13_url_verdicts",
+    f"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, split_part(url, '://', 1) AS scheme, {_url_sql("coalesce(url, '')")} FROM pages
+),
+tags AS (
+  SELECT url, scheme, path, scheme || '://' || host AS site,
+    unnest(regexp_extract_all(regexp_replace(html, '{HIDDEN}', ' ', 'g'), '{TAGS}')) AS tag FROM p WHERE host <> ''
+),
+links AS (SELECT url AS u, {_FULL} AS v FROM (SELECT *, {_TARGET} AS target FROM tags) WHERE target IS NOT NULL),
+ends AS (SELECT DISTINCT u FROM (SELECT u FROM links WHERE v IS NOT NULL UNION ALL SELECT v FROM links WHERE v IS NOT NULL)),
+keys AS (SELECT u, {_KEY} AS k, {_ruled_sql(1)} AS verdict FROM (SELECT u, {_url_sql("u")} FROM ends)),
+one_way AS (SELECT a.k AS x, b.k AS y FROM links l JOIN keys a ON a.u = l.u JOIN keys b ON b.u = l.v WHERE a.k IS NOT NULL AND b.k IS NOT NULL),
+both_ways AS (SELECT x, y FROM one_way UNION SELECT y, x FROM one_way),
+reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+judged AS (SELECT r.x, bool_or(verdict = 'allow') AS allowed FROM reach r JOIN keys ON k = r.y WHERE verdict IS NOT NULL GROUP BY 1),
+q AS (SELECT page_id, host, path, {_ruled_sql(0)} AS rule, {_ruled_sql(1)} AS own, {_KEY} AS k FROM p)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN NOT allowed THEN 'block' ELSE 'allow' END) AS verdict,
+  own IS NULL AND coalesce(NOT allowed, false) AS by_alias
+FROM q LEFT JOIN judged ON x = k""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
