@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .catalog import QUERIES, SQL, query, table
 from .chat import CONTROLS, conversation_digests, format_conversations
 from .decontaminate import contaminated
+from .divergence import source_divergence
 from .language import fit_languages, predict_language
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -158,6 +159,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+def _share_sql(n: str, total: str) -> str:
+    return f"CAST(1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v) AS bigint)"
+
+
+@query(
+    "op11_source_divergence",
+    f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(ln) AS ltotal FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_share_sql("coalesce(c.n, 0)", "coalesce(s.total, 0)")} AS p, {_share_sql("k.ln", "ltotal")} AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS bigint) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM dense WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS integer) AS rank FROM every
+) WHERE part = 'pair' OR rank <= 50""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 # The rules that the query is asked to apply, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
