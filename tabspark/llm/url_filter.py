@@ -33,23 +33,29 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def url_key(url: Column) -> Column:
+def url_key(url: Column, host: Column | None = None, path: Column | None = None) -> Column:
     """One key of fixed width for the spellings of a URL that reach the same page: without scheme and
     fragment, the host in lower case, an empty path as ``/``. NULL where there is no host."""
-    path, query = url_path(url), F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    host = url_host(url)
+    host, path = url_host(url) if host is None else host, url_path(url) if path is None else path
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
     return F.when(host != "", F.md5(F.concat(host, F.when(path == "", "/").otherwise(path), query)))
 
 
-def _ruled(url: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits; of equally long ones an allowing one, then the first by text."""
-    host, path = url_host(url), url_path(url)
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+def _ruled(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
+    """(rule, verdict) of the longest rule that fits, else NULL; of equally long ones an allowing one, then the first by text."""
+    found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for kind, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]), reverse=True):
         h = h.translate(str.maketrans(_UPPER, _LOWER))
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        text, verdict = F.when(fits, F.lit(h + p)).otherwise(text), F.when(fits, F.lit(kind)).otherwise(verdict)
-    return text, verdict
+        found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(kind).alias("verdict"))).otherwise(found)
+    return found
+
+
+def _addresses(rows: DataFrame, url: str, rules: Sequence[Rule], *keep: str) -> DataFrame:
+    """(kept columns, host, path, ruled, key) of a column of URLs."""
+    parts = rows.select(*keep, url, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    host, path = F.col("host"), F.col("path")
+    return parts.select(*keep, host, path, _ruled(host, path, rules).alias("ruled"), url_key(F.col(url), host, path).alias("key"))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -91,8 +97,10 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
     after = F.regexp_extract(_attribute(tag, "content"), r"""(?is)^[^;,]*[;,]\s*url\s*=\s*['"]?([^'"]*)""", 1)
     target = F.when(is_link & canonical, _attribute(tag, "href")).when(is_meta & refresh, F.trim(after))
-    found = tags.select("from_url", _resolved(F.col("from_url"), target).alias("to_url"))
-    return found.where(F.col("to_url").isNotNull())
+    # Exploding drops NULLs and keeps later filters from repeating these expressions.
+    found = tags.select("from_url", F.explode(F.array_compact(F.array(target))).alias("target"))
+    full = _resolved(F.col("from_url"), F.col("target"))
+    return found.select("from_url", F.explode(F.array_compact(F.array(full))).alias("to_url"))
 
 
 def judge_urls(
@@ -121,28 +129,22 @@ def judge_urls(
     links = page_links(pages, url, html)
     if redirects is not None:
         links = links.union(redirects.select("from_url", "to_url"))
-    ends = [
-        F.struct(url_key(F.col(c)).alias("key"), _ruled(F.col(c), rules)[1].alias("verdict")) for c in ("from_url", "to_url")
-    ]
-    edges = links.select(ends[0].alias("f"), ends[1].alias("t")).where("f.key IS NOT NULL AND t.key IS NOT NULL")
-    edges = written(edges.distinct())
-    ruled = edges.select("f.*").union(edges.select("t.*")).where("verdict IS NOT NULL").distinct()
-    groups = key_components(edges.select(F.col("f.key").alias("a"), F.col("t.key").alias("b")))
+    ends = links.select("from_url", "to_url").union(links.select("to_url", "from_url")).where("from_url IS NOT NULL")
+    ends = _addresses(ends.distinct(), "from_url", rules, "to_url").where("key IS NOT NULL")
+    ends = written(ends.select("key", "ruled.verdict", url_key(F.col("to_url")).alias("other")).where("other IS NOT NULL").distinct())
+    ruled = ends.where("verdict IS NOT NULL").select("key", "verdict").distinct()
+    groups = key_components(ends.select(F.col("key").alias("a"), F.col("other").alias("b")))
     groups = groups.select(F.col("node").alias("key"), "component")
     allowed = F.bool_or(F.col("verdict") == "allow")
     blocked = groups.join(ruled, "key").groupBy("component").agg(allowed.alias("allowed")).where("NOT allowed")
-    blocked = written(groups.join(blocked.select("component"), "component").select("key"))
-
-    address = F.coalesce(F.col(url), F.lit(""))
-    rule, verdict = _ruled(address, rules)
-    judged = pages.select(
-        F.col(id).alias(id), url_host(address).alias("host"), url_path(address).alias("path"), rule.alias("rule"),
-        verdict.alias("_own"), url_key(address).alias("_key"),
-    )
-    decided, open_ = judged.where("_own IS NOT NULL"), judged.where("_own IS NULL")
-    keyed = open_.where("_key IS NOT NULL").join(blocked.withColumn("by_alias", F.lit(True)), F.col("_key") == F.col("key"), "left").drop("key")
-    rest = decided.union(open_.where("_key IS NULL")).withColumn("by_alias", F.lit(False))
-    by_alias = F.coalesce("by_alias", F.lit(False))
-    return keyed.union(rest).select(
-        id, "host", "path", "rule", F.coalesce("_own", F.when(by_alias, "block").otherwise("allow")).alias("verdict"), by_alias.alias("by_alias")
-    )
+    blocked = written(groups.join(blocked.select("component"), "component").select(F.col("key").alias("blocked_key")))
+
+    asked = pages.select(F.col(id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
+    judged = _addresses(asked, "url", rules, "id")
+    # Rows that need no alias meet nothing, and are spread over all tasks.
+    none = F.concat(F.lit("-"), F.xxhash64("id", "host", "path").cast("string"))
+    judged = judged.withColumn("key", F.coalesce(F.when(F.col("ruled").isNull(), F.col("key")), none))
+    met = judged.join(blocked, F.col("key") == F.col("blocked_key"), "left")
+    by_alias = F.col("blocked_key").isNotNull()
+    verdict = F.coalesce("ruled.verdict", F.when(by_alias, "block").otherwise("allow"))
+    return met.select(F.col("id").alias(id), "host", "path", "ruled.rule", verdict.alias("verdict"), by_alias.alias("by_alias"))

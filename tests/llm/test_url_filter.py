@@ -63,10 +63,10 @@ def test_equals_sql(spark):
 
 def test_long_chains_and_a_hot_target_equal_union_find(spark):
     rng = random.Random(4)
-    names = [f"http://h{i}.example.com/p" for i in range(400)] + ["http://bad.net/"] + [f"http://ok.example.net/en/{i}" for i in range(5)]
-    links = [(names[i], names[i + 1]) for i in range(60)] + [(n, "http://bad.net/") for n in names[100:250]]
-    links += [(rng.choice(names[250:]), rng.choice(names[250:400])) for _ in range(90)] + [(None, names[3]), (names[3], "nowhere")]
-    links += [(names[59], "http://other.net/x"), (names[300], "http://other.net/y"), (names[400 - 1], "http://ok.example.net/en/1")]
+    names = [f"http://h{i}.example.com/p" for i in range(160)] + ["http://bad.net/"] + [f"http://ok.example.net/en/{i}" for i in range(5)]
+    links = [(names[i], names[i + 1]) for i in range(30)] + [(n, "http://bad.net/") for n in names[40:110]]
+    links += [(rng.choice(names[110:]), rng.choice(names[110:160])) for _ in range(40)] + [(None, names[3]), (names[3], "nowhere")]
+    links += [(names[29], "http://other.net/x"), (names[120], "http://other.net/y"), (names[160 - 1], "http://ok.example.net/en/1")]
     parent = {n: n for pair in links for n in pair if n and "://" in n}
 
     def root(n):
