@@ -14,6 +14,7 @@ from .divergence import source_divergence
 from .language import fit_languages, predict_language
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .negatives import hard_negatives
 from .repeats import remove_repeats
 from .scoring import score_texts
 from .sharding import extendible_shards
@@ -193,6 +194,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op12_hard_negatives",
+    """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS double)) AS bigint) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.e, c.e)]) AS bigint) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+),
+p AS (SELECT * FROM (SELECT a, c, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, c) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (
+  SELECT p.a, p.c AS positive, s.c AS negative, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT a AS anchor_id, positive AS positive_id, CAST(r AS integer) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(given.withColumn("label", moved))
+
+
 # The rules that the query is asked to apply, as (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
