@@ -15,8 +15,8 @@ from tabspark.functions.session import written
 
 Batches = Iterator[pa.RecordBatch]
 
-MOST_CLUSTERS = 256
-MEMBERS_PER_CLUSTER = 128
+MOST_CLUSTERS = 8  # a row is in as many lists at most, whatever the size of the input
+MEMBERS_PER_CLUSTER = 8
 SAMPLE_ANCHORS = 8192
 SAFE_ANGLE = 1e-6
 STEP = 512
@@ -24,16 +24,27 @@ EXACT_IN_DOUBLE = float(1 << 53)
 
 
 def _integer(batches: Batches) -> Batches:
-    """(id, label, vector) to (id, label, dims, exact, norm): floor(256 * x) of each component, as 64-bit integers."""
+    """(id, label, vector) to (id, label, dims, exact, norm): floor(256 * x) of each component, as integers of
+    16 bits where all fit, else of 64."""
     for b in batches:
-        exact = [np.floor(256.0 * np.array(v, np.float64)).astype("<i8") for v in b.column(2).to_pylist()]
+        exact = [np.floor(256.0 * np.array(v, np.float64)) for v in b.column(2).to_pylist()]
+        exact = [e.astype("<i2" if np.abs(e).max(initial=0) < 1 << 15 else "<i8") for e in exact]
         norms = [float(np.sqrt(np.square(e.astype(np.float64)).sum())) for e in exact]
         columns = [pa.array([len(e) for e in exact], pa.int32()), pa.array([e.tobytes() for e in exact], pa.binary()), pa.array(norms, pa.float64())]
         yield pa.record_batch([b.column(0), b.column(1), *columns], names=["id", "label", "dims", "exact", "norm"])
 
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), dims)
+    return _stack(column.to_pylist(), dims)
+
+
+def _stack(rows: list[bytes], dims: int) -> np.ndarray:
+    out = np.empty((len(rows), dims), np.int64)
+    short = np.array([len(r) == 2 * dims for r in rows], bool)
+    for kind, which in (("<i2", short), ("<i8", ~short)):
+        at = np.flatnonzero(which)
+        out[at] = np.frombuffer(b"".join([rows[i] for i in at]), kind).reshape(len(at), dims)
+    return out
 
 
 def _products(a: np.ndarray, b: np.ndarray, largest: float) -> np.ndarray:
@@ -58,7 +69,7 @@ class Clusters:
             by_dims.setdefault(dims, []).append(exact)
         number = 1  # 0 is the cluster of lengths that the sample lacks
         for dims in sorted(by_dims):
-            x = np.frombuffer(b"".join(by_dims[dims]), "<i8").reshape(len(by_dims[dims]), dims).astype(np.float64)
+            x = _stack(by_dims[dims], dims).astype(np.float64)
             x = x[np.square(x).sum(axis=1) > 0]
             wanted = min(MOST_CLUSTERS, -(-n_anchors * len(by_dims[dims]) // (len(sample) * MEMBERS_PER_CLUSTER)), len(x))
             if wanted:
@@ -315,8 +326,11 @@ def hard_negatives(
     def walked(members: DataFrame, by_label: bool, first: bool, find: Callable, out: str) -> DataFrame:
         sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / members_per_list).cast("int").alias("groups"))
         listed = lists(members, by_label, first)
-        parts = listed.groupBy("cluster").agg(F.ceil(F.count("*") / rows_per_list).cast("int").alias("parts"))
-        sizes = written(sizes.join(parts, "cluster"))
+        if first:
+            sizes = written(sizes.withColumn("parts", F.lit(1)))
+        else:
+            parts = listed.groupBy("cluster").agg(F.ceil(F.count("*") / rows_per_list).cast("int").alias("parts"))
+            sizes = written(sizes.join(parts, "cluster"))
         cell = ["cluster", "group", "part"]
         dealt = members.join(sizes, "cluster").withColumn("group", F.pmod(F.xxhash64("id", F.lit(2)), F.col("groups")).cast("int"))
         dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("groups", "parts")

@@ -16,7 +16,8 @@ def brute(rows, positives=5, k=10, every=100):
         if i is None or label is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
         e = tuple(int(np.floor(256 * x)) for x in v)
-        key = (len(e), b"".join(int(x).to_bytes(8, "little", signed=True) for x in e), label)
+        width = 2 if all(abs(x) < 1 << 15 for x in e) else 8
+        key = (len(e), b"".join(int(x).to_bytes(width, "little", signed=True) for x in e), label)
         seen[i] = min(seen.get(i, (key, e, label)), (key, e, label))
     out = set()
     for a, (_, e, label) in seen.items():
@@ -83,7 +84,7 @@ def test_members_stop_before_the_end_of_a_list(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vectors = np.vstack([[10.0, 0.1], np.c_[rng.uniform(0, 10, 20_000), rng.uniform(0, 1, 20_000)]])
     table = negatives.pa.table
-    exact = [np.floor(256 * v).astype("<i8") for v in vectors]
+    exact = [np.floor(256 * v).astype("<i8") for v in vectors]  # fits 16 bits too; both are read
     norms = [float(np.linalg.norm(e)) for e in exact]
     member = table({"id": [-1], "label": [1], "dims": [2], "exact": [exact[0].tobytes()], "norm": [norms[0]], "floor": [negatives.LOWEST]})
     bounds = [n * np.cos(max(0, np.arctan2(e[1], e[0]) - 0.01)) for n, e in zip(norms, exact)]
