@@ -111,6 +111,16 @@ def concat(spark, sf_dir):
     return concat_tables(spark, _parties(spark, sf_dir))
 
 
+@query("s2_concat_separator", f"({CUSTOMER_AS_PARTY}) UNION ALL BY NAME ({SUPPLIER_AS_PARTY})")
+def concat_separator(spark, sf_dir):
+    """The same files with semicolons between cells."""
+    paths = []
+    for path in _parties(spark, sf_dir):
+        paths.append(fresh_dir(spark, "semicolons") + ".csv")
+        load_table(spark, path).write.options(header=True, sep=";", escape='"').csv(paths[-1])
+    return concat_tables(spark, paths, sep=";")
+
+
 @query(
     "s2_rows_per_file",
     "SELECT 'customer' AS source, count(*) AS row_count FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import NUMERIC_TYPES, col, nan_to_null, text_to_double, text_to_whole
 from ..functions.stats import long_report
+from .records import ENCODINGS, csv_records
 
 # The texts a CSV cell may hold for "missing" (the reader's documented defaults).
 NA_TOKENS = [
@@ -39,9 +40,9 @@ def load_table(
     A row with fewer cells than the header is filled up with NULL; rows with more cells, or with a
     quote that is never closed, are an error that tells how many there are.
 
-    Quoted cells may hold line breaks, so a file is one task: write many files, or say
-    ``line_breaks=False`` where no cell holds one. Files are then split, and a line that opens a quote
-    without closing it is an error.
+    Quoted cells may hold line breaks. A file in UTF-8 or ISO-8859-1 is still read by many tasks
+    (``sources.records``); in any other encoding it is one task. ``line_breaks=False`` says that no cell
+    holds one: a line that opens a quote without closing it is then an error, and files are read less often.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt != "csv":
@@ -88,6 +89,11 @@ def _read_texts(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     while record in header:
         record = "_" + record
     declared = T.StructType([T.StructField(c, T.StringType()) for c in [*header, record]])
+    if line_breaks and encoding.upper() in ENCODINGS:
+        shape = ", ".join(f"`{c.replace('`', '``')}` string" for c in declared.names)
+        as_cells = {**{k: str(v) for k, v in options.items()}, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": record}
+        cells = F.from_csv("record", shape, as_cells).alias("cells")
+        return csv_records(spark, path, sep, encoding).select(cells).select("cells.*")
     # Without pruning every cell is parsed, whichever columns are asked for.
     reader = spark.read.schema(declared).options(**options, columnPruning=False, mode="PERMISSIVE")
     return reader.option("columnNameOfCorruptRecord", record).csv(path)
@@ -186,11 +192,14 @@ def concat_tables(
     fmt: str | None = None,
     schemas: list[T.StructType | str] | None = None,
     source_column: str | None = None,
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    line_breaks: bool = True,
 ) -> DataFrame:
-    """Stack many files. ``source_column`` adds the path each row came from."""
+    """Stack many files, each read as ``load_table`` reads it. ``source_column`` adds the path each row came from."""
     tables = []
     for i, p in enumerate(paths):
-        df = load_table(spark, p, fmt, schemas[i] if schemas else None)
+        df = load_table(spark, p, fmt, schemas[i] if schemas else None, sep, encoding, line_breaks)
         tables.append(df.withColumn(source_column, F.lit(p)) if source_column else df)
     return stack_tables(tables)
 
@@ -212,16 +221,21 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorife
         writer.format(fmt).save(path)
 
 
-def validate_source(spark: SparkSession, path: str) -> DataFrame:
-    """Check that a CSV exists and parses: ``status, row_count, corrupt_rows, missing_cells, column_count, columns``."""
+def validate_source(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """Check that a CSV exists and parses: ``status, row_count, corrupt_rows, missing_cells, column_count, columns``.
+
+    Corrupt are the rows that ``load_table`` refuses: with too many cells, or an open quote. Of short rows,
+    which it fills up with NULL, the absent cells count as missing.
+    """
     if not path:
         raise ValueError("Name the CSV file or folder to check")
     if not path.rstrip("/").endswith(".csv"):
         raise ValueError(f"Only a path that ends in .csv can be checked, not {path}")
-    checked = _read_texts(spark, path)
+    checked = _read_texts(spark, path, sep, encoding)
     *header, record = checked.columns
+    refused = _unreadable(record, sep, len(header))
     gaps = sum((F.count_if(~_present_test(c)) for c in header[1:]), F.count_if(~_present_test(header[0])))
-    counted = checked.agg(F.count(F.lit(1)).alias("rows"), F.count(col(record)).alias("corrupt"), gaps.alias("gaps"))
+    counted = checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(refused).alias("corrupt"), gaps.alias("gaps"))
     return long_report(
         counted,
         [

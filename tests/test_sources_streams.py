@@ -73,7 +73,10 @@ def test_save_writes_parts_and_refuses_to_overwrite(spark, tmp_path):
 def test_validate_counts_corrupt_rows(spark, tmp_path):
     path = csv(tmp_path, "v.csv", "a,b\n1,2\n3\n4,5,6\n7,NA\n")
     r = s.validate_source(spark, path).first()
-    assert (r["status"], r["row_count"], r["corrupt_rows"], r["column_count"], r["columns"]) == ("corrupt rows", 4, 2, 2, "a,b")
+    # The row of one cell is filled up by the reader, so it is not corrupt; its absent cell is missing, as is NA.
+    assert (r["status"], r["row_count"], r["corrupt_rows"], r["missing_cells"], r["column_count"], r["columns"]) == ("corrupt rows", 4, 1, 2, 2, "a,b")
+    short = s.validate_source(spark, csv(tmp_path, "s.csv", "a;b\n1;2\n3\n"), sep=";").first()
+    assert (short["status"], short["missing_cells"], short["columns"]) == ("valid", 1, "a,b")
     good = s.validate_source(spark, csv(tmp_path, "g.csv", "a,b\n1,2\n")).first()
     assert good["status"] == "valid" and good["missing_cells"] == 0
     for bad in ("", "x.txt"):
@@ -202,3 +205,9 @@ def test_separator_and_encoding(spark, tmp_path):
     path = tmp_path / "latin.csv"
     path.write_bytes("a;b\n1,5;käse\n".encode("latin-1"))
     assert tuple(s.load_table(spark, str(path), sep=";", encoding="ISO-8859-1").first()) == ("1,5", "käse")
+    (tmp_path / "wide.csv").write_bytes("a;b\n1,5;käse\n".encode("utf-16"))
+    assert tuple(s.load_table(spark, str(tmp_path / "wide.csv"), sep=";", encoding="UTF-16").first()) == ("1,5", "käse")
+    both = s.concat_tables(spark, [str(path)] * 2, sep=";", encoding="ISO-8859-1").collect()
+    assert [tuple(r) for r in both] == [("1,5", "käse")] * 2
+    path.write_bytes(b"a,b\n1,\xff\n")
+    assert s.load_table(spark, str(path)).first()["b"] == "\ufffd"
