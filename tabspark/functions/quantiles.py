@@ -1,16 +1,16 @@
-"""Exact quantiles that never hold more than a bounded number of distinct values in one place.
+"""Exact quantiles from histograms that are refined around the wanted ranks.
 
-Spark's ``percentile`` keeps a value -> count map per column, so it serves columns with few distinct
-values, in one scan of any number of rows. With more than ``SMALL_VALUES`` of them the wanted ranks
-are first bracketed by a quantile sketch, the ranks of the brackets are counted exactly, and only the
-few values inside a bracket are looked at one by one. Every step is an aggregate over all columns at
-once, without a shuffle of rows.
+A round counts rows by (range, cell) with an ordinary aggregate: map-side first, spread over all reducers
+after. Cells are an order-preserving map of the values of a range, so the counts tell in which cell each
+wanted rank lies, and only that cell is looked at in the next round. No map of values and no sketch of a
+whole column is ever put together in one place, and every round is one scan for all columns and ranks.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,154 +18,129 @@ from pyspark.sql import functions as F
 from .columns import as_double, chunks, col
 from .session import join_groups, written
 
-SMALL_VALUES = 100_000
+CELLS = 1024
+VALUE_ROWS = 4096
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 4 / SKETCH_ACCURACY
 COLUMNS_PER_JOB = 30
-TALLIES_PER_JOB = 200
 
 
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], small: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column over its non-null values, ``None`` if it has none."""
-    if not columns:
-        return {}
-    limit = SMALL_VALUES if small is None else small
+    """Linearly interpolated quantiles per column over its non-null values, ``None`` if it has none.
+
+    Ranges of at most ``small`` rows are counted value by value instead of by cells.
+    """
     narrow = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes: list[int] = []
-    for part in chunks(narrow.columns, COLUMNS_PER_JOB):
-        sizes += narrow.agg(*[F.approx_count_distinct(col(v)).alias(v) for v in part]).first()
-    # The sketch errs by 5 % (one standard error); the map may hold a little more than the limit.
-    few = [v for v, n in zip(narrow.columns, sizes) if n <= limit]
-    many = [v for v, n in zip(narrow.columns, sizes) if n > limit]
     found: dict[str, list[float | None]] = {}
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    for part in chunks(few, COLUMNS_PER_JOB):
-        row = narrow.agg(*[F.percentile(col(v), wanted).alias(v) for v in part]).first()
-        found.update((v, list(q) if q is not None else [None] * len(probs)) for v, q in zip(part, row))
-    for part in chunks(many, COLUMNS_PER_JOB):
-        found.update(zip(part, _bracketed(narrow.select(*part), probs, limit)))
+    for part in chunks(narrow.columns, COLUMNS_PER_JOB):
+        found.update(_refined(narrow.select(*part), probs, VALUE_ROWS if small is None else small))
     return {c: found[f"v{i}"] for i, c in enumerate(columns)}
 
 
 @dataclass
 class _Range:
-    """An open interval of one column, the rows below and inside it, and the 0-based ranks wanted from it."""
+    """The rows of a column from one value to another, how many lie below them, and the 0-based ranks wanted among them."""
 
     column: str
-    ranks: list[int]
-    inside: int
-    below: int = 0
-    lo: float | None = None
-    hi: float | None = None
-
-    def members(self) -> Column:
-        """The column's values inside the interval, NULL elsewhere."""
-        keep = col(self.column).isNotNull()
-        if self.lo is not None:
-            keep = keep & (col(self.column) > F.lit(self.lo))
-        if self.hi is not None:
-            keep = keep & (col(self.column) < F.lit(self.hi))
-        return F.when(keep, col(self.column))
-
-    def runs(self) -> list[tuple[int, int]]:
-        """First and last of the wanted ranks that are neighbours: one bracket serves both."""
-        out: list[tuple[int, int]] = []
-        for k in sorted(self.ranks):
-            if out and k <= out[-1][1] + 1:
-                out[-1] = (out[-1][0], k)
+    low: float
+    high: float
+    rows: int
+    below: int
+    turn: int = 0
+    ranks: list[int] = field(default_factory=list)
+
+    def cell(self) -> Column:
+        """A number that never falls as the value grows.
+
+        Even rounds cut the range into equal widths. Odd rounds cut it by magnitude, so that values of
+        very different size cannot share one cell for long; a range on both sides of 0 is cut there.
+        """
+        x, low, high = F.col(self.column), self.low, self.high
+        if self.turn % 2 and low < 0 < high:
+            return F.signum(x)
+        if self.turn % 2 and low > 0 and high / low > 4:
+            return self._steps(F.log2(x), math.log2(low), math.log2(high))
+        if self.turn % 2 and high < 0 and low / high > 4:
+            return self._steps(-F.log2(-x), -math.log2(-low), -math.log2(-high))
+        return self._steps(x, low, high)
+
+    @staticmethod
+    def _steps(x: Column, low: float, high: float) -> Column:
+        half = 0.5 if math.isinf(high - low) else 1.0
+        width = high * half - low * half
+        return F.floor((x * half - low * half) / F.lit(width) * CELLS).cast("double") if width else F.lit(0.0)
+
+
+def _refined(df: DataFrame, probs: list[float], small: int) -> dict[str, list[float | None]]:
+    def tally(c: str) -> list[Column]:
+        x, inf = col(c), float("inf")
+        finite = F.when((x > -inf) & (x < inf), x)
+        return [F.count(x), F.count_if(x == -inf), F.count(finite), F.min(finite), F.max(finite)]
+
+    ends = df.agg(*[t.alias(f"t{i}_{c}") for c in df.columns for i, t in enumerate(tally(c))]).first()
+    counts: dict[str, int] = {}
+    found: dict[tuple[str, int], float] = {}
+    ranges: list[_Range] = []
+    for i, c in enumerate(df.columns):
+        n, least, finite, low, high = ends[5 * i : 5 * i + 5]
+        counts[c] = n
+        whole = _Range(c, low, high, finite, least) if finite else None
+        for k in sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))} if n else ()):
+            if k < least or k >= least + finite:
+                found[c, k] = -math.inf if k < least else math.inf
             else:
-                out.append((k, k))
-        return out
+                whole.ranks.append(k)
+        if whole and whole.ranks:
+            ranges.append(whole)
+    while ranges:
+        ranges = _round(df, ranges, small, found)
 
+    def quantile(c: str, p: float) -> float | None:
+        at = p * (counts[c] - 1)
+        low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
+        return low if low == high else low + (high - low) * (at - math.floor(at))
 
-def _bracketed(df: DataFrame, probs: list[float], limit: int) -> list[list[float | None]]:
-    counts = df.agg(*[F.count(col(c)).alias(c) for c in df.columns]).first().asDict()
-    found: dict[tuple[str, int], float] = {}
-    ranges = [
-        _Range(c, sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}), n)
-        for c, n in counts.items()
-        if n
-    ]
-    while ranges:
-        small = [r for r in ranges if r.inside <= limit]
-        large = [r for r in ranges if r.inside > limit]
-        if small:
-            _pick(df, small, found)
-        ranges = _narrow(df, large, found) if large else []
-    out = []
-    for c, n in counts.items():
-        row: list[float | None] = []
-        for p in probs:
-            if not n:
-                row.append(None)
-                continue
-            at = p * (n - 1)
-            low, high = found[c, math.floor(at)], found[c, math.ceil(at)]
-            row.append(low + (high - low) * (at - math.floor(at)))
-        out.append(row)
-    return out
-
-
-def _pick(df: DataFrame, ranges: list[_Range], found: dict[tuple[str, int], float]) -> None:
-    """Read order statistics of intervals that hold few rows."""
-    inside = df.select(*[r.members().alias(f"m{i}") for i, r in enumerate(ranges)])
-    picked, keys = [], []
-    for i, r in enumerate(ranges):
-        for k in r.ranks:
-            at = (k - r.below + 0.5) / r.inside
-            picked.append(F.expr(f"percentile_disc({at!r}D) WITHIN GROUP (ORDER BY m{i})").alias(f"p{len(picked)}"))
-            keys.append((r.column, k))
-    found.update(zip(keys, inside.agg(*picked).first()))
+    return {c: [quantile(c, p) if counts[c] else None for p in probs] for c in df.columns}
 
 
-def _narrow(df: DataFrame, ranges: list[_Range], found: dict[tuple[str, int], float]) -> list[_Range]:
-    """Sketch brackets around the wanted ranks, then count what lies below, on and inside their ends."""
-    inside = df.select(*[r.members().alias(f"m{i}") for i, r in enumerate(ranges)])
-    sketches = []
+def _round(df: DataFrame, ranges: list[_Range], small: int, found: dict[tuple[str, int], float]) -> list[_Range]:
+    """Count the cells of all ranges in one scan; the ranges that are left, smaller ones."""
+    of_column: dict[str, list[tuple[int, _Range]]] = defaultdict(list)
     for i, r in enumerate(ranges):
-        ends = []
-        for first, last in r.runs():
-            scale = max(r.inside - 1, 1)
-            ends += [
-                F.lit(max(0.0, (first - r.below) / scale - SKETCH_MARGIN)),
-                F.lit(min(1.0, (last - r.below) / scale + SKETCH_MARGIN)),
-            ]
-        sketches.append(F.percentile_approx(f"m{i}", F.array(*ends), SKETCH_ACCURACY).alias(f"s{i}"))
-    edges = inside.agg(*sketches).first()
-    brackets = [
-        (i, first, last, edges[i][2 * j], edges[i][2 * j + 1])
-        for i, r in enumerate(ranges)
-        for j, (first, last) in enumerate(r.runs())
-    ]
-    tallies = []
-    for i, _, _, lo, hi in brackets:
-        m = F.col(f"m{i}")
-        tallies += [F.count_if(m < lo), F.count_if(m <= lo), F.count_if(m < hi), F.count_if(m <= hi)]
-    seen: list[int] = []
-    for part in chunks(tallies, TALLIES_PER_JOB):
-        seen += inside.agg(*[t.alias(f"t{i}") for i, t in enumerate(part)]).first()
-    left: dict[tuple, _Range] = {}
-    for b, (i, first, last, lo, hi) in enumerate(brackets):
-        r = ranges[i]
-        under_lo, upto_lo, under_hi, upto_hi = seen[4 * b : 4 * b + 4]
-        for k in (k for k in r.ranks if first <= k <= last):
-            at = k - r.below
-            if under_lo <= at < upto_lo:
-                found[r.column, k] = lo
-                continue
-            if under_hi <= at < upto_hi:
-                found[r.column, k] = hi
-                continue
-            if at < under_lo:
-                rest = _Range(r.column, [], under_lo, r.below, r.lo, lo)
-            elif at >= upto_hi:
-                rest = _Range(r.column, [], r.inside - upto_hi, r.below + upto_hi, hi, r.hi)
-            else:
-                rest = _Range(r.column, [], under_hi - upto_lo, r.below + upto_lo, lo, hi)
-            left.setdefault((r.column, rest.lo, rest.hi), rest).ranks.append(k)
-    return list(left.values())
+        of_column[r.column].append((i, r))
+    entries = []
+    for c, own in of_column.items():
+        x, entry = F.col(c), F.lit(None).cast("struct<i:int,k:double,x:double>")
+        for i, r in own:
+            cell = x if r.rows <= small else r.cell()
+            inside = x.between(F.lit(r.low), F.lit(r.high))
+            entry = F.when(inside, F.struct(F.lit(i).alias("i"), cell.alias("k"), x.alias("x"))).otherwise(entry)
+        entries.append(entry)
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
+    cells = rows.groupBy("i", "k").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    seen: dict[int, list] = defaultdict(list)
+    for c in cells:
+        seen[c["i"]].append(c)
+    left: list[_Range] = []
+    for i, r in enumerate(ranges):
+        at, wanted = r.below, iter(sorted(r.ranks))
+        k = next(wanted, None)
+        for c in sorted(seen[i], key=lambda c: c["low"]):
+            inner = _Range(r.column, c["low"], c["high"], c["n"], at, r.turn + 1)
+            at += c["n"]
+            while k is not None and k < at:
+                if c["low"] == c["high"]:
+                    found[r.column, k] = c["low"]
+                else:
+                    inner.ranks.append(k)
+                k = next(wanted, None)
+            if inner.ranks:
+                left.append(inner)
+            if k is None:
+                break
+    return left
 
 
 def grouped_median(df: DataFrame, group: str, value: str, out: str, few_groups: bool = False) -> DataFrame:

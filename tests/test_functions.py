@@ -30,6 +30,37 @@ def test_exact_quantiles_equal_pandas(spark, limit):
         assert found[c] == pytest.approx(pdf[c].quantile(probs).tolist(), rel=1e-12)
 
 
+@pytest.mark.parametrize("small", [4096, 1])
+def test_exact_quantiles_of_any_magnitude(spark, small):
+    """Values of very different size, of both signs, nearly equal ones, the least and greatest doubles, and infinities."""
+    rng = np.random.default_rng(2)
+    wide = np.exp(rng.uniform(-700, 700, 900)) * rng.choice([-1.0, 1.0], 900)
+    close = np.nextafter(1.0, 2.0) ** rng.integers(0, 50, 900)
+    edge = np.tile([5e-324, 1e-323, 1.5e-323, -5e-324, 1.7e308, -1.7e308, 0.0, -0.0, 1.0], 100)
+    ends = np.where(np.arange(900) < 200, -np.inf, np.where(np.arange(900) < 300, np.inf, rng.normal(size=900)))
+    columns = {"wide": wide, "close": close, "edge": edge, "ends": ends, "tail": np.r_[np.zeros(899), 1e300]}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], list(columns)).repartition(3)
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.75, 0.99, 1.0]
+    found = quantiles.exact_quantiles(df, list(columns), probs, small=small)
+    for c, v in columns.items():
+        v = np.sort(v)
+        for p, q in zip(probs, found[c]):
+            at = p * (len(v) - 1)
+            low, high = float(v[int(np.floor(at))]), float(v[int(np.ceil(at))])
+            assert q == (low if low == high else low + (high - low) * (at - np.floor(at))), (c, p)
+
+
+def test_quantiles_put_no_map_or_sketch_together(spark, monkeypatch):
+    """Every round is an aggregate by (range, cell) with bounded results, however many rows and values."""
+    rounds = []
+    whole = quantiles._round
+    monkeypatch.setattr(quantiles, "CELLS", 32)
+    monkeypatch.setattr(quantiles, "_round", lambda df, ranges, *a: rounds.append([r.rows for r in ranges]) or whole(df, ranges, *a))
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_021).alias("x"))
+    assert quantiles.exact_quantiles(df, ["x"], [0.25, 0.5], small=40)["x"] == np.quantile(np.arange(50_000) * 7919 % 50_021, [0.25, 0.5]).tolist()
+    assert rounds[0] == [50_000] and max(rounds[1]) < 50_000 / 20 and len(rounds) <= 4
+
+
 def test_exact_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     assert quantiles.exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [1.5]}
