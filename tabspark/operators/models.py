@@ -33,6 +33,7 @@ from ..functions.columns import as_double, categorical_columns, col, quote, requ
 from ..functions.ordering import SEED, WHOLE, chunk_number, hash_cuts
 from ..functions.session import local_table
 from ..functions.stats import ratio, rounded
+from .boosting import Boosting, fit_boosted
 from .evaluation import LABEL, PREDICTION, PROBABILITY, prediction_sample, regression_scores
 from .splits import FOLD, SPLIT, WEIGHT, Scaler, create_folds, fit_scaler
 
@@ -68,6 +69,7 @@ GRIDS: dict[str, dict[str, list]] = {
 # Boosting takes no class weights.
 UNWEIGHTED = {"gradient_boosting"}
 
+PROBABILITIES = "probabilities"
 VECTOR, INDEX, RAW, PROB, CALL = "_features", "_label", "_raw", "_probability", "_prediction"
 
 
@@ -92,7 +94,7 @@ class TrainedModel:
 
     @property
     def has_probability(self) -> bool:
-        """Whether one model gives class probabilities; one-against-rest models do not."""
+        """Whether the model gives class probabilities; least squares on classes does not."""
         return any(s.hasParam("probabilityCol") and s.getOrDefault("probabilityCol") == PROB for s in self.pipeline.stages)
 
 
@@ -216,18 +218,11 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
                 seed=SEED,
             )
             return [forest.fit(rows)]
-        boost = {"maxIter": p["n_estimators"], "maxDepth": p["max_depth"], "stepSize": p["learning_rate"], "seed": SEED}
-        if n_classes == 2:
+        if kind == "gradient_boosting" and n_classes == 2:
+            boost = {"maxIter": p["n_estimators"], "maxDepth": p["max_depth"], "stepSize": p["learning_rate"], "seed": SEED}
             boosted = GBTClassifier(**io, **weight, **boost).setRawPredictionCol(RAW).setProbabilityCol(PROB)
             return [boosted.fit(rows)]
-        # One booster per class against the rest; score() takes the class with the largest margin.
-        rest = []
-        for k in range(n_classes):
-            side = rows.withColumn("_side", (F.col(INDEX) == k).cast("double"))
-            one = GBTClassifier(featuresCol=VECTOR, labelCol="_side", predictionCol=f"_call{k}", **weight, **boost)
-            one = one.setRawPredictionCol(f"{RAW}{k}").setProbabilityCol(f"{PROB}{k}")
-            rest.append(one.fit(side))
-        return rest
+        return [_boosted(rows, spec, n_classes)]
     if kind == "linear_regression":
         return [LinearRegression(**io, regParam=0.0).fit(rows)]
     if kind == "ridge":
@@ -249,12 +244,25 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
             seed=SEED,
         )
         return [forest.fit(rows)]
+    if kind == "lightgbm":
+        return [_boosted(rows, spec, 0)]
     boost_regressor = GBTRegressor(
         **io, maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], seed=SEED
     )
     return [boost_regressor.fit(rows)]
 
 
+def _boosted(rows: DataFrame, spec: ModelSpec, n_classes: int) -> Transformer:
+    """Leaf-wise trees, or for boosting of three or more classes a tree a class, grown to their depth."""
+    names = ["n_estimators", "max_depth", "learning_rate", "num_leaves", "min_child_samples", "min_child_weight"]
+    asked = {k: spec.params[k] for k in names if k in spec.params}
+    if spec.model_type == "gradient_boosting":
+        asked.update(num_leaves=1 << asked["max_depth"], min_child_samples=1, min_child_weight=0.0, newton_gain=False)
+    columns = {"predictionCol": CALL, **({"probabilityCol": PROB} if n_classes else {})}
+    weight = WEIGHT if spec.weighted else None
+    return fit_boosted(rows, VECTOR, INDEX, len(spec.features), n_classes, Boosting(**asked), weight, **columns)
+
+
 def _ridge(rows: DataFrame, label: str, out: str, alpha: float, weight: dict[str, str]) -> Transformer:
     """Least squares plus alpha * |w|^2. Spark measures the penalty in units of the label's spread."""
     if weight:
@@ -296,15 +304,6 @@ def _finish(prepared: Prepared, spec: ModelSpec, fitted: list[Transformer]) -> T
     return TrainedModel(spec, prepared.classes, PipelineModel([*prepared.stages, *fitted]))
 
 
-def _called(df: DataFrame) -> DataFrame:
-    """Settle the predicted class index where several one-against-rest models voted."""
-    if CALL in df.columns:
-        return df
-    margins = [c for c in df.columns if c.startswith(RAW)]
-    votes = F.array(*[vector_to_array(F.col(f"{RAW}{k}"))[1] for k in range(len(margins))])
-    return df.withColumn(CALL, (F.array_position(votes, F.array_max(votes)) - 1).cast("double"))
-
-
 def _training_rows(df: DataFrame) -> DataFrame:
     return df.where(col(SPLIT) == "train") if SPLIT in df.columns else df
 
@@ -330,7 +329,7 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
 
     Also adds ``label`` where the target is at hand. Lazy; works on a streaming table.
     """
-    out = _called(model.pipeline.transform(df))
+    out = model.pipeline.transform(df)
     columns = [col(c) for c in df.columns if c not in (LABEL, PREDICTION, PROBABILITY) or c == model.spec.target]
     if model.spec.target in df.columns and model.spec.target != LABEL:
         columns.append(col(model.spec.target).alias(LABEL))
@@ -344,6 +343,17 @@ def score(model: TrainedModel, df: DataFrame) -> DataFrame:
     return out.select(*columns)
 
 
+def class_probabilities(model: TrainedModel, df: DataFrame) -> DataFrame:
+    """``score`` with one more column, ``probabilities``: a map from every class to its probability."""
+    if not model.has_probability:
+        raise ValueError(f"A {model.spec.model_type} gives no probabilities")
+    out = model.pipeline.transform(df)
+    kept = [col(c) for c in df.columns if c not in (PREDICTION, PROBABILITIES)]
+    shares = F.map_from_arrays(F.array(*[F.lit(c) for c in model.classes]), vector_to_array(F.col(PROB)))
+    named = F.get(F.array(*[F.lit(c) for c in model.classes]), F.col(CALL).cast("int"))
+    return out.select(*kept, named.alias(PREDICTION), shares.alias(PROBABILITIES))
+
+
 def train(
     df: DataFrame,
     target: str,
@@ -390,7 +400,7 @@ def _judge(predicted: DataFrame, problem_type: str, by: Sequence[str] = ()) -> D
 def _predict(stages: list[Transformer], rows: DataFrame) -> DataFrame:
     for s in stages:
         rows = s.transform(rows)
-    return _called(rows)
+    return rows
 
 
 def compare_models(

@@ -159,6 +159,67 @@ _tree("m7_random_forest", "random_forest")
 _tree("m8_gradient_boosting", "gradient_boosting")
 _tree("m9_lightgbm", "lightgbm")
 
+NATIONS = "c_nationkey"
+
+
+def _stump_sql(extra, value):
+    """The best cut of one feature for a gradient g, at least 20 rows a side, and the value of either side."""
+    return f"""
+c AS (SELECT x, sum(g) AS g, count(*) AS n, {extra} AS h FROM d GROUP BY x),
+s AS (SELECT x, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(h) OVER w AS hl, sum(g) OVER () AS g, sum(n) OVER () AS n, sum(h) OVER () AS h FROM c WINDOW w AS (ORDER BY x)),
+best AS (SELECT *, gl * gl / nl + (g - gl) * (g - gl) / (n - nl) AS gain FROM s WHERE nl >= {{least}} AND n - nl >= {{least}} ORDER BY gain DESC, x LIMIT 1),
+leaf AS (SELECT x AS cut, {value.format(g="gl", h="hl")} AS low, {value.format(g="(g - gl)", h="(h - hl)")} AS high FROM best)"""
+
+
+@query(
+    "m9_leafwise_round",
+    f"""
+WITH m AS (SELECT avg(y_reg) AS mean FROM {{order_features}}),
+d AS (SELECT {NATIONS} AS x, mean - y_reg AS g FROM {{order_features}}, m), {_stump_sql("count(*)", "-0.1 * {g} / {h}").format(least=20)}
+SELECT {NATIONS}, count(*) AS row_count, round(any_value(mean + CASE WHEN {NATIONS} <= cut THEN low ELSE high END), 2) AS prediction
+FROM {{order_features}}, m, leaf GROUP BY {NATIONS}""",
+)
+def leafwise_round(spark, sf_dir):
+    """One round of one split on one feature: every step of it can be told in SQL."""
+    df = view(spark, sf_dir, "order_features").select(NATIONS, "y_reg")
+    spec = op.make_spec(df, "y_reg", "lightgbm", "regression", [NATIONS], {"n_estimators": 1, "max_depth": 1})
+    scored = op.score(op.fit_model(df, spec), df)
+    return scored.groupBy(NATIONS).agg(F.count("*").alias("row_count"), F.round(F.first("prediction"), 2).alias("prediction"))
+
+
+def _class_round_sql(k):
+    return f"""
+d AS (SELECT {NATIONS} AS x, (SELECT count(*) FILTER (label = '{k}') / count(*) FROM {{order_features}}) - CASE WHEN label = '{k}' THEN 1.0 ELSE 0.0 END AS g FROM {{order_features}}),
+{_stump_sql("sum(abs(g) * (1 - abs(g)))", "-0.1 * 2 / 3.0 * {g} / {h}").format(least=1)}
+SELECT {NATIONS}, (SELECT ln(count(*) FILTER (label = '{k}') / count(*)) FROM {{order_features}}) + CASE WHEN {NATIONS} <= cut THEN low ELSE high END AS s
+FROM (SELECT DISTINCT {NATIONS} FROM {{order_features}}), leaf"""
+
+
+@query(
+    "m8_multiclass_round",
+    "WITH "
+    + ", ".join(f"r{k} AS (WITH {_class_round_sql(k)})" for k in STATUSES)
+    + f", e AS (SELECT {NATIONS}, exp(rF.s) AS f, exp(rO.s) AS o, exp(rP.s) AS p FROM rF JOIN rO USING ({NATIONS}) JOIN rP USING ({NATIONS})) "
+    + f"SELECT {NATIONS}, " + ", ".join(f"round({k.lower()} / (f + o + p), 5) AS {k.lower()}" for k in STATUSES) + " FROM e",
+)
+def multiclass_round(spark, sf_dir):
+    """One round of one split a class on softmax gradients."""
+    df = view(spark, sf_dir, "order_features").select(NATIONS, "label")
+    spec = op.make_spec(df, "label", "gradient_boosting", "classification", [NATIONS], {"n_estimators": 1, "max_depth": 1})
+    scored = op.class_probabilities(op.fit_model(df, spec), df).groupBy(NATIONS).agg(F.first("probabilities").alias("p"))
+    return scored.select(NATIONS, *[F.round(F.col("p")[k], 5).alias(k.lower()) for k in STATUSES])
+
+
+@query("m8_multiclass_probabilities", "SELECT count(*) AS row_count, count(*) AS adding_up, 3 AS classes FROM {order_features}")
+def multiclass_probabilities(spark, sf_dir):
+    df = view(spark, sf_dir, "order_features").withColumn("month", F.month("o_orderdate")).select("label", "c_acctbal", NATIONS, "month")
+    spec = op.make_spec(df, "label", "gradient_boosting", "classification", None, {"n_estimators": 3, "max_depth": 3})
+    shares = F.map_values("probabilities")
+    scored = op.class_probabilities(op.fit_model(df, spec), df).select(shares.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
+    fair = (F.abs(total - 1) < 1e-9) & F.forall("p", lambda x: (x > 0) & (x < 1))
+    return scored.agg(F.count("*").alias("row_count"), F.count_if(fair).alias("adding_up"), F.max(F.size("p")).alias("classes"))
+
 
 CALLED = "SELECT CAST(y_bin AS varchar) AS label, CASE WHEN w * x + b > 0 THEN '1' ELSE '0' END AS prediction FROM z, line WHERE \"_split\" = 'test'"
 

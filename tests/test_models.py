@@ -109,9 +109,12 @@ def test_trees_learn_both_problems(table, kind):
     assert [r["prediction"] for r in m.score(again, table).collect()] == [r["prediction"] for r in m.score(model, table).collect()]
 
 
-def test_boosting_three_classes_has_no_probabilities(table):
+def test_boosting_three_classes_has_probabilities(table):
     model, scored = m.train(table, "k", "gradient_boosting", "classification", FEATURES, {"n_estimators": 3})
-    assert not model.has_probability and set(model.classes) == {"a", "b", "c"}
+    assert model.has_probability and set(model.classes) == {"a", "b", "c"}
+    for r in m.class_probabilities(model, table).collect():
+        assert set(r["probabilities"]) == set("abc") and sum(r["probabilities"].values()) == pytest.approx(1, abs=1e-12)
+        assert r["probabilities"][r["prediction"]] == max(r["probabilities"].values())
     assert v.accuracy(scored).first()["accuracy"] > 0.5
     assert m.rank_features(model).first()["feature"] in FEATURES
 
