@@ -1,14 +1,16 @@
 """A small causal self-attention model of subword ids, in numpy.
 
 A token is a word or the end of a text, given by its subword ids; its embedding is the sum of theirs.
-One attention layer over the tokens before gives the weights of ``KINDS`` distributions over ids, and
-each id of a token has the probability
+An id either begins a token or goes on with one. The probability of a token is a product over its ids:
+each is drawn among the ids of its sort, and after each the token goes on or ends. One attention layer over
+the tokens before gives the weights of ``KINDS`` distributions over ids, and an id has, among its sort,
 
-    follow * P(id | id before) + (1 - follow + follow * left) * sum of weight * part(id)
+    follow * P(id | id before) + (1 - follow + follow * left) * sum of weight * part(id) / that of the sort
 
 with the discounted counts of all pairs of ids in the first term and what the discount leaves in the
-second. So a probability costs a few products and no softmax
-over the vocabulary, and the parts are estimated by expectation maximisation.
+second. Whether a token goes on is counted after each id. So all words and the end add up to at most 1
+after any text, a probability costs a few products and no softmax over the vocabulary, and the parts
+are estimated by expectation maximisation.
 """
 
 from __future__ import annotations
@@ -46,33 +48,44 @@ def _no_keys() -> np.ndarray:
 
 @dataclass
 class Pairs:
-    """Counts of neighbouring ids: sorted keys (id before << 32 | id) of common pairs, their counts, and
-    how often each id stands before another, and before how many ``different`` ones. ``more`` and ``more_counts`` are those of the rarer pairs
-    of the texts at hand; a pair in neither stands nowhere."""
+    """Counts of neighbouring ids: sorted keys (id before << 32 | id) of common pairs, their counts, and by
+    sort (0: begins a token, 1: goes on) how often each id stands ``before`` one, and before how many
+    ``different`` ones. ``more`` and ``more_counts`` are those of the rarer pairs of the texts at hand; a
+    pair in neither stands nowhere."""
 
     keys: np.ndarray
     counts: np.ndarray
-    firsts: np.ndarray
-    different: np.ndarray = field(default_factory=_no_keys)
+    before: np.ndarray
+    different: np.ndarray
     more: np.ndarray = field(default_factory=_no_keys)
     more_counts: np.ndarray = field(default_factory=_no_keys)
 
-    def probability(self, before: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """P(id | id before) of discounted counts, and what the discount leaves to other ids: 1 after an id
-        that never stands before another. ``rows`` are the texts of ids that were counted themselves: each
-        is then met by the counts of the other texts only, as a text to be scored is."""
-        if not self.firsts.any():
+    def probability(self, before: np.ndarray, ids: np.ndarray, later: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """P(id | id before) of discounted counts among the ids of its sort, and what the discount leaves to
+        others of the sort: 1 after an id that never stands before any. ``rows`` are the texts of ids that
+        were counted themselves: each is then met by the counts of the other texts only, as a text to be
+        scored is."""
+        if not self.before.any():
             return np.zeros(len(ids), np.float32), np.ones(len(ids), np.float32)
-        wanted, same = np.unique(before << 32 | ids, return_inverse=True)  # in order, so found fast
+        wanted, first, same = np.unique(before << 32 | ids, return_index=True, return_inverse=True)  # in order, so found fast
         n = looked_up(self.keys, self.counts, wanted) + looked_up(self.more, self.more_counts, wanted)
-        all_after, different = self.firsts[wanted >> 32], self.different[wanted >> 32]
+        all_after, different = self.before[wanted >> 32, later[first]], self.different[wanted >> 32, later[first]]
         if rows is not None:
-            n, all_after = n[same] - of_own_row(same, rows), all_after[same] - of_own_row(before, rows)
+            n, all_after = n[same] - of_own_row(same, rows), all_after[same] - of_own_row(2 * before + later, rows)
             different, same = np.minimum(different[same], all_after), slice(None)
         p = np.maximum(n - DISCOUNT, 0) / np.maximum(all_after, 1)
         left = np.where(all_after > 0, DISCOUNT * different / np.maximum(all_after, 1), 1.0)
         return p.astype(np.float32)[same], left.astype(np.float32)[same]
 
+    def sort(self, before: np.ndarray, later: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The probability that what follows an id is of the given sort. One count is shared out as both
+        sorts are over all; ``rows`` as above."""
+        every = self.before.sum(0)
+        n, all_after = self.before[before, later], self.before[before].sum(1)
+        if rows is not None:
+            n, all_after = np.maximum(n - of_own_row(2 * before + later, rows), 0), np.maximum(all_after - of_own_row(before, rows), 0)
+        return (n + ((every + 1) / (every.sum() + 2))[later]) / (all_after + 1)
+
 
 @dataclass
 class Attention:
@@ -87,10 +100,11 @@ class Attention:
     gate: np.ndarray  # the last row is the bias
     recency: np.ndarray
     follow: np.ndarray
+    leads: np.ndarray  # whether an id begins a token
     seen: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def fresh(cls, n_ids: int, seed: int) -> "Attention":
+    def fresh(cls, n_ids: int, seed: int, leads: np.ndarray | None = None) -> "Attention":
         random = np.random.default_rng(seed)
 
         def normal(*shape: int, scale: float) -> np.ndarray:
@@ -106,8 +120,15 @@ class Attention:
             gate=normal(WIDTH + 1, KINDS, scale=0.3),
             recency=np.zeros(WINDOW, np.float32),
             follow=np.full(2, 0.5, np.float32),
+            leads=np.ones(n_ids, bool) if leads is None else leads,
         )
 
+    @property
+    def mass(self) -> np.ndarray:
+        """What each kind gives to the ids of either sort, a row for each sort."""
+        lead = self.parts[self.leads].sum(0, dtype=np.float64)
+        return np.stack([lead, self.parts.sum(0, dtype=np.float64) - lead]).clip(1e-30)
+
 
 @dataclass
 class Tokens:
@@ -132,6 +153,8 @@ class Tokens:
         self.before[self.begins[self.first]] = self.start
         self.later = np.ones(len(self.ids), np.int64)
         self.later[self.begins] = 0
+        self.goes_on = np.flatnonzero(self.later)
+        self.is_word = np.flatnonzero(self.ids[self.ends - 1] != self.start)  # the end of a text does not end as a word does
 
 
 def windows(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,6 +236,19 @@ def forward(model: Attention, x: np.ndarray, projected: tuple[np.ndarray, ...],
     return z, {"late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
 
 
+def _borders(pairs: Pairs, tokens: Tokens, rows: bool = False) -> np.ndarray:
+    """For every token the log probability of going on after all of its ids but the last, and of ending there."""
+    on, last = tokens.goes_on, tokens.ends[tokens.is_word] - 1
+    every = np.zeros(len(tokens.ids))
+    of = tokens.row[tokens.owner] if rows else None
+    at = np.concatenate([tokens.before[on], tokens.ids[last]])
+    sort = np.concatenate([np.ones(len(on), np.int64), np.zeros(len(last), np.int64)])
+    p = np.log(pairs.sort(at, sort, None if of is None else np.concatenate([of[on], of[last]])))
+    every[on] = p[: len(on)]
+    every[last] += p[len(on) :]
+    return np.add.reduceat(every, tokens.begins)
+
+
 def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int = 64) -> np.ndarray:
     """The natural log probability of every token; each is scored once."""
     x = _inputs(model, tokens)
@@ -228,10 +264,12 @@ def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int
     for a in range(0, len(mixed), 8192):  # small enough to stay in the cache
         part = slice(a, a + 8192)
         mixed[part] = np.einsum("ik,ik->i", weights[tokens.owner[part]], model.parts[tokens.ids[part]])
+    of_sort = weights @ model.mass.T
+    mixed = mixed / of_sort[tokens.owner, tokens.later]
     follow = model.follow[tokens.later]
-    paired, left = pairs.probability(tokens.before, tokens.ids)
+    paired, left = pairs.probability(tokens.before, tokens.ids, tokens.later)
     p = follow * paired + (1 - follow + follow * left) * mixed
-    return np.add.reduceat(np.log(np.maximum(p, np.float32(1e-30)).astype(np.float64)), tokens.begins)
+    return np.add.reduceat(np.log(np.maximum(p, 1e-30)), tokens.begins) + _borders(pairs, tokens)
 
 
 def learn(
@@ -242,7 +280,8 @@ def learn(
     the counted ones, so every pair is counted in the other texts only. The log probability of every token,
     before the step that learns from it, is returned."""
     at, scored = windows(tokens.texts)
-    paired, left = pairs.probability(tokens.before, tokens.ids, tokens.row[tokens.owner])
+    paired, left = pairs.probability(tokens.before, tokens.ids, tokens.later, tokens.row[tokens.owner])
+    mass = model.mass.astype(np.float32)
     size = tokens.ends - tokens.begins
     logs = np.zeros(len(size))
     for a in range(0, len(at), step):
@@ -262,7 +301,9 @@ def learn(
         which = np.repeat(np.arange(len(token)), n)
         i = np.arange(int(n.sum())) + np.repeat(tokens.begins[token] - (np.cumsum(n) - n), n)
         ids, w = tokens.ids[i], weights[real][which]
-        joint = w * model.parts[ids]
+        whole = w * mass[tokens.later[i]]
+        of_sort = whole.sum(1, keepdims=True)
+        joint = w * model.parts[ids] / of_sort
         f = model.follow[tokens.later[i]]
         mixed, rest = joint.sum(1), 1 - f + f * left[i]
         total = f * paired[i] + rest * mixed + np.float32(1e-30)
@@ -273,7 +314,7 @@ def learn(
         for late in (0, 1):
             own = slope[tokens.later[i] == late]
             follow[late] += [own.sum(), (own * own).sum()]
-        pull = posterior - posterior.sum(1, keepdims=True) * w
+        pull = posterior - posterior.sum(1, keepdims=True) * (whole / of_sort)
         g = np.zeros_like(weights)
         g[real] = _runs(pull, np.cumsum(n) - n) / np.float32(max(len(token), 1))
 
@@ -310,7 +351,7 @@ def learn(
         rows = np.add.reduceat(to_token[part.owner[order]], first, axis=0)
         _adagrad(model, "embed", known, rows, rate)
         _adagrad(model, "embed", np.array([tokens.start]), at_place[start].sum(0)[None], rate)
-    return logs
+    return logs + _borders(pairs, tokens, rows=True)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.functions.session import fresh_dir, written
+from tabspark.functions.session import fresh_dir, local_table, written
 
 from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities, looked_up, of_own_row
 from .text import Piece, mix, pieces, word_hashes, words
@@ -59,7 +59,7 @@ def _read(piece: Piece, tokenizer: str) -> Read:
     return Read(np.concatenate([[END], different]), np.concatenate([[piece.rows], counts]), tokens, ends)
 
 
-WORD, PAIR, FIRST = 0, 1, 2
+WORD, PAIR = 0, 1
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +72,10 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _counts(tokenizer: str) -> Callable[[Batches], Batches]:
-    """Counts of words, of pairs of subword ids and of the ids before others, added up over pieces."""
+    """Counts of words and of pairs of subword ids, added up over pieces."""
 
     def run(batches: Batches) -> Batches:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], PAIR: [], FIRST: []}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], PAIR: []}
 
         def out(kind: int) -> pa.RecordBatch:
             k, n = _added(held[kind])
@@ -88,7 +88,6 @@ def _counts(tokenizer: str) -> Callable[[Batches], Batches]:
                 before, ids = read.tokens.before, read.tokens.ids
                 held[WORD].append((read.hashes.view(np.int64), read.counts))
                 held[PAIR].append(np.unique(before << 32 | ids, return_counts=True))
-                held[FIRST].append(np.unique(before, return_counts=True))
                 for kind, parts in held.items():
                     if sum(len(k) for k, _ in parts) > HELD:
                         held[kind] = [_added(parts)]
@@ -173,8 +172,8 @@ def _with_counts(given: DataFrame, every: DataFrame, model: TextModel, tokenizer
     held = given.sparkSession.sparkContext.broadcast(model)
     placed = given.withColumn("place", F.xxhash64("text"))
     wanted = placed.select("place", "text").mapInArrow(_rare(tokenizer, held), "place long, kind int, key long").distinct()
-    least = F.when(F.col("kind") == WORD, model.total).otherwise(int(model.pairs.firsts.sum()))
-    rare = every.where((F.col("kind") != FIRST) & (F.col("n") * COMMON < least))
+    least = F.when(F.col("kind") == WORD, model.total).otherwise(int(model.pairs.before.sum()))
+    rare = every.where(F.col("n") * COMMON < least)
     met = wanted.join(rare, ["kind", "key"]).groupBy("place").agg(F.collect_list(F.struct("kind", "key", "n")).alias("more"))
     return placed.join(written(met), "place", "left").drop("place").withColumn("more", F.coalesce("more", F.array().cast(MORE)))
 
@@ -319,8 +318,10 @@ def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: i
     common = counts.where(F.col("n") * COMMON >= total).toArrow()
     hashes = common.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    size = Subwords.of(tokenizer).size
-    attention, pairs = Attention.fresh(size, seed), _pairs(every, size)
+    vocabulary = Subwords.of(tokenizer)
+    size, leads = vocabulary.size, vocabulary.after_space.copy()
+    leads[vocabulary.end] = True
+    attention, pairs = Attention.fresh(size, seed, leads), _pairs(every, size, leads)
     model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], pairs, attention, 0.5)
     soft = np.zeros_like(attention.parts, dtype=np.float64)
     shares = np.zeros(len(SHARES))
@@ -345,17 +346,18 @@ def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: i
     return model, counted
 
 
-def _pairs(every: DataFrame, size: int) -> Pairs:
-    firsts = np.zeros(size, np.int64)
-    rows = every.where(F.col("kind") == FIRST).toArrow()  # at most one for each id
-    firsts[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
-    different = np.zeros(size, np.int64)
-    rows = every.where(F.col("kind") == PAIR).groupBy(F.shiftright("key", 32).alias("id")).count().toArrow()
-    different[rows.column("id").to_numpy()] = rows.column("count").to_numpy()
-    rows = every.where((F.col("kind") == PAIR) & (F.col("n") * COMMON >= int(firsts.sum()))).toArrow()
+def _pairs(every: DataFrame, size: int, leads: np.ndarray) -> Pairs:
+    pairs = every.where(F.col("kind") == PAIR).withColumn("id", (F.col("key") % (1 << 32)).cast("int"))
+    beginning = local_table(every.sparkSession, [(int(i), True) for i in np.flatnonzero(leads)], "id int, begins boolean")
+    sides = pairs.join(beginning, "id", "left").groupBy(F.shiftright("key", 32).alias("before"), F.col("begins").isNull().cast("int").alias("sort"))
+    rows = sides.agg(F.sum("n").alias("n"), F.count("*").alias("different")).toArrow()  # at most two for each id
+    at = rows.column("before").to_numpy(), rows.column("sort").to_numpy()
+    before, different = np.zeros((size, 2), np.int64), np.zeros((size, 2), np.int64)
+    before[at], different[at] = rows.column("n").to_numpy(), rows.column("different").to_numpy()
+    rows = pairs.where(F.col("n") * COMMON >= int(before.sum())).select("key", "n").toArrow()
     keys = rows.column("key").to_numpy()
     order = np.argsort(keys)
-    return Pairs(keys[order], rows.column("n").to_numpy()[order], firsts, different)
+    return Pairs(keys[order], rows.column("n").to_numpy()[order], before, different)
 
 
 def _advance(old: Attention, soft: np.ndarray, shares: np.ndarray, sums: pa.Table, seed: int) -> tuple[Attention, np.ndarray, np.ndarray]:
@@ -425,7 +427,8 @@ def score_texts(docs: DataFrame, held_out: Column, tokenizer: str, id: str = "do
     Rows of which ``held_out`` is not true (NULL counts as not held out) are learned from. Tokens are the lower-cased words and
     one end. ``base_score`` adds up log10((c + 1) / (N + V + 1)) with the exact count c of every
     token; ``score`` is the log10 probability by the model: for each token, the mixture of the word
-    unigram and the product of its subwords' probabilities by causal attention and counted pairs. A NULL
+    unigram and of causal attention with counted pairs over its subwords and its end. After any text the
+    probabilities of all words and the end add up to at most 1. A NULL
     text is empty: its only token is the end. Without training rows all counts are 0. Rows without
     an id and repeated rows are scored like any other. Other columns are ignored.
 

@@ -156,16 +156,18 @@ def test_attention_is_causal_and_whole():
 
     random = np.random.default_rng(0)
     ends = np.cumsum(random.integers(1, 4, 150))
-    tokens = Tokens(random.integers(0, 40, ends[-1]), ends, np.array([1, 70, 150]), 40)
+    ids = 20 + random.integers(0, 20, ends[-1])
+    ids[np.append(0, ends[:-1])] -= 20  # the ids below 20 begin tokens, the others go on
+    tokens = Tokens(ids, ends, np.array([1, 70, 150]), 40)
     _, scored = windows(tokens.texts)
     assert sorted(scored[scored >= 0]) == list(range(150))
-    model = Attention.fresh(41, 1)
+    model = Attention.fresh(41, 1, (np.arange(41) < 20) | (np.arange(41) == 40))
     model.parts = random.dirichlet(np.ones(41), KINDS).T.astype(np.float32)
-    none = Pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(41, np.int64))
+    none = Pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((41, 2), np.int64), np.zeros((41, 2), np.int64))
     model.follow[:] = 0
     before = log_probabilities(model, none, tokens)
     changed = Tokens(tokens.ids.copy(), ends, tokens.texts, 40)
-    changed.ids[ends[99] :] = 7
+    changed.ids[ends[99] :] = 7 + 20 * tokens.later[ends[99] :]
     after = log_probabilities(model, none, changed)
     assert np.allclose(before[:100], after[:100], atol=1e-5) and not np.allclose(before[100:], after[100:])
     soft, follow = np.zeros((41, KINDS)), np.zeros((2, 2))

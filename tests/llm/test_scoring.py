@@ -1,12 +1,16 @@
 """What the scoring model learns from and is scored with, whatever is held by every task."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import awkward
 
 from tabspark.llm import scoring
+from tabspark.llm.attention import Tokens, log_probabilities
 from tabspark.llm.catalog import let_workers_import
 from tabspark.llm.queries import public_vocabulary
+from tabspark.llm.text import pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -36,3 +40,44 @@ def test_every_text_is_learned_from(spark):
     used = sorted({i for t in texts for i in encode(" " + t.split()[0])})
     fresh = scoring.Attention.fresh(scoring.Subwords.of(path).size, 5)
     assert (model.attention.embed[used] != fresh.embed[used]).any(1).all()
+
+
+def test_words_after_a_text_add_up_to_at_most_one(spark):
+    """All words of the training texts, of many ids and of one, and the end, after some contexts."""
+    words = ["unbelievable", "xqzv", "the", "a,b", "é", "ab", "antidisestablishmentarianism", "12345", "of", "日本語", "x"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(60)] + ["the of the of"] * 5
+    given = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "id long, held_out boolean, text string")
+    path = public_vocabulary(VOCABULARY)
+    model, _ = scoring.fit_text_model(given, path)
+    for context in ("", "the", "unbelievable x", " ".join(words * 4), "never seen qqq"):
+        (piece,) = pieces(pa.array([f"{context} {w}".strip() for w in words] + [context]), 1 << 30)
+        counts, attended, read = scoring._both(model, piece, path)
+        of_word, of_end = attended[read.ends[:-1] - 2], attended[read.ends[-1] - 1]
+        unigram = np.where(counts > 0, model.unigram(counts), 0.0)
+        whole = model.share * unigram + (1 - model.share) * attended
+        assert of_word.sum() + of_end <= 1 + 1e-6, context
+        assert whole[read.ends[:-1] - 2].sum() + whole[read.ends[-1] - 1] <= 1 + 1e-6
+        assert of_word.sum() + of_end > 0.2 or "qqq" in context  # nor is most of it lost after words that were learned
+
+
+def test_ids_of_a_sort_add_up_to_one(spark):
+    """The probabilities of all ids of either sort, after texts of a fitted model, by the formula and in one go."""
+    texts = [f"{a}{b} {b} of{a}" * 9 for a in "bcdfgh" for b in ("olume", "arvest", "idnight")]
+    given = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "id long, held_out boolean, text string")
+    path = public_vocabulary(VOCABULARY)
+    model, _ = scoring.fit_text_model(given, path, rounds=2)
+    vocabulary = scoring.Subwords.of(path)
+    before = vocabulary.encoding.encode_ordinary(" volume of")
+    every = np.arange(vocabulary.size)
+    first = every[model.attention.leads]
+    # As many texts as ids: the words before, then one id that begins a token.
+    ids = np.concatenate([[*before, i] for i in first])
+    n = len(before) + 1
+    starts = [i for i in range(len(before)) if vocabulary.after_space[before[i]]] + [len(before)]
+    stops = np.array([*starts[1:], n])
+    ends = (np.arange(len(first))[:, None] * n + stops).ravel()
+    tokens = Tokens(ids, ends, np.arange(1, len(first) + 1) * len(stops), vocabulary.end)
+    logs = log_probabilities(model.attention, model.pairs, tokens).reshape(len(first), -1)[:, -1]
+    ending = np.where(first == vocabulary.end, 1.0, model.pairs.sort(first, np.zeros(len(first), np.int64)))
+    assert (np.exp(logs) / ending).sum() == pytest.approx(1, abs=1e-5)
