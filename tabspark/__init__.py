@@ -72,6 +72,7 @@ from .operators.features import (
 from .operators.joins import merge_shapes, merge_tables
 from .operators.models import (
     TrainedModel,
+    class_probabilities,
     coefficients,
     compare_models,
     cross_validate,
