@@ -35,6 +35,7 @@ from ..functions.session import local_table
 from ..functions.stats import ratio, rounded
 from .boosting import Boosting, fit_boosted
 from .evaluation import LABEL, PREDICTION, PROBABILITY, prediction_sample, regression_scores
+from .exact_trees import fit_exact_tree
 from .splits import FOLD, SPLIT, WEIGHT, Scaler, create_folds, fit_scaler
 
 # Model names, their default settings and the tuning grids.
@@ -188,6 +189,8 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
     votes = {**io, "rawPredictionCol": RAW, "probabilityCol": PROB}
     weight = {"weightCol": WEIGHT} if spec.weighted else {}
     leaf = p.get("min_samples_leaf", 2 if p.get("min_samples_split", 2) > 2 else 1)
+    if kind == "decision_tree" and p.get("exact_splits"):
+        return [_exact_tree(rows, spec, n_classes)]
     if spec.problem_type == "classification":
         if kind == "logistic_regression":
             mass = rows.agg(F.sum(WEIGHT) if spec.weighted else F.count(F.lit(1))).first()[0]
@@ -252,6 +255,16 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
     return [boost_regressor.fit(rows)]
 
 
+def _exact_tree(rows: DataFrame, spec: ModelSpec, n_classes: int) -> Transformer:
+    """Cuts between all distinct values instead of those between the bins of a sample."""
+    p = spec.params
+    n_classes = n_classes if spec.problem_type == "classification" else 0
+    columns = {"predictionCol": CALL, **({"probabilityCol": PROB} if n_classes else {})}
+    weight = WEIGHT if spec.weighted else None
+    least = p.get("min_samples_split", 2), p.get("min_samples_leaf", 1)
+    return fit_exact_tree(rows, VECTOR, INDEX, len(spec.features), n_classes, p["max_depth"], *least, weight, **columns)
+
+
 def _boosted(rows: DataFrame, spec: ModelSpec, n_classes: int) -> Transformer:
     """Leaf-wise trees, or for boosting of three or more classes a tree a class, grown to their depth."""
     names = ["n_estimators", "max_depth", "learning_rate", "num_leaves", "min_child_samples", "min_child_weight"]
@@ -629,6 +642,25 @@ def save_predictions(model: TrainedModel, df: DataFrame, path: str, fmt: str = "
     (writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
+def tree_nodes(model: TrainedModel) -> DataFrame:
+    """The nodes of an exact tree: ``node, depth, feature, cut, left, right, gain, values``; leaves have no feature.
+
+    ``values`` holds a leaf's class shares in the order of the classes, or its mean.
+    """
+    held = model.pipeline.stages[-1].model["nodes"]
+    depths = {0: 0}
+    for i, node in enumerate(held):
+        if node["f"] >= 0:
+            depths[node["l"]] = depths[node["r"]] = depths[i] + 1
+    rows = [
+        (i, depths[i], model.spec.features[n["f"]], n["t"], n["l"], n["r"], n["gain"], []) if n["f"] >= 0
+        else (i, depths[i], None, None, None, None, None, n["v"])
+        for i, n in enumerate(held)
+    ]
+    schema = "node long, depth long, feature string, cut double, left long, right long, gain double, values array<double>"
+    return local_table(SparkSession.getActiveSession(), rows, schema)
+
+
 def save_model(model: TrainedModel, path: str) -> None:
     """Write the pipeline and, beside it, what is needed to fit it again."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")

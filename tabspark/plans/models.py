@@ -383,6 +383,62 @@ def feature_importance(spark, sf_dir):
     return op.feature_importance(_ranked(spark, sf_dir), 1)
 
 
+STUMP_FEATURES = ["signal", "hint"]
+
+
+def _exact_stump_sql(target, classes):
+    """The cut of highest gain over all values of the training rows, and what lies on its sides."""
+    sums = [f"count(*) FILTER (y = '{k}')" for k in classes] or ["sum(y - m)"]
+    named = ", ".join(f"{s} AS s{k}" for k, s in enumerate(sums))
+    every = range(len(sums))
+    low = " + ".join(f"CAST(l{k} AS double) * l{k}" for k in every)
+    high = " + ".join(f"CAST(t{k} - l{k} AS double) * (t{k} - l{k})" for k in every)
+    whole = " + ".join(f"CAST(t{k} AS double) * t{k}" for k in every)
+    values = union(f"SELECT {i} AS f, '{c}' AS feature, CAST({c} AS double) AS v, y, m FROM t" for i, c in enumerate(STUMP_FEATURES))
+    split = split_sql(target, "f") if classes else PLAIN_SPLIT
+    mean = "0" if classes else "avg(CAST({0} AS double)) OVER ()".format(target)
+    left, right = ([f"l{k} / nl" for k in every], [f"(t{k} - l{k}) / (n - nl)" for k in every]) if classes else (["m + l0 / nl"], ["m + (t0 - l0) / (n - nl)"])
+    spread, digits = ("n", 4) if classes else ("e", -6)
+    rows = " UNION ALL ".join(
+        f"SELECT '{side}' AS side, feature, cut, round(gain, {digits}) AS gain, {k} AS place, round({x}, 6) AS value FROM best"
+        for side, shares in (("left", left), ("right", right)) for k, x in enumerate(shares)
+    )
+    return f"""WITH {F_SQL}, {split}, t AS MATERIALIZED (SELECT *, {target} AS y, {mean} AS m FROM split WHERE "_split" = 'train'),
+x AS ({values}), c AS (SELECT f, feature, v, count(*) AS c, max(m) AS m, {named}, {"count(*)" if classes else "sum((y - m) * (y - m))"} AS ee FROM x GROUP BY f, feature, v),
+r AS (SELECT f, feature, v, m, lead(v) OVER (PARTITION BY f ORDER BY v) AS nx, sum(c) OVER w AS nl, sum(c) OVER p AS n, sum(ee) OVER p AS e,
+{", ".join(f"sum(s{k}) OVER w AS l{k}, sum(s{k}) OVER p AS t{k}" for k in every)} FROM c
+WINDOW w AS (PARTITION BY f ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY f)),
+g AS (SELECT *, ({low}) / nl + ({high}) / (n - nl) - ({whole}) / n AS gain, {spread} - ({whole}) / n AS impurity, v / 2 + nx / 2 AS cut FROM r WHERE nx IS NOT NULL),
+best AS MATERIALIZED (SELECT * FROM g ORDER BY round(gain / impurity, 12) DESC, f, v LIMIT 1) {rows}"""
+
+
+def _exact_stump(target, problem_type, digits):
+    def run(spark, sf_dir):
+        df = split_for(spark, sf_dir, target)
+        model, _ = op.train(df, target, "decision_tree", problem_type, STUMP_FEATURES, {"max_depth": 1, "exact_splits": True})
+        nodes = op.tree_nodes(model)
+        top = nodes.where("node = 0").select("feature", "cut", F.round("gain", digits).alias("gain"), F.col("left").alias("l"))
+        leaves = nodes.where("depth = 1").select("node", F.posexplode("values").alias("place", "value"))
+        side = F.when(F.col("node") == F.col("l"), "left").otherwise("right").alias("side")
+        return top.join(leaves, F.lit(True)).select(side, "feature", "cut", "gain", "place", F.round("value", 6).alias("value"))
+
+    return run
+
+
+query("m6_stump_exact", _exact_stump_sql("label", STATUSES))(_exact_stump("label", "classification", 4))
+query("m6_stump_exact_regression", _exact_stump_sql("y_reg", []))(_exact_stump("y_reg", "regression", -6))
+
+
+@query("m6_tree_exact_training")
+def exact_tree(spark, sf_dir):
+    """Leaf sizes, means and errors of a deep exact tree on its training rows."""
+    df = written(split_for(spark, sf_dir, "y_reg"))
+    model, _ = op.train(df, "y_reg", "decision_tree", "regression", STUMP_FEATURES, {"max_depth": 4, "exact_splits": True})
+    scored = op.score(model, df.where("_split = 'train'"))
+    gap = F.col("label") - F.col("prediction")
+    return scored.groupBy(F.round("prediction", 6).alias("leaf")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.abs(gap)), 6).alias("error"))
+
+
 @query("k8_rank_features_forest")
 def rank_forest(spark, sf_dir):
     df = split_for(spark, sf_dir, "y_bin", ["o_orderkey", "y_bin", *TREE_FEATURES])
