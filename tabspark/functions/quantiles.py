@@ -8,6 +8,7 @@ whole column is ever put together in one place, and every round is one scan for
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -39,6 +40,21 @@ def exact_quantiles(
     return {c: found[f"v{i}"] for i, c in enumerate(columns)}
 
 
+def range_ends(df: DataFrame, columns: list[str], per_range: int, most: int = 1_000) -> list[list[float]]:
+    """Upper ends of all but the last of equally filled ranges of each column; none for a short table."""
+    n_ranges = min(most, df.count() // per_range)
+    if n_ranges < 2:
+        return [[] for _ in columns]
+    found = exact_quantiles(df, columns, [i / n_ranges for i in range(1, n_ranges)])
+    return [sorted({e for e in found[c] if e is not None}) for c in columns]
+
+
+def range_number(ends: list[list[float]], column: Column, x: Column) -> Column:
+    """The range that ``x`` lies in among the ends of the column of that number."""
+    held = F.from_json(F.lit(json.dumps(ends)), "array<array<double>>")
+    return F.size(F.filter(F.get(held, column), lambda e: e < x))
+
+
 @dataclass
 class _Range:
     """The rows of a column from one value to another, how many lie below them, and the 0-based ranks wanted among them."""

@@ -25,11 +25,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import range_ends, range_number
 from ..functions.session import written
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1_000
 NODE = "array<struct<f:int,t:double,l:int,r:int,open:boolean,v:array<double>>>"
 
 
@@ -65,16 +64,6 @@ def _walk(nodes: Column, x: Column, depth: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
 
 
-def _ranges(given: DataFrame, n_features: int) -> list[list[float]]:
-    """Upper ends of all but the last range of each feature: none for a short table."""
-    n_ranges = min(MAX_RANGES, given.count() // ROWS_PER_RANGE)
-    if n_ranges < 2:
-        return [[] for _ in range(n_features)]
-    wide = given.select(*[F.col("x")[f].alias(f"x{f}") for f in range(n_features)])
-    found = exact_quantiles(wide, wide.columns, [i / n_ranges for i in range(1, n_ranges)])
-    return [sorted({e for e in found[c] if e is not None}) for c in wide.columns]
-
-
 def _both_sides(df: DataFrame, parts: list[str], order: str, before: Column, total: Column) -> DataFrame:
     """Per step of ``order``: by how much the sums of squares at or below it and above it change."""
     s = F.col("s")
@@ -138,10 +127,11 @@ def fit_exact_tree(
     """Fit on rows of a vector and a label: a number (``n_classes`` 0: least squares), or the index of a class (Gini)."""
     w = (F.col(weight) if weight else F.lit(1.0)).cast("double")
     given = rows.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
-    ends = F.from_json(F.lit(json.dumps(_ranges(given, n_features))), "array<array<double>>")
+    wide = given.select(*[F.col("x")[f].alias(f"x{f}") for f in range(n_features)])
+    ends = range_ends(wide, wide.columns, ROWS_PER_RANGE)
 
     def cell(v: Column, f: Column) -> Column:
-        return F.struct(f.alias("f"), F.size(F.filter(F.get(ends, f), lambda e: e < v)).alias("b"), v.alias("v"))
+        return F.struct(f.alias("f"), range_number(ends, f, v).alias("b"), v.alias("v"))
 
     table = written(given.withColumn("cells", F.transform("x", cell)))
     y, w = F.col("y"), F.col("w")

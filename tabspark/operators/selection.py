@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, numeric_columns, require_columns, require_numeric
+from ..functions.neighbours import mutual_info_neighbours
 from ..functions.quantiles import exact_quantiles
 from ..functions.session import local_table
 from ..functions.stats import corr_pairs, rounded, upper_pairs
@@ -141,11 +142,13 @@ def _mutual_info(df: DataFrame, target: str, names: list[str], continuous: bool,
     return parts.groupBy("feature").agg(F.sum(n / t * F.ln(n * t / (F.col("nx") * F.col("ny")))).alias("score"))
 
 
-def score_features(df: DataFrame, target: str, method: str = "f_classif", n_bins: int = MI_BINS) -> DataFrame:
+def score_features(
+    df: DataFrame, target: str, method: str = "f_classif", n_bins: int = MI_BINS, n_neighbors: int | None = None
+) -> DataFrame:
     """``feature, score`` for every feature; missing feature values count as the median.
 
-    The mutual informations are estimated from quantile bins: repeatable and one shuffle, with other
-    numbers than a nearest-neighbour estimate.
+    The mutual informations are estimated from quantile bins: repeatable and one shuffle. That of a class
+    is estimated from nearest neighbours instead, with no bins, if ``n_neighbors`` says how many.
     """
     if method not in METHODS:
         raise ValueError(f"method={method!r} is none of {METHODS}")
@@ -154,6 +157,8 @@ def score_features(df: DataFrame, target: str, method: str = "f_classif", n_bins
         raise ValueError("Nothing to choose from: the table has no numeric column beside the target")
     if method.endswith("regression"):
         require_numeric(df, target)
+    if n_neighbors is not None and (method != "mutual_info_classif" or n_neighbors < 1):
+        raise ValueError("n_neighbors, from 1 on, goes with mutual_info_classif")
     filled, centre = _filled(df.where(col(target).isNotNull()), target, names)
     if method == "f_classif":
         return _f_classif(filled, target, names, centre)
@@ -161,12 +166,17 @@ def score_features(df: DataFrame, target: str, method: str = "f_classif", n_bins
         return _f_regression(filled, target, names)
     if method == "chi2":
         return _chi2(filled, target, names)
+    if n_neighbors:
+        return mutual_info_neighbours(filled, target, names, n_neighbors)
     return _mutual_info(filled, target, names, method.endswith("regression"), n_bins)
 
 
-def fit_k_best(df: DataFrame, target: str, k: int = 10, method: str = "f_classif") -> FeatureScores:
+def fit_k_best(
+    df: DataFrame, target: str, k: int = 10, method: str = "f_classif", n_neighbors: int | None = None
+) -> FeatureScores:
     """The k best features; undefined scores come last, and of equal ones the later column wins."""
-    found = {r["feature"]: r["score"] for r in score_features(df, target, method).collect()}
+    scored = score_features(df, target, method, n_neighbors=n_neighbors)
+    found = {r["feature"]: r["score"] for r in scored.collect()}
     names = [c for c in df.columns if c in found]
     key = {c: -math.inf if found[c] is None else found[c] for c in names}
     kept = set(sorted(names, key=lambda c: (key[c], names.index(c)))[-min(k, len(names)) :])

@@ -103,6 +103,36 @@ query("k6_mutual_info_regression", f"{FILLED} {_scores([_mi(c, 'y_reg') for c in
 )
 
 
+NEIGHBOURS = 3
+NEAR = [i for i in range(-NEIGHBOURS, NEIGHBOURS + 1) if i]
+
+
+def _neighbours(c):
+    """The nearest values on both sides by lag and lead, and the rows within the distance by a range frame."""
+    sides = ", ".join(f"{{'d': abs(lag(v, {i}) OVER w - v), 'c': lag(c, {i}) OVER w}}" for i in NEAR)
+    return (
+        f"SELECT '{c}' AS feature, (WITH p AS (SELECT CAST({c} AS double) AS v, y_bin AS y, count(*) AS c FROM d GROUP BY ALL), "
+        "s AS (SELECT *, sum(c) OVER (PARTITION BY y) AS size, sum(c) OVER () AS n FROM p), "
+        f"a AS (SELECT *, list_sort(list_filter([{{'d': 0.0::double, 'c': c - 1}}, {sides}], lambda x: x.d IS NOT NULL)) AS near FROM s "
+        "WINDOW w AS (PARTITION BY y ORDER BY v)), "
+        f"r AS (SELECT *, list_min(list_transform(list_filter(near, lambda x: list_sum(list_transform(list_filter(near, lambda z: z.d <= x.d), lambda z: z.c)) >= least({NEIGHBOURS}, size - 1)), lambda x: x.d)) AS r FROM a), "
+        "m AS (SELECT *, list_sum(list_transform(list_filter(near, lambda x: x.d <= r), lambda x: x.c)) AS among, "
+        "sum(c) OVER (ORDER BY v RANGE BETWEEN r PRECEDING AND r FOLLOWING) - 1 AS m FROM r) "
+        "SELECT greatest(0, any_value(hn.h) - 0.5772156649015329 + sum(c * (ha.h - hs.h - hm.h + 0.5772156649015329)) / any_value(n)) "
+        "FROM m JOIN harmonic ha ON ha.i = m.among JOIN harmonic hs ON hs.i = m.size JOIN harmonic hm ON hm.i = m.m JOIN harmonic hn ON hn.i = m.n) AS score"
+    )
+
+
+# Digamma of a whole number is the harmonic sum before it, less Euler's constant.
+HARMONIC = "harmonic AS MATERIALIZED (SELECT i, coalesce(sum(1.0::double / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM (SELECT row_number() OVER () AS i FROM raw))"
+
+
+@query("k6_mutual_info_neighbours", f"{FILLED}, {HARMONIC} {_scores([_neighbours(c) for c in CLASSIF], 4)}")
+def mutual_info_neighbours(spark, sf_dir):
+    df = numbers(spark, sf_dir).select("y_bin", *CLASSIF)
+    return op.score_features(df, "y_bin", "mutual_info_classif", n_neighbors=NEIGHBOURS).select("feature", F.round("score", 4).alias("score"))
+
+
 @query(
     "k7_select_k_best",
     f"""{FILLED}, s AS ({union(_f_classif(c) for c in CLASSIF)}),
