@@ -38,6 +38,7 @@ from .operators.evaluation import (
     prediction_sample,
     regression_metrics,
     report,
+    residual_grid,
     residual_histogram,
     residual_points,
     residual_range,

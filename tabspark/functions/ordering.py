@@ -203,6 +203,28 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: b
     )
 
 
+# monotonically_increasing_id puts the partition in the upper bits and the position in the lower 33.
+POSITION = 2**33
+
+
+def running(df: DataFrame, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """Add the sum of a whole number over all rows before each one in ``order``, over the whole table.
+
+    The table is sorted into ranges and written once, so that its partitions stay put; the driver adds up one
+    sum a partition, and each partition orders only its own rows.
+    """
+    ordered = cut_lineage(df.withColumn(name, value.cast("long")).sort(*order)).withColumn("_id", F.monotonically_increasing_id())
+    placed = ordered.withColumn("_p", F.floor(F.col("_id") / POSITION))
+    before, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in placed.groupBy("_p").agg(F.sum(name)).collect()):
+        offsets.append((p, before))
+        before += n
+    offset = local_table(df.sparkSession, offsets, "_p long, _before long")
+    inside = Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.join(offset, "_p").withColumn(name, F.col("_before") + F.coalesce(F.sum(name).over(inside), F.lit(0)))
+    return summed.select(*[col(c) for c in df.columns], name)
+
+
 def dense_codes(values: DataFrame, max_rows: int = SMALL_SIDE_ROWS, estimate: int | None = None) -> DataFrame:
     """Codes 0.. for the distinct values of a one-column string table, ascending: ``value, code``.
 
@@ -217,14 +239,4 @@ def dense_codes(values: DataFrame, max_rows: int = SMALL_SIDE_ROWS, estimate: in
         if len(found) <= max_rows:
             codes = [(value, i) for i, value in enumerate(sorted(r["value"] for r in found))]
             return local_table(spark, codes, "value string, code long")
-    # monotonically_increasing_id puts the partition in the upper bits and the position in the lower 33.
-    position = 2**33
-    ordered = cut_lineage(distinct.sort("value")).withColumn("id", F.monotonically_increasing_id())
-    numbered = ordered.select("value", F.floor(F.col("id") / position).alias("p"), (F.col("id") % position).alias("i"))
-    counts = {r["p"]: r["n"] for r in numbered.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, offsets = 0, []
-    for p in sorted(counts):
-        offsets.append((p, before))
-        before += counts[p]
-    offset = local_table(spark, offsets, "p long, before long")
-    return numbered.join(F.broadcast(offset), "p").select("value", (F.col("before") + F.col("i")).alias("code"))
+    return running(distinct, ["value"], F.lit(1), "code")

@@ -265,6 +265,29 @@ def residual_points(
     return points if n is None else first_rows(points, n, _order(scored, keys), seed)
 
 
+def residual_grid(scored: DataFrame, n_bins: int = 50, x: str = PREDICTION, y: str = "residual") -> DataFrame:
+    """The picture of all points as row counts of at most ``n_bins`` squared cells, empty ones left out.
+
+    ``x`` and ``y`` are two of label, prediction and residual; one pass finds their ends and one counts. Cells are
+    left-closed, the highest value belongs to the last one, and rows without either value are in none.
+    """
+    if n_bins < 1:
+        raise ValueError("At least 1 bin is needed")
+    points = residuals(scored).select(as_double(x).alias("x"), as_double(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if ends[0] is None:
+        return local_table(scored.sparkSession, [], "x_bin int, y_bin int, x_low double, x_high double, y_low double, y_high double, row_count long")
+    cells, edges = [], []
+    for c, lo, hi in (("x", *ends[:2]), ("y", *ends[2:])):
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        width = (hi - lo) / n_bins
+        cells.append(F.least(F.floor((F.col(c) - F.lit(lo)) * n_bins / (hi - lo)), F.lit(n_bins - 1)).cast("int").alias(f"{c}_bin"))
+        edges += [(F.lit(lo) + (F.col(f"{c}_bin") + step) * width).alias(f"{c}_{end}") for step, end in ((0, "low"), (1, "high"))]
+    counted = points.groupBy(*cells).agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.select("x_bin", "y_bin", *edges, "row_count")
+
+
 def report(
     stages: dict[str, DataFrame], model: str, scored: DataFrame, problem_type: str, n_features: int
 ) -> DataFrame:

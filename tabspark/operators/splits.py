@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, col, is_numeric, numeric_columns, require_columns
-from ..functions.ordering import COPIES_PER_BLOCK, SEED, chunk_number, hash_cuts, part_sizes, repeat_rows
+from ..functions.ordering import COPIES_PER_BLOCK, SEED, chunk_number, hash_cuts, part_sizes, repeat_rows, running
 from ..functions.session import local_table, small_side
 
 SPLIT = "_split"
@@ -45,17 +45,23 @@ def is_stratified(df: DataFrame, target: str) -> bool:
 
 
 def allocate(sizes: DataFrame, total: int) -> DataFrame:
-    """Share ``total`` among the parts by size: whole shares, then the largest remainders, ties by part."""
-    wide = "decimal(38,0)"
-    everything = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    shared = F.lit(total).cast("decimal(18,0)") * F.col("n").cast("decimal(18,0)")
-    quota = sizes.select("part", "n", everything.cast(wide).alias("all"), shared.cast(wide).alias("shared"))
-    whole = quota.select("part", "n", "all", (F.col("shared") % F.col("all")).alias("rest"), "shared")
-    whole = whole.withColumn("base", ((F.col("shared") - F.col("rest")) / F.col("all")).cast("long"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("rest").desc(), "part")
-    left_over = F.lit(total) - F.sum("base").over(Window.partitionBy(F.lit(0)))
-    extra = (F.row_number().over(order) <= left_over).cast("long")
-    return whole.select("part", "n", (F.col("base") + extra).alias("share"))
+    """Share ``total`` among the parts by size: whole shares, then the largest remainders, ties by part.
+
+    The parts are put in order by range, so there may be any number of them.
+    """
+    everything = sizes.agg(F.sum("n")).first()[0]
+    if not everything:
+        return sizes.select("part", "n", F.lit(0).cast("long").alias("share"))
+    every = F.lit(everything).cast("decimal(38,0)")
+    shared = (F.lit(total).cast("decimal(18,0)") * F.col("n").cast("decimal(18,0)")).cast("decimal(38,0)")
+    quota = sizes.select("part", "n", (shared % every).alias("rest"), shared.alias("shared"))
+    whole = quota.withColumn("base", ((F.col("shared") - F.col("rest")) / every).cast("long"))
+    left_over = total - whole.agg(F.sum("base")).first()[0]
+    if not left_over:
+        return whole.select("part", "n", F.col("base").alias("share"))
+    placed = running(whole, [F.col("rest").desc(), "part"], F.lit(1), "place")
+    extra = (F.col("place") < left_over).cast("long")
+    return placed.select("part", "n", (F.col("base") + extra).alias("share"))
 
 
 def _no_gaps(df: DataFrame, part: str | None) -> None:
@@ -105,8 +111,7 @@ def fold_ranks(sizes: DataFrame, n_folds: int) -> DataFrame:
     With the classes laid end to end, fold f gets as many rows of a class as it has positions j with
     j mod n_folds = f, so folds differ by one row at most, in each class and in total.
     """
-    start = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sizes.select("part", "n", F.coalesce(start, F.lit(0)).alias("start"))
+    placed = running(sizes.select("part", "n"), ["part"], F.col("n"), "start")
     cut = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n_folds - 2, 0)))).alias("cut"))
     # Positions j < at with j mod n_folds <= cut, for the class's end minus its start.
     def below(at: Column) -> Column:
@@ -141,7 +146,7 @@ def create_folds(
 def fold_summary(df: DataFrame) -> DataFrame:
     """``fold`` (from 1), ``train_rows``, ``val_rows``."""
     sizes = df.groupBy(col(FOLD).alias("f")).agg(F.count(F.lit(1)).alias("val_rows"))
-    everything = F.sum("val_rows").over(Window.partitionBy(F.lit(0)))
+    everything = F.sum("val_rows").over(Window.partitionBy())  # one row a fold
     return sizes.select((F.col("f") + 1).alias("fold"), (everything - F.col("val_rows")).alias("train_rows"), "val_rows")
 
 

@@ -207,3 +207,24 @@ def residual_range(spark, sf_dir):
 )
 def residual_points(spark, sf_dir):
     return op.residual_points(regression(spark, sf_dir))
+
+
+GRID_BINS = 50
+
+
+def _cell(x, n):
+    return f"least(floor(({x} - lo_{x}) * {n} / (hi_{x} - lo_{x})), {n - 1})::int"
+
+
+@query(
+    "v9_residual_grid",
+    "WITH p AS (SELECT CAST(y_pred AS double) AS x, CAST(y_true AS double) - CAST(y_pred AS double) AS y FROM {scored}), "
+    "d AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL), e AS (SELECT min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM d), "
+    f"c AS (SELECT {_cell('x', GRID_BINS)} AS x_bin, {_cell('y', GRID_BINS)} AS y_bin, count(*) AS row_count FROM d, e GROUP BY ALL) "
+    "SELECT x_bin, y_bin, "
+    + ", ".join(f"round(lo_{a} + ({a}_bin + {step}) * (hi_{a} - lo_{a}) / {GRID_BINS}, 6) AS {a}_{end}" for a in "xy" for step, end in ((0, "low"), (1, "high")))
+    + ", row_count FROM c, e",
+)
+def residual_grid(spark, sf_dir):
+    grid = op.residual_grid(regression(spark, sf_dir), GRID_BINS)
+    return grid.select("x_bin", "y_bin", *[F.round(c, 6).alias(c) for c in ("x_low", "x_high", "y_low", "y_high")], "row_count")

@@ -116,3 +116,16 @@ def test_boxplot_and_heatmap_rules(spark):
     wide = df.withColumn("y", F.col("x") * 2).withColumn("c", F.lit(1.0))
     cells = {(q["col_1"], q["col_2"]): q["correlation"] for q in g.correlation_heatmap(wide).collect()}
     assert len(cells) == 9 and cells["x", "x"] == 1.0 and cells["y", "x"] == cells["x", "y"] == 1.0 and cells["c", "c"] is None
+
+
+def test_residual_grid_counts_every_point_once(spark):
+    rng = np.random.default_rng(1)
+    y, e = rng.normal(size=300), rng.normal(size=300)
+    df = spark.createDataFrame([(float(a), float(a - b)) for a, b in zip(y, e)] + [(None, 1.0), (1.0, None)], "label double, prediction double")
+    grid = v.residual_grid(df, 6).toPandas()
+    want, xs, ys = np.histogram2d(y - e, y - (y - e), bins=6)
+    found = np.zeros((6, 6))
+    found[grid["x_bin"], grid["y_bin"]] = grid["row_count"]
+    assert (found == want).all() and np.allclose(grid["x_low"], xs[grid["x_bin"]]) and np.allclose(grid["y_high"], ys[grid["y_bin"] + 1])
+    assert v.residual_grid(df.where("label IS NULL")).count() == 0
+    assert [tuple(r) for r in v.residual_grid(df.limit(0).unionByName(spark.createDataFrame([(2.0, 2.0)] * 3, df.schema)), 4).select("x_bin", "y_bin", "row_count").collect()] == [(2, 2, 3)]

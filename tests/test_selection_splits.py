@@ -230,3 +230,33 @@ def test_oversample_of_a_rare_class(spark, monkeypatch):
     df = spark.range(101).select("id", F.when(F.col("id") == 0, "rare").otherwise("often").alias("k"))
     balanced = d.class_balance(df, "k", "oversample", ["id"])
     assert {r["k"]: r["count"] for r in balanced.groupBy("k").count().collect()} == {"rare": 100, "often": 100}
+
+
+def test_shares_and_starts_of_a_million_classes(spark):
+    n = 1_000_000
+    sizes = spark.range(n).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("part"), (F.col("id") % 3 + 2).alias("n"))
+    total = 700_000
+    shared = d.allocate(sizes, total).withColumn("i", F.substring("part", 2, 7).cast("long"))
+    everything = sum(i % 3 + 2 for i in range(n))
+    left = total - sum((i % 3 + 2) * total // everything for i in range(3)) * (n // 3) - (2 * total // everything)
+    found = shared.agg(F.sum("share"), F.count(F.lit(1)), F.max("share")).first()
+    assert tuple(found) == (total, n, 1) and left == total
+    # All of the largest remainder (size 2 or 3 or 4 times the total) come first, ties by name.
+    by_size = {r["n"]: (r["s"], r["last"]) for r in shared.groupBy("n").agg(F.sum("share").alias("s"), F.max(F.when(F.col("share") > 0, F.col("i"))).alias("last")).collect()}
+    largest = n // 3
+    assert by_size[4][0] == largest and by_size[3][0] == largest
+    assert by_size[2] == (total - 2 * largest, 3 * (total - 2 * largest - 1))
+    ranks = d.fold_ranks(sizes.where("part < 'c0000999'"), 3)
+    last = {(r["part"], r["cut"]): r["rank"] for r in ranks.collect()}
+    start = 0
+    for i in range(999):
+        size = i % 3 + 2
+        for cut in (0, 1):
+            assert last[f"c{i:07d}", cut] == sum(1 for j in range(start, start + size) if j % 3 <= cut)
+        start += size
+
+
+def test_a_class_a_row_pair_is_split_without_one_task_for_all(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("c"), F.floor(F.col("id") / 2)).alias("k"))
+    split = d.split_data(df, "k", 0.5, keys=["id"])
+    assert split.groupBy("k").agg(F.count_if(F.col("_split") == "test").alias("t")).where("t <> 1").isEmpty()

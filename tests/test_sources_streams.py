@@ -1,4 +1,5 @@
 import os
+from multiprocessing.pool import ThreadPool
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from tabspark import sources as s
 from tabspark.functions import session
 from tabspark.operators import columns, features, rows, splits
+from tabspark.sources import versions
 from tabspark.sources.tables import stack_tables
 from tabspark.streaming import read_stream, run_available
 
@@ -101,6 +103,20 @@ def test_versions_count_per_dataset(spark, tmp_path):
     assert numbers == [1, 2, 1, 1] and s.read_registry(spark, path).count() == 3
 
 
+def test_writers_at_once_get_numbers_of_their_own(spark, tmp_path):
+    path = f"{tmp_path}/registry"
+    tables = [spark.range(n) for n in (3, 4, 5, 3)]
+    with ThreadPool(4) as pool:
+        numbers = pool.map(lambda d: s.register_version(d, "x", path).first()["version_number"], tables)
+    assert numbers[0] == numbers[3] and sorted(numbers[:3]) == [1, 2, 3]
+    assert s.read_registry(spark, path).count() == 3
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    assert versions._commit(spark, f"{tmp_path}/d", "1.json", "first") and not versions._commit(spark, f"{tmp_path}/d", "1.json", "second")
+    assert [p.name for p in (tmp_path / "d").iterdir()] == ["1.json"] and (tmp_path / "d" / "1.json").read_text() == "first"
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     kept = session.written(spark.range(5))
