@@ -42,7 +42,7 @@ def corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def _products(rows: DataFrame, width: int) -> np.ndarray:
+def products(rows: DataFrame, width: int) -> np.ndarray:
     """Sums of the products of every two elements of the array column ``v``: one scan, added up in a tree."""
     vectors = rows.select(array_to_vector("v").alias("v"))
     old_kind = MLUtils.convertVectorColumnsFromML(vectors, "v")
@@ -85,7 +85,7 @@ def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, s
     flags = [F.col(f"z{used.index(c)}").isNotNull().cast("double") for c in gappy]
     squares = [x * x for x in filled] if gappy else []
     elements = [*filled, F.lit(1.0), *flags, *squares]
-    sums = _products(z.select(F.array(*elements).alias("v")), len(elements))
+    sums = products(z.select(F.array(*elements).alias("v")), len(elements))
     at = {c: i for i, c in enumerate(used)}
     one = len(used)
     present = {c: one for c in used} | {c: one + 1 + i for i, c in enumerate(gappy)}

@@ -36,6 +36,7 @@ from ..functions.stats import ratio, rounded
 from .boosting import Boosting, fit_boosted
 from .evaluation import LABEL, PREDICTION, PROBABILITY, prediction_sample, regression_scores
 from .exact_trees import fit_exact_tree
+from .ridge import fit_ridge
 from .splits import FOLD, SPLIT, WEIGHT, Scaler, create_folds, fit_scaler
 
 # Model names, their default settings and the tuning grids.
@@ -183,7 +184,7 @@ def prepare(df: DataFrame, spec: ModelSpec, carry: Sequence[str] = ()) -> Prepar
 
 
 def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transformer]:
-    """Fit the estimator (for one-against-rest least squares: one per class) on assembled rows."""
+    """Fit the estimator on assembled rows."""
     p, kind = spec.params, spec.model_type
     io = {"featuresCol": VECTOR, "labelCol": INDEX, "predictionCol": CALL}
     votes = {**io, "rawPredictionCol": RAW, "probabilityCol": PROB}
@@ -206,7 +207,8 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
                 ).fit(rows)
             ]
         if kind == "ridge_classifier":
-            return _ridge_votes(rows, spec, n_classes)
+            weighted = WEIGHT if spec.weighted else None
+            return [fit_ridge(rows, VECTOR, INDEX, n_classes, p["alpha"], weighted, predictionCol=CALL)]
         if kind == "decision_tree":
             tree = DecisionTreeClassifier(**votes, **weight, maxDepth=p["max_depth"], minInstancesPerNode=leaf, seed=SEED)
             return [tree.fit(rows)]
@@ -229,7 +231,7 @@ def _estimators(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transf
     if kind == "linear_regression":
         return [LinearRegression(**io, regParam=0.0).fit(rows)]
     if kind == "ridge":
-        return [_ridge(rows, INDEX, CALL, p["alpha"], {})]
+        return [fit_ridge(rows, VECTOR, INDEX, 0, p["alpha"], predictionCol=CALL)]
     if kind == "lasso":
         lasso = LinearRegression(
             **io, regParam=p["alpha"], elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-10
@@ -276,43 +278,6 @@ def _boosted(rows: DataFrame, spec: ModelSpec, n_classes: int) -> Transformer:
     return fit_boosted(rows, VECTOR, INDEX, len(spec.features), n_classes, Boosting(**asked), weight, **columns)
 
 
-def _ridge(rows: DataFrame, label: str, out: str, alpha: float, weight: dict[str, str]) -> Transformer:
-    """Least squares plus alpha * |w|^2. Spark measures the penalty in units of the label's spread."""
-    if weight:
-        w, y = F.col(WEIGHT), F.col(label)
-        n, s1, s2 = rows.agg(F.sum(w), F.sum(w * y), F.sum(w * y * y)).first()
-        std = math.sqrt(max(s2 / n - (s1 / n) ** 2, 0.0))
-    else:
-        n, std = rows.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
-    ridge = LinearRegression(
-        featuresCol=VECTOR,
-        labelCol=label,
-        predictionCol=out,
-        regParam=alpha * std / n,
-        elasticNetParam=0.0,
-        standardization=False,
-        solver="normal",
-        **weight,
-    )
-    return ridge.fit(rows)
-
-
-def _ridge_votes(rows: DataFrame, spec: ModelSpec, n_classes: int) -> list[Transformer]:
-    """Least squares on +1 / -1 per class; the largest value wins (its sign for two classes)."""
-    weight = {"weightCol": WEIGHT} if spec.weighted else {}
-    sides = [1] if n_classes == 2 else list(range(n_classes))
-    models = []
-    for k in sides:
-        signed = rows.withColumn("_side", F.when(F.col(INDEX) == k, 1.0).otherwise(-1.0))
-        models.append(_ridge(signed, "_side", f"_vote{k}", spec.params["alpha"], weight))
-    if n_classes == 2:
-        winner = "CASE WHEN _vote1 > 0 THEN 1.0D ELSE 0.0D END"
-    else:
-        votes = f"array({', '.join(f'_vote{k}' for k in sides)})"
-        winner = f"CAST(array_position({votes}, array_max({votes})) - 1 AS DOUBLE)"
-    return [*models, SQLTransformer(statement=f"SELECT *, {winner} AS {CALL} FROM __THIS__")]
-
-
 def _finish(prepared: Prepared, spec: ModelSpec, fitted: list[Transformer]) -> TrainedModel:
     return TrainedModel(spec, prepared.classes, PipelineModel([*prepared.stages, *fitted]))
 
