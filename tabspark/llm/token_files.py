@@ -232,9 +232,9 @@ def write_token_files(
 ) -> TokenFiles:
     """Encode whole texts in ascending id order and write their ids as Arrow stream files.
 
-    Every batch of a file is a fixed-size list of ``length`` ids and of as many mask bits, so the place
-    of any sequence follows from its number; documents run on from one sequence to the next, and only
-    the last sequence of a file is filled up, with mask bits off. A second file has the first id and
+    Every batch of a file is a fixed-size list of ``length`` ids and of as many mask bits, so a mapped file
+    gives any sequence by its number (``Sequences``); documents run on from one sequence to the next, and
+    only the last sequence of a file is filled up, with mask bits off. A second file has the first id and
     the number of ids of each document. Ids are kept in 16 bits if the vocabulary allows.
 
     The table is dealt out by ranges of (id, hash of the text), so a repeated id is no hot key. A task
@@ -295,6 +295,35 @@ def ids_of(stream: pa.RecordBatchReader) -> Iterator[np.ndarray]:
         yield ids[mask] if not mask.all() else ids
 
 
+class Sequences:
+    """The sequences of one ``.ids.arrow`` file by number, for a training loop beside Spark.
+
+    The file is mapped, not read: opening it looks at the head of each batch (of up to ``rows_per_batch``
+    sequences), and a sequence's ids are a view of the file's own bytes. Numbers below 0 count from the end, as
+    in a list. The path is one that the machine can map; a file without documents does not exist.
+    """
+
+    def __init__(self, path: str):
+        with pa.memory_map(path) as mapped, pa.ipc.open_stream(mapped) as stream:
+            self.length = stream.schema.field("ids").type.list_size
+            self._batches = list(stream)
+        self._ends = np.cumsum([b.num_rows for b in self._batches], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return int(self._ends[-1]) if len(self._ends) else 0
+
+    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, mask): ids cannot be written to; mask is False where the last sequence is filled up."""
+        at = number + len(self) if number < 0 else number
+        if not 0 <= at < len(self):
+            raise IndexError(f"Sequence {number} of {len(self)}")
+        b = int(np.searchsorted(self._ends, at, side="right"))
+        batch = self._batches[b]
+        begin = (at - int(self._ends[b]) + batch.num_rows) * self.length
+        ids, mask = (batch.column(c).flatten().slice(begin, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+
+
 def read_token_files(spark: SparkSession, found: TokenFiles) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, all of it from the files: where its ids
     begin among those of all files, how many there are, and the crc32 of them as 32-bit little endian."""
