@@ -3,8 +3,10 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabspark.operators import boosting as b
@@ -124,3 +126,23 @@ def test_saved_and_loaded(spark, tmp_path):
     again = m.load_model(str(tmp_path / "model"))
     assert m.class_probabilities(again, df).collect() == m.class_probabilities(model, df).collect()
     assert "Python" not in m.score(again, df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_partition_are_dealt_to_all_cores(spark, monkeypatch):
+    """Every pass scans the binned table: from one input partition it ran in one task."""
+    parts, write = [], b.written
+    monkeypatch.setattr(b, "written", lambda df: parts.append(df.rdd.getNumPartitions()) or write(df))
+    rows = spark.range(400).coalesce(1).selectExpr("array(double(id % 10), double(id % 7)) AS a", "double(id % 10) AS y")
+    rows = rows.select(array_to_vector("a").alias("x"), "y")
+    model = b.fit_boosted(rows, "x", "y", 2, 0, b.Boosting(n_estimators=9, max_depth=2), predictionCol="p")
+    assert len(parts) == 2 and min(parts) >= spark.sparkContext.defaultParallelism
+    assert model.transform(rows).count() == 400
+
+
+def test_packed_rows_read_back_from_slices():
+    numbers = np.arange(12.0).reshape(4, 3)
+    packed = b._packed(numbers)
+    assert packed.to_pylist() == [r.tobytes() for r in numbers]
+    for kind in (pa.binary(), pa.large_binary()):
+        assert (b._matrix(packed.cast(kind).slice(1, 2), np.float64, 3) == numbers[1:3]).all()
+    assert b._matrix(packed.slice(2, 0), np.float64, 3).shape == (0, 3)
