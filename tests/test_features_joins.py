@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabspark.operators import features as f
+from tabspark.operators import joins
 from tabspark.operators.joins import merge_tables
 
 
@@ -140,3 +141,27 @@ def test_merge_keeps_an_equi_join(spark):
     b = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     plan = merge_tables(a, b, left_on="o_custkey", right_on="c_custkey", how="outer")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("how", joins.KINDS)
+def test_hot_keys_are_joined_in_blocks(spark, rows, monkeypatch, how):
+    a = spark.createDataFrame([("n" if i % 3 else None, i) for i in range(12)] + [("a", 12), ("a", 12)], "k string, v long")
+    b = spark.createDataFrame([(None, i) for i in range(5)] + [("n", 7), ("n", 7), ("b", 8)], "k string, w long")
+    want = rows(merge_tables(a, b, on="k", how=how))
+    monkeypatch.setattr(joins, "HOT_PAIRS", 3)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 2)
+    assert rows(merge_tables(a, b, on="k", how=how)) == want
+
+
+@pytest.mark.parametrize("how", joins.KINDS)
+def test_no_task_makes_all_pairs_of_missing_keys(spark, how):
+    a = spark.range(3000).selectExpr("CAST(NULL AS long) AS k", "id AS v")
+    b = spark.range(1000).selectExpr("CAST(NULL AS long) AS k", "id AS w")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = merge_tables(a, b, on="k", how=how).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    counts = [r["count"] for r in made]
+    assert sum(counts) == 3_000_000 and max(counts) < 2_500_000
