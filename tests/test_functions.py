@@ -213,3 +213,34 @@ def test_frequent_groups_join_without_a_shuffle(spark, monkeypatch):
     assert len(got) == joined.count() == 1000 and all(s == sums.get(g) for g, s in got.values())
     hot = [r for r in joined._jdf.queryExecution().toString().split("\n") if "LocalTableScan" in r or "LocalRelation [k" in r]
     assert hot and "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+
+
+def test_correlations_far_from_the_first_rows(spark):
+    """First rows far away from all others, gaps, a constant and a large offset: one or two scans, as numpy has it."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=4000)
+    a[:1500] += 1e7
+    b = a * 0.5 + rng.normal(size=4000)
+    c = 1e9 + rng.normal(size=4000)
+    d = np.where(np.arange(4000) % 3 == 0, np.nan, b + rng.normal(size=4000))
+    table = pd.DataFrame({"a": a, "b": b, "c": c, "d": d, "e": 5.0})
+    df = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in table.itertuples(index=False)], "a double, b double, c double, d double, e double")
+    pairs = stats.upper_pairs(list("abcde"))
+    got = stats.corr_pairs(df.coalesce(1), pairs)
+    for x, y in pairs:
+        want = table[x].corr(table[y])
+        assert got[x, y] is None if "e" in (x, y) else abs(got[x, y] - want) < 1e-6, (x, y)
+
+
+def test_correlations_take_one_scan(spark):
+    """Close to the first rows, no second scan of the table is needed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 200_000, 1, 4).selectExpr("double(id % 50) AS a", "double(id % 7) AS b").mapInArrow(counted, "a double, b double")
+    assert stats.corr_pairs(df, [("a", "b")])["a", "b"] is not None
+    assert 200_000 <= seen.value < 300_000
