@@ -20,8 +20,8 @@ from .text import mix, shingle_sets
 class Forest:
     """The forest: ``trees`` sorted orders of ``depth`` MinHash values each.
 
-    Neighbours in an order are candidates from a common prefix of ``least_depth`` values on. A region
-    of more than ``region`` documents with a common prefix is cut at greater depth. A candidate whose
+    Rows of an order are candidates from a common prefix of ``least_depth`` values on. A region of more
+    than ``region`` documents with a common prefix is dealt to blocks, and all pairs of blocks are looked at. A candidate whose
     signatures agree in less than ``agree`` of all places is dropped. A true link of similarity 0.8
     has a common prefix of 3 in one of 14 orders with probability 0.99996, and agrees in less than
     0.62 of 84 places with probability below 0.0001.
@@ -102,7 +102,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _tree_links(forest: Forest) -> Callable[[Batches], Batches]:
-    """Sorted rows (tree, prefix, id, sketch) to links that join all candidates of every region."""
+    """Sorted rows (tree, low, high, prefix, id, sketch) to links that join all candidates of every region or pair of its blocks."""
     least = int(np.ceil(forest.agree * forest.size))
 
     def spread(sketch: np.ndarray, rows: np.ndarray, out: list[np.ndarray]) -> None:
@@ -118,28 +118,16 @@ def _tree_links(forest: Forest) -> Callable[[Batches], Batches]:
                     out.append(np.column_stack([np.full(len(near), x), near]))
                     queue.extend(near)
 
-    def regions(sketch: np.ndarray, common: np.ndarray, a: int, b: int, depth: int, out: list[np.ndarray]) -> None:
-        if b - a <= forest.region:
-            spread(sketch, np.arange(a, b), out)
-        elif depth < forest.depth:
-            cuts = [a, *(a + 1 + np.flatnonzero(common[a + 1 : b] <= depth)), b]
-            for x, y in zip(cuts, cuts[1:]):
-                if y - x > 1:
-                    regions(sketch, common, x, y, depth + 1, out)
-        else:
-            for x in range(a, b - 1, forest.region // 2):  # equal prefixes: windows that overlap
-                spread(sketch, np.arange(x, min(x + forest.region, b)), out)
-
     def run(batches: Batches) -> Batches:
         held = list(batches)
         if sum(b.num_rows for b in held) < 2:
             return
         table = pa.Table.from_batches(held)
-        tree = table.column(0).to_numpy()
-        prefix = _matrix(table.column(1), 4 * forest.depth).view(">u4")
-        sketch = _matrix(table.column(3), forest.size)
-        ids = table.column(2).to_numpy()
-        same = (prefix[1:] == prefix[:-1]) & (tree[1:] == tree[:-1])[:, None]
+        part = np.column_stack([table.column(c).to_numpy() for c in ("tree", "low", "high")])
+        prefix = _matrix(table.column("prefix"), 4 * forest.depth).view(">u4")
+        sketch = _matrix(table.column("sketch"), forest.size)
+        ids = table.column("id").to_numpy()
+        same = (prefix[1:] == prefix[:-1]) & (part[1:] == part[:-1]).all(1)[:, None]
         common = np.concatenate([[0], np.minimum.accumulate(same, axis=1).sum(1)])
         starts = np.flatnonzero(common < forest.least_depth)
         ends = np.append(starts[1:], len(ids))
@@ -148,7 +136,7 @@ def _tree_links(forest: Forest) -> Callable[[Batches], Batches]:
         close = (sketch[adjacent] == sketch[adjacent - 1]).sum(1) >= least
         links.append(np.column_stack([adjacent[close] - 1, adjacent[close]]))
         for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-            regions(sketch, common, a, b, forest.least_depth, links)
+            spread(sketch, np.arange(a, b), links)
         pairs = ids[np.concatenate(links)]
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -218,7 +206,7 @@ def near_duplicates(
     ``100 * intersection >= percent * union``; a component is what links reach, named by its least id,
     and only the document of that id is kept. Documents of equal sets form one class first, so copies
     cost one row each. Classes stand in the sorted orders of the forest, dealt out by range; each task
-    joins up the candidates of its regions, and what is joined is a cluster. Clusters of more than
+    joins up the candidates of its whole regions, or of pairs of blocks of large ones, and what is joined is a cluster. Clusters of more than
     ``forest.block`` classes are cut into blocks and all pairs of blocks are looked at, each in a task
     of its own; every link within a cluster is confirmed on full sets, and only links that join two
     groups leave the task.
@@ -243,8 +231,10 @@ def near_duplicates(
         .select("id", "signature", sketch, F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
         .selectExpr("tree", f"substring(signature, tree * {4 * forest.depth} + 1, {4 * forest.depth}) AS prefix", "id", "sketch")
     )
-    order = ["tree", "prefix", "id"]
-    candidates = orders.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = _in_blocks(orders, forest)
+    # No region, or pair of its blocks, is divided among tasks.
+    candidates = placed.repartitionByRange("tree", "start", "low", "high").sortWithinPartitions("tree", "start", "low", "high", "prefix", "id")
+    candidates = candidates.select("tree", "low", "high", "prefix", "id", "sketch")
     near = components(candidates.mapInArrow(_tree_links(forest), "a long, b long"))
     clusters = written(near.select(F.col("node").alias("id"), F.col("component").alias("cluster")))
     sizes = written(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / forest.block).cast("int").alias("blocks")))
@@ -273,6 +263,18 @@ def near_duplicates(
     )
 
 
+def _in_blocks(orders: DataFrame, forest: Forest) -> DataFrame:
+    """Add ``start``, the prefix of a region, and the blocks ``low`` and ``high`` that a row meets: its own region is one block
+    up to ``forest.region`` rows; beyond, a row stands in every pair of blocks that its own block is in."""
+    started = orders.withColumn("start", F.substring("prefix", 1, 4 * forest.least_depth))
+    crowded = started.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > forest.region)
+    crowded = written(crowded.select("tree", "start", F.ceil(F.col("n") * 2 / forest.region).cast("int").alias("blocks")))
+    dealt = started.join(crowded, ["tree", "start"], "left").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.expr("IF(blocks IS NULL, array(0), array_remove(sequence(0, blocks - 1), own))")
+    dealt = dealt.withColumn("other", F.explode(others)).withColumn("own", F.coalesce("own", F.lit(0)))
+    return dealt.select("tree", "start", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "prefix", "id", "sketch")
+
+
 def _shared_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of rows that share an id."""
     repeated = some.groupBy("id").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.count("*").alias("n"))
