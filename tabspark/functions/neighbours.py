@@ -98,7 +98,8 @@ def mutual_info_neighbours(df: DataFrame, target: str, names: list[str], k: int
     both = held.unionByName(asked[0]).unionByName(asked[1]).withColumn("b", range_number(ends, F.col("f"), F.col("at")))
     placed = _running(both, ["f"], ["at", "turn"], F.col("rows")).where("sign <> 0")
     within = placed.groupBy("f", "y", "v").agg((F.sum(F.col("sign") * F.col("upto")) - 1).alias("m"))
-    rows = reach.join(within, ["f", "y", "v"])
+    # Both sides have a row a value and grow with the table, so neither goes through the driver.
+    rows = reach.join(within.hint("merge"), ["f", "y", "v"])
     gain = F.col("c") * (digamma(F.col("among")) - digamma(F.col("size")) - digamma(F.col("m")))
     found = rows.groupBy("f").agg(F.sum(gain).alias("gain"), F.sum("c").alias("n"))
     score = F.greatest(digamma(F.col("n")) + F.col("gain") / F.col("n"), F.lit(0.0))

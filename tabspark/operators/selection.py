@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_double, col, numeric_columns, require_columns, require_numeric
 from ..functions.neighbours import mutual_info_neighbours
 from ..functions.quantiles import exact_quantiles
-from ..functions.session import local_table
+from ..functions.session import local_table, written
 from ..functions.stats import corr_pairs, rounded, upper_pairs
 from .columns import features_numeric
 from .features import bin_index
@@ -159,6 +159,9 @@ def score_features(
         require_numeric(df, target)
     if n_neighbors is not None and (method != "mutual_info_classif" or n_neighbors < 1):
         raise ValueError("n_neighbors, from 1 on, goes with mutual_info_classif")
+    if n_neighbors:
+        # Its many scans read a narrow table; the joins behind ``df``, and what they send to the driver, run once.
+        df = written(df.select(col(target), *[col(c) for c in names]))
     filled, centre = _filled(df.where(col(target).isNotNull()), target, names)
     if method == "f_classif":
         return _f_classif(filled, target, names, centre)

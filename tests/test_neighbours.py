@@ -47,3 +47,17 @@ def test_digamma_and_wrong_use(spark):
     assert found[3] == pytest.approx(math.log(1e6) - 0.5e-6, abs=1e-9)
     with pytest.raises(ValueError, match="n_neighbors"):
         s.score_features(spark.createDataFrame([(1.0, 2.0)], "a double, y double"), "y", "f_regression", n_neighbors=3)
+
+
+def test_the_given_table_is_read_once(spark):
+    """Its rows may come from joins that send a side to the driver, every time they run."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 600, 1, 2).selectExpr("int(id % 2) AS y", "double(id % 50) AS a", "double(id % 7 + id % 2) AS b")
+    scored = s.score_features(df.mapInArrow(counted, df.schema), "y", "mutual_info_classif", n_neighbors=3)
+    assert scored.count() == 2 and seen.value == 600
