@@ -24,8 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled ones; rejected ones go: those without
     letters, and those of a cross-entropy far above that of the language's own texts."""
     model = fit_languages(docs)
-    held = docs.withColumn("_text", F.col("text"))
-    found = predict_language(held, model, text="_text", keep=docs.columns)
+    found = predict_language(docs, model, keep=docs.columns)
     return found.where("NOT rejected").select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import pieces
+from .text import given_back, pieces
 
 Batches = Iterator[pa.RecordBatch]
 ORDER = 4
@@ -170,7 +170,7 @@ def fit_languages(
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, most_per_language / n))])
     chance = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(chance < F.element_at(share, F.col("lang")))
-    counted = sample.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(given_back(_count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counted = counted.toArrow()
     said = counted.column("lang").to_numpy()
     key = counted.column("key").to_numpy().view(np.uint64)
@@ -183,7 +183,7 @@ def fit_languages(
     languages = [name for name, f in zip(languages, fitted) if f]
     fitted = [f for f in fitted if f]
     model = _joined(languages, fitted)
-    spread = sample.mapInArrow(_spread(model), "lang string, ce double").where("lang IS NOT NULL").groupBy("lang")
+    spread = sample.mapInArrow(given_back(_spread(model)), "lang string, ce double").where("lang IS NOT NULL").groupBy("lang")
     moments = {r["lang"]: r for r in spread.agg(F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s")).collect()}
     limits = [moments[n]["m"] + 6 * moments[n]["s"] + reject_margin if n in moments else np.inf for n in languages]
     return LanguageModel(**{**model.__dict__, "limits": np.array(limits, np.float64)})
@@ -248,7 +248,9 @@ def _spread(model: LanguageModel) -> Callable[[Batches], Batches]:
     return run
 
 
-def _predict(broadcast) -> Callable[[Batches], Batches]:
+def _predict(broadcast, first: int) -> Callable[[Batches], Batches]:
+    """(key, text, other columns) to key, prediction and the columns from the one numbered ``first`` on."""
+
     def run(batches: Batches) -> Batches:
         model: LanguageModel = broadcast.value
         for b in batches:
@@ -263,8 +265,8 @@ def _predict(broadcast) -> Callable[[Batches], Batches]:
                 score.append(float(1.0 / np.exp((e[best] - e) * min(size, 50)).sum()))
                 rejected.append(bool(e[best] > model.limits[best]))
             yield pa.record_batch(
-                [*b.columns[:1], pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *b.columns[2:]],
-                names=["_key", "lang_pred", "score", "rejected", *b.schema.names[2:]],
+                [*b.columns[:1], pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *b.columns[first:]],
+                names=["_key", "lang_pred", "score", "rejected", *b.schema.names[first:]],
             )
 
     return run
@@ -281,11 +283,14 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     """
     new = {"lang_pred", "score", "rejected"}
     keep = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in new]
+    others = [c for c in keep if c != text]  # a text that is kept goes to the task once
     held = docs.select(
-        F.lit(0).alias("_key"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+        F.lit(0).alias("_key"), F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(others)]
     )
-    fields = "_key int, lang_pred string, score double, rejected boolean"
     kinds = dict(docs.dtypes)
-    fields += "".join(f", _k{i} {kinds[c]}" for i, c in enumerate(keep))
-    out = held.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), fields)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+    fields = "_key int, lang_pred string, score double, rejected boolean"
+    fields += f", _text {kinds[text]}" if text in keep else ""
+    fields += "".join(f", _k{i} {kinds[c]}" for i, c in enumerate(others))
+    run = _predict(docs.sparkSession.sparkContext.broadcast(model), 1 if text in keep else 2)
+    out = held.mapInArrow(given_back(run), fields)
+    return out.select(*[F.col("_text" if c == text else f"_k{others.index(c)}").alias(c) for c in keep], "lang_pred", "score", "rejected")

@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabspark.functions.session import written
 
-from .text import word_counts
+from .text import word_count
 
-Batches = Iterator[pa.RecordBatch]
 WEIGHTS = (1.0, 2.0, 3.0)
 TOLERANCE = 1e-12
 ROUNDS = 60
 CELL_BITS = 12
 
 
-def _sizes(batches: Batches) -> Batches:
-    for b in batches:
-        yield pa.record_batch(
-            [b.column(0), b.column(1), b.column(2), b.column(4), pa.array(word_counts(b.column(3)), pa.int64())],
-            names=["id", "source", "u", "kept", "size"],
-        )
-
-
-def _source_key(source: str) -> Column:
+def _source_key(source: Column) -> Column:
     """A key that has a value for NULL too, after all others in code point order."""
-    return F.struct(F.col(source).isNull().alias("no"), F.coalesce(F.col(source), F.lit("")).alias("name"))
+    return F.struct(source.isNull().alias("no"), F.coalesce(source, F.lit("")).alias("name"))
 
 
 def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -149,9 +136,15 @@ def mix_sources(
     """
     placed = F.expr(f"shiftright(xxhash64(`{id}`, `{text}`, {seed}L) & 9223372036854775807L, 3)")
     kept = F.struct(*[F.col(c) for c in keep or []]) if keep else F.lit(True)
-    given = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), placed.alias("u"), F.col(text).alias("text"), kept.alias("kept"))
-    schema = T.StructType.fromDDL("id long, source string, u long").add(given.schema["kept"]).add("size", "long")
-    sized = written(given.mapInArrow(_sizes, schema).select("id", _source_key("source").alias("key"), "u", "size", "kept"))
+    sized = written(
+        docs.select(
+            F.col(id).cast("long").alias("id"),
+            _source_key(F.col(source).cast("string")).alias("key"),
+            placed.alias("u"),
+            word_count(F.col(text)).alias("size"),
+            kept.alias("kept"),
+        )
+    )
     sources = written(sized.groupBy("key").agg(F.sum("size").alias("source_size")))
     targets = written(_targets(sources, weights, share, float(most)))
     tilts = _rates(sized, targets, float(most))

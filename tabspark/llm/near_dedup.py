@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabspark.functions.session import written
 
 from .graph import components
-from .text import mix, shingle_sets
+from .text import given_back, mix, shingle_sets
 
 
 @dataclass(frozen=True)
@@ -217,7 +217,7 @@ def near_duplicates(
     are ignored, whatever their names.
     """
     given = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = written(given.mapInArrow(_signatures(n, forest), "id long, n_shingles long, key binary, signature binary"))
+    marked = written(given.mapInArrow(given_back(_signatures(n, forest)), "id long, n_shingles long, key binary, signature binary"))
     some = marked.where("id IS NOT NULL AND key IS NOT NULL")
     first = F.min(F.struct("id", "signature"))
     classes = written(some.groupBy("key").agg(first.alias("x")).select("key", "x.id", "x.signature"))
@@ -235,18 +235,18 @@ def near_duplicates(
     # No region, or pair of its blocks, is divided among tasks.
     candidates = placed.repartitionByRange("tree", "start", "low", "high").sortWithinPartitions("tree", "start", "low", "high", "prefix", "id")
     candidates = candidates.select("tree", "low", "high", "prefix", "id", "sketch")
-    near = components(candidates.mapInArrow(_tree_links(forest), "a long, b long"))
+    near = components(candidates.mapInArrow(given_back(_tree_links(forest)), "a long, b long"))
     clusters = written(near.select(F.col("node").alias("id"), F.col("component").alias("cluster")))
     sizes = written(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / forest.block).cast("int").alias("blocks")))
     members = written(
         clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     )
     sets = given.join(members, "id").select("id", "text", "cluster", "blocks", "own")
-    sets = sets.mapInArrow(_sets(n), "id long, cluster long, blocks int, own int, set binary")
+    sets = sets.mapInArrow(given_back(_sets(n)), "id long, cluster long, blocks int, own int, set binary")
     sets = sets.withColumn("other", F.explode(F.expr("IF(blocks = 1, array(0), array_remove(sequence(0, blocks - 1), own))")))
     sets = sets.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "set")
     group = ["cluster", "low", "high"]
-    links = sets.repartition(*group).sortWithinPartitions(*group).mapInArrow(_confirm(percent), "a long, b long")
+    links = sets.repartition(*group).sortWithinPartitions(*group).mapInArrow(given_back(_confirm(percent)), "a long, b long")
 
     # A class whose id occurs in another class too is the same document.
     found = components(links.union(_shared_ids(some, classes)))
