@@ -104,9 +104,8 @@ def _counts(tokenizer: str) -> Callable[[Batches], Batches]:
 class TextModel:
     """Word counts of the training texts, the attention model and the weight between them.
 
-    ``common`` are the words of at least one in 2^20 training tokens (so at most 2^20 of them), as
-    sorted hashes, with their counts; ``pairs`` holds those pairs of subword ids that are one in 2^20
-    of all. Both are only what every task knows: the counts of the rarer ones come with the texts that
+    ``common`` are the most common words, by a least count such that there are at most 2^20 of them, as
+    sorted hashes, with their counts; ``pairs`` holds as many of the most common pairs of subword ids. Both are only what every task knows: the counts of the rarer ones come with the texts that
     hold them (``MORE``). ``share`` is the weight of the word unigram.
     """
 
@@ -163,8 +162,23 @@ def _rare(tokenizer: str, held) -> Callable[[Batches], Batches]:
     return run
 
 
-def _with_counts(given: DataFrame, every: DataFrame, model: TextModel, tokenizer: str) -> DataFrame:
-    """Add ``more``: the counts of all rarer words and pairs of each row's ``text``, from a join with the full tables.
+def _least_count(counts: DataFrame, total: int) -> int:
+    """The least count of which, and of more, there are at most ``COMMON`` keys. Keys of one in ``COMMON`` of all
+    are no more than that, so only lower counts are told apart: ``total / COMMON`` values."""
+    high = -(-total // COMMON)
+    found = counts.groupBy(F.least("n", F.lit(high)).alias("n")).agg(F.count("*").alias("keys")).collect()
+    least, keys = high, 0
+    for r in sorted(found, key=lambda r: -r["n"]):
+        keys += r["keys"]
+        if keys > COMMON:
+            break
+        least = r["n"]
+    return least
+
+
+def _with_counts(given: DataFrame, every: DataFrame, model: TextModel, least: tuple[int, int], tokenizer: str) -> DataFrame:
+    """Add ``more``: the counts of all words and pairs of each row's ``text`` that are rarer than
+    ``least`` (of words, of pairs), from a join with the full tables.
 
     Rows meet what belongs to them by a hash of the text, so equal texts share it; where two texts had
     one hash, each would come with the counts of both, which are right for either.
@@ -172,8 +186,7 @@ def _with_counts(given: DataFrame, every: DataFrame, model: TextModel, tokenizer
     held = given.sparkSession.sparkContext.broadcast(model)
     placed = given.withColumn("place", F.xxhash64("text"))
     wanted = placed.select("place", "text").mapInArrow(_rare(tokenizer, held), "place long, kind int, key long").distinct()
-    least = F.when(F.col("kind") == WORD, model.total).otherwise(int(model.pairs.before.sum()))
-    rare = every.where(F.col("n") * COMMON < least)
+    rare = every.where(F.col("n") < F.when(F.col("kind") == WORD, least[WORD]).otherwise(least[PAIR]))
     met = wanted.join(rare, ["kind", "key"]).groupBy("place").agg(F.collect_list(F.struct("kind", "key", "n")).alias("more"))
     return placed.join(written(met), "place", "left").drop("place").withColumn("more", F.coalesce("more", F.array().cast(MORE)))
 
@@ -315,19 +328,20 @@ def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: i
     every = written(every)
     counts = every.where(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.where(F.col("n") * COMMON >= total).toArrow()
+    least_word = _least_count(counts, total)
+    common = counts.where(F.col("n") >= least_word).toArrow()
     hashes = common.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     vocabulary = Subwords.of(tokenizer)
     size, leads = vocabulary.size, vocabulary.after_space.copy()
     leads[vocabulary.end] = True
-    attention, pairs = Attention.fresh(size, seed, leads), _pairs(every, size, leads)
+    attention, (pairs, least_pair) = Attention.fresh(size, seed, leads), _pairs(every, size, leads)
     model = TextModel(total, different, hashes[order], common.column("n").to_numpy()[order], pairs, attention, 0.5)
     soft = np.zeros_like(attention.parts, dtype=np.float64)
     shares = np.zeros(len(SHARES))
     lot = F.pmod(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample)), F.lit(max(rounds, 1)))
     path = fresh_dir(spark, "counted")
-    counted = _with_counts(given, every, model, tokenizer).withColumn("lot", F.when(F.col("held_out"), -1).otherwise(lot).cast("int"))
+    counted = _with_counts(given, every, model, (least_word, least_pair), tokenizer).withColumn("lot", F.when(F.col("held_out"), -1).otherwise(lot).cast("int"))
     counted.write.partitionBy("lot").parquet(path)
     counted = spark.read.schema(f"id long, held_out boolean, text string, more {MORE}, lot int").parquet(path)
     held_model = spark.sparkContext.broadcast(model)
@@ -346,7 +360,8 @@ def fit_text_model(given: DataFrame, tokenizer: str, rounds: int = 10, sample: i
     return model, counted
 
 
-def _pairs(every: DataFrame, size: int, leads: np.ndarray) -> Pairs:
+def _pairs(every: DataFrame, size: int, leads: np.ndarray) -> tuple[Pairs, int]:
+    """The pairs that every task knows, and the least count of them."""
     pairs = every.where(F.col("kind") == PAIR).withColumn("id", (F.col("key") % (1 << 32)).cast("int"))
     beginning = local_table(every.sparkSession, [(int(i), True) for i in np.flatnonzero(leads)], "id int, begins boolean")
     sides = pairs.join(beginning, "id", "left").groupBy(F.shiftright("key", 32).alias("before"), F.col("begins").isNull().cast("int").alias("sort"))
@@ -354,10 +369,11 @@ def _pairs(every: DataFrame, size: int, leads: np.ndarray) -> Pairs:
     at = rows.column("before").to_numpy(), rows.column("sort").to_numpy()
     before, different = np.zeros((size, 2), np.int64), np.zeros((size, 2), np.int64)
     before[at], different[at] = rows.column("n").to_numpy(), rows.column("different").to_numpy()
-    rows = pairs.where(F.col("n") * COMMON >= int(before.sum())).select("key", "n").toArrow()
+    least = _least_count(pairs, int(before.sum()))
+    rows = pairs.where(F.col("n") >= least).select("key", "n").toArrow()
     keys = rows.column("key").to_numpy()
     order = np.argsort(keys)
-    return Pairs(keys[order], rows.column("n").to_numpy()[order], before, different)
+    return Pairs(keys[order], rows.column("n").to_numpy()[order], before, different), least
 
 
 def _advance(old: Attention, soft: np.ndarray, shares: np.ndarray, sums: pa.Table, seed: int) -> tuple[Attention, np.ndarray, np.ndarray]:
@@ -432,7 +448,7 @@ def score_texts(docs: DataFrame, held_out: Column, tokenizer: str, id: str = "do
     text is empty: its only token is the end. Without training rows all counts are 0. Rows without
     an id and repeated rows are scored like any other. Other columns are ignored.
 
-    Common words and pairs (at most 2^20 of each, by their share) are known to every task; the counts of
+    The most common words and pairs (at most 2^20 of each) are known to every task; the counts of
     all others meet the texts that hold them in a join before the training, so training, mixture
     weight and scores use the same full counts.
     """

@@ -81,3 +81,13 @@ def test_ids_of_a_sort_add_up_to_one(spark):
     logs = log_probabilities(model.attention, model.pairs, tokens).reshape(len(first), -1)[:, -1]
     ending = np.where(first == vocabulary.end, 1.0, model.pairs.sort(first, np.zeros(len(first), np.int64)))
     assert (np.exp(logs) / ending).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_as_many_keys_are_held_as_may_be(spark, monkeypatch):
+    """By rank, not only those above a fixed share of all: 20 of 31 keys, the most common ones."""
+    monkeypatch.setattr(scoring, "COMMON", 20)
+    texts = [f"w{i}q" for i in range(1, 31) for _ in range(i)]
+    given = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "id long, held_out boolean, text string")
+    model, _ = scoring.fit_text_model(given, public_vocabulary(VOCABULARY), rounds=0, sample=1)
+    assert sorted(model.common_counts.tolist()) == [*range(12, 31), len(texts)]
+    assert 0 < len(model.pairs.keys) <= 20
