@@ -17,132 +17,186 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.session import fresh_dir, local_table, written
 
-from .text import pieces
+from .text import SPACES, Piece, Words, pieces, prefix_hash, range_hash, words
 
 Batches = Iterator[pa.RecordBatch]
 CACHED_WORDS = 1 << 19
 _encoders: dict[str, "WordEncoder"] = {}
-Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+Encode = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def json_words(path: str) -> tuple[Encode, int]:
-    """From a file of the tokenizers library: what gives the ids of words end to end and the number of
-    each one's ids, and the size of the vocabulary.
+def json_words(path: str) -> tuple[Encode, int, bool]:
+    """From a file of the tokenizers library: what gives the ids of parts end to end and the number of
+    each one's ids, the size of the vocabulary, and whether plain words may be cut into parts.
 
-    Words are encoded many at a time as one text, and the ids told apart by the places they stand for.
-    A run of the letters a-z goes to the tokenizer's model directly if that is what the whole tokenizer
-    makes of such runs, signs and digits (tried on a few), as normalising and splitting take most
+    Whole words are encoded many at a time as one text, and the ids told apart by the places they stand for.
+    A run of the letters a-z, a digit or a run of signs goes to the tokenizer's model directly if that is
+    what the whole tokenizer makes of plain words (tried on a few), as normalising and splitting take most
     of the time.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    parts_of = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
-    plain = re.compile(rb"[!-&(-;=-~]+").fullmatch  # no apostrophe, which may begin a part, and no <
-    known: dict[str, list[int]] = {}
 
-    def whole(words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def whole(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        every, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), 1000):
             part = words[a : a + 1000]
             found = tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, places = np.array(found.ids, np.uint32), np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            ids, places = found.ids, np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
             begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            counts = np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(part))
-            out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-        return out
-
-    def by_parts(word: str) -> list[int]:
-        out: list[int] = []
-        for p in parts_of(word):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                ids = known[p] = [t.id for t in tokenizer.model.tokenize(p)]
-            out += ids
-        return out
+            every.append(np.array(ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(part)))
+        return np.concatenate(every), np.concatenate(counts)
+
+    def cut(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [tokenizer.model.tokenize(p) for p in parts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((t.id for x in found for t in x), np.uint32, int(counts.sum())), counts
+
+    def encode(parts: list[bytes], is_whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds = [(cut, ~is_whole), (whole, is_whole)]
+        made = [(mine, *run([parts[i].decode("utf-8", "replace") for i in np.flatnonzero(mine)])) for run, mine in kinds]
+        counts = np.zeros(len(parts), np.int64)
+        for mine, _, n in made:
+            counts[mine] = n
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        for mine, ids, _ in made:
+            flat[np.repeat(mine, counts)] = ids
+        return flat, counts
 
     tried = ["a", "the", "xqzj", "word.", "it,", "a1b22c", "(end)", "--", "...", "q9-z", "%%%", "Upper", "UPPER.Case"]
-    direct = [by_parts(w.lower()) for w in tried] == whole(tried)
+    parts_of = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
+    direct = all(cut(parts_of(w.lower()))[0].tolist() == whole([w])[0].tolist() for w in tried)
+    return encode, tokenizer.get_vocab_size(with_added_tokens=True), direct
 
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[list[int] | None] = [by_parts(w.lower().decode()) if direct and plain(w) else None for w in words]
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(rest, whole([words[i].decode("utf-8", "replace") for i in rest])):
-            ids[i] = x
-        counts = np.array([len(x) for x in ids])
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
 
-    return encode, tokenizer.get_vocab_size(with_added_tokens=True)
+# Kinds of bytes: letters, digits and signs of plain words; others (an apostrophe may begin a part, a < an added token).
+LETTER, DIGIT, SIGN, OTHER, WHOLE = range(5)
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[[c for c in range(ord("!"), ord("~") + 1) if chr(c) not in "'<"]] = SIGN
+_KINDS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = LETTER
+_KINDS[ord("0") : ord("9") + 1] = DIGIT
+_SPACE = np.isin(np.arange(256), list(SPACES))
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A") : ord("Z") + 1] += 32
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word.
+def _room(held: np.ndarray, wanted: int) -> np.ndarray:
+    """An array that begins like ``held`` and has room for ``wanted`` values, doubled so that copies stay few."""
+    if wanted <= len(held):
+        return held
+    out = np.zeros(max(wanted, 2 * len(held)), held.dtype)
+    out[: len(held)] = held
+    return out
 
-    The tokenizer must drop white space and never join what white space parts (``word_bpe_49k.json``
-    does so), because then a text's ids are those of its words end to end. Words met before are not
-    encoded again; the memory for them is bounded.
+
+class Known:
+    """Ids of byte strings met before, by 64-bit hashes of their bytes; the memory for them is bounded.
+
+    A slot by the low bits of a hash names the last string that took it; one that lost its slot is new again.
     """
 
-    def __init__(self, encode: Encode, size: int):
-        self.encode_words, self.size = encode, size
+    def __init__(self) -> None:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.begins = np.zeros(1, np.int64)
+        self.slots = np.full(4 * CACHED_WORDS, -1, np.int32)
+        self.n = 0
+        self.hashes = np.zeros(1024, np.uint64)
+        self.begins = np.zeros(1024, np.int64)
+        self.flat = np.zeros(1024, np.uint32)
+
+    def ids(self, piece: Piece, starts: np.ndarray, ends: np.ndarray, learn: Encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ranges of a piece end to end, and the number of each one's; new ones, and the first place of each, go to ``learn``."""
+        hashes = range_hash(prefix_hash(piece.data), starts, ends)
+        at = self.slots[hashes & np.uint64(len(self.slots) - 1)].astype(np.int64)
+        new = np.flatnonzero((at < 0) | (self.hashes[at] != hashes))
+        if len(new):
+            different, first, same = np.unique(hashes[new], return_index=True, return_inverse=True)
+            if self.n and self.n + len(different) > CACHED_WORDS:
+                self._reset()
+                new = np.arange(len(hashes))
+                different, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+            raw, one = piece.data.tobytes(), new[first]
+            flat, counts = learn([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())], one)
+            n, to, used = self.n, self.n + len(one), int(self.begins[self.n])
+            self.hashes, self.begins = _room(self.hashes, to), _room(self.begins, to + 1)
+            self.flat = _room(self.flat, used + len(flat))
+            self.hashes[n:to], self.begins[n + 1 : to + 1] = different, used + np.cumsum(counts)
+            self.flat[used : used + len(flat)] = flat
+            self.slots[different & np.uint64(len(self.slots) - 1)] = np.arange(n, to)
+            self.n = to
+            at[new] = n + same
+        begins = self.begins[at]
+        counts = self.begins[at + 1] - begins
+        steps = np.repeat(begins - (np.cumsum(counts) - counts), counts)
+        return self.flat[steps + np.arange(len(steps))], counts
+
+
+class WordEncoder:
+    """Ids of whole texts, word by word.
+
+    The tokenizer must drop white space and never join what white space parts (``word_bpe_49k.json``
+    does so), because then a text's ids are those of its words end to end. New words are taken together: plain
+    ones are cut into runs of letters, single digits and runs of signs, any other is one part. Words and
+    parts met before are not encoded again.
+    """
+
+    def __init__(self, encode: Encode, size: int, direct: bool):
+        self.encode_parts, self.size, self.direct = encode, size, direct
+        self.words, self.parts = Known(), Known()
 
     @classmethod
-    def of(cls, path: str, kind: Callable[[str], tuple[Encode, int]] = json_words) -> "WordEncoder":
+    def of(cls, path: str, kind: Callable[[str], tuple[Encode, int, bool]] = json_words) -> "WordEncoder":
         """One encoder per worker process and file."""
         if path not in _encoders:
             _encoders[path] = cls(*kind(path))
         return _encoders[path]
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > CACHED_WORDS and self.known:
-            self._reset()
-        flat, counts = self.encode_words(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.flat = np.concatenate([self.flat, flat])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts, dtype=np.int64)])
-
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """Where each word stands among the known ones, -1 for others."""
-        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-
-    def encode(self, texts: list[bytes], end: int, with_words: bool = False) -> tuple[np.ndarray, ...]:
-        """All ids of the texts, each closed by ``end``, and where each text's ids end; if asked for,
+    def _cut(self, piece: Piece, found: Words) -> tuple[Piece, np.ndarray, np.ndarray, np.ndarray]:
+        """The piece with plain words in lower case, where parts begin and end, and which are whole words."""
+        kind = _KINDS[piece.data]
+        others = np.append(0, np.cumsum(kind == OTHER))
+        whole = others[found.ends] > others[found.starts] if self.direct else np.ones(len(found.starts), bool)
+        step = np.zeros(len(kind) + 1, np.int8)
+        step[found.starts[whole]] += 1
+        step[found.ends[whole]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        kind[inside] = WHOLE
+        begin = kind == DIGIT
+        begin[1:] |= kind[1:] != kind[:-1]
+        begin[_SPACE[piece.data]] = False
+        begin[found.starts] = True
+        starts = np.flatnonzero(begin)
+        word = np.searchsorted(found.starts, starts, side="right") - 1
+        ends = np.minimum(np.append(starts[1:], len(kind)), found.ends[word])
+        data = np.where(inside, piece.data, _LOWERED[piece.data])
+        return Piece(piece.first, data, piece.bounds), starts, ends, whole[word]
+
+    def _learn(self, new: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has."""
+        data = np.frombuffer(b" ".join(new), np.uint8)
+        piece = Piece(0, data, np.array([0, len(data)]))
+        found = words(piece)
+        lowered, starts, ends, whole = self._cut(piece, found)
+        flat, counts = self.parts.ids(lowered, starts, ends, lambda parts, first: self.encode_parts(parts, whole[first]))
+        return flat, np.add.reduceat(counts, np.searchsorted(starts, found.starts))
+
+    def encode(self, piece: Piece, end: int, with_words: bool = False) -> tuple[np.ndarray, ...]:
+        """All ids of the texts of a piece, each closed by ``end``, and where each text's ids end; if asked for,
         also where those of each word and end do."""
-        split = [t.split() for t in texts]
-        every = [w for ws in split for w in ws]
-        at = self._places(every)
-        new = list(dict.fromkeys(every[i] for i in np.flatnonzero(at < 0)))
-        if new:
-            before = len(self.known)
-            self._learn(new)
-            if len(self.known) < before + len(new):  # the memory was emptied
-                rest = list(dict.fromkeys(w for w in every if w not in self.known))
-                if rest:
-                    self._learn(rest)
-                at = self._places(every)
-            else:
-                unknown = np.flatnonzero(at < 0)
-                at[unknown] = self._places([every[i] for i in unknown])
-        lengths = self.begins[at + 1] - self.begins[at]
-        per_text = np.array([len(ws) for ws in split])
-        ends_of_words = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
-        text_ends = ends_of_words + np.arange(1, len(texts) + 1)
+        found = words(piece)
+        flat, counts = self.words.ids(piece, found.starts, found.ends, self._learn)
+        stops = np.cumsum(counts)
+        text_ends = np.append(0, stops)[found.bounds[1:]] + np.arange(1, piece.rows + 1)
         out = np.full(int(text_ends[-1]), end, np.uint32)
         place = np.ones(len(out), bool)
         place[text_ends - 1] = False
-        steps = np.repeat(self.begins[at] - (np.cumsum(lengths) - lengths), lengths)
-        out[place] = self.flat[steps + np.arange(int(lengths.sum()))]
+        out[place] = flat
         if not with_words:
             return out, text_ends
-        word_ends = np.cumsum(lengths) + np.repeat(np.arange(len(texts)), per_text)
+        word_ends = stops + np.repeat(np.arange(piece.rows), found.counts)
         return out, text_ends, np.sort(np.concatenate([word_ends, text_ends]), kind="stable")
 
 
@@ -193,8 +247,7 @@ def _write(folder: str, tokenizer: str, end: int, length: int, rows_per_batch: i
                 streams = [store.open_output_stream(f"{root}/{name}{kind}") for kind in (".ids.arrow", ".index.arrow")]
                 out, index = (pa.ipc.new_stream(s, k) for s, k in zip(streams, (schema, _INDEX)))
             for piece in pieces(batch.column(1)):
-                texts = [piece.row(i) for i in range(piece.rows)]
-                ids, ends = encoder.encode(texts, end)
+                ids, ends = encoder.encode(piece, end)
                 begins = np.concatenate([[0], ends[:-1]])
                 keys = batch.column(0).slice(piece.first, piece.rows)
                 index.write_batch(

@@ -28,3 +28,33 @@ def test_any_sequence_by_number_without_copies(spark, tmp_path):
         for wrong in (len(found), -len(found) - 1):
             with pytest.raises(IndexError):
                 found[wrong]
+
+
+def test_parts_are_encoded_once_whatever_words_they_stand_in():
+    """Ids by parts equal those of the whole tokenizer, and the model sees a run of letters once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tabspark.llm.queries import public_vocabulary
+    from tabspark.llm.text import pieces
+    from tabspark.llm.token_files import WordEncoder, json_words
+
+    path = public_vocabulary("word_bpe_49k.json")
+    texts = ["Word word. (word) WORD!! word12x word%%%", "", None, "it's <s> </s> o\u0301 \u00d6l a\u00a0b \x01 don't-stop", "word\t\nword", "\x85 \u2003x"]
+    encode, size, direct = json_words(path)
+    assert direct
+    seen = []
+    for cut in (True, False):
+        encoder = WordEncoder(lambda parts, whole: seen.extend(parts) or encode(parts, whole), size, cut)
+        tokenizer = Tokenizer.from_file(path)
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        for most in (1, 1 << 20):
+            got = []
+            for piece in pieces(pa.array(texts), most):
+                ids, ends = encoder.encode(piece, 1)
+                got += [x.tolist() for x in np.split(ids, ends[:-1])]
+            assert got == want
+        if cut:
+            assert seen.count(b"word") == 1
+    words_end = encoder.encode(next(pieces(pa.array(["one two", "three"]))), 1, with_words=True)[2].tolist()
+    assert len(words_end) == 5 and words_end == sorted(words_end)
