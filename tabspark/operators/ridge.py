@@ -17,17 +17,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Transformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix, DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import products
-
 GRAM_COLUMNS = 1024
 MAX_STEPS = 1000
 TOLERANCE = 1e-11
@@ -78,6 +78,13 @@ def _multiplied(width: int, n_classes: int, centre: np.ndarray, by: np.ndarray |
     return run
 
 
+def _gram(rows: DataFrame, width: int) -> np.ndarray:
+    """Sums of the products of every two elements of the array column ``v``: one scan, added up in a tree."""
+    vectors = rows.select(array_to_vector("v").alias("v"))
+    old_kind = MLUtils.convertVectorColumnsFromML(vectors, "v")
+    return RowMatrix(old_kind, numCols=width).computeGramianMatrix().toArray()
+
+
 class _Products:
     """Sums over the standardised features z = (x - mean) / spread without ever making a sparse row dense."""
 
@@ -144,7 +151,7 @@ def fit_ridge(rows: DataFrame, features: str, label: str, n_classes: int, alpha:
         called = [1] if n_classes == 2 else range(n_classes)
         out = [F.when(y == k, 1.0).otherwise(-1.0) for k in called] if n_classes else [y]
         out = F.array(*[(t - float(m)) * root for t, m in zip(out, means)])
-        sums = products(given.select(F.concat(z, out).alias("v")), width + sides)
+        sums = _gram(given.select(F.concat(z, out).alias("v")), width + sides)
         solved = np.linalg.lstsq(sums[:width, :width] + np.diag(penalty), sums[:width, width:], rcond=None)[0]
     else:
         unwrapped = given.select(F.unwrap_udt("v").alias("v"), "y", "w")
