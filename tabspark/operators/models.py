@@ -68,6 +68,8 @@ GRIDS: dict[str, dict[str, list]] = {
     "gradient_boosting": {"n_estimators": [30, 50], "max_depth": [3, 5], "learning_rate": [0.05, 0.1]},
     "lightgbm": {"n_estimators": [30, 50], "max_depth": [5, 8], "learning_rate": [0.05, 0.1]},
 }
+# Rows from which a part of a table for many fits is worth a task of its own.
+PART_ROWS = 50_000
 # Boosting takes no class weights.
 UNWEIGHTED = {"gradient_boosting"}
 
@@ -424,16 +426,30 @@ def compare_models(
     return table.orderBy(F.col(metric).desc_nulls_last()), best
 
 
-def _fold_scores(rows: DataFrame, spec: ModelSpec, n_classes: int, n_folds: int) -> list[float]:
-    """Fit on all folds but one, predict that one; all folds are judged in one aggregate."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Persisted rows for many fits, dealt out evenly where a few parts hold most of them: a fit that scans them
+    a hundred times is otherwise bound by its largest part. Parts stay above ``PART_ROWS`` rows."""
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    parts = min(rows.sparkSession.sparkContext.defaultParallelism, total // PART_ROWS)
+    if parts < 2 or largest <= 1.5 * total / parts:
+        return rows
+    dealt = rows.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt.count()
+    rows.unpersist()
+    return dealt
+
+
+def _fold_scores(rows: DataFrame, spec: ModelSpec, n_classes: int, folds: Sequence[int]) -> list[float]:
+    """For each given fold, fit on all others and predict it; they are judged in one aggregate."""
     held_out = None
-    for i in range(n_folds):
+    for i in folds:
         fitted = _estimators(rows.where(F.col(FOLD) != i), spec, n_classes)
         part = _predict(fitted, rows.where(F.col(FOLD) == i)).select(FOLD, INDEX, CALL)
         held_out = part if held_out is None else held_out.unionByName(part)
     metric = _metric_name(spec.problem_type)
     found = {r[FOLD]: r[metric] for r in _judge(held_out, spec.problem_type, [FOLD]).collect()}
-    return [found[i] for i in range(n_folds)]
+    return [found[i] for i in folds]
 
 
 def _with_folds(df: DataFrame, spec: ModelSpec, n_folds: int, keys: Sequence[str] | None) -> Prepared:
@@ -456,7 +472,8 @@ def cross_validate(
     prepared = _with_folds(df, spec, n_folds, keys)
     rows = prepared.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scores = _fold_scores(rows, spec, len(prepared.classes), n_folds)
+        rows = _dealt(rows)
+        scores = _fold_scores(rows, spec, len(prepared.classes), range(n_folds))
     finally:
         rows.unpersist()
     return local_table(df.sparkSession, [(i + 1, s) for i, s in enumerate(scores)], "fold int, score double")
@@ -481,7 +498,7 @@ def tune(
     """Grid search by cross-validation on the training rows.
 
     Returns every setting with mean and std, the best one (first of equals) refitted on all training
-    rows, and the scored test rows. Settings run side by side as Spark jobs on one persisted table.
+    rows, and the scored test rows. The fits of all settings and folds run side by side as Spark jobs on one persisted table.
     """
     spec = make_spec(df, target, model_type, problem_type, features)
     grid = GRIDS.get(model_type, {}) if grid is None else grid
@@ -491,13 +508,15 @@ def tune(
     prepared = _with_folds(_training_rows(df), spec, n_folds, keys)
     rows = prepared.rows.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(setting: dict[str, Any]) -> list[float]:
-        return _fold_scores(rows, replace(spec, params={**spec.params, **setting}), len(prepared.classes), n_folds)
+    def run(setting: dict[str, Any], fold: int) -> float:
+        return _fold_scores(rows, replace(spec, params={**spec.params, **setting}), len(prepared.classes), [fold])[0]
 
     try:
-        rows.count()
-        with ThreadPool(max(1, min(parallelism, len(settings)))) as pool:
-            scores = pool.map(run, settings)
+        rows = _dealt(rows)
+        fits = list(product(settings, range(n_folds)))
+        with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
+            found = pool.starmap(run, fits, chunksize=1)
+        scores = [found[i : i + n_folds] for i in range(0, len(found), n_folds)]
         means = [sum(s) / n_folds for s in scores]
         stds = [math.sqrt(sum((x - m) ** 2 for x in s) / n_folds) for s, m in zip(scores, means)]
         best = max(range(len(settings)), key=lambda i: means[i])
