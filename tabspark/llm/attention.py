@@ -36,9 +36,25 @@ def looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.nd
     return np.where(keys[at] == wanted, counts[at], 0)
 
 
+def told_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys (numbers from 0) in order, the first place of each, which of them stands at each
+    place, and how often each occurs. Key and place are sorted as one number where they fit into one."""
+    shift = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + shift > 63:
+        return np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    both = np.sort(keys << shift | np.arange(len(keys)))
+    place, both = both & ((1 << shift) - 1), both >> shift
+    new = np.ones(len(keys), bool)
+    new[1:] = both[1:] != both[:-1]
+    first = np.flatnonzero(new)
+    same = np.empty(len(keys), np.int64)
+    same[place] = np.cumsum(new) - 1
+    return both[first], place[first], same, np.diff(first, append=len(keys))
+
+
 def of_own_row(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """How often each key (numbers from 0) occurs in its own row."""
-    _, same, n = np.unique(rows * (keys.max(initial=0) + 1) + keys, return_inverse=True, return_counts=True)
+    _, _, same, n = told_apart(rows * (keys.max(initial=0) + 1) + keys)
     return n[same]
 
 
@@ -67,9 +83,11 @@ class Pairs:
         scored is."""
         if not self.before.any():
             return np.zeros(len(ids), np.float32), np.ones(len(ids), np.float32)
-        wanted, first, same = np.unique(before << 32 | ids, return_index=True, return_inverse=True)  # in order, so found fast
+        wanted, first, same, _ = told_apart(before * len(self.before) + ids)  # in order, so found fast
+        of = before[first]
+        wanted = of << 32 | ids[first]
         n = looked_up(self.keys, self.counts, wanted) + looked_up(self.more, self.more_counts, wanted)
-        all_after, different = self.before[wanted >> 32, later[first]], self.different[wanted >> 32, later[first]]
+        all_after, different = self.before[of, later[first]], self.different[of, later[first]]
         if rows is not None:
             n, all_after = n[same] - of_own_row(same, rows), all_after[same] - of_own_row(2 * before + later, rows)
             different, same = np.minimum(different[same], all_after), slice(None)
@@ -81,7 +99,7 @@ class Pairs:
         """The probability that what follows an id is of the given sort. One count is shared out as both
         sorts are over all; ``rows`` as above."""
         every = self.before.sum(0)
-        n, all_after = self.before[before, later], self.before[before].sum(1)
+        n, all_after = self.before[before, later], (self.before[:, 0] + self.before[:, 1])[before]
         if rows is not None:
             n, all_after = np.maximum(n - of_own_row(2 * before + later, rows), 0), np.maximum(all_after - of_own_row(before, rows), 0)
         return (n + ((every + 1) / (every.sum() + 2))[later]) / (all_after + 1)
@@ -102,6 +120,7 @@ class Attention:
     follow: np.ndarray
     leads: np.ndarray  # whether an id begins a token
     seen: dict[str, np.ndarray] = field(default_factory=dict)
+    _mass: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)  # of which parts, and their mass
 
     @classmethod
     def fresh(cls, n_ids: int, seed: int, leads: np.ndarray | None = None) -> "Attention":
@@ -125,9 +144,11 @@ class Attention:
 
     @property
     def mass(self) -> np.ndarray:
-        """What each kind gives to the ids of either sort, a row for each sort."""
-        lead = self.parts[self.leads].sum(0, dtype=np.float64)
-        return np.stack([lead, self.parts.sum(0, dtype=np.float64) - lead]).clip(1e-30)
+        """What each kind gives to the ids of either sort, a row for each sort; added up once for the same parts."""
+        if self._mass is None or self._mass[0] is not self.parts:
+            lead = self.parts[self.leads].sum(0, dtype=np.float64)
+            self._mass = self.parts, np.stack([lead, self.parts.sum(0, dtype=np.float64) - lead]).clip(1e-30)
+        return self._mass[1]
 
 
 @dataclass
@@ -153,8 +174,15 @@ class Tokens:
         self.before[self.begins[self.first]] = self.start
         self.later = np.ones(len(self.ids), np.int64)
         self.later[self.begins] = 0
-        self.goes_on = np.flatnonzero(self.later)
-        self.is_word = np.flatnonzero(self.ids[self.ends - 1] != self.start)  # the end of a text does not end as a word does
+
+    @property
+    def goes_on(self) -> np.ndarray:
+        return np.flatnonzero(self.later)
+
+    @property
+    def is_word(self) -> np.ndarray:
+        """Tokens that end as words do, unlike the end of a text."""
+        return np.flatnonzero(self.ids[self.ends - 1] != self.start)
 
 
 def windows(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,29 +204,28 @@ def windows(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BEHIND = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)
 _CAUSAL = (_BEHIND >= 0).astype(np.float32)
 _ONES = np.ones((WINDOW, 1), np.float32)
+_BACK = np.maximum(_BEHIND, 0)
 
 
-def _runs(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows, of which most are short: the first rows, then the second, and so on."""
-    out = values[begins]
-    sizes = np.diff(begins, append=len(values))
-    more = np.flatnonzero(sizes > 1)
-    for j in range(1, 16):
-        if not len(more):
-            return out
-        out[more] += values[begins[more] + j]
-        more = more[sizes[more] > j + 1]
-    for i in more:
-        out[i] += values[begins[i] + 16 : begins[i] + sizes[i]].sum(0)
-    return out
+def _sums(values: np.ndarray, which: np.ndarray, different: int) -> np.ndarray:
+    """Rows added up by which of ``different`` sums they belong to."""
+    wide = values.shape[1]
+    at = (which[:, None] * wide + np.arange(wide)).ravel()
+    return np.bincount(at, values.ravel(), different * wide).reshape(different, wide).astype(np.float32)
 
 
 def _inputs(model: Attention, tokens: Tokens) -> np.ndarray:
     """What stands at the place of each token: the embedding of the token before it."""
-    if tokens.which is None:
-        sums = _runs(model.embed[tokens.ids], tokens.begins)
-    else:
-        sums = _runs(model.embed[tokens.word_ids], tokens.word_begins)[tokens.which]
+    known = tokens.which is not None
+    ids, begins = (tokens.word_ids, tokens.word_begins) if known else (tokens.ids, tokens.begins)
+    sums = np.empty((len(begins), WIDTH), np.float32)
+    bounds = np.append(begins, len(ids))
+    for a in range(0, len(begins), 2048):  # small enough to stay in the cache
+        part = bounds[a : a + 2049]
+        of = np.repeat(np.arange(len(part) - 1), np.diff(part))
+        sums[a : a + 2048] = _sums(model.embed.take(ids[part[0] : part[-1]], axis=0), of, len(part) - 1)
+    if known:
+        sums = sums.take(tokens.which, axis=0)
     x = np.empty_like(sums)
     x[1:] = sums[:-1]
     x[tokens.first] = model.embed[tokens.start]
@@ -214,25 +241,27 @@ def forward(model: Attention, x: np.ndarray, projected: tuple[np.ndarray, ...],
     """Weights of the kinds for every scored token: attention over a batch of windows, masked to what is
     there (-1: nothing) and not ahead."""
     at = np.maximum(places, 0)
-    late = x[at[:, CONTEXT:]]
-    q, k, v = projected[0][at[:, CONTEXT:]], projected[1][at], projected[2][at]
+    own = at[:, CONTEXT:]
+    late, q = x.take(own, axis=0), projected[0].take(own, axis=0)
+    k, v = projected[1].take(at, axis=0), projected[2].take(at, axis=0)
     s = q @ k.transpose(0, 2, 1)
-    s += model.recency[np.maximum(_BEHIND, 0)]
+    s += model.recency[_BACK]
     np.clip(s, np.float32(-30), np.float32(30), out=s)
     np.exp(s, out=s)
     s *= _CAUSAL
     some = np.flatnonzero((places < 0).any(1))
     if len(some):
         s[some] *= (places[some] >= 0).astype(np.float32)[:, None, :]
-    total = np.maximum(s @ _ONES, np.float32(1e-30))
+    total = np.maximum((s.reshape(-1, WINDOW) @ _ONES).reshape(*s.shape[:2], 1), np.float32(1e-30))
     h = s @ v
     h /= total
     h += late
-    z = (h.reshape(-1, WIDTH) @ model.gate[:-1]).reshape(*h.shape[:2], KINDS)
+    z = h.reshape(-1, WIDTH) @ model.gate[:-1]
     z += model.gate[-1]
     np.clip(z, np.float32(-50), np.float32(30), out=z)
     np.exp(z, out=z)
-    z /= z @ np.ones((KINDS, 1), np.float32)
+    z *= 1 / (z @ np.ones((KINDS, 1), np.float32))
+    z = z.reshape(*h.shape[:2], KINDS)
     return z, {"late": late, "q": q, "k": k, "v": v, "s": s, "total": total, "h": h}
 
 
@@ -240,10 +269,14 @@ def _borders(pairs: Pairs, tokens: Tokens, rows: bool = False) -> np.ndarray:
     """For every token the log probability of going on after all of its ids but the last, and of ending there."""
     on, last = tokens.goes_on, tokens.ends[tokens.is_word] - 1
     every = np.zeros(len(tokens.ids))
-    of = tokens.row[tokens.owner] if rows else None
     at = np.concatenate([tokens.before[on], tokens.ids[last]])
     sort = np.concatenate([np.ones(len(on), np.int64), np.zeros(len(last), np.int64)])
-    p = np.log(pairs.sort(at, sort, None if of is None else np.concatenate([of[on], of[last]])))
+    if rows:
+        of = tokens.row[tokens.owner]
+        p = np.log(pairs.sort(at, sort, np.concatenate([of[on], of[last]])))
+    else:  # the same after every occurrence of an id
+        ids, _, same, _ = told_apart(2 * at + sort)
+        p = np.log(pairs.sort(ids >> 1, ids & 1))[same]
     every[on] = p[: len(on)]
     every[last] += p[len(on) :]
     return np.add.reduceat(every, tokens.begins)
@@ -254,21 +287,20 @@ def log_probabilities(model: Attention, pairs: Pairs, tokens: Tokens, step: int
     x = _inputs(model, tokens)
     at, scored = windows(tokens.texts)
     projected = project(model, x)
-    weights = np.zeros((len(tokens.ends), KINDS), np.float32)
+    mass, sort = model.mass.astype(np.float32), 2 * tokens.owner + tokens.later
+    mixed = np.empty(len(tokens.ids), np.float32)
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
+        real = np.flatnonzero(mine >= 0)  # tokens that follow each other
         w, _ = forward(model, x, projected, places)
-        row = w[mine >= 0]  # tokens that follow each other
-        weights[mine[0, 0] : mine[0, 0] + len(row)] = row
-    mixed = np.empty(len(tokens.ids), np.float32)
-    for a in range(0, len(mixed), 8192):  # small enough to stay in the cache
-        part = slice(a, a + 8192)
-        mixed[part] = np.einsum("ik,ik->i", weights[tokens.owner[part]], model.parts[tokens.ids[part]])
-    of_sort = weights @ model.mass.T
-    mixed = mixed / of_sort[tokens.owner, tokens.later]
+        w, t0 = w.reshape(-1, KINDS).take(real, axis=0), mine[0, 0]
+        own = slice(tokens.begins[t0], tokens.ends[t0 + len(real) - 1])
+        part = model.parts.take(tokens.ids[own], axis=0)
+        mixed[own] = np.einsum("ik,ik->i", w.take(tokens.owner[own] - t0, axis=0), part)
+        mixed[own] /= (w @ mass.T).ravel().take(sort[own] - 2 * t0)
     follow = model.follow[tokens.later]
     paired, left = pairs.probability(tokens.before, tokens.ids, tokens.later)
-    p = follow * paired + (1 - follow + follow * left) * mixed
+    p = follow * paired + (1 - follow + follow * left) * mixed.astype(np.float64)
     return np.add.reduceat(np.log(np.maximum(p, 1e-30)), tokens.begins) + _borders(pairs, tokens)
 
 
@@ -282,91 +314,94 @@ def learn(
     at, scored = windows(tokens.texts)
     paired, left = pairs.probability(tokens.before, tokens.ids, tokens.later, tokens.row[tokens.owner])
     mass = model.mass.astype(np.float32)
-    size = tokens.ends - tokens.begins
-    logs = np.zeros(len(size))
+    f = model.follow[tokens.later]
+    rest, lost, paired_share = 1 - f + f * left, 1 - left, f * paired + np.float32(1e-30)
+    sort = 2 * tokens.owner + tokens.later  # of each id, among the two sorts of its token
+    logs = np.zeros(len(tokens.ends))
     for a in range(0, len(at), step):
         places, mine = at[a : a + step], scored[a : a + step]
+        real = np.flatnonzero(mine >= 0)
         lo, hi = places[places >= 0].min(), places.max() + 1  # windows follow each other
-        part = Tokens(tokens.ids[tokens.begins[lo] : tokens.ends[hi - 1]], tokens.ends[lo:hi] - tokens.begins[lo], np.array([hi - lo]), tokens.start)
-        x_all = _inputs(model, part)
+        t0 = mine[0, 0]  # and so do the tokens that they score: t0 to hi
+        i0, i1 = tokens.begins[lo], tokens.ends[hi - 1]
         heads = tokens.first[(tokens.first >= lo) & (tokens.first < hi)] - lo
+        x_all = np.empty((hi - lo, WIDTH), np.float32)
+        of = tokens.owner[i0:i1] - lo
+        x_all[1:] = _sums(model.embed.take(tokens.ids[i0:i1], axis=0), of, hi - lo)[:-1]
+        x_all[0] = model.embed[tokens.start]
         x_all[heads] = model.embed[tokens.start]
-        real = mine >= 0
         inner = np.where(places >= 0, places - lo, -1)
         weights, c = forward(model, x_all, project(model, x_all), inner)
-        c["x"] = x_all[np.maximum(inner, 0)]
-
-        token = mine[real]
-        n = size[token]
-        which = np.repeat(np.arange(len(token)), n)
-        i = np.arange(int(n.sum())) + np.repeat(tokens.begins[token] - (np.cumsum(n) - n), n)
-        ids, w = tokens.ids[i], weights[real][which]
-        whole = w * mass[tokens.later[i]]
-        of_sort = whole.sum(1, keepdims=True)
-        joint = w * model.parts[ids] / of_sort
-        f = model.follow[tokens.later[i]]
-        mixed, rest = joint.sum(1), 1 - f + f * left[i]
-        total = f * paired[i] + rest * mixed + np.float32(1e-30)
-        slope = (paired[i] - (1 - left[i]) * mixed) / total
-        logs[token] = np.add.reduceat(np.log(total.astype(np.float64)), np.cumsum(n) - n)
-        posterior = joint * (rest / total)[:, None]
-        _add_rows(soft, ids, posterior)
-        for late in (0, 1):
-            own = slope[tokens.later[i] == late]
-            follow[late] += [own.sum(), (own * own).sum()]
-        pull = posterior - posterior.sum(1, keepdims=True) * (whole / of_sort)
-        g = np.zeros_like(weights)
-        g[real] = _runs(pull, np.cumsum(n) - n) / np.float32(max(len(token), 1))
-
-        c["a"] = c["s"] / c["total"]
-        dh = g @ model.gate[:-1].T
-        da = dh @ c["v"].transpose(0, 2, 1)
-        ds = c["a"] * (da - (da * c["a"]).sum(-1, keepdims=True))
+
+        # For every id its weights by kind, times its part of each kind, is what attention gives it.
+        own = slice(tokens.begins[t0], i1)
+        ids, begins, which = tokens.ids[own], tokens.begins[t0:hi] - tokens.begins[t0], tokens.owner[own] - t0
+        of_token = weights.reshape(-1, KINDS).take(real, axis=0)
+        w, part = of_token.take(which, axis=0), model.parts.take(ids, axis=0)
+        of_sort = (of_token @ mass.T).ravel().take(sort[own] - 2 * t0)
+        mixed = np.einsum("ik,ik->i", w, part) / of_sort
+        total = paired_share[own] + rest[own] * mixed
+        slope = (paired[own] - lost[own] * mixed) / total
+        logs[t0:hi] = np.add.reduceat(np.log(total.astype(np.float64)), begins)
+        follow += np.column_stack([np.bincount(tokens.later[own], x, 2) for x in (slope, slope * slope)])
+        pull = rest[own] / (total * of_sort)
+        w *= pull[:, None]
+        part *= pull[:, None]
+        known, same = _grouped(tokens.ids[i0:i1], len(model.parts))
+        soft[known] += model.parts[known] * _sums(w, same[tokens.begins[t0] - i0 :], len(known))
+        back = np.bincount(sort[own] - 2 * t0, pull * mixed, 2 * (hi - t0)).astype(np.float32).reshape(-1, 2) @ mass
+        flat = np.zeros((weights.shape[0] * weights.shape[1], KINDS), np.float32)
+        flat[real] = of_token * (_sums(part, which, hi - t0) - back) / np.float32(max(hi - t0, 1))
+
+        c["a"] = c["s"]
+        c["a"] *= 1 / c["total"]
+        dh = (flat @ model.gate[:-1].T).reshape(c["h"].shape)
+        ds = dh @ c["v"].transpose(0, 2, 1)
+        ds -= np.einsum("nij,nij->ni", ds, c["a"])[..., None]
+        ds *= c["a"]
         dq = ds @ c["k"] * np.float32(WIDTH**-0.5)
         dk = ds.transpose(0, 2, 1) @ c["q"]  # q is scaled already
         dv = c["a"].transpose(0, 2, 1) @ dh
-        dx = dk @ model.key.T + dv @ model.value.T
-        dx[:, CONTEXT:] += dh + dq @ model.query.T
-        flat = g.reshape(-1, KINDS)
+        dx = dk.reshape(-1, WIDTH) @ model.key.T
+        dx += dv.reshape(-1, WIDTH) @ model.value.T
+        dx = dx.reshape(dk.shape)
+        dx[:, CONTEXT:] += dh + (dq.reshape(-1, WIDTH) @ model.query.T).reshape(dq.shape)
+        x = x_all.take(np.maximum(inner, 0), axis=0).reshape(-1, WIDTH)
         steps = {
             "query": c["late"].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH),
-            "key": c["x"].reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH),
-            "value": c["x"].reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH),
+            "key": x.T @ dk.reshape(-1, WIDTH),
+            "value": x.T @ dv.reshape(-1, WIDTH),
             "gate": np.vstack([c["h"].reshape(-1, WIDTH).T @ flat, flat.sum(0)]),
-            "recency": np.bincount(np.maximum(_BEHIND, 0).ravel(), (ds.sum(0) * _CAUSAL).ravel(), WINDOW).astype(np.float32),
+            "recency": np.bincount(_BACK.ravel(), (ds.sum(0) * _CAUSAL).ravel(), WINDOW).astype(np.float32),
         }
         for name, gradient in steps.items():
             _adagrad(model, name, slice(None), gradient, rate)
         # The gradient at a token's place goes to the ids of the token before, or to the start id.
         at_place = np.zeros((hi - lo, WIDTH), np.float32)
-        for part_of in (slice(CONTEXT), slice(CONTEXT, None)):  # neither holds a token twice
-            own = inner[:, part_of] >= 0
-            at_place[inner[:, part_of][own]] += dx[:, part_of][own]
+        at_place[t0 - lo :] = dx[:, CONTEXT:].reshape(-1, WIDTH).take(real, axis=0)
+        before = inner[:, :CONTEXT].ravel()
+        seen = np.flatnonzero(before >= 0)  # no token twice
+        at_place[before[seen]] += dx[:, :CONTEXT].reshape(-1, WIDTH).take(seen, axis=0)
         start = np.zeros(hi - lo, bool)
         start[heads] = True
         start[0] = True
         to_token = np.zeros_like(at_place)
-        to_token[:-1] = np.where(start[1:, None], 0, at_place[1:])
-        order, known, first = _grouped(part.ids)
-        rows = np.add.reduceat(to_token[part.owner[order]], first, axis=0)
-        _adagrad(model, "embed", known, rows, rate)
+        to_token[:-1] = at_place[1:]
+        to_token[np.flatnonzero(start[1:])] = 0
+        _adagrad(model, "embed", known, _sums(to_token.take(of, axis=0), same, len(known)), rate)
         _adagrad(model, "embed", np.array([tokens.start]), at_place[start].sum(0)[None], rate)
     return logs + _borders(pairs, tokens, rows=True)
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, the different keys, and where each begins in it."""
-    order = np.argsort(keys)
+def _grouped(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and which of them stands at each place. Keys of 16 bits are sorted digit by digit."""
+    order = np.argsort(keys.astype(np.uint16) if below <= 1 << 16 else keys, kind="stable")
     sorted_keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-    return order, sorted_keys[first], first
-
-
-def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add values to rows of a table, a row as often as it is named."""
-    if len(rows):
-        order, known, first = _grouped(rows)
-        table[known] += np.add.reduceat(values[order], first, axis=0)
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    same = np.empty(len(keys), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return sorted_keys[new], same
 
 
 def _adagrad(model: Attention, name: str, rows, gradient: np.ndarray, rate: float) -> None:

@@ -6,7 +6,6 @@ import base64
 import copy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.session import fresh_dir, local_table, written
 
-from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities, looked_up, of_own_row
+from .attention import KINDS, NAMES, Attention, Pairs, Tokens, learn, log_probabilities, looked_up, of_own_row, told_apart
 from .text import Piece, mix, pieces, word_hashes, words
+from .token_files import _room
 
 Batches = Iterator[pa.RecordBatch]
 END = mix(np.array([0x0E4D0F7E87], np.uint64))[0]  # stands for the end token among hashes of words
@@ -46,10 +46,16 @@ def _read(piece: Piece, tokenizer: str) -> Read:
     which = np.zeros(int(ends[-1]), np.int64)
     word = np.ones(len(which), bool)
     word[ends - 1] = False
-    different, first, same, counts = np.unique(
-        word_hashes(piece, found), return_index=True, return_inverse=True, return_counts=True
-    )
-    which[word] = same + 1
+    hashes = word_hashes(piece, found)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    begins = np.flatnonzero(new)
+    different, first, counts = hashes[begins], order[begins], np.diff(begins, append=len(order))
+    same = np.empty(len(order), np.int64)
+    same[order] = np.cumsum(new)
+    which[word] = same
     vocabulary = Subwords.of(tokenizer)
     flat, begins = vocabulary.ids(different, piece.data.tobytes().lower(), found.starts[first], found.ends[first])
     sizes = np.diff(begins)[which]
@@ -148,7 +154,8 @@ def _rare(tokenizer: str, held) -> Callable[[Batches], Batches]:
             for piece in pieces(b.column(1), _GRAM * 8):
                 read = _read(piece, tokenizer)
                 tokens, row = read.tokens, np.repeat(np.arange(piece.rows), np.diff(read.ends, prepend=0))
-                pairs, same = np.unique(tokens.before << 32 | tokens.ids, return_inverse=True)
+                _, first, same, _ = told_apart(tokens.before * len(model.pairs.before) + tokens.ids)
+                pairs = tokens.before[first] << 32 | tokens.ids[first]
                 unknown = looked_up(model.pairs.keys, model.pairs.counts, pairs) == 0
                 for kind, keys, rare, at, rows in (
                     (WORD, read.hashes.view(np.int64), model.counts(read.hashes) == 0, tokens.which, row),
@@ -223,9 +230,11 @@ class Subwords:
         return cls._of[path]
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(0, np.int64)
-        self.begins = np.zeros(1, np.int64)
+        self.slots = np.full(4 * KNOWN_WORDS, -1, np.int32)  # by low bits of a hash, the last word that took the slot
+        self.n = 0
+        self.hashes = np.zeros(1024, np.uint64)
+        self.begins = np.zeros(1025, np.int64)
+        self.flat = np.zeros(1024, np.int64)
 
     def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words end to end, and how many each has. Words without white space of any kind go
@@ -239,19 +248,23 @@ class Subwords:
     def ids(self, hashes: np.ndarray, lower: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the end and of different words end to end, and where each begins. The words are given by
         their hashes and by where they stand in the lower-cased bytes."""
-        keys = hashes.tolist()
-        at = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(at < 0)
+        slots = (hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        at = self.slots[slots].astype(np.int64)
+        new = np.flatnonzero((at < 0) | (self.hashes[at] != hashes))
         if len(new):
-            if len(self.known) + len(new) > KNOWN_WORDS and self.known:
+            if self.n and self.n + len(new) > KNOWN_WORDS:
                 self._reset()
-                new = np.arange(len(keys))
+                new = np.arange(len(hashes))
             places = zip(starts[new].tolist(), stops[new].tolist())
             flat, counts = self._encode([lower[a:b].decode("utf-8", "replace") for a, b in places])
-            at[new] = len(self.known) + np.arange(len(new))
-            self.known.update(zip(hashes[new].tolist(), at[new].tolist()))
-            self.flat = np.concatenate([self.flat, flat])
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts)])
+            n, to, used = self.n, self.n + len(new), int(self.begins[self.n])
+            self.hashes, self.begins = _room(self.hashes, to), _room(self.begins, to + 1)
+            self.flat = _room(self.flat, used + len(flat))
+            self.hashes[n:to], self.begins[n + 1 : to + 1] = hashes[new], used + np.cumsum(counts)
+            self.flat[used : used + len(flat)] = flat
+            at[new] = np.arange(n, to)
+            self.slots[slots[new]] = at[new]
+            self.n = to
         sizes = np.append(1, self.begins[at + 1] - self.begins[at])
         begins = np.append(0, np.cumsum(sizes))
         flat = np.full(int(begins[-1]), self.end, np.int64)

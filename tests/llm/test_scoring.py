@@ -1,13 +1,15 @@
 """What the scoring model learns from and is scored with, whatever is held by every task."""
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import awkward
 
-from tabspark.llm import scoring
-from tabspark.llm.attention import Tokens, log_probabilities
+from tabspark.llm import attention, scoring
+from tabspark.llm.attention import Attention, Pairs, Tokens, learn, log_probabilities, windows
 from tabspark.llm.catalog import let_workers_import
 from tabspark.llm.queries import public_vocabulary
 from tabspark.llm.text import pieces
@@ -91,3 +93,64 @@ def test_as_many_keys_are_held_as_may_be(spark, monkeypatch):
     model, _ = scoring.fit_text_model(given, public_vocabulary(VOCABULARY), rounds=0, sample=1)
     assert sorted(model.common_counts.tolist()) == [*range(12, 31), len(texts)]
     assert 0 < len(model.pairs.keys) <= 20
+
+
+def _few_texts(n=30):
+    """Texts of tokens of one to four ids, each ended by id 0; every id but 0 either begins tokens or goes on."""
+    random = np.random.default_rng(7)
+    ids, ends, texts = [], [], []
+    for _ in range(n):
+        for _ in range(random.integers(0, 70)):
+            ids += [random.integers(1, 20), *random.integers(20, 40, random.integers(0, 4))]
+            ends.append(len(ids))
+        ids.append(0)
+        ends.append(len(ids))
+        texts.append(len(ends))
+    return Tokens(np.array(ids), np.array(ends), np.array(texts), 0)
+
+
+def test_learning_expects_what_single_ids_give():
+    """The expected counts of one step against the formula, id by id; the parts are added up once for all pieces."""
+    tokens = _few_texts()
+    model = Attention.fresh(40, 3, np.arange(40) < 20)
+    model.parts = np.random.default_rng(4).random(model.parts.shape).astype(np.float32)
+    model.parts /= model.parts.sum(0)
+    assert model.mass is model.mass
+    old, none = copy.deepcopy(model), np.zeros((40, 2), np.int64)
+    pairs = Pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), none, none)
+    soft, follow = np.zeros_like(model.parts), np.zeros((2, 2))
+    logs = learn(model, pairs, tokens, soft, follow, 0.1, step=1 << 20)
+    assert logs == pytest.approx(log_probabilities(old, pairs, tokens), abs=1e-4)
+    x = attention._inputs(old, tokens)
+    at, scored = windows(tokens.texts)
+    w = attention.forward(old, x, attention.project(old, x), at)[0][scored >= 0]
+    want = np.zeros_like(soft)
+    for i, token in zip(tokens.ids, tokens.owner):  # without pairs, all of the probability is that of attention
+        want[i] += w[token] * old.parts[i] / (w[token] @ old.parts[i])
+    assert soft == pytest.approx(want, rel=1e-4)
+    ids = np.unique(tokens.ids)
+    assert (model.embed[np.setdiff1d(ids, [0])] != old.embed[np.setdiff1d(ids, [0])]).any(1).mean() > 0.9
+
+
+@pytest.mark.parametrize("most", [3, 1 << 40, 1 << 62])
+def test_keys_are_told_apart_in_any_range(most):
+    keys = np.random.default_rng(2).integers(0, most, 500) // (most // 3) * (most // 3)
+    found = attention.told_apart(keys)
+    for mine, plain in zip(found, np.unique(keys, return_index=True, return_inverse=True, return_counts=True)):
+        assert mine.tolist() == plain.tolist()
+    assert [len(x) for x in attention.told_apart(keys[:0])] == [0] * 4
+
+
+def test_words_of_one_slot_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(scoring, "KNOWN_WORDS", 1)
+    vocabulary = scoring.Subwords(public_vocabulary(VOCABULARY))
+    for _ in range(2):
+        for text in ("unbelievable the xqzv of", "The volume of a text", "of xqzv", ""):
+            (piece,) = pieces(pa.array([text, text + " more"]), 1 << 30)
+            monkeypatch.setitem(scoring.Subwords._of, "few slots", vocabulary)
+            read = scoring._read(piece, "few slots")
+            want = []
+            for row in (text, text + " more"):
+                want += [i for w in row.lower().split() for i in vocabulary.encoding.encode_ordinary(" " + w)] + [vocabulary.end]
+            assert read.tokens.ids.tolist() == want
+    assert len(vocabulary.slots) == 4
