@@ -146,3 +146,60 @@ def test_packed_rows_read_back_from_slices():
     for kind in (pa.binary(), pa.large_binary()):
         assert (b._matrix(packed.cast(kind).slice(1, 2), np.float64, 3) == numbers[1:3]).all()
     assert b._matrix(packed.slice(2, 0), np.float64, 3).shape == (0, 3)
+
+
+def blocks_of(x, y, w, loss, trees, newton=True):
+    """What a pass reads, made in this process: blocks with the slopes after ``trees``."""
+    edges = [sorted(set(c)) for c in x.T]
+    given = pa.record_batch([pa.array(list(x)), pa.array(y), pa.array(w)], names=["x", "y", "w"])
+    first = b._binned(edges, [0.25] * loss.n_scores, True)(iter([given.slice(0, 500), given.slice(500)]))
+    return list(b._advanced(trees, loss, x.shape[1], newton)(first))
+
+
+def test_a_pass_reads_bins_and_slopes_alone(monkeypatch):
+    """Scores move and slopes are found once a round; they were found again for every level, with all trees since the last table."""
+    monkeypatch.setattr(b, "BLOCK_ROWS", 128)
+    x, y, w = data()
+    loss = b.Loss("squared", 1, 1.0, float(np.ptp(y)) * 2)
+    tree = b.Tree()
+    low, high = tree.split(0, 0, 20)
+    tree.value[low], tree.value[high] = -1.0, 1.0
+    made = blocks_of(x, y, w, loss, [(0, tree)])
+    assert [len(r.column("y")[0].as_buffer()) // 8 for r in made] == [128] * 7 + [4]
+    binned = np.concatenate([b._bins(r, 0, 3) for r in made], axis=1)
+    scores = 0.25 + np.where(binned[0] <= 20, -1.0, 1.0)
+    g, h = loss.slopes(scores[:, None], y, w, 0, True)
+    monkeypatch.setattr(b.Loss, "slopes", None)
+    grown = b.Tree()
+    low, high = grown.split(0, 1, 4)
+    left, right = grown.split(high, 0, 10)
+    narrow = [r.select(["bins", "slopes"]) for r in made]
+    found = list(b._histograms([(0, grown, [right, low])], loss, 3)(iter(narrow)))
+    again = list(b._added(iter([*found[:2], *found])))
+    sums = b._block(found[0], "sums", 0, 3 * 2 * 3 * 256, (np.int64,)).reshape(3, 2, 3, 256)
+    assert len(found) == len(again) == 1 and (b._block(again[0], "sums", 0, sums.size, (np.int64,)) == 2 * sums.ravel()).all()
+    for slot, rows in enumerate([(binned[1] > 4) & (binned[0] > 10), binned[1] <= 4]):
+        for f in range(3):
+            for j, v in enumerate((np.ones_like(g), g, h)):
+                want = np.zeros(256, np.int64)
+                np.add.at(want, binned[f][rows], v[rows])
+                assert (sums[j, slot, f] == want).all()
+
+
+def test_slopes_beyond_four_bytes_are_kept_whole():
+    x, y, w = data(100)
+    loss = b.Loss("logistic", 1, 1.0, 1.0 / (1 << 8))
+    made = blocks_of(x, (y > 0).astype(float), w, loss, [])
+    kept = b._block(made[0], "slopes", 0, 200, (np.int32, np.int64)).reshape(2, -1)
+    g, h = loss.slopes(np.full((100, 1), 0.25), (y > 0).astype(float), w, 0, True)
+    assert kept.dtype == np.int64 and (kept == [g, h]).all()
+
+
+def test_same_sums_at_the_driver_or_in_tasks(spark, monkeypatch):
+    x, y, w = data(400)
+    df, s = rows_of(spark, x, y, w), b.Boosting(2, 3, 0.3, 5, 10)
+    direct = b.fit_boosted(df, "v", "y", 3, 0, s, "w", predictionCol="p").getOrDefault("forest")
+    monkeypatch.setattr(b, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(b, "CELLS_PER_TASK", 500)
+    assert b.fit_boosted(df, "v", "y", 3, 0, s, "w", predictionCol="p").getOrDefault("forest") == direct
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
