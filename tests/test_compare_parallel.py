@@ -39,3 +39,9 @@ def test_same_table_as_one_after_the_other(spark):
     together, _ = models.compare_models(table(spark), "y", "classification", names, ["x"])
     alone, _ = models.compare_models(table(spark), "y", "classification", names, ["x"], parallelism=1)
     assert together.collect() == alone.collect()
+
+
+def test_rows_that_cannot_be_assembled_are_reported(spark):
+    df = table(spark).withColumn("x", F.when(F.col("id") != 7, F.col("x")))
+    found, best = models.compare_models(df, "y", "classification", ["ridge_classifier", "decision_tree"], ["x"])
+    assert best is None and all(r["accuracy"] is None and r["status"].startswith("failed: ") for r in found.collect())
